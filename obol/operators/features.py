@@ -29,10 +29,15 @@ def repayment_features(df: DataFrame, stable_codes: Sequence[str] = C.STABLE_RES
         "address_match": flag(F.col("post_perm") == F.col("post_res")),
         "residence_stable": flag(F.col("residence_status").isin(list(stable_codes))),
     }
+    types = dict(df.dtypes)
+
+    def num(c):  # strings are coerced (P9); numeric columns are used as they are
+        return F.col(c).cast("double") if types[c] != "string" else c
+
     if "debt_to_income_ratio" in df.columns:
-        cols["dti_ratio"] = safe_clip("debt_to_income_ratio", *C.DTI_CLIP)
+        cols["dti_ratio"] = safe_clip(num("debt_to_income_ratio"), *C.DTI_CLIP)
     if "payment_to_income_ratio" in df.columns:
-        cols["payment_pressure"] = safe_clip("payment_to_income_ratio", *C.PTI_CLIP)
+        cols["payment_pressure"] = safe_clip(num("payment_to_income_ratio"), *C.PTI_CLIP)
     return df.withColumns(cols)
 
 

@@ -217,3 +217,357 @@ scored AS (
 ORACLE["risk_scoring"] = with_(LOANS, GRID, THRESH, SCORED) + """
 SELECT serial_number, default_probability, predicted_default, predicted_default_optimal, threshold_difference,
        risk_score, risk_grade, risk_alert, risk_action, risk_action_optimal FROM scored"""
+
+
+# ====================================================== batch 2: cleaning
+LOAN_COLUMNS = ["serial_number", "id", "application_date", "overdue_status", "overdue_days", "education",
+                "main_business", "residence_status", "product", "salary_raw", "month_salary", "job_tenure",
+                "post_perm", "post_res", "loan_term", "paid_installments", "debt_to_income_ratio",
+                "payment_to_income_ratio"] + [f"o{i}" for i in range(8)] + ["score_p"]
+NUMRE = r"'^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$'"
+
+ORACLE["label_buckets"] = with_(LOANS) + """
+SELECT serial_number, overdue_status,
+       CAST(coalesce(overdue_status IN ('M1-1', 'M1-2', 'M2', 'M3', 'M4', 'M5', 'M6'), false) AS INTEGER) AS default_bucket
+FROM loans"""
+
+ORACLE["clean_loans"] = with_(LOANS, f"""
+c0 AS (SELECT *, CASE WHEN regexp_full_match(salary_raw, {NUMRE}) THEN TRY_CAST(trim(salary_raw) AS DOUBLE) END AS salary
+       FROM loans),
+c_med AS (SELECT median(salary) AS m_sal, median(job_tenure) AS m_ten FROM c0),
+c_edu AS (SELECT education AS v FROM c0 WHERE education IS NOT NULL GROUP BY education ORDER BY count(*) DESC, education LIMIT 1),
+c_res AS (SELECT residence_status AS v FROM c0 WHERE residence_status IS NOT NULL GROUP BY residence_status
+          ORDER BY count(*) DESC, residence_status LIMIT 1)""") + """
+SELECT serial_number, coalesce(salary, m_sal) AS salary, coalesce(job_tenure, m_ten) AS job_tenure,
+       coalesce(education, (SELECT v FROM c_edu), 'unknown') AS education,
+       coalesce(residence_status, (SELECT v FROM c_res), 'rented') AS residence_status,
+       coalesce(main_business, 'other') AS main_business, coalesce(post_res, '(missing)') AS post_res,
+       coalesce(product, '(missing)') AS product, coalesce(paid_installments, 0) AS paid_installments
+FROM c0, c_med"""
+
+ORACLE["header_contract"] = with_(LOANS) + """
+SELECT serial_number, month_salary, CAST(0 AS INTEGER) AS credit_score, CAST(0 AS INTEGER) AS default_prob,
+       CAST(0 AS INTEGER) AS loan_amount, CAST(0 AS INTEGER) AS monthly_payment FROM labeled"""
+
+ROW_FEATURES = """
+  coalesce(CASE WHEN CAST(loan_term AS DOUBLE) = 0 THEN CASE WHEN CAST(paid_installments AS DOUBLE) > 0 THEN 1e0 ELSE 0e0 END
+           ELSE least(greatest(CAST(paid_installments AS DOUBLE) / CAST(loan_term AS DOUBLE), 0e0), 1e0) END, 0e0) AS payment_progress_ratio,
+  CAST(coalesce(job_tenure >= 1, false) AS INTEGER) AS job_stable,
+  CAST(coalesce(post_perm = post_res, false) AS INTEGER) AS address_match,
+  CAST(coalesce(residence_status IN ('owned', 'spouse', 'family'), false) AS INTEGER) AS residence_stable,
+  least(greatest(coalesce(debt_to_income_ratio, 0e0), 0e0), 2e0) AS dti_ratio,
+  least(greatest(coalesce(payment_to_income_ratio, 0e0), 0e0), 1e0) AS payment_pressure"""
+
+ORACLE["row_features"] = with_(LOANS) + f"SELECT serial_number, {ROW_FEATURES} FROM loans"
+
+ORACLE["upstream_ratios"] = with_(CLIENTS) + """
+SELECT customer_id, monthly_income * 12 AS annual_salary,
+       round(least(loan_amount / (monthly_income * 12), 100e0), 12) AS dti_upstream,
+       round(least((loan_amount / loan_term_months) / monthly_income, 10e0), 12) AS pti_upstream,
+       CASE WHEN monthly_income * 12 / 10000e0 < 3 THEN '<3' WHEN monthly_income * 12 / 10000e0 < 5 THEN '3-5'
+            WHEN monthly_income * 12 / 10000e0 < 8 THEN '5-8' ELSE '>8' END AS income_level
+FROM clients"""
+
+ORACLE["recent_years"] = with_(LOANS, """
+ry AS (SELECT max(application_date) AS mx FROM loans)""") + """
+SELECT serial_number, CAST(application_date AS VARCHAR) AS application_date FROM loans, ry
+WHERE application_date IS NOT NULL AND application_date >= CAST(mx - INTERVAL 60 MONTH AS DATE)"""
+
+_RULES = [("month_salary_negative", "month_salary < 0"), ("job_tenure_negative", "job_tenure < 0"),
+          ("loan_term_below_1", "loan_term < 1"), ("paid_installments_negative", "paid_installments < 0"),
+          ("paid_above_term", "paid_installments > loan_term"), ("dti_negative", "debt_to_income_ratio < 0"),
+          ("pti_negative", "payment_to_income_ratio < 0")] + [(f"o{i}_negative", f"o{i} < 0") for i in range(8)] + [
+          ("residence_status_unknown_code",
+           "NOT (residence_status IN ('owned', 'rented', 'spouse', 'family', 'dormitory')) OR residence_status IS NULL")]
+_VLIST = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in _RULES) + "], lambda x: x IS NOT NULL)"
+ORACLE["input_rules"] = with_(LOANS) + f"""
+SELECT serial_number, array_to_string({_VLIST}, ',') AS violations, CAST(len({_VLIST}) AS INTEGER) AS n_violations,
+       CAST(len({_VLIST}) = 0 AS INTEGER) AS valid FROM loans"""
+
+_ELIG = [("age_below_min", "coalesce(age, 0) < 18"), ("age_above_max", "coalesce(age, 0) > 75"),
+         ("income_below_min", "coalesce(annual_income, 0) < 20000"),
+         ("dti_above_max", "coalesce(debt_to_income_ratio, 0) > 5e-1"),
+         ("credit_history_too_short", "coalesce(credit_history_months, 0) < 6")]
+ELIG_LIST = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in _ELIG) + "], lambda x: x IS NOT NULL)"
+ORACLE["client_eligibility"] = with_(CLIENTS) + f"""
+SELECT customer_id, array_to_string({ELIG_LIST}, ',') AS errors, CAST(len({ELIG_LIST}) = 0 AS INTEGER) AS is_valid
+FROM clients"""
+
+ORACLE["client_features"] = with_(CLIENTS) + """
+SELECT customer_id, annual_income / age AS income_per_age, loan_amount / (total_credit_limit + 1) AS loan_amount_per_credit_limit,
+  round((loan_amount / loan_term_months) / monthly_income, 12) AS payment_burden_ratio,
+  round(late_payments_count * 3e-1 + missed_payments_count * 7e-1 + (1 - on_time_payment_rate) * 5e-1, 12) AS payment_risk_score,
+  round(savings_to_income_ratio * 4e-1 + least(greatest(avg_monthly_balance / monthly_income, 0e0), 5e0) * 3e-1
+        + (1 - credit_utilization_rate) * 3e-1, 12) AS financial_stability_score,
+  round(ln(1 + credit_history_months) * 4e-1 + ln(1 + previous_loans_count) * 6e-1, 9) AS credit_experience_score,
+  CASE WHEN age > 0 AND age <= 25 THEN 'Young' WHEN age > 25 AND age <= 35 THEN 'Young_Adult'
+       WHEN age > 35 AND age <= 45 THEN 'Middle_Age' WHEN age > 45 AND age <= 55 THEN 'Mature'
+       WHEN age > 55 AND age <= 100 THEN 'Senior' END AS age_group,
+  round(sin(2e0 * pi() * loan_origination_month / 12e0), 9) AS loan_month_sin,
+  round(cos(2e0 * pi() * loan_origination_month / 12e0), 9) AS loan_month_cos
+FROM clients"""
+
+_OUT = ", ".join(f"quantile_cont({c}, 0.25) AS {c}_q1, quantile_cont({c}, 0.75) AS {c}_q3"
+                 for c in ["annual_income", "loan_amount", "debt_to_income_ratio"])
+ORACLE["client_outliers"] = with_(CLIENTS, f"qq AS (SELECT {_OUT} FROM clients)") + " SELECT customer_id, " + ", ".join(
+    f"CAST({c} < {c}_q1 - 15e-1 * ({c}_q3 - {c}_q1) OR {c} > {c}_q3 + 15e-1 * ({c}_q3 - {c}_q1) AS INTEGER) AS {c}_outlier"
+    for c in ["annual_income", "loan_amount", "debt_to_income_ratio"]) + " FROM clients, qq"
+
+
+def _qbins(col, labels):
+    k = len(labels)
+    edges = ", ".join(f"quantile_cont({col}, {i / k!r}) AS {col}_e{i}" for i in range(k + 1))
+    cases = " ".join(
+        f"WHEN {col} {'>=' if i == 0 else '>'} {col}_e{i} AND {col} <= {col}_e{i + 1} THEN '{lab}'"
+        for i, lab in enumerate(labels))
+    return edges, f"CASE {cases} END"
+
+
+_IE, _IC = _qbins("annual_income", ["Low", "Lower_Mid", "Mid", "Upper_Mid", "High"])
+_LE, _LC = _qbins("loan_amount", ["Small", "Medium", "Large"])
+ORACLE["client_quantile_bins"] = with_(CLIENTS, f"qe AS (SELECT {_IE}, {_LE} FROM clients)") + f"""
+SELECT customer_id, {_IC} AS income_quintile, {_LC} AS loan_size_category FROM clients, qe"""
+
+ORACLE["client_group_rate"] = with_(CLIENTS) + """
+SELECT customer_id, round(avg(is_default) OVER (PARTITION BY job_category, education_level), 12) AS group_default_rate,
+       count(*) OVER (PARTITION BY job_category, education_level) AS group_size FROM clients"""
+
+
+# ======================================================= batch 2: encoders
+def woe_ctes(src: str, p: str) -> str:
+    long = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, coalesce(CAST({c} AS VARCHAR), '(missing)') AS value, default_flag AS y FROM {src}"
+        for c in CATS)
+    return f"""
+{p}_long AS ({long}),
+{p}_stats AS (SELECT feature, value, count(*) AS n, sum(y) AS bad FROM {p}_long GROUP BY feature, value),
+{p}_tot AS (SELECT feature, sum(n - bad) AS tg, sum(bad) AS tb FROM {p}_stats GROUP BY feature),
+{p}_w0 AS (
+  SELECT s.feature, s.value, s.n, s.bad,
+         CASE WHEN (s.n - s.bad) / t.tg = 0 THEN 1e-4 ELSE (s.n - s.bad) / t.tg END AS good_pct,
+         CASE WHEN s.bad / t.tb = 0 THEN 1e-4 ELSE s.bad / t.tb END AS bad_pct
+  FROM {p}_stats s JOIN {p}_tot t USING (feature) WHERE t.tg > 0 AND t.tb > 0),
+{p} AS (SELECT *, ln(good_pct / bad_pct) AS woe FROM {p}_w0)"""
+
+
+SPLIT_X1 = """
+strat AS (SELECT *, row_number() OVER (PARTITION BY default_flag ORDER BY md5(CAST(serial_number AS VARCHAR) || '|42'), serial_number) AS rk,
+                 count(*) OVER (PARTITION BY default_flag) AS nc FROM labeled),
+split_x1 AS (SELECT *, CASE WHEN rk <= floor(nc * 2e-1 + 5e-1) THEN 'test' ELSE 'train' END AS split FROM strat),
+train_x1 AS (SELECT * FROM split_x1 WHERE split = 'train')"""
+
+
+def _lookup_joins(src: str, enc: str, val: str, suffix: str, default: str) -> tuple[str, str]:
+    joins, cols = [], []
+    for i, c in enumerate(CATS):
+        joins.append(f"LEFT JOIN {enc} j{i} ON j{i}.feature = '{c}' AND j{i}.value = coalesce(CAST({src}.{c} AS VARCHAR), '(missing)')")
+        cols.append(f"coalesce(j{i}.{val}, {default}) AS {c}_{suffix}")
+    return " ".join(joins), ", ".join(cols)
+
+
+_J, _C = _lookup_joins("split_x1", "wtr", "woe", "woe", "0e0")
+ORACLE["woe_apply"] = with_(LOANS, SPLIT_X1, woe_ctes("train_x1", "wtr")) + f"""
+SELECT serial_number, split, {', '.join(f'round({c}_woe, 9) AS {c}_woe' for c in CATS)} FROM (
+  SELECT split_x1.serial_number, split_x1.split, {_C} FROM split_x1 {_J})"""
+
+TE = """
+te_long AS (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, coalesce(CAST({c} AS VARCHAR), '(missing)') AS value, default_flag AS y FROM labeled"
+    for c in CATS) + """),
+te_stats AS (SELECT feature, value, count(*) AS n, sum(y) AS bad FROM te_long GROUP BY feature, value),
+te_g AS (SELECT avg(default_flag) AS gm FROM labeled),
+te AS (SELECT feature, value, n, (n * (bad / n) + 1e0 * gm) / (n + 1e0) AS enc, n / (SELECT count(*) FROM labeled) AS freq
+       FROM te_stats, te_g)"""
+_J, _C = _lookup_joins("labeled", "te", "enc", "target_enc", "(SELECT gm FROM te_g)")
+ORACLE["target_encoding"] = with_(LOANS, TE) + f"""
+SELECT serial_number, {', '.join(f'round({c}_target_enc, 9) AS {c}_target_enc' for c in CATS)} FROM (
+  SELECT labeled.serial_number, {_C} FROM labeled {_J})"""
+_J, _C = _lookup_joins("labeled", "te", "freq", "freq", "0e0")
+ORACLE["frequency_encoding"] = with_(LOANS, TE) + f"""
+SELECT serial_number, {', '.join(f'round({c}_freq, 12) AS {c}_freq' for c in CATS)} FROM (
+  SELECT labeled.serial_number, {_C} FROM labeled {_J})"""
+
+GEO = """
+g_long AS (SELECT 'res' AS feature, coalesce(post_res, '(missing)') AS value, default_flag AS y FROM labeled
+           UNION ALL SELECT 'perm', coalesce(post_perm, '(missing)'), default_flag FROM labeled
+           UNION ALL SELECT 'city', coalesce(substr(post_res, 1, 3), '(missing)'), default_flag FROM labeled),
+g_s AS (SELECT feature, value, count(*) AS n, avg(y) AS rate FROM g_long GROUP BY feature, value),
+g_g AS (SELECT avg(default_flag) AS gr FROM labeled),
+geo AS (SELECT g_s.*, gr, CASE WHEN n < (CASE WHEN feature = 'city' THEN 50 ELSE 10 END) THEN gr ELSE rate END AS risk
+        FROM g_s, g_g),
+geo_applied AS (
+  SELECT l.serial_number, coalesce(r.risk, g.gr) AS res_risk_score, coalesce(p.risk, g.gr) AS perm_risk_score,
+         coalesce(c.risk, g.gr) AS city_risk_score, CAST(coalesce(l.post_perm = l.post_res, false) AS INTEGER) AS address_match
+  FROM labeled l CROSS JOIN g_g g
+  LEFT JOIN geo r ON r.feature = 'res' AND r.value = coalesce(l.post_res, '(missing)')
+  LEFT JOIN geo p ON p.feature = 'perm' AND p.value = coalesce(l.post_perm, '(missing)')
+  LEFT JOIN geo c ON c.feature = 'city' AND c.value = substr(l.post_res, 1, 3))"""
+
+ORACLE["geo_risk"] = with_(LOANS, GEO) + """
+SELECT serial_number, round(res_risk_score, 12) AS res_risk_score, round(perm_risk_score, 12) AS perm_risk_score,
+       round(city_risk_score, 12) AS city_risk_score,
+       CASE WHEN res_risk_score > 0e0 AND res_risk_score <= 3e-2 THEN 'low'
+            WHEN res_risk_score > 3e-2 AND res_risk_score <= 6e-2 THEN 'medium'
+            WHEN res_risk_score > 6e-2 AND res_risk_score <= 1e-1 THEN 'high'
+            WHEN res_risk_score > 1e-1 AND res_risk_score <= 1e0 THEN 'very_high' END AS res_risk_level,
+       round((1 - address_match) * 3e-1 + res_risk_score * 7e-1, 12) AS address_stability_risk
+FROM geo_applied"""
+
+ORACLE["geo_top_areas"] = with_(LOANS, GEO) + """
+SELECT value, n, round(risk, 12) AS risk FROM geo WHERE feature = 'res' ORDER BY risk DESC, n DESC, value LIMIT 5"""
+
+ORACLE["geo_summary"] = with_(LOANS, GEO) + """
+SELECT feature, count(*) AS unique_values, round(min(risk), 12) AS min_risk, round(max(risk), 12) AS max_risk
+FROM geo GROUP BY feature"""
+
+
+# ======================================================== batch 2: history
+def _hist_out(src: str) -> str:
+    return f"""
+SELECT serial_number, CAST(n_prev = 0 AS INTEGER) AS is_new_customer,
+       CAST(CASE WHEN n_prev = 0 THEN 0 ELSE CAST(n_def > 0 AS INTEGER) END AS INTEGER) AS historical_default,
+       CASE WHEN n_prev = 0 THEN 0e0 ELSE coalesce(last_od, 0e0) END AS prev_overdue_days,
+       CASE WHEN n_prev = 0 THEN 0e0 ELSE coalesce(last_ratio, 0e0) END AS prev_payment_ratio,
+       CAST(n_prev AS BIGINT) AS cumulative_loans, CAST(CASE WHEN n_prev = 0 THEN 0 ELSE n_def END AS BIGINT) AS cumulative_defaults,
+       round(CASE WHEN n_prev = 0 THEN 0e0 ELSE n_def / n_prev END, 12) AS customer_default_rate
+FROM {src}"""
+
+
+HX = """
+hx AS (SELECT *, CASE WHEN loan_term > 0 THEN CAST(coalesce(paid_installments, 0) AS DOUBLE) / loan_term ELSE 0e0 END AS ratio
+       FROM labeled)"""
+
+W1 = """
+w1 AS (SELECT serial_number, id, default_flag,
+              count(*) OVER (PARTITION BY id ORDER BY application_date, serial_number
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_prev,
+              sum(default_flag) OVER (PARTITION BY id ORDER BY application_date, serial_number
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_def,
+              lag(overdue_days) OVER (PARTITION BY id ORDER BY application_date, serial_number) AS last_od,
+              lag(ratio) OVER (PARTITION BY id ORDER BY application_date, serial_number) AS last_ratio
+       FROM hx)"""
+ORACLE["client_history"] = with_(LOANS, HX, W1) + _hist_out("w1")
+
+
+def _asof_pairs(actual: str, probes: str, lag: int) -> str:
+    return f"""
+pairs AS (SELECT x.serial_number AS s, e.serial_number AS es, e.application_date AS ed, e.default_flag AS ey,
+                 e.overdue_days AS eod, e.ratio AS er
+          FROM {probes} x JOIN {actual} e ON e.id = x.id AND e.application_date + {lag} <= x.application_date),
+pagg AS (SELECT s, count(*) AS n_prev, sum(ey) AS n_def FROM pairs GROUP BY s),
+plast AS (SELECT s, eod, er FROM pairs QUALIFY row_number() OVER (PARTITION BY s ORDER BY ed DESC, es DESC) = 1),
+asof_h AS (SELECT x.serial_number, coalesce(a.n_prev, 0) AS n_prev, coalesce(a.n_def, 0) AS n_def,
+                b.eod AS last_od, b.er AS last_ratio
+         FROM {probes} x LEFT JOIN pagg a ON a.s = x.serial_number LEFT JOIN plast b ON b.s = x.serial_number)"""
+
+
+ORACLE["client_history_asof"] = with_(LOANS, HX, _asof_pairs("hx", "hx", 30)) + _hist_out("asof_h")
+ORACLE["history_new_applications"] = with_(
+    LOANS, HX, "past AS (SELECT * FROM hx WHERE application_date < DATE '1997-01-01')",
+    "newapp AS (SELECT * FROM hx WHERE application_date >= DATE '1997-01-01')",
+    _asof_pairs("past", "newapp", 0)) + _hist_out("asof_h")
+
+ORACLE["client_repeat_stats"] = with_(LOANS, "rp AS (SELECT id, count(*) AS n FROM loans GROUP BY id)") + """
+SELECT count(*) AS total_customers, count(CASE WHEN n > 1 THEN 1 END) AS repeat_customers,
+       round(count(CASE WHEN n > 1 THEN 1 END) / count(*), 12) AS repeat_share FROM rp"""
+
+ORACLE["default_rate_by_client_type"] = with_(LOANS, HX, W1) + """
+SELECT CASE WHEN n_prev = 0 THEN 'new' WHEN n_def > 0 THEN 'repeat_defaulted' ELSE 'repeat_clean' END AS client_type,
+       count(*) AS n, round(avg(default_flag), 12) AS default_rate
+FROM w1 GROUP BY 1"""
+
+
+# ========================================================= batch 2: splits
+SPLIT_W4 = """
+w4 AS (SELECT *, row_number() OVER (ORDER BY application_date, serial_number) AS rn, count(*) OVER () AS n FROM loans),
+split_w4 AS (SELECT *, CASE WHEN rn <= floor(n * 7e-1) THEN 'train' WHEN rn <= floor(n * 7e-1) + floor(n * 15e-2) THEN 'val'
+                            ELSE 'test' END AS split FROM w4)"""
+ORACLE["split_chronological"] = with_(LOANS, SPLIT_W4) + " SELECT serial_number, split FROM split_w4"
+ORACLE["split_stratified"] = with_(LOANS, SPLIT_X1) + " SELECT serial_number, split FROM split_x1"
+SPLIT_X2 = """
+x2 AS (SELECT *, floor(nc * 2e-1 + 5e-1) AS nt FROM strat),
+split_x2 AS (SELECT *, CASE WHEN rk <= nt THEN 'test' WHEN rk <= nt + floor((nc - nt) * (1e-1 / (1e0 - 2e-1)) + 5e-1) THEN 'val'
+                            ELSE 'train' END AS split FROM x2)"""
+ORACLE["split_three_way"] = with_(LOANS, SPLIT_X1, SPLIT_X2) + " SELECT serial_number, split FROM split_x2"
+ORACLE["split_kfold"] = with_(LOANS, SPLIT_X1) + " SELECT serial_number, CAST((rk - 1) % 5 AS INTEGER) AS fold FROM strat"
+ORACLE["undersample"] = with_(LOANS, SPLIT_X1) + """
+SELECT serial_number, default_flag FROM strat WHERE rk <= (SELECT min(nc) FROM strat)"""
+ORACLE["class_weights"] = with_(LOANS, """
+cw AS (SELECT default_flag, count(*) AS n_class FROM labeled GROUP BY default_flag)""") + """
+SELECT default_flag, n_class, round((SELECT sum(n_class) FROM cw) / ((SELECT count(*) FROM cw) * n_class), 12) AS balanced_weight,
+       round((SELECT sum(n_class) FROM cw WHERE default_flag = 0) / (SELECT sum(n_class) FROM cw WHERE default_flag = 1), 12)
+         AS scale_pos_weight
+FROM cw"""
+ORACLE["bounded_sample"] = with_(LOANS) + """
+SELECT serial_number FROM loans ORDER BY md5(CAST(serial_number AS VARCHAR) || '|42'), serial_number LIMIT 1000"""
+
+
+# ======================================================= batch 2: profiles
+ORACLE["label_distribution"] = with_(LOANS, SPLIT_X1) + """
+SELECT split, count(*) AS n, CAST(sum(default_flag) AS BIGINT) AS defaults, round(avg(default_flag), 12) AS default_rate
+FROM split_x1 GROUP BY split"""
+
+ORACLE["missing_counts"] = with_(LOANS) + " " + " UNION ALL ".join(
+    f"SELECT '{c}' AS column, count(*) - count({c}) AS n_missing, round((count(*) - count({c})) / count(*), 12) AS missing_rate FROM loans"
+    for c in LOAN_COLUMNS)
+
+ORACLE["distinct_counts"] = with_(LOANS) + " " + " UNION ALL ".join(
+    f"SELECT '{c}' AS column, count(DISTINCT {c}) AS n_distinct FROM loans" for c in CATS + ["post_perm"])
+
+ORACLE["time_range"] = with_(LOANS) + """
+SELECT CAST(min(application_date) AS VARCHAR) AS min_date, CAST(max(application_date) AS VARCHAR) AS max_date,
+       count(*) AS total_samples, CAST(date_diff('day', min(application_date), max(application_date)) AS INTEGER) AS date_range_days
+FROM loans WHERE application_date IS NOT NULL"""
+
+ORACLE["dataset_info"] = with_(LOANS, SPLIT_X1, SPLIT_X2) + """
+SELECT count(*) AS total_samples, count(CASE WHEN split = 'train' THEN 1 END) AS train_samples,
+       count(CASE WHEN split = 'val' THEN 1 END) AS val_samples, count(CASE WHEN split = 'test' THEN 1 END) AS test_samples,
+       round(avg(default_flag), 12) AS default_rate, CAST(5 AS INTEGER) AS n_categorical, CAST(31 AS INTEGER) AS n_numeric,
+       CAST(36 AS INTEGER) AS n_features
+FROM split_x2"""
+
+ORACLE["experiment_record"] = with_(LOANS, SPLIT_W4) + """
+SELECT 'exp-1' AS experiment_id, 'fixture_score' AS model_name,
+       count(CASE WHEN split = 'train' THEN 1 END) AS train_samples, count(CASE WHEN split = 'val' THEN 1 END) AS val_samples,
+       count(CASE WHEN split = 'test' THEN 1 END) AS test_samples,
+       CAST(min(CASE WHEN split = 'train' THEN application_date END) AS VARCHAR) AS train_period_start,
+       CAST(max(CASE WHEN split = 'train' THEN application_date END) AS VARCHAR) AS train_period_end,
+       CAST(min(CASE WHEN split = 'val' THEN application_date END) AS VARCHAR) AS val_period_start,
+       CAST(max(CASE WHEN split = 'val' THEN application_date END) AS VARCHAR) AS val_period_end,
+       CAST(min(CASE WHEN split = 'test' THEN application_date END) AS VARCHAR) AS test_period_start,
+       CAST(max(CASE WHEN split = 'test' THEN application_date END) AS VARCHAR) AS test_period_end
+FROM split_w4"""
+
+IMP_NUMS = ["job_tenure", "payment_progress_ratio", "job_stable", "address_match", "residence_stable", "dti_ratio",
+            "payment_pressure", "total_overdue_count", "has_overdue", "early_overdue_count", "late_overdue_count",
+            "overdue_worsening", "max_overdue_in_month", "overdue_std", "overdue_consistency", "overdue_frequency",
+            "overdue_freq_ratio", "recent_overdue_severity", "max_consecutive_overdue", "overdue_acceleration",
+            "critical_period_overdue", "late_stage_persistence", "late_stage_persistent_flag", "overdue_recovery",
+            "overdue_improving", "early_warning_score", "early_warning_flag", "ema_overdue", "loan_term",
+            "paid_installments"]
+IMP = f"""
+featl AS (SELECT l.*, {ROW_FEATURES}, {OVERDUE_SELECT} FROM labeled l),
+imp AS (SELECT feature || '_woe' AS feature, iv AS importance FROM iv
+        UNION ALL """ + " UNION ALL ".join(
+    f"SELECT '{c}', coalesce(abs(corr(CAST({c} AS DOUBLE), CAST(default_flag AS DOUBLE))), 0e0) FROM featl" for c in IMP_NUMS) + """),
+impc AS (SELECT *, CASE """ + " ".join(
+    "WHEN " + " OR ".join(f"contains(lower(feature), '{f}')" for f in frags) + f" THEN '{cat}'"
+    for cat, frags in [
+        ("Tier 2: Advanced Time Series", ["critical_period", "acceleration", "late_stage", "early_warning", "rolling",
+                                          "ema", "recovery", "improving"]),
+        ("Tier 1: Overdue Patterns", ["overdue_trend", "overdue_worsening", "max_consecutive", "overdue_frequency",
+                                      "overdue_std", "late_overdue", "early_overdue", "total_overdue", "has_overdue",
+                                      "recent_overdue"]),
+        ("Customer History", ["historical", "prev_", "cumulative", "is_new_customer", "customer_default"]),
+        ("WoE Encoded (Categorical)", ["woe"]),
+        ("Financial Capability", ["dti", "payment_pressure", "salary", "job"])]) + """ ELSE 'Other Features' END AS category FROM imp)"""
+
+ORACLE["importance_rollup"] = with_(LOANS, WOE, IV, IMP) + """
+SELECT category, round(sum(importance), 6) AS total_importance, count(*) AS n_features, round(avg(importance), 6) AS avg_importance
+FROM impc GROUP BY category"""
+
+ORACLE["feature_ranking"] = with_(LOANS, WOE, IV, IMP) + """
+SELECT feature, importance, rank, category, category_rank FROM (
+  SELECT feature, importance, CAST(rank() OVER (ORDER BY importance DESC) AS INTEGER) AS rank, category,
+         CAST(row_number() OVER (PARTITION BY category ORDER BY importance DESC, feature) AS INTEGER) AS category_rank
+  FROM (SELECT feature, round(importance, 6) AS importance, category FROM impc)) WHERE category_rank <= 3"""

@@ -104,3 +104,352 @@ def q_risk_scoring(spark, sf):
     return s.select("serial_number", "default_probability", "predicted_default", "predicted_default_optimal",
                     "threshold_difference", "risk_score", "risk_grade", "risk_alert", "risk_action",
                     "risk_action_optimal")
+
+
+# ------------------------------------------------- cleaning / projection
+from ..operators import history, monitor, profile, split  # noqa: E402
+
+LOAN_NUMERIC_TEXT = ["salary_raw", "loan_term", "paid_installments", "overdue_days"]
+REQUIRED_COLUMNS = ["serial_number", "id", "application_date", "month_salary", "job_tenure", "loan_term",
+                    "paid_installments", "post_res", "post_perm", "residence_status"]
+OPTIONAL_DEFAULTS = ["credit_score", "default_prob", "loan_amount", "monthly_payment"]
+RESIDENCE_CODES = ["owned", "rented", "spouse", "family", "dormitory"]
+
+
+@query("label_buckets")
+def q_label_buckets(spark, sf):
+    """Label by the explicit bucket list."""
+    l = cleaning.with_label(fx.loans(spark, sf), out="default_bucket", rule="buckets")
+    return l.select("serial_number", "overdue_status", "default_bucket")
+
+
+def cleaned_loans(spark, sf):
+    """P13 header-row guard, P5 zero fill, P9 coercion, P6 medians, P7 modes,
+    P8 constant fill, P10 categoricals as strings."""
+    l = fx.loans(spark, sf)
+    l = cleaning.drop_header_rows(l, LOAN_NUMERIC_TEXT)
+    l = cleaning.fill_zero(l)
+    l = l.withColumn("salary", cleaning.parse_number("salary_raw"))
+    med = cleaning.fit_medians(l, ["salary", "job_tenure"])
+    l = cleaning.apply_medians(l, med)
+    modes = cleaning.fit_modes(l, ["education", "residence_status"], {"education": "unknown", "residence_status": "rented"})
+    l = cleaning.apply_modes(l, modes)
+    l = cleaning.fill_constant(l, ["main_business"])
+    return cleaning.categoricals_as_string(l, ["post_res", "post_perm", "product"])
+
+
+@query("clean_loans")
+def q_clean_loans(spark, sf):
+    """Cleaned loan columns."""
+    return cleaned_loans(spark, sf).select("serial_number", "salary", "job_tenure", "education", "residence_status",
+                                            "main_business", "post_res", "product", "paid_installments")
+
+
+@query("header_contract")
+def q_header_contract(spark, sf):
+    """Messy headers normalised, contract checked, optional columns
+    defaulted, internal columns dropped."""
+    l = labeled_loans(spark, sf)
+    messy = l.toDF(*[f"\n{c.replace('_', ' ')} " for c in l.columns])
+    n = cleaning.normalize_headers(messy, snake_case=True)
+    n = cleaning.require_columns(n, REQUIRED_COLUMNS)
+    n, _warn = cleaning.fill_optional_columns(n, OPTIONAL_DEFAULTS, 0)
+    n = cleaning.drop_internal(n, ["salary_raw", "score_p"])
+    sal_col = cleaning.find_column(n, "salary")
+    return n.select("serial_number", F.col(sal_col).alias("month_salary"), *OPTIONAL_DEFAULTS)
+
+
+@query("row_features")
+def q_row_features(spark, sf):
+    """Repayment and stability features."""
+    l = features.repayment_features(cleaning.fill_zero(fx.loans(spark, sf)))
+    return l.select("serial_number", "payment_progress_ratio", "job_stable", "address_match", "residence_stable",
+                    "dti_ratio", "payment_pressure")
+
+
+@query("upstream_ratios")
+def q_upstream_ratios(spark, sf):
+    """P20: salary/DTI/PTI ratios and income level on the client table."""
+    c = fx.clients(spark, sf).withColumn("monthly_payment", F.col("loan_amount") / F.col("loan_term_months"))
+    u = features.upstream_ratios(c, loan="loan_amount", payment="monthly_payment", month_salary="monthly_income")
+    return u.select("customer_id", "annual_salary", rnd("dti_upstream", 12).alias("dti_upstream"),
+                    rnd("pti_upstream", 12).alias("pti_upstream"), "income_level")
+
+
+@query("recent_years")
+def q_recent_years(spark, sf):
+    """Loans of the last 5 years before the latest application date."""
+    l = cleaning.filter_recent_years(fx.loans(spark, sf), years=C.RECENT_YEARS)
+    return l.select("serial_number", F.col("application_date").cast("string").alias("application_date"))
+
+
+@query("input_rules")
+def q_input_rules(spark, sf):
+    """P25: rule checks -> violation list, valid flag."""
+    l = fx.loans(spark, sf)
+    v = cleaning.violations(l, cleaning.input_rules({"residence_status": RESIDENCE_CODES}))
+    return v.select("serial_number", F.concat_ws(",", "violations").alias("violations"),
+                    F.size("violations").alias("n_violations"), (F.size("violations") == 0).cast("int").alias("valid"))
+
+
+@query("client_eligibility")
+def q_client_eligibility(spark, sf):
+    """Client eligibility validation."""
+    v = cleaning.validate_clients(fx.clients(spark, sf))
+    return v.select("customer_id", F.concat_ws(",", "errors").alias("errors"), "is_valid")
+
+
+@query("client_features")
+def q_client_features(spark, sf):
+    """Ratios, composite scores, age group, cyclic month."""
+    c = features.cyclic_month(features.age_group(features.client_ratio_features(fx.clients(spark, sf))))
+    return c.select("customer_id", "income_per_age", "loan_amount_per_credit_limit", rnd("payment_burden_ratio", 12).alias("payment_burden_ratio"),
+                    rnd("payment_risk_score", 12).alias("payment_risk_score"),
+                    rnd("financial_stability_score", 12).alias("financial_stability_score"),
+                    rnd("credit_experience_score", 9).alias("credit_experience_score"), "age_group",
+                    rnd("loan_month_sin", 9).alias("loan_month_sin"), rnd("loan_month_cos", 9).alias("loan_month_cos"))
+
+
+@query("client_outliers")
+def q_client_outliers(spark, sf):
+    """IQR outlier flags on income, loan amount and DTI."""
+    o = profile.outlier_flags(fx.clients(spark, sf))
+    return o.select("customer_id", *[f"{c}_outlier" for c in C.OUTLIER_COLUMNS])
+
+
+@query("client_quantile_bins")
+def q_client_quantile_bins(spark, sf):
+    """Income quintiles and loan-size terciles."""
+    c = profile.quantile_bins(fx.clients(spark, sf), "annual_income", C.INCOME_QUINTILE_LABELS, "income_quintile")
+    c = profile.quantile_bins(c, "loan_amount", C.LOAN_SIZE_LABELS, "loan_size_category")
+    return c.select("customer_id", "income_quintile", "loan_size_category")
+
+
+@query("client_group_rate")
+def q_client_group_rate(spark, sf):
+    """Group default rate and size by (job, education) merged back."""
+    g = profile.group_rate(fx.clients(spark, sf), ["job_category", "education_level"], "is_default")
+    return g.select("customer_id", rnd("group_default_rate", 12).alias("group_default_rate"), "group_size")
+
+
+# ------------------------------------------------------------- encoders
+@query("woe_apply")
+def q_woe_apply(spark, sf):
+    """WoE fitted on the stratified train split, applied to all loans (unseen -> 0)."""
+    l = split.stratified_split(labeled_loans(spark, sf))
+    w = encoders.woe_fit(l.where(F.col("split") == "train"), C.CATEGORICAL_FEATURES)
+    a = encoders.woe_apply(l, w, C.CATEGORICAL_FEATURES)
+    return a.select("serial_number", "split", *[rnd(f"{f}_woe", 9).alias(f"{f}_woe") for f in C.CATEGORICAL_FEATURES])
+
+
+@query("target_encoding")
+def q_target_encoding(spark, sf):
+    """A5: smoothed target encoding of the categoricals."""
+    l = labeled_loans(spark, sf)
+    t = encoders.target_apply(l, encoders.target_fit(l, C.CATEGORICAL_FEATURES), C.CATEGORICAL_FEATURES)
+    return t.select("serial_number", *[rnd(f"{f}_target_enc", 9).alias(f"{f}_target_enc") for f in C.CATEGORICAL_FEATURES])
+
+
+@query("frequency_encoding")
+def q_frequency_encoding(spark, sf):
+    """Frequency encoding of the categoricals."""
+    l = labeled_loans(spark, sf)
+    t = encoders.frequency_apply(l, encoders.frequency_fit(l, C.CATEGORICAL_FEATURES), C.CATEGORICAL_FEATURES)
+    return t.select("serial_number", *[rnd(f"{f}_freq", 12).alias(f"{f}_freq") for f in C.CATEGORICAL_FEATURES])
+
+
+def geo_loans(spark, sf):
+    l = features.repayment_features(labeled_loans(spark, sf))
+    return l, encoders.geo_fit(l)
+
+
+@query("geo_risk")
+def q_geo_risk(spark, sf):
+    """Postcode, permanent postcode and city risk, risk level, address stability risk."""
+    l, g = geo_loans(spark, sf)
+    a = encoders.geo_apply(l, g)
+    return a.select("serial_number", rnd("res_risk_score", 12).alias("res_risk_score"),
+                    rnd("perm_risk_score", 12).alias("perm_risk_score"), rnd("city_risk_score", 12).alias("city_risk_score"),
+                    "res_risk_level", rnd("address_stability_risk", 12).alias("address_stability_risk"))
+
+
+@query("geo_top_areas")
+def q_geo_top_areas(spark, sf):
+    """Top-5 residential areas by risk."""
+    _, g = geo_loans(spark, sf)
+    return encoders.geo_top_areas(g, 5).select("value", "n", rnd("risk", 12).alias("risk"))
+
+
+@query("geo_summary")
+def q_geo_summary(spark, sf):
+    """A10: unique values and risk range per geography level."""
+    _, g = geo_loans(spark, sf)
+    return encoders.geo_summary(g).select("feature", "unique_values", rnd("min_risk", 12).alias("min_risk"),
+                                          rnd("max_risk", 12).alias("max_risk"))
+
+
+# -------------------------------------------------------------- history
+HISTORY_OUT = ["is_new_customer", "historical_default", "prev_overdue_days", "prev_payment_ratio",
+               "cumulative_loans", "cumulative_defaults"]
+
+
+def _hist_select(h):
+    return h.select("serial_number", *HISTORY_OUT, rnd("customer_default_rate", 12).alias("customer_default_rate"))
+
+
+@query("client_history")
+def q_client_history(spark, sf):
+    """Client history from strictly earlier loans."""
+    return _hist_select(history.client_history(labeled_loans(spark, sf)))
+
+
+@query("client_history_asof")
+def q_client_history_asof(spark, sf):
+    """History where an earlier loan counts only 30 days after its date."""
+    return _hist_select(history.client_history_asof(labeled_loans(spark, sf), 30))
+
+
+@query("history_new_applications")
+def q_history_new_applications(spark, sf):
+    """History of applications from 1997 on, from loans before 1997."""
+    l = labeled_loans(spark, sf)
+    cut = F.lit("1997-01-01").cast("date")
+    past, new = l.where(F.col("application_date") < cut), l.where(F.col("application_date") >= cut)
+    return _hist_select(history.history_for_new(past, new.drop(C.LABEL)))
+
+
+@query("client_repeat_stats")
+def q_client_repeat_stats(spark, sf):
+    """Total clients, repeat clients and share."""
+    return history.repeat_stats(fx.loans(spark, sf)).select(
+        "total_customers", "repeat_customers", rnd("repeat_share", 12).alias("repeat_share"))
+
+
+@query("default_rate_by_client_type")
+def q_default_rate_by_client_type(spark, sf):
+    """Default rate by client type on W1 output."""
+    h = history.client_history(labeled_loans(spark, sf))
+    return history.default_rate_by_type(h).select("client_type", "n", rnd("default_rate", 12).alias("default_rate"))
+
+
+# --------------------------------------------------------------- splits
+@query("split_chronological")
+def q_split_chronological(spark, sf):
+    """70/15/15 split in (date, serial) order."""
+    return split.chronological_split(fx.loans(spark, sf)).select("serial_number", "split")
+
+
+@query("split_stratified")
+def q_split_stratified(spark, sf):
+    """Stratified 80/20 by hash rank inside the label."""
+    return split.stratified_split(labeled_loans(spark, sf)).select("serial_number", "split")
+
+
+@query("split_three_way")
+def q_split_three_way(spark, sf):
+    """Stratified train/val/test (test 0.2, val 0.1)."""
+    return split.stratified_three_way(labeled_loans(spark, sf)).select("serial_number", "split")
+
+
+@query("split_kfold")
+def q_split_kfold(spark, sf):
+    """Stratified 5 folds."""
+    return split.stratified_folds(labeled_loans(spark, sf)).select("serial_number", "fold")
+
+
+@query("undersample")
+def q_undersample(spark, sf):
+    """Random under-sampling of the majority class."""
+    return split.undersample(labeled_loans(spark, sf)).select("serial_number", C.LABEL)
+
+
+@query("class_weights")
+def q_class_weights(spark, sf):
+    """Balanced class weights and scale_pos_weight."""
+    w = split.class_weights(labeled_loans(spark, sf))
+    return w.select(C.LABEL, "n_class", rnd("balanced_weight", 12).alias("balanced_weight"),
+                    rnd("scale_pos_weight", 12).alias("scale_pos_weight"))
+
+
+@query("bounded_sample")
+def q_bounded_sample(spark, sf):
+    """The 1000 loans first in hash order."""
+    return split.bounded_sample(fx.loans(spark, sf), 1000).select("serial_number")
+
+
+# -------------------------------------------------------------- profiles
+@query("label_distribution")
+def q_label_distribution(spark, sf):
+    """Label distribution per stratified split."""
+    d = profile.label_distribution(split.stratified_split(labeled_loans(spark, sf)))
+    return d.select("split", "n", "defaults", rnd("default_rate", 12).alias("default_rate"))
+
+
+@query("missing_counts")
+def q_missing_counts(spark, sf):
+    """Missing count and rate per loan column."""
+    m = profile.missing_counts(fx.loans(spark, sf))
+    return m.select("column", "n_missing", rnd("missing_rate", 12).alias("missing_rate"))
+
+
+@query("distinct_counts")
+def q_distinct_counts(spark, sf):
+    """Distinct values per categorical."""
+    return profile.distinct_counts(fx.loans(spark, sf), C.CATEGORICAL_FEATURES + ["post_perm"])
+
+
+@query("time_range")
+def q_time_range(spark, sf):
+    """Application date range."""
+    t = profile.time_range(fx.loans(spark, sf))
+    return t.select(F.col("min_date").cast("string").alias("min_date"), F.col("max_date").cast("string").alias("max_date"),
+                    "total_samples", "date_range_days")
+
+
+@query("dataset_info")
+def q_dataset_info(spark, sf):
+    """Dataset totals, split sizes, feature counts, default rate."""
+    s = split.stratified_three_way(labeled_loans(spark, sf))
+    cats, nums, _ = cleaning.resolve_feature_lists(featured_loans(spark, sf))
+    d = profile.dataset_info(s, n_categorical=len(cats), n_numeric=len(nums))
+    return d.select("total_samples", "train_samples", "val_samples", "test_samples",
+                    rnd("default_rate", 12).alias("default_rate"), "n_categorical", "n_numeric", "n_features")
+
+
+@query("experiment_record")
+def q_experiment_record(spark, sf):
+    """Experiment record over the chronological split."""
+    s = split.chronological_split(fx.loans(spark, sf))
+    r = profile.experiment_record(s, "exp-1", "fixture_score")
+    return r.select("experiment_id", "model_name", "train_samples", "val_samples", "test_samples",
+                    *[F.col(f"{s_}_period_{e}").cast("string").alias(f"{s_}_period_{e}")
+                      for s_ in ("train", "val", "test") for e in ("start", "end")])
+
+
+def univariate_importance(spark, sf):
+    """IV of the categoricals (as ``<f>_woe``) plus |corr(feature, label)| of the
+    numeric features: one aggregation pass each."""
+    l = featured_loans(spark, sf)
+    iv = encoders.iv_summary(encoders.woe_fit(l, C.CATEGORICAL_FEATURES)).select(
+        F.concat(F.col("feature"), F.lit("_woe")).alias("feature"), F.col("iv").alias("importance"))
+    nums = [c for c in C.NUMERIC_FEATURES if c in l.columns and c not in ("month_salary",)]
+    row = l.agg(*[F.corr(F.col(c).cast("double"), F.col(C.LABEL).cast("double")).alias(c) for c in nums])
+    cor = row.unpivot([], nums, "feature", "importance").select(
+        "feature", F.coalesce(F.abs("importance"), F.lit(0.0)).alias("importance"))
+    return iv.unionByName(cor)
+
+
+@query("importance_rollup")
+def q_importance_rollup(spark, sf):
+    """Importance rolled up by feature category."""
+    r = profile.importance_rollup(univariate_importance(spark, sf))
+    return r.select("category", rnd("total_importance").alias("total_importance"), "n_features",
+                    rnd("avg_importance").alias("avg_importance"))
+
+
+@query("feature_ranking")
+def q_feature_ranking(spark, sf):
+    """Importance rank and top 3 features per category."""
+    imp = univariate_importance(spark, sf).withColumn("importance", rnd("importance"))
+    r = profile.rank_features(imp, per_category_top=3)
+    return r.select("feature", "importance", "rank", "category", "category_rank")
