@@ -571,3 +571,274 @@ SELECT feature, importance, rank, category, category_rank FROM (
   SELECT feature, importance, CAST(rank() OVER (ORDER BY importance DESC) AS INTEGER) AS rank, category,
          CAST(row_number() OVER (PARTITION BY category ORDER BY importance DESC, feature) AS INTEGER) AS category_rank
   FROM (SELECT feature, round(importance, 6) AS importance, category FROM impc)) WHERE category_rank <= 3"""
+
+
+# ======================================================== batch 3: metrics
+_FREQ = "(" + " + ".join(f"CAST(o{i} > 0 AS INTEGER)" for i in range(8)) + ") / 8e0"
+SM = f"""
+featm AS (SELECT serial_number, default_flag AS y, score_p, {_FREQ} AS freq FROM labeled),
+sm AS (SELECT 'fixture_score' AS model, serial_number, y, score_p AS p FROM featm
+       UNION ALL SELECT 'overdue_freq', serial_number, y, freq FROM featm
+       UNION ALL SELECT 'soft_vote', serial_number, y, ((0e0 + score_p * 1e0) + freq * 1e0) / 2e0 FROM featm),
+dv AS (SELECT model, p, sum(y) AS pos, count(*) - sum(y) AS neg FROM sm GROUP BY model, p),
+auc_u AS (SELECT a.model, sum(a.pos * b.neg * CASE WHEN a.p > b.p THEN 1e0 WHEN a.p = b.p THEN 5e-1 ELSE 0e0 END) AS u
+          FROM dv a JOIN dv b ON a.model = b.model GROUP BY a.model),
+auc_t AS (SELECT model, sum(pos) AS P, sum(neg) AS N FROM dv GROUP BY model),
+auc AS (SELECT model, u / (P * N) AS auc FROM auc_u JOIN auc_t USING (model)),
+pm AS (SELECT model, count(CASE WHEN p >= 5e-1 AND y = 1 THEN 1 END) AS tp, count(CASE WHEN p >= 5e-1 AND y <> 1 THEN 1 END) AS fp,
+              count(CASE WHEN p < 5e-1 AND y = 1 THEN 1 END) AS fn, count(CASE WHEN p < 5e-1 AND y <> 1 THEN 1 END) AS tn
+       FROM sm GROUP BY model),
+pmm AS (SELECT *, CASE WHEN tp + fp + fn + tn > 0 THEN (tp + tn) / (tp + fp + fn + tn) ELSE 0e0 END AS accuracy,
+               CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0e0 END AS precision,
+               CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0e0 END AS recall,
+               CASE WHEN (tp + fn) + (tp + fp) > 0 THEN 2e0 * tp / ((tp + fn) + (tp + fp)) ELSE 0e0 END AS f1,
+               CASE WHEN 4e0 * (tp + fn) + (tp + fp) > 0 THEN 5e0 * tp / (4e0 * (tp + fn) + (tp + fp)) ELSE 0e0 END AS f2
+        FROM pm),
+ll AS (SELECT model, -avg(y * ln(least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16))
+                         + (1 - y) * ln(1 - least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16))) AS log_loss
+       FROM sm GROUP BY model)"""
+
+ORACLE["auc"] = with_(LOANS, SM) + " SELECT model, round(auc, 12) AS auc FROM auc"
+ORACLE["point_metrics"] = with_(LOANS, SM) + """
+SELECT model, tp, fp, fn, tn, round(accuracy, 12) AS accuracy, round(precision, 12) AS precision, round(recall, 12) AS recall,
+       round(f1, 12) AS f1, round(f2, 12) AS f2 FROM pmm"""
+ORACLE["log_loss"] = with_(LOANS, SM) + " SELECT model, round(log_loss, 9) AS log_loss FROM ll"
+
+ORACLE["confusion_matrix"] = with_(LOANS, GRID, THRESH, """
+cth AS (SELECT 'default' AS threshold_name, 5e-1 AS t UNION ALL SELECT 'optimal', threshold FROM ts_best),
+cells AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(actual, predicted)),
+cc AS (SELECT threshold_name, default_flag AS actual, CAST(score_p >= t AS INTEGER) AS predicted, count(*) AS n
+       FROM labeled, cth GROUP BY ALL)""") + """
+SELECT cth.threshold_name, CAST(cells.actual AS INTEGER) AS actual, CAST(cells.predicted AS INTEGER) AS predicted,
+       coalesce(cc.n, 0) AS n
+FROM cth CROSS JOIN cells LEFT JOIN cc ON cc.threshold_name = cth.threshold_name AND cc.actual = cells.actual
+     AND cc.predicted = cells.predicted"""
+
+ORACLE["class_report"] = with_(LOANS, """
+cr0 AS (SELECT count(CASE WHEN score_p >= 5e-1 AND default_flag = 1 THEN 1 END) AS tp,
+               count(CASE WHEN score_p >= 5e-1 AND default_flag <> 1 THEN 1 END) AS fp,
+               count(CASE WHEN score_p < 5e-1 AND default_flag = 1 THEN 1 END) AS fn,
+               count(CASE WHEN score_p < 5e-1 AND default_flag <> 1 THEN 1 END) AS tn FROM labeled),
+crc AS (SELECT '0' AS label, CASE WHEN tn + fn > 0 THEN tn / (tn + fn) ELSE 0e0 END AS precision,
+               CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0e0 END AS recall,
+               CASE WHEN 2 * tn + fn + fp > 0 THEN 2e0 * tn / (2 * tn + fn + fp) ELSE 0e0 END AS f1, tn + fp AS support FROM cr0
+        UNION ALL
+        SELECT '1', CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0e0 END, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0e0 END,
+               CASE WHEN 2 * tp + fp + fn > 0 THEN 2e0 * tp / (2 * tp + fp + fn) ELSE 0e0 END, tp + fn FROM cr0),
+crall AS (SELECT * FROM crc
+          UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM crc
+          UNION ALL SELECT 'weighted avg', sum(precision * (support / (SELECT sum(support) FROM crc))),
+                           sum(recall * (support / (SELECT sum(support) FROM crc))),
+                           sum(f1 * (support / (SELECT sum(support) FROM crc))), sum(support) FROM crc)""") + """
+SELECT label, round(precision, 12) AS precision, round(recall, 12) AS recall, round(f1, 12) AS f1,
+       CAST(support AS BIGINT) AS support FROM crall"""
+
+ORACLE["threshold_curve"] = with_(LOANS, GRID, THRESH) + """
+SELECT i, threshold, CAST(tp AS BIGINT) AS tp, CAST(pp AS BIGINT) AS pp, round(precision, 12) AS precision,
+       round(recall, 12) AS recall, round(f1, 12) AS f1, round(f2, 12) AS f2,
+       round((precision + recall) / 2, 12) AS balanced FROM ts_m"""
+
+ORACLE["model_comparison"] = with_(LOANS, SM, """
+mc AS (SELECT model, auc, accuracy, precision, recall, f1, log_loss FROM auc JOIN pmm USING (model) JOIN ll USING (model))""") + """
+SELECT model, 'test' AS split, metric, round(value, 9) AS value FROM (
+  SELECT model, 'auc' AS metric, auc AS value FROM mc UNION ALL SELECT model, 'accuracy', accuracy FROM mc
+  UNION ALL SELECT model, 'precision', precision FROM mc UNION ALL SELECT model, 'recall', recall FROM mc
+  UNION ALL SELECT model, 'f1', f1 FROM mc UNION ALL SELECT model, 'log_loss', log_loss FROM mc)"""
+
+ORACLE["best_model_report"] = with_(LOANS, SM) + """
+SELECT model AS best_model, round(auc, 12) AS best_auc,
+       CASE WHEN round(auc, 12) >= 85e-2 THEN 'ready to deploy' WHEN round(auc, 12) >= 75e-2 THEN 'tune further' ELSE 'retrain' END
+         AS recommendation
+FROM auc ORDER BY round(auc, 12) DESC, CASE WHEN model = 'soft_vote' THEN 0 ELSE 1 END, model LIMIT 1"""
+
+MT = """
+mt_tot AS (SELECT model, sum(y) AS P, count(*) AS N FROM sm GROUP BY model),
+mt_cnt AS (SELECT model, i, threshold, sum(CASE WHEN p >= threshold AND y = 1 THEN 1 ELSE 0 END) AS tp,
+                  sum(CASE WHEN p >= threshold THEN 1 ELSE 0 END) AS pp FROM grid, sm GROUP BY model, i, threshold),
+mt_m AS (SELECT c.*, t.P, CASE WHEN 4e0 * t.P + c.pp > 0 THEN 5e0 * c.tp / (4e0 * t.P + c.pp) ELSE 0e0 END AS f2,
+                CASE WHEN t.P + c.pp > 0 THEN 2e0 * c.tp / (t.P + c.pp) ELSE 0e0 END AS f1,
+                CASE WHEN c.pp > 0 THEN c.tp / c.pp ELSE 0e0 END AS precision,
+                CASE WHEN t.P > 0 THEN c.tp / t.P ELSE 0e0 END AS recall
+         FROM mt_cnt c JOIN mt_tot t USING (model)),
+mt_best AS (SELECT * FROM mt_m QUALIFY row_number() OVER (PARTITION BY model ORDER BY f2 DESC, i) = 1)"""
+ORACLE["recommended_threshold"] = with_(LOANS, GRID, SM, MT) + """
+SELECT model, threshold, round(f2, 12) AS f2_score, round(recall, 12) AS recall, round(precision, 12) AS precision,
+       round(f1, 12) AS f1, CAST(model = 'soft_vote' AS INTEGER) AS recommended FROM mt_best"""
+
+ORACLE["soft_vote"] = with_(LOANS, SM) + """
+SELECT serial_number, round(((0e0 + score_p * 2e0) + freq * 1e0) / 3e0, 12) AS p_vote FROM featm"""
+
+ORACLE["brier_aucpr"] = with_(LOANS, SM, """
+br AS (SELECT model, avg((p - y) * (p - y)) AS brier FROM sm GROUP BY model),
+apc AS (SELECT model, pos, sum(pos) OVER (PARTITION BY model ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ctp,
+               sum(pos + neg) OVER (PARTITION BY model ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cpp
+        FROM dv),
+ap AS (SELECT model, sum(pos * (ctp / cpp)) / sum(pos) AS auc_pr FROM apc GROUP BY model)""") + """
+SELECT model, round(brier, 9) AS brier, round(auc_pr, 9) AS auc_pr FROM br JOIN ap USING (model)"""
+
+
+# ================================================== batch 3: score outputs
+_SC = (LOANS, GRID, THRESH, SCORED)
+_KEY = """serial_number, CAST(application_date AS VARCHAR) AS application_date, id, default_probability, risk_score,
+       risk_grade, risk_action, risk_action_optimal, risk_alert, predicted_default, predicted_default_optimal,
+       threshold_difference"""
+ORACLE["score_output_contract"] = with_(*_SC) + f" SELECT {_KEY} FROM scored"
+ORACLE["simplified_output"] = with_(*_SC) + f" SELECT {_KEY}, early_warning_flag, overdue_worsening FROM scored"
+ORACLE["score_export"] = with_(*_SC) + """
+SELECT serial_number AS "serial number", CAST(application_date AS VARCHAR) AS "application date", id AS "ID",
+       default_probability, risk_score, risk_grade, risk_action_optimal, risk_alert FROM scored"""
+
+ORACLE["grade_legend"] = with_(*_SC, """
+gd AS (SELECT * FROM (VALUES (0, 'A', 'A (Excellent)', 'LOW RISK', 'Very Low Risk'),
+                             (1, 'B', 'B (Moderate)', 'MEDIUM-HIGH RISK', 'Moderate Risk'),
+                             (2, 'C', 'C (Warning)', 'HIGH RISK', 'High Risk'),
+                             (3, 'D', 'D (Poor)', 'VERY HIGH RISK', 'Very High Risk'),
+                             (4, 'E', 'E (Critical)', 'CRITICAL RISK', 'Critical Risk'))
+       v(grade_order, grade_letter, risk_grade, risk_alert, risk_label)),
+gcut AS (SELECT CAST(trunc((1 - threshold) * 100) AS INTEGER) AS a FROM ts_best),
+gn AS (SELECT risk_grade, count(*) AS n FROM scored GROUP BY risk_grade)""") + """
+SELECT CAST(grade_order AS INTEGER) AS grade_order, grade_letter, gd.risk_grade, risk_alert, risk_label,
+       CAST(CASE grade_order WHEN 0 THEN a WHEN 1 THEN 60 WHEN 2 THEN 40 WHEN 3 THEN 20 ELSE 0 END AS INTEGER) AS score_min,
+       CAST(CASE grade_order WHEN 0 THEN 100 WHEN 1 THEN a - 1 WHEN 2 THEN 59 WHEN 3 THEN 39 ELSE 19 END AS INTEGER) AS score_max,
+       coalesce(gn.n, 0) AS n_loans
+FROM gd CROSS JOIN gcut LEFT JOIN gn ON gn.risk_grade = gd.risk_grade"""
+
+ORACLE["grade_translation"] = with_(*_SC) + """
+SELECT serial_number, substr(risk_grade, 1, 1) AS grade_letter,
+       CASE substr(risk_grade, 1, 1) WHEN 'A' THEN 'Very Low Risk' WHEN 'B' THEN 'Moderate Risk' WHEN 'C' THEN 'High Risk'
+            WHEN 'D' THEN 'Very High Risk' WHEN 'E' THEN 'Critical Risk' ELSE substr(risk_grade, 1, 1) END AS risk_label,
+       CAST(round_even(month_salary / 31e-3, 0) AS BIGINT) AS salary_converted FROM scored"""
+
+ORACLE["batch_summary"] = with_(*_SC) + """
+SELECT count(*) AS n, """ + ", ".join(
+    f"count(CASE WHEN risk_grade = '{g}' THEN 1 END) AS grade_{g[0]}"
+    for g in ["A (Excellent)", "B (Moderate)", "C (Warning)", "D (Poor)", "E (Critical)"]) + """,
+       max(default_probability) AS max_probability, min(default_probability) AS min_probability,
+       round(avg(default_probability), 9) AS avg_probability FROM scored"""
+
+_DIMS = ["risk_grade", "risk_action", "risk_action_optimal", "predicted_default", "predicted_default_optimal",
+         "threshold_difference"]
+ORACLE["prediction_summary"] = with_(*_SC, "psd AS (" + " UNION ALL ".join(
+    f"SELECT '{d}' AS dimension, CAST({d} AS VARCHAR) AS value, count(*) AS n FROM scored GROUP BY {d}" for d in _DIMS)
+    + ")") + """
+SELECT dimension, value, n, round(n / sum(n) OVER (PARTITION BY dimension), 12) AS share FROM psd"""
+
+ORACLE["business_metrics"] = with_(*_SC) + """
+SELECT risk_grade, count(*) AS n, round(avg(CAST(predicted_default_optimal = 0 AS DOUBLE)), 12) AS approval_rate,
+       round(avg(default_flag), 12) AS default_rate FROM scored GROUP BY risk_grade"""
+
+
+# ================================================= batch 3: client scoring
+CP = f"""
+cp AS (SELECT c.*, avg(is_default) OVER (PARTITION BY job_category) AS p_job,
+              avg(is_default) OVER (PARTITION BY education_level) AS p_education,
+              avg(is_default) OVER (PARTITION BY employment_status) AS p_employment FROM clients c),
+cb AS (SELECT *, ((0e0 + p_job) + p_education) + p_employment AS psum, len({ELIG_LIST}) = 0 AS ok FROM cp),
+cb2 AS (SELECT *, psum / 3e0 AS mp, CAST(trunc((1 - psum / 3e0) * 100) AS INTEGER) AS rs FROM cb)"""
+ORACLE["client_batch_scoring"] = with_(CLIENTS, CP) + """
+SELECT customer_id AS client_id, CASE WHEN ok THEN rs ELSE 0 END AS risk_score,
+       CASE WHEN NOT ok THEN 'ERROR' WHEN rs >= 80 AND rs <= 100 THEN 'EXCELLENT' WHEN rs >= 60 AND rs <= 79 THEN 'GOOD'
+            WHEN rs >= 40 AND rs <= 59 THEN 'FAIR' WHEN rs >= 20 AND rs <= 39 THEN 'POOR' ELSE 'BAD' END AS risk_category,
+       round(CASE WHEN ok THEN mp ELSE 1e0 END, 12) AS default_probability,
+       round(CASE WHEN ok THEN p_job ELSE 1e0 END, 12) AS p_job,
+       round(CASE WHEN ok THEN p_education ELSE 1e0 END, 12) AS p_education,
+       round(CASE WHEN ok THEN p_employment ELSE 1e0 END, 12) AS p_employment,
+       CAST(ok AS INTEGER) AS is_valid,
+       CASE WHEN (CASE WHEN ok THEN mp ELSE 1e0 END) >= 5e-1 THEN 'Bad' ELSE 'Good' END AS classification
+FROM cb2"""
+
+ORACLE["risk_adjusted_score"] = with_(CLIENTS, CP, """
+ra AS (SELECT customer_id, 300e0 + 550e0 * (1 - mp) AS base,
+              CASE WHEN age <= 25 THEN 15e-2 WHEN age <= 35 THEN 5e-2 WHEN age <= 50 THEN 0e0 WHEN age <= 65 THEN -5e-2 ELSE 1e-1 END AS aa,
+              CASE employment_status WHEN 1 THEN 1e0 WHEN 2 THEN 12e-1 WHEN 3 THEN 15e-1 WHEN 4 THEN 2e0 ELSE 1e0 END AS em,
+              CASE education_level WHEN 1 THEN 2e-1 WHEN 2 THEN 1e-1 WHEN 3 THEN 0e0 WHEN 4 THEN -5e-2 WHEN 5 THEN -1e-1 ELSE 0e0 END AS ea
+       FROM cb2)""") + """
+SELECT customer_id, round(base, 9) AS base_score,
+       round(greatest(300e0, least(850e0, base * em + (aa + ea) * 100)), 9) AS adjusted_score FROM ra"""
+
+ORACLE["provision_tiers"] = with_(CLIENTS, CP, """
+pt AS (SELECT loan_amount, CASE WHEN mp < 2e-2 THEN 0 WHEN mp < 5e-2 THEN 1 WHEN mp < 1e-1 THEN 2 WHEN mp < 2e-1 THEN 3
+                                WHEN mp < 35e-2 THEN 4 WHEN mp < 6e-1 THEN 5 ELSE 6 END AS k FROM cb2),
+tiers AS (SELECT * FROM (VALUES (0, 'Excellent', 'Maintain', 'Annual', 1e-3), (1, 'Good', 'Maintain', 'Annual', 5e-3),
+                                (2, 'Satisfactory', 'Monitor', 'Semi-Annual', 1e-2), (3, 'Watch', 'Enhanced Monitor', 'Quarterly', 3e-2),
+                                (4, 'Substandard', 'Restructure', 'Monthly', 1e-1), (5, 'Doubtful', 'Workout', 'Weekly', 5e-1),
+                                (6, 'Loss', 'Write-off', 'Daily', 1e0)) v(k, tier, portfolio_action, review_frequency, provision_rate))""") + """
+SELECT tier, portfolio_action, review_frequency, provision_rate, count(*) AS n, round(sum(loan_amount), 6) AS exposure,
+       round(sum(loan_amount * provision_rate), 6) AS provision
+FROM pt JOIN tiers USING (k) GROUP BY ALL"""
+
+ORACLE["auto_decision"] = with_(CLIENTS) + """
+SELECT customer_id, CASE
+  WHEN debt_to_income_ratio > 6e-1 OR late_payments_count >= 6 OR coalesce(credit_history_months, 0) = 0 THEN 'reject'
+  WHEN (late_payments_count > 3 OR missed_payments_count > 1)
+       AND (annual_income >= 100000 OR on_time_payment_rate >= 95e-2 OR credit_utilization_rate < 3e-1) THEN 'conditional'
+  WHEN late_payments_count > 3 OR missed_payments_count > 1 THEN 'review' ELSE 'approve' END AS decision
+FROM clients"""
+
+
+# ======================================================== batch 3: monitor
+SCREEN = ["annual_income", "loan_amount", "credit_history_months", "total_credit_limit", "on_time_payment_rate",
+          "credit_utilization_rate", "savings_to_income_ratio", "debt_to_income_ratio", "monthly_income"]
+ORACLE["feature_variance"] = with_(CLIENTS) + " " + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(var_samp({c}), 6) AS variance, CAST(coalesce(var_samp({c}), 0e0) < 1e-2 AS INTEGER) AS low_variance FROM clients"
+    for c in SCREEN)
+_PAIRS = [(a, b) for i, a in enumerate(SCREEN) for b in SCREEN[i + 1:]]
+ORACLE["feature_correlation"] = with_(CLIENTS, "fc AS (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr({a}, {b}) AS corr FROM clients" for a, b in _PAIRS) + ")") + """
+SELECT feature_a, feature_b, round(corr, 6) AS corr FROM fc WHERE abs(corr) > 95e-2"""
+
+ORACLE["outlier_capping"] = with_(CLIENTS, f"qq AS (SELECT {_OUT} FROM clients)") + " SELECT customer_id, " + ", ".join(
+    f"round(least(greatest({c}, {c}_q1 - 15e-1 * ({c}_q3 - {c}_q1)), {c}_q3 + 15e-1 * ({c}_q3 - {c}_q1)), 9) AS {c}"
+    for c in ["annual_income", "loan_amount", "debt_to_income_ratio"]) + " FROM clients, qq"
+
+_DQC = ["education", "main_business", "month_salary", "post_res"]
+ORACLE["data_quality"] = with_(LOANS, "dq AS (SELECT count(*) AS n, avg(default_flag) AS pos FROM labeled)") + " " + " UNION ALL ".join(
+    [f"SELECT 'drop_column_missing_gt_50pct' AS check, '{c}' AS subject, round((count(*) - count({c})) / count(*), 9) AS value, "
+     f"CAST((count(*) - count({c})) / count(*) <= 5e-1 AS INTEGER) AS passed FROM labeled" for c in _DQC]
+    + [f"SELECT 'missing_alert_gt_10pct', '{c}', round((count(*) - count({c})) / count(*), 9), "
+       f"CAST((count(*) - count({c})) / count(*) <= 1e-1 AS INTEGER) FROM labeled" for c in _DQC]
+    + ["SELECT 'min_rows', 'table', round(CAST(n AS DOUBLE), 9), CAST(n >= 1000 AS INTEGER) FROM dq",
+       "SELECT 'min_positive_share', 'default_flag', round(pos, 9), CAST(pos >= 5e-2 AS INTEGER) FROM dq",
+       "SELECT 'min_rows_per_year', CAST(year(application_date) AS VARCHAR), round(CAST(count(*) AS DOUBLE), 9), "
+       "CAST(count(*) >= 1000 AS INTEGER) FROM labeled GROUP BY year(application_date)"])
+
+ORACLE["monitoring_alerts"] = with_(LOANS, """
+w4l AS (SELECT *, row_number() OVER (ORDER BY application_date, serial_number) AS rn, count(*) OVER () AS n FROM labeled),
+s4 AS (SELECT *, CASE WHEN rn <= floor(n * 7e-1) THEN 'train' WHEN rn <= floor(n * 7e-1) + floor(n * 15e-2) THEN 'val'
+                      ELSE 'test' END AS split FROM w4l),
+te AS (SELECT score_p AS p, default_flag AS y FROM s4 WHERE split = 'test'),
+tr AS (SELECT score_p AS p, default_flag AS y FROM s4 WHERE split = 'train'),
+tdv AS (SELECT p, sum(y) AS pos, count(*) - sum(y) AS neg FROM te GROUP BY p),
+tauc AS (SELECT sum(a.pos * b.neg * CASE WHEN a.p > b.p THEN 1e0 WHEN a.p = b.p THEN 5e-1 ELSE 0e0 END)
+                / ((SELECT sum(pos) FROM tdv) * (SELECT sum(neg) FROM tdv)) AS auc FROM tdv a, tdv b),
+tacc AS (SELECT avg(CAST((p >= 5e-1) = (y = 1) AS DOUBLE)) AS accuracy,
+                -avg(y * ln(least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16))
+                     + (1 - y) * ln(1 - least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16))) AS log_loss FROM te),
+eb AS (SELECT least(floor(p * 10), 9) AS bin, count(*) / (SELECT count(*) FROM tr) AS e FROM tr GROUP BY 1),
+ab AS (SELECT least(floor(p * 10), 9) AS bin, count(*) / (SELECT count(*) FROM te) AS a FROM te GROUP BY 1),
+psi AS (SELECT sum((greatest(coalesce(a, 0e0), 1e-4) - greatest(coalesce(e, 0e0), 1e-4))
+                   * ln(greatest(coalesce(a, 0e0), 1e-4) / greatest(coalesce(e, 0e0), 1e-4))) AS psi
+        FROM eb FULL OUTER JOIN ab USING (bin))""") + """
+SELECT CAST(auc < 75e-2 AS INTEGER) AS alert_auc, CAST(accuracy < 8e-1 AS INTEGER) AS alert_accuracy,
+       CAST(log_loss > 5e-1 AS INTEGER) AS alert_log_loss,
+       CAST(abs((SELECT avg(y) FROM te) - (SELECT avg(y) FROM tr)) > 5e-2 AS INTEGER) AS alert_default_rate,
+       CAST(psi > 1e-1 AS INTEGER) AS alert_drift, round(psi, 9) AS psi
+FROM tauc, tacc, psi"""
+
+ORACLE["temporal_features"] = with_(LOANS, "tref AS (SELECT max(application_date) AS r FROM loans)") + """
+SELECT serial_number, CAST(year(application_date) AS INTEGER) AS year, CAST(month(application_date) AS INTEGER) AS month,
+       CAST(quarter(application_date) AS INTEGER) AS quarter, CAST(dayofyear(application_date) AS INTEGER) AS day_of_year,
+       CAST(date_diff('day', application_date, r) AS INTEGER) AS days_since_application,
+       CAST(12 * (year(r) - year(application_date)) + (month(r) - month(application_date))
+            - CASE WHEN day(r) < day(application_date)
+                        AND NOT (r = last_day(r) AND application_date = last_day(application_date)) THEN 1 ELSE 0 END
+            AS INTEGER) AS months_since_application
+FROM loans, tref"""
+
+ORACLE["overdue_long"] = with_(LOANS) + f"""
+SELECT serial_number, CAST({_ALL} AS DOUBLE) AS total_overdue_count, CAST(greatest({_G}) AS DOUBLE) AS max_overdue_in_month,
+       CAST({_POS([f"o{i}" for i in range(8)])} AS BIGINT) AS overdue_frequency,
+       round(sqrt(({_SS}) / 7e0), 9) AS overdue_std, round({_EMA}, 9) AS ema_overdue,
+       round({_L} / 3e0, 9) AS rolling_3m_overdue_avg,
+       CAST(list_max(list_transform(string_split({_BITS}, '0'), lambda x: length(x))) AS BIGINT) AS max_consecutive_overdue
+FROM loans"""

@@ -453,3 +453,299 @@ def q_feature_ranking(spark, sf):
     imp = univariate_importance(spark, sf).withColumn("importance", rnd("importance"))
     r = profile.rank_features(imp, per_category_top=3)
     return r.select("feature", "importance", "rank", "category", "category_rank")
+
+
+# -------------------------------------------------------------- metrics
+def scored_models(spark, sf) -> DataFrame:
+    """Long (model, serial, y, p) frame over three scorers of the same loans:
+    the fixture probability, the overdue-frequency share, and their soft vote (M14)."""
+    l = featured_loans(spark, sf)
+    v = metrics.soft_vote(l, ["score_p", "overdue_freq_ratio"], out="p_vote")
+    parts = [v.select(F.lit(m).alias("model"), "serial_number", F.col(C.LABEL).alias("y"), F.col(c).alias("p"))
+             for m, c in (("fixture_score", "score_p"), ("overdue_freq", "overdue_freq_ratio"), ("soft_vote", "p_vote"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def fixture_scores(spark, sf) -> DataFrame:
+    return labeled_loans(spark, sf).select(F.col(C.LABEL).alias("y"), F.col("score_p").alias("p"))
+
+
+@query("auc")
+def q_auc(spark, sf):
+    """ROC AUC (ties averaged) per scorer."""
+    return metrics.auc(scored_models(spark, sf)).select("model", rnd("auc", 12).alias("auc"))
+
+
+@query("point_metrics")
+def q_point_metrics(spark, sf):
+    """M7: accuracy, precision, recall, F1, F2 at 0.5 per scorer."""
+    m = metrics.point_metrics(scored_models(spark, sf), 0.5)
+    return m.select("model", "tp", "fp", "fn", "tn", *[rnd(c, 12).alias(c) for c in
+                                                      ("accuracy", "precision", "recall", "f1", "f2")])
+
+
+@query("log_loss")
+def q_log_loss(spark, sf):
+    """M8: clipped log loss per scorer."""
+    return metrics.log_loss(scored_models(spark, sf)).select("model", rnd("log_loss", 9).alias("log_loss"))
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, sf):
+    """M9: confusion cells at the default and the F2-optimal threshold."""
+    s = fixture_scores(spark, sf)
+    best = metrics.optimal_threshold(s, "f2").select(F.lit("optimal").alias("threshold_name"), F.col("threshold").alias("t"))
+    th = spark.createDataFrame([("default", 0.5)], "threshold_name string, t double").unionByName(best)
+    return metrics.confusion(s, th).select("threshold_name", "actual", "predicted", "n")
+
+
+@query("class_report")
+def q_class_report(spark, sf):
+    """Per-class report plus macro/weighted averages at 0.5."""
+    r = metrics.class_report(fixture_scores(spark, sf), 0.5)
+    return r.select("label", rnd("precision", 12).alias("precision"), rnd("recall", 12).alias("recall"),
+                    rnd("f1", 12).alias("f1"), "support")
+
+
+@query("threshold_curve")
+def q_threshold_curve(spark, sf):
+    """Metrics at all 80 grid thresholds."""
+    c = metrics.threshold_curve(fixture_scores(spark, sf))
+    return c.select("i", "threshold", "tp", "pp", *[rnd(x, 12).alias(x) for x in ("precision", "recall", "f1", "f2", "balanced")])
+
+
+@query("model_comparison")
+def q_model_comparison(spark, sf):
+    """Long metrics table of all scorers."""
+    m = metrics.model_metrics(scored_models(spark, sf), 0.5)
+    return metrics.metrics_long(m).select("model", "split", "metric", rnd("value", 9).alias("value"))
+
+
+@query("best_model_report")
+def q_best_model_report(spark, sf):
+    """Best scorer by AUC and the recommendation text."""
+    m = metrics.auc(scored_models(spark, sf)).withColumn("auc", rnd("auc", 12))
+    return metrics.best_model(m, priority=["soft_vote"])
+
+
+@query("recommended_threshold")
+def q_recommended_threshold(spark, sf):
+    """F2-optimal threshold and metrics per scorer; the ensemble (soft
+    vote) is the recommended model when present."""
+    s = scored_models(spark, sf)
+    opt = metrics.optimal_threshold(s, "f2")
+    rec = metrics.recommend(opt, metrics.auc(s), preferred="soft_vote")
+    out = opt.join(F.broadcast(rec), opt.model == rec.recommended_model, "left")
+    return out.select("model", "threshold", rnd("score", 12).alias("f2_score"), rnd("recall", 12).alias("recall"),
+                      rnd("precision", 12).alias("precision"), rnd("f1", 12).alias("f1"),
+                      F.col("recommended_model").isNotNull().cast("int").alias("recommended"))
+
+
+@query("soft_vote")
+def q_soft_vote(spark, sf):
+    """Soft-voting probability of two scorers."""
+    l = featured_loans(spark, sf)
+    v = metrics.soft_vote(l, ["score_p", "overdue_freq_ratio"], weights=[2.0, 1.0], out="p_vote")
+    return v.select("serial_number", rnd("p_vote", 12).alias("p_vote"))
+
+
+@query("brier_aucpr")
+def q_brier_aucpr(spark, sf):
+    """Brier score and average precision per scorer."""
+    s = scored_models(spark, sf)
+    return metrics.brier(s).join(metrics.average_precision(s), "model").select(
+        "model", rnd("brier", 9).alias("brier"), rnd("auc_pr", 9).alias("auc_pr"))
+
+
+# ------------------------------------------------------- score outputs
+def scored_loans(spark, sf) -> tuple[DataFrame, DataFrame]:
+    l = featured_loans(spark, sf)
+    t = optimal_threshold_table(l)
+    return scoring.score(l, t, prob="score_p"), t
+
+
+@query("score_output_contract")
+def q_score_output_contract(spark, sf):
+    """Key result columns in the fixed order."""
+    s, _ = scored_loans(spark, sf)
+    k = scoring.key_columns(s)
+    return k.withColumn("application_date", F.col("application_date").cast("string"))
+
+
+@query("simplified_output")
+def q_simplified_output(spark, sf):
+    """Simplified output with the two warning flags."""
+    s, _ = scored_loans(spark, sf)
+    k = scoring.simplified_output(s)
+    return k.withColumn("application_date", F.col("application_date").cast("string"))
+
+
+@query("score_export")
+def q_score_export(spark, sf):
+    """Nine export columns under their export headers."""
+    s, _ = scored_loans(spark, sf)
+    e = scoring.export_projection(s)
+    return e.withColumn("application date", F.col("`application date`").cast("string"))
+
+
+@query("grade_legend")
+def q_grade_legend(spark, sf):
+    """Threshold-dependent grade legend joined with loan counts."""
+    s, t = scored_loans(spark, sf)
+    dim = scoring.grade_dimension(spark, t)
+    counts = s.groupBy("risk_grade").agg(F.count(F.lit(1)).alias("n_loans"))
+    return dim.join(counts, "risk_grade", "left").select(
+        "grade_order", "grade_letter", "risk_grade", "risk_alert", "risk_label", "score_min", "score_max",
+        F.coalesce("n_loans", F.lit(0)).alias("n_loans"))
+
+
+@query("grade_translation")
+def q_grade_translation(spark, sf):
+    """Grade letter -> display label via code dimension; salary
+    currency conversion rounded half-even."""
+    s, _ = scored_loans(spark, sf)
+    dim = scoring.code_dimension(spark, {g[0]: lab for g, lab in zip(C.GRADES, C.RISK_LABELS)}, "letter")
+    x = s.withColumn("grade_letter", F.substring("risk_grade", 1, 1))
+    x = scoring.translate(x, "grade_letter", dim, out="risk_label")
+    return x.select("serial_number", "grade_letter", "risk_label",
+                    scoring.convert_currency("month_salary").alias("salary_converted"))
+
+
+@query("batch_summary")
+def q_batch_summary(spark, sf):
+    """Batch size, grade counts, probability range."""
+    s, _ = scored_loans(spark, sf)
+    b = scoring.batch_summary(s)
+    return b.select(*[c for c in b.columns if c != "avg_probability"], rnd("avg_probability", 9).alias("avg_probability"))
+
+
+@query("prediction_summary")
+def q_prediction_summary(spark, sf):
+    """Distributions of flags, grades and actions (one GROUPING SETS pass)."""
+    s, _ = scored_loans(spark, sf)
+    return scoring.prediction_summary(s).select("dimension", "value", "n", rnd("share", 12).alias("share"))
+
+
+@query("business_metrics")
+def q_business_metrics(spark, sf):
+    """Approval and default rate by risk grade."""
+    s, _ = scored_loans(spark, sf)
+    b = monitor.business_metrics(s, C.LABEL)
+    return b.select("risk_grade", "n", rnd("approval_rate", 12).alias("approval_rate"),
+                    rnd("default_rate", 12).alias("default_rate"))
+
+
+# ------------------------------------------------------ client scoring
+CLIENT_MODELS = {"p_job": "job_category", "p_education": "education_level", "p_employment": "employment_status"}
+
+
+def client_probabilities(spark, sf) -> DataFrame:
+    """Per client, three default-rate estimates from group rates (target-rate
+    encoders over one grouping key each)."""
+    c = fx.clients(spark, sf)
+    for out, key in CLIENT_MODELS.items():
+        c = profile.group_rate(c, [key], "is_default", prefix=out).drop(f"{out}_size").withColumnRenamed(
+            f"{out}_default_rate", out)
+    return c
+
+
+@query("client_batch_scoring")
+def q_client_batch_scoring(spark, sf):
+    """Batch scoring with error rows for ineligible clients."""
+    c = client_probabilities(spark, sf)
+    b = scoring.batch_client_scoring(c, list(CLIENT_MODELS))
+    return b.select("client_id", "risk_score", "risk_category", rnd("default_probability", 12).alias("default_probability"),
+                    *[rnd(m, 12).alias(m) for m in CLIENT_MODELS], "is_valid",
+                    scoring.good_bad("default_probability").alias("classification"))
+
+
+@query("risk_adjusted_score")
+def q_risk_adjusted_score(spark, sf):
+    """Risk-adjusted 300-850 score from a base score, employment, age and education."""
+    c = client_probabilities(spark, sf)
+    p = sum((F.col(m) for m in CLIENT_MODELS), F.lit(0.0)) / float(len(CLIENT_MODELS))
+    base = F.lit(float(C.SCORE_MIN)) + F.lit(float(C.SCORE_MAX - C.SCORE_MIN)) * (1 - p)
+    c = c.withColumn("base_score", base)
+    return c.select("customer_id", rnd("base_score", 9).alias("base_score"),
+                    rnd(scoring.risk_adjusted_score("base_score", "age", "employment_status", "education_level"), 9)
+                    .alias("adjusted_score"))
+
+
+@query("provision_tiers")
+def q_provision_tiers(spark, sf):
+    """7-tier classification and provisions on loan amount."""
+    c = client_probabilities(spark, sf)
+    p = sum((F.col(m) for m in CLIENT_MODELS), F.lit(0.0)) / float(len(CLIENT_MODELS))
+    pr = monitor.provisions(c.withColumn("p", p), "p", "loan_amount")
+    return pr.select("tier", "portfolio_action", "review_frequency", "provision_rate", "n",
+                     rnd("exposure", 6).alias("exposure"), rnd("provision", 6).alias("provision"))
+
+
+@query("auto_decision")
+def q_auto_decision(spark, sf):
+    """Auto-reject / conditional approval rules."""
+    return monitor.auto_decision(fx.clients(spark, sf)).select("customer_id", "decision")
+
+
+# ------------------------------------------------------------- monitor
+SCREEN_COLS = ["annual_income", "loan_amount", "credit_history_months", "total_credit_limit", "on_time_payment_rate",
+               "credit_utilization_rate", "savings_to_income_ratio", "debt_to_income_ratio", "monthly_income"]
+
+
+@query("feature_variance")
+def q_feature_variance(spark, sf):
+    """Sample variance and low-variance flag per numeric client feature."""
+    var, _ = monitor.feature_screen(fx.clients(spark, sf), SCREEN_COLS)
+    return var.select("feature", rnd("variance", 6).alias("variance"), "low_variance")
+
+
+@query("feature_correlation")
+def q_feature_correlation(spark, sf):
+    """Feature pairs with |corr| above 0.95."""
+    _, cor = monitor.feature_screen(fx.clients(spark, sf), SCREEN_COLS)
+    return cor.select("feature_a", "feature_b", rnd("corr", 6).alias("corr"))
+
+
+@query("outlier_capping")
+def q_outlier_capping(spark, sf):
+    """D3: IQR capping of income, loan amount and DTI."""
+    c = monitor.cap_outliers(fx.clients(spark, sf), C.OUTLIER_COLUMNS)
+    return c.select("customer_id", *[rnd(x, 9).alias(x) for x in C.OUTLIER_COLUMNS])
+
+
+@query("data_quality")
+def q_data_quality(spark, sf):
+    """Missing-rate, size, positive-share and per-year checks."""
+    l = labeled_loans(spark, sf)
+    q = monitor.data_quality(l, C.LABEL, C.DATE, ["education", "main_business", "month_salary", "post_res"])
+    return q.select("check", "subject", rnd("value", 9).alias("value"), "passed")
+
+
+@query("monitoring_alerts")
+def q_monitoring_alerts(spark, sf):
+    """Metric alerts on the chronological test split, default-rate
+    deviation and score drift (PSI) against the training split."""
+    s = split.chronological_split(labeled_loans(spark, sf))
+    tr, te = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
+    ys = te.select(F.col(C.LABEL).alias("y"), F.col("score_p").alias("p"))
+    m = metrics.model_metrics(ys, 0.5)
+    drift = monitor.psi(tr, te, "score_p")
+    a = monitor.monitoring_alerts(m, profile.label_distribution(tr, by=None), profile.label_distribution(te, by=None), drift)
+    return a.crossJoin(drift.select(rnd("psi", 9).alias("psi")))
+
+
+@query("temporal_features")
+def q_temporal_features(spark, sf):
+    """Calendar and recency features of the application date."""
+    t = monitor.temporal_features(fx.loans(spark, sf))
+    return t.select("serial_number", "year", "month", "quarter", "day_of_year", "days_since_application",
+                    "months_since_application")
+
+
+@query("overdue_long")
+def q_overdue_long(spark, sf):
+    """Series features computed from the long (key, period, n) form."""
+    lf = features.overdue_long_features(features.overdue_long(cleaning.fill_zero(fx.loans(spark, sf))))
+    return lf.select("serial_number", "total_overdue_count", "max_overdue_in_month", "overdue_frequency",
+                     rnd("overdue_std", 9).alias("overdue_std"), rnd("ema_overdue", 9).alias("ema_overdue"),
+                     rnd("rolling_3m_overdue_avg", 9).alias("rolling_3m_overdue_avg"), "max_consecutive_overdue")
