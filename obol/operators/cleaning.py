@@ -81,58 +81,65 @@ def fill_zero(df: DataFrame, cols: Sequence[str] = ("paid_installments", *C.OVER
     return df.fillna(0, subset=existing(df, cols))
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> DataFrame:
-    """Exact linear-interpolated quantiles of one column, without one big task.
-
-    Values are counted per distinct value (partial aggregation), ordered with
-    the skew-safe running helper, and the two neighbours of each target
-    position are picked.  Output: ``(q, value)`` with one row per prob.
+def exact_quantiles_multi(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Exact linear-interpolated quantiles of several columns in one pass.
+
+    Values are unpivoted and counted per (column, distinct value) with
+    partial aggregation; the value-count table is checkpointed, cumulated per
+    column with the skew-safe running helper, and the two neighbours of each
+    target position ``q * (n - 1)`` are picked.  No task ever holds a whole
+    column.  Output: ``(column, q, value)``.
     """
-    vc = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).groupBy(
-        F.col(column).cast("double").alias("v")).count()
-    r = running(vc, [], ["v"], sums=["count"])
-    r = r.withColumn("_start", F.coalesce(F.col("_cum_count"), F.lit(0)))
-    n = vc.agg(F.sum("count").alias("_n"))
-    probs_df = df.sparkSession.createDataFrame([(float(q),) for q in probs], "q double")
+    from ..session import materialize
+    cols = list(cols)
+    v = F.col("v")
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "v")
+    vc = materialize(long.where(v.isNotNull() & ~F.isnan(v)).groupBy("column", "v").count())
+    r = running(vc, ["column"], ["v"], sums=["count"])
+    r = r.withColumn("_start", F.coalesce(F.col("_cum_count"), F.lit(0))).withColumn(
+        "_end", F.col("_start") + F.col("count"))
+    n = vc.groupBy(F.col("column").alias("_c")).agg(F.sum("count").alias("_n"))
+    spark = df.sparkSession
+    probs_df = spark.createDataFrame([(float(q),) for q in probs], "q double")
     targets = (probs_df.crossJoin(n)
                .withColumn("_pos", F.col("q") * (F.col("_n") - 1))
                .withColumn("_lo", F.floor("_pos"))
                .withColumn("_hi", F.ceil("_pos")))
-    # bounded: one row per prob
-    hits = r.join(F.broadcast(targets),
-                  ((F.col("_lo") >= F.col("_start")) & (F.col("_lo") < F.col("_start") + F.col("count")))
-                  | ((F.col("_hi") >= F.col("_start")) & (F.col("_hi") < F.col("_start") + F.col("count"))))
-    picked = hits.groupBy("q", "_pos", "_lo", "_hi").agg(
-        F.max(F.when((F.col("_lo") >= F.col("_start")) & (F.col("_lo") < F.col("_start") + F.col("count")),
-                     F.col("v"))).alias("_vlo"),
-        F.max(F.when((F.col("_hi") >= F.col("_start")) & (F.col("_hi") < F.col("_start") + F.col("count")),
-                     F.col("v"))).alias("_vhi"),
-    )
+    has_lo = (F.col("_lo") >= F.col("_start")) & (F.col("_lo") < F.col("_end"))
+    has_hi = (F.col("_hi") >= F.col("_start")) & (F.col("_hi") < F.col("_end"))
+    # bounded broadcast: one row per (column, prob)
+    hits = r.join(F.broadcast(targets), (F.col("column") == F.col("_c")) & (has_lo | has_hi))
+    picked = hits.groupBy("column", "q", "_pos", "_lo").agg(
+        F.max(F.when(has_lo, v)).alias("_vlo"), F.max(F.when(has_hi, v)).alias("_vhi"))
     frac = F.col("_pos") - F.col("_lo")
     value = F.when(F.col("_vlo") == F.col("_vhi"), F.col("_vlo")).otherwise(
         F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac)
-    return probs_df.join(picked.select("q", value.alias("value")), "q", "left")
+    grid = probs_df.crossJoin(spark.createDataFrame([(c,) for c in cols], "column string"))
+    return grid.join(picked.select("column", "q", value.alias("value")), ["column", "q"], "left")
+
+
+def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles of one column: ``(q, value)``."""
+    return exact_quantiles_multi(df, [column], probs).select("q", "value")
 
 
 def fit_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """P6 fit: one-row table of exact medians (pandas ``median`` semantics)."""
     cols = existing(df, cols)
-    parts = []
-    for c in cols:
-        parts.append(exact_quantiles(df.select(parse_number(c).alias(c)), c, [0.5])
-                     .select(F.col("value").alias(c)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(p)
-    return out
+    types = dict(df.dtypes)
+    num = df.select(*[(parse_number(c) if types[c] == "string" else F.col(c).cast("double")).alias(c) for c in cols])
+    q = exact_quantiles_multi(num, cols, [0.5])
+    return q.groupBy().pivot("column", cols).agg(F.first("value"))
 
 
 def apply_medians(df: DataFrame, medians: DataFrame) -> DataFrame:
     """P6 apply: numeric coercion, then null -> fitted median (broadcast one row)."""
     cols = [c for c in medians.columns if c in df.columns]
+    types = dict(df.dtypes)
     m = medians.select(*[F.col(c).alias(f"__med_{c}") for c in cols])
     out = df.crossJoin(F.broadcast(m))
-    out = out.withColumns({c: F.coalesce(parse_number(c), F.col(f"__med_{c}")) for c in cols})
+    out = out.withColumns({c: F.coalesce(parse_number(c) if types[c] == "string" else F.col(c).cast("double"),
+                                         F.col(f"__med_{c}")) for c in cols})
     return out.drop(*[f"__med_{c}" for c in cols])
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .cleaning import exact_quantiles, existing
+from .cleaning import exact_quantiles, exact_quantiles_multi, existing
 
 
 def label_distribution(df: DataFrame, label: str = C.LABEL, by: str | None = "split") -> DataFrame:
@@ -41,16 +41,9 @@ def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False) ->
 
 def quartiles(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A16 fit: exact linear Q1/Q3 per column -> (column, q1, q3)."""
-    parts = []
-    for c in cols:
-        q = exact_quantiles(df.select(c), c, [0.25, 0.75])
-        parts.append(q.groupBy().agg(F.max(F.when(F.col("q") == 0.25, F.col("value"))).alias("q1"),
-                                     F.max(F.when(F.col("q") == 0.75, F.col("value"))).alias("q3"))
-                     .withColumn("column", F.lit(c)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("column", "q1", "q3")
+    q = exact_quantiles_multi(df, cols, [0.25, 0.75])
+    return q.groupBy("column").agg(F.max(F.when(F.col("q") == 0.25, F.col("value"))).alias("q1"),
+                                   F.max(F.when(F.col("q") == 0.75, F.col("value"))).alias("q3"))
 
 
 def outlier_flags(df: DataFrame, cols: Sequence[str] = C.OUTLIER_COLUMNS,

@@ -9,8 +9,8 @@ A plain ``Window.partitionBy(keys)`` puts a whole group into one task.  When a
 group may hold a third of all rows (two labels, one global order, one hot
 client) that task is the job.  Here the work is split in two:
 
-* light groups (at most ``max_group_rows`` rows) use the plain window, one
-  hash shuffle on the keys;
+* light groups (at most ``max_group_rows`` rows, the per-task budget) use the
+  plain window, one hash shuffle on the keys;
 * heavy groups are range-partitioned on ``keys + order`` so a hot group spans
   many partitions, cut with a reliable checkpoint so bucket ids are stable,
   summed locally per (bucket, group), and stitched with an offsets table.
@@ -18,9 +18,11 @@ client) that task is the job.  Here the work is split in two:
   offsets table has at most one row per bucket: its broadcast is bounded by
   the partition count, not by the data.
 
-Heavy keys are found with one partial-aggregated ``groupBy(keys).count()``;
-their number is bounded by ``rows / max_group_rows`` and capped by raising the
-row budget, so the heavy-key broadcast is bounded too.
+One partial-aggregated ``groupBy(keys).count()`` gives the largest group; if
+it fits the budget the plain window is used.  Otherwise the heavy keys are
+tagged through a broadcast whose size is bounded by ``rows / budget`` (the
+budget is raised so there are at most ``MAX_HEAVY_KEYS``).  Without keys (one
+global order) the range path is used once the table exceeds the budget.
 """
 
 from __future__ import annotations
@@ -137,16 +139,25 @@ def running(
         buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     if strategy == "window":
         return _plain(df, keys, order, sums, lasts, maxes)
-    if strategy == "ranged" or not keys:
+    if strategy == "ranged":
         return _ranged(df, keys, order, sums, lasts, buckets, maxes)
 
-    counts = df.groupBy(*keys).count()
-    total = df.count()
+    # auto: one aggregate decides.  Groups within the per-task row budget use
+    # the plain window; larger ones go through the range path.
+    if keys:
+        counts = df.groupBy(*keys).count()
+        st = counts.agg(F.sum("count").alias("t"), F.max("count").alias("m")).first()
+        total, largest = int(st["t"] or 0), int(st["m"] or 0)
+    else:
+        counts = None
+        total = largest = df.count()
     budget = max(max_group_rows, -(-total // MAX_HEAVY_KEYS))
-    heavy = counts.where(F.col("count") > budget).select(*keys).withColumn("_heavy", F.lit(True))
-    heavy = materialize(heavy)  # bounded: at most total / budget <= MAX_HEAVY_KEYS rows
-    if heavy.isEmpty():
+    if largest <= budget:
         return _plain(df, keys, order, sums, lasts, maxes)
+    if not keys:
+        return _ranged(df, keys, order, sums, lasts, buckets, maxes)
+    # bounded: at most total / budget <= MAX_HEAVY_KEYS rows
+    heavy = materialize(counts.where(F.col("count") > budget).select(*keys).withColumn("_heavy", F.lit(True)))
     tagged = _join_small(df, heavy, keys)
     light_rows = tagged.where(F.col("_heavy").isNull()).drop("_heavy")
     heavy_rows = tagged.where(F.col("_heavy").isNotNull()).drop("_heavy")

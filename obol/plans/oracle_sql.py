@@ -842,3 +842,20 @@ SELECT serial_number, CAST({_ALL} AS DOUBLE) AS total_overdue_count, CAST(greate
        round({_L} / 3e0, 9) AS rolling_3m_overdue_avg,
        CAST(list_max(list_transform(string_split({_BITS}, '0'), lambda x: length(x))) AS BIGINT) AS max_consecutive_overdue
 FROM loans"""
+
+
+# ====================================================== streaming re-aims
+ORACLE["stream_scoring"] = ORACLE["risk_scoring"]
+
+ORACLE["stream_overdue_features"] = """
+WITH ev AS (SELECT user_id, CAST(floor(epoch(ts - TIMESTAMP '2024-01-01 00:00:00') / (90 * 3600)) AS INTEGER) AS period
+            FROM events WHERE event_type = 'error'),
+cnt AS (SELECT user_id, period, count(*) AS n FROM ev WHERE period >= 0 AND period < 8 GROUP BY ALL),
+w AS (SELECT user_id, """ + ", ".join(
+    f"CAST(coalesce(sum(CASE WHEN period = {i} THEN n END), 0) AS BIGINT) AS o{i}" for i in range(8)) + """
+      FROM cnt GROUP BY user_id)
+SELECT user_id, o0, o1, o2, o3, o4, o5, o6, o7, """ + f"""{_ALL} AS total_overdue_count,
+       CAST(list_max(list_transform(string_split({_BITS}, '0'), lambda x: length(x))) AS INTEGER) AS max_consecutive_overdue,
+       CAST((o0 + o1 + o2) >= 3 AS INTEGER) AS early_warning_flag, CAST({_L} - {_E} > 0 AS INTEGER) AS overdue_worsening,
+       round({_EMA}, 9) AS ema_overdue
+FROM w"""

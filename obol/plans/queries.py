@@ -749,3 +749,27 @@ def q_overdue_long(spark, sf):
     return lf.select("serial_number", "total_overdue_count", "max_overdue_in_month", "overdue_frequency",
                      rnd("overdue_std", 9).alias("overdue_std"), rnd("ema_overdue", 9).alias("ema_overdue"),
                      rnd("rolling_3m_overdue_avg", 9).alias("rolling_3m_overdue_avg"), "max_consecutive_overdue")
+
+
+# ------------------------------------------------------------ streaming
+from ..streaming import jobs as stream_jobs  # noqa: E402
+
+
+@query("stream_scoring")
+def q_stream_scoring(spark, sf):
+    """ST1: orders as a file stream, stream-static joins, micro-batch scoring
+    (R1-R7) with the F2 threshold fitted on the batch loans."""
+    t = optimal_threshold_table(labeled_loans(spark, sf))
+    s = stream_jobs.stream_scoring(spark, sf, t)
+    return s.select("serial_number", "default_probability", "predicted_default", "predicted_default_optimal",
+                    "threshold_difference", "risk_score", "risk_grade", "risk_alert", "risk_action",
+                    "risk_action_optimal")
+
+
+@query("stream_overdue_features")
+def q_stream_overdue_features(spark, sf):
+    """ST2: error events per user and 3.75-day period via watermark + tumbling
+    windows, then the overdue-pattern features."""
+    f = stream_jobs.stream_overdue_features(spark, sf)
+    return f.select("user_id", *C.OVERDUE_COLS, "total_overdue_count", "max_consecutive_overdue",
+                    "early_warning_flag", "overdue_worsening", rnd("ema_overdue", 9).alias("ema_overdue"))

@@ -20,20 +20,28 @@ def _i(x: int):
     return F.lit(x).cast("bigint")
 
 
-def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1: one row per order, the canonical loan schema."""
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-order line counts feeding the overdue columns (one partial-aggregated groupBy)."""
     li = read_table(spark, sf_dir, "lineitem")
-    orders = read_table(spark, sf_dir, "orders")
-    cust = read_table(spark, sf_dir, "customer")
 
     def cnt(cond):
         return F.count(F.when(cond, 1))
 
-    per = li.groupBy("l_orderkey").agg(
+    return li.groupBy("l_orderkey").agg(
         *[cnt((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == i + 1)).alias(f"o{i}") for i in range(7)],
         cnt((F.col("l_returnflag") == "A") & (F.col("l_quantity") > 40)).alias("o7"),
         F.count(F.lit(1)).alias("items"),
     )
+
+
+def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1: one row per order, the canonical loan schema."""
+    return loans_from(read_table(spark, sf_dir, "orders"), order_lines(spark, sf_dir),
+                      read_table(spark, sf_dir, "customer"))
+
+
+def loans_from(orders: DataFrame, per: DataFrame, cust: DataFrame) -> DataFrame:
+    """F1 mapping over given orders (batch or stream), per-order lines and customers."""
     base = (
         orders.join(cust, orders.o_custkey == cust.c_custkey)
         .join(per, per.l_orderkey == orders.o_orderkey, "left")
