@@ -859,3 +859,32 @@ SELECT user_id, o0, o1, o2, o3, o4, o5, o6, o7, """ + f"""{_ALL} AS total_overdu
        CAST((o0 + o1 + o2) >= 3 AS INTEGER) AS early_warning_flag, CAST({_L} - {_E} > 0 AS INTEGER) AS overdue_worsening,
        round({_EMA}, 9) AS ema_overdue
 FROM w"""
+
+
+# ======================================================== sources / sinks
+ORACLE["csv_roundtrip"] = ORACLE["score_export"]
+ORACLE["loan_source"] = with_(LOANS) + """
+SELECT serial_number, id, CAST(application_date AS VARCHAR) AS application_date, overdue_status, month_salary, post_res,
+       loan_term, o0, o1, o2, o3, o4, o5, o6, o7 FROM loans"""
+ORACLE["metrics_sink"] = ORACLE["model_comparison"]
+ORACLE["threshold_config"] = with_(LOANS, GRID, THRESH) + """
+SELECT 'saved' AS source, threshold AS optimal_threshold FROM ts_best UNION ALL SELECT 'missing', 5e-1"""
+_J, _C = _lookup_joins("labeled", "wall", "woe", "woe", "0e0")
+ORACLE["encoder_persistence"] = with_(LOANS, woe_ctes("labeled", "wall")) + f"""
+SELECT serial_number, {', '.join(f'round({c}_woe, 9) AS {c}_woe' for c in CATS)} FROM (
+  SELECT labeled.serial_number, {_C} FROM labeled {_J})"""
+
+
+# ===================================================================== ML
+ORACLE["robust_scale"] = with_(CLIENTS, "rq AS (SELECT " + ", ".join(
+    f"quantile_cont({c}, 0.5) AS {c}_m, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS {c}_s"
+    for c in ["annual_income", "loan_amount", "credit_history_months"]) + " FROM clients)") + " SELECT customer_id, " + ", ".join(
+    f"round(({c} - {c}_m) / CASE WHEN {c}_s = 0 THEN 1e0 ELSE {c}_s END, 9) AS {c}"
+    for c in ["annual_income", "loan_amount", "credit_history_months"]) + " FROM clients, rq"
+
+_OH = {"residence_status": ["dormitory", "family", "owned", "rented", "spouse"],
+       "product": ["P0", "P1", "P2", "P3", "P4", "P5"],
+       "education": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "missing"]}
+ORACLE["one_hot"] = with_(LOANS) + " SELECT serial_number, " + ", ".join(
+    f"CAST(coalesce(CAST({c} AS VARCHAR), 'missing') = '{x}' AS INTEGER) AS \"{c}__{x}\""
+    for c, levels in _OH.items() for x in levels[1:]) + " FROM loans"

@@ -773,3 +773,147 @@ def q_stream_overdue_features(spark, sf):
     f = stream_jobs.stream_overdue_features(spark, sf)
     return f.select("user_id", *C.OVERDUE_COLS, "total_overdue_count", "max_consecutive_overdue",
                     "early_warning_flag", "overdue_worsening", rnd("ema_overdue", 9).alias("ema_overdue"))
+
+
+# ---------------------------------------------------------- sources/sinks
+from ..operators import ml  # noqa: E402
+from ..sources import io as sio  # noqa: E402
+from . import training  # noqa: E402
+
+
+@query("csv_roundtrip")
+def q_csv_roundtrip(spark, sf):
+    """S4 -> S2: scored export written as header CSV, read back with an
+    explicit schema in PERMISSIVE mode (corrupt rows kept in ``_bad``)."""
+    from pyspark.sql import types as T
+    s, _ = scored_loans(spark, sf)
+    path = ml.state_path(spark, "export")
+    scoring.write_csv(scoring.export_projection(s), path)
+    schema = T.StructType([
+        T.StructField("serial number", T.LongType()), T.StructField("application date", T.DateType()),
+        T.StructField("ID", T.LongType()), T.StructField("default_probability", T.DoubleType()),
+        T.StructField("risk_score", T.IntegerType()), T.StructField("risk_grade", T.StringType()),
+        T.StructField("risk_action_optimal", T.StringType()), T.StructField("risk_alert", T.StringType())])
+    back = sio.read_csv(spark, path, schema)
+    return back.where(F.col(sio.CORRUPT).isNull()).drop(sio.CORRUPT).withColumn(
+        "application date", F.col("`application date`").cast("string"))
+
+
+@query("loan_source")
+def q_loan_source(spark, sf):
+    """Loans persisted as Parquet and read back with the fixed loan schema."""
+    path = ml.state_path(spark, "loans")
+    sio.write_table(fx.loans(spark, sf).drop("score_p"), path)
+    l = sio.read_loans(spark, path)
+    return l.select("serial_number", "id", F.col("application_date").cast("string").alias("application_date"),
+                    "overdue_status", "month_salary", "post_res", "loan_term", *C.OVERDUE_COLS)
+
+
+@query("metrics_sink")
+def q_metrics_sink(spark, sf):
+    """Long metrics table written and read back."""
+    m = metrics.metrics_long(metrics.model_metrics(scored_models(spark, sf), 0.5))
+    path = ml.state_path(spark, "metrics")
+    sio.write_table(m, path)
+    return spark.read.parquet(path).select("model", "split", "metric", rnd("value", 9).alias("value"))
+
+
+@query("threshold_config")
+def q_threshold_config(spark, sf):
+    """Threshold config written as JSON, read back; a missing config falls back to 0.5."""
+    l = labeled_loans(spark, sf)
+    best = metrics.optimal_threshold(l.select(F.col(C.LABEL).alias("y"), F.col("score_p").alias("p")), "f2")
+    cfg = best.select(F.col("threshold").alias("recommended_threshold"), F.col("model").alias("recommended_model"))
+    path = ml.state_path(spark, "threshold")
+    scoring.write_threshold(cfg, path)
+    saved = scoring.load_threshold(spark, path).withColumn("source", F.lit("saved"))
+    missing = scoring.load_threshold(spark, ml.state_path(spark, "absent")).withColumn("source", F.lit("missing"))
+    return saved.unionByName(missing).select("source", "optimal_threshold")
+
+
+@query("encoder_persistence")
+def q_encoder_persistence(spark, sf):
+    """WoE table persisted and reloaded, then applied."""
+    l = labeled_loans(spark, sf)
+    w = ml.save_table(encoders.woe_fit(l, C.CATEGORICAL_FEATURES), ml.state_path(spark, "woe"))
+    a = encoders.woe_apply(l, w, C.CATEGORICAL_FEATURES)
+    return a.select("serial_number", *[rnd(f"{f}_woe", 9).alias(f"{f}_woe") for f in C.CATEGORICAL_FEATURES])
+
+
+# ------------------------------------------------------------------ ML
+ROBUST_COLS = ["annual_income", "loan_amount", "credit_history_months"]
+ONE_HOT_COLS = ["residence_status", "product", "education"]
+
+
+@query("robust_scale")
+def q_robust_scale(spark, sf):
+    """M1: (x - median) / IQR with exact quantiles."""
+    c = fx.clients(spark, sf)
+    s = ml.apply_robust_scaler(c, ml.fit_robust_scaler(c, ROBUST_COLS), ROBUST_COLS)
+    return s.select("customer_id", *[rnd(x, 9).alias(x) for x in ROBUST_COLS])
+
+
+@query("one_hot")
+def q_one_hot(spark, sf):
+    """M2: one-hot with the first sorted level dropped, null -> 'missing'."""
+    l = fx.loans(spark, sf)
+    lv = ml.fit_one_hot_levels(l, ONE_HOT_COLS)
+    o = ml.apply_one_hot(l, lv)
+    cols = [f"{c}__{x}" for c in ONE_HOT_COLS for x in lv[c][1:]]
+    return o.select("serial_number", *cols)
+
+
+@query("ml_train_eval")
+def q_ml_train_eval(spark, sf):
+    """M4/M5: three base learners (two GBT configurations, random forest)
+    trained on the train split and evaluated on test."""
+    _, long, _, _ = training.train_eval(spark, sf)
+    m = metrics.model_metrics(long, 0.5)
+    return m.select("model", *[rnd(c, 6).alias(c) for c in ("auc", "accuracy", "precision", "recall", "f1", "log_loss")])
+
+
+@query("ml_feature_importance")
+def q_ml_feature_importance(spark, sf):
+    """Tree importances per model and their mean; written as CSV and read back."""
+    models, _, feats, _ = training.train_eval(spark, sf)
+    imp = ml.feature_importances(models, feats, spark)
+    path = ml.state_path(spark, "importance")
+    sio.write_table(imp, path, fmt="csv")
+    return spark.read.schema("model string, feature string, importance double").option("header", True).csv(path)
+
+
+@query("ml_stacking")
+def q_ml_stacking(spark, sf):
+    """5-fold stacking vs bases; threshold tuned on validation, metrics on test."""
+    s = training.stacking_eval(spark, sf)
+    return s.select("model", *[rnd(c, 6).alias(c) for c in ("auc", "precision", "recall", "f1", "f2")])
+
+
+@query("ml_random_search")
+def q_ml_random_search(spark, sf):
+    """Random parameter search with cross-validated AUC (6 draws, 3 folds)."""
+    m, feats, _ = training.training_frame(spark, sf)
+    return ml.random_search(m.where(F.col("split") == "train"), feats, n_draws=6, folds=3)
+
+
+@query("ml_sweep")
+def q_ml_sweep(spark, sf):
+    """Joint sweep over feature-set toggles and training options (6 runs)."""
+    return training.sweep(spark, sf, runs=6)
+
+
+@query("ml_permutation_importance")
+def q_ml_permutation_importance(spark, sf):
+    """Permutation importance (AUC drop) of every feature on the test split."""
+    models, _, feats, m = training.train_eval(spark, sf)
+    te = m.where(F.col("split") == "test")
+    pi = ml.permutation_importance(models["GBT_shallow"], te, feats)
+    return pi.select("feature", rnd("importance", 9).alias("importance"))
+
+
+@query("ml_batch_scoring")
+def q_ml_batch_scoring(spark, sf):
+    """Persisted model and threshold reloaded, test split scored."""
+    s = training.batch_scoring(spark, sf)
+    return s.select("serial_number", rnd("p", 9).alias("p"), "default_probability", "risk_score", "risk_grade",
+                    "risk_alert", "risk_action", "risk_action_optimal")

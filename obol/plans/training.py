@@ -37,3 +37,111 @@ def training_frame(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str],
     feats = nums + [f"{c}_woe" for c in cats if f"{c}_woe" in f.columns]
     m = ml.model_matrix(f, feats, keep=(C.KEY, C.LABEL, "split"))
     return materialize(m), feats, woe
+
+
+def learners(fast: bool = True, weight_col: str | None = None) -> dict:
+    return ml.base_learners(fast=fast, weight_col=weight_col)
+
+
+def train_eval(spark: SparkSession, sf: str, fast: bool = True):
+    """M4/M5: the three base learners fitted on train and scored on test."""
+    m, feats, woe = training_frame(spark, sf)
+    tr, te = m.where(F.col("split") == "train"), m.where(F.col("split") == "test")
+    models, long = ml.train_and_evaluate(tr, te, feats, learners(fast))
+    return models, long, feats, m
+
+
+def stacking_eval(spark: SparkSession, sf: str, fast: bool = True, k: int = C.KFOLDS) -> DataFrame:
+    """M13 + M11/M12: stacking fitted on train (out-of-fold meta features),
+    threshold tuned on validation, metrics reported on test next to the bases."""
+    m, feats, _ = training_frame(spark, sf)
+    tr, va, te = (m.where(F.col("split") == s) for s in ("train", "val", "test"))
+    st = ml.fit_stacking(tr, feats, learners(fast), k=k)
+
+    def long(df):
+        b = st.base_probabilities(df)
+        p = st.transform(df).select(C.KEY, F.col("p").alias("p_Stacking"))
+        j = b.join(p, C.KEY)
+        names = list(st.bases) + ["Stacking"]
+        parts = [j.select(F.lit(n).alias("model"), F.col(C.LABEL).alias("y"), F.col(f"p_{n}").alias("p")) for n in names]
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.unionByName(x)
+        return out
+
+    val_long, test_long = long(va), long(te)
+    opt = metrics.optimal_threshold(val_long, "f2").select("model", F.col("threshold").alias("val_threshold"))
+    at = test_long.join(F.broadcast(opt), "model")
+    counts = at.groupBy("model", "val_threshold").agg(
+        F.count(F.when((F.col("p") >= F.col("val_threshold")) & (F.col("y") == 1), 1)).alias("tp"),
+        F.count(F.when((F.col("p") >= F.col("val_threshold")) & (F.col("y") != 1), 1)).alias("fp"),
+        F.count(F.when((F.col("p") < F.col("val_threshold")) & (F.col("y") == 1), 1)).alias("fn"),
+        F.count(F.when((F.col("p") < F.col("val_threshold")) & (F.col("y") != 1), 1)).alias("tn"))
+    pm = metrics.point_metrics_from_counts(counts)
+    return metrics.auc(test_long).join(pm, "model")
+
+
+def sweep(spark: SparkSession, sf: str, runs: int = 30, seed: int = 42, fast: bool = True) -> DataFrame:
+    """Joint sweep over feature-set toggles (target encoding, geographic
+    risk), resampling, class weights and two tree parameters; every run is a
+    Spark pipeline scored by validation AUC; the best run is flagged.
+    Encoders are fitted on the train split only."""
+    import random
+    base = materialize(split.stratified_three_way(feature_frame(spark, sf)))
+    tr = base.where(F.col("split") == "train")
+    woe = materialize(encoders.woe_fit(tr, C.CATEGORICAL_FEATURES))
+    te_enc = materialize(encoders.target_fit(tr, C.CATEGORICAL_FEATURES))
+    geo = materialize(encoders.geo_fit(tr))
+    full = encoders.woe_apply(base, woe, C.CATEGORICAL_FEATURES)
+    full = encoders.target_apply(full, te_enc, C.CATEGORICAL_FEATURES)
+    full = encoders.geo_apply(full, geo)
+    cats, nums, _ = cleaning.resolve_feature_lists(full)
+    woe_cols = [f"{c}_woe" for c in cats if f"{c}_woe" in full.columns]
+    te_cols = [f"{c}_target_enc" for c in cats]
+    geo_cols = ["res_risk_score", "perm_risk_score", "city_risk_score", "address_stability_risk"]
+    allf = nums + woe_cols + te_cols + geo_cols
+    mat = materialize(ml.model_matrix(full, allf, keep=(C.KEY, C.LABEL, "split")))
+    train, val = mat.where(F.col("split") == "train"), mat.where(F.col("split") == "val")
+    rng = random.Random(seed)
+    rows = []
+    for r in range(runs):
+        cfg = dict(use_target_enc=rng.random() < 0.5, use_geo=rng.random() < 0.5,
+                   resampling=rng.choice(["none", "undersample"]), class_weight=rng.random() < 0.5,
+                   max_depth=rng.choice([3, 4, 5, 6]), step_size=rng.choice([0.05, 0.1, 0.2]))
+        feats = nums + woe_cols + (te_cols if cfg["use_target_enc"] else []) + (geo_cols if cfg["use_geo"] else [])
+        t = split.undersample(train) if cfg["resampling"] == "undersample" else train
+        wcol = None
+        if cfg["class_weight"]:
+            t, wcol = split.with_weights(t), "weight"
+        from pyspark.ml.classification import GBTClassifier
+        est = GBTClassifier(labelCol=C.LABEL, featuresCol="features", seed=seed, maxIter=20 if fast else 60,
+                            maxDepth=cfg["max_depth"], stepSize=cfg["step_size"], maxBins=64,
+                            **({"weightCol": wcol} if wcol else {}))
+        model = ml.fit(t, feats, est)
+        p = ml.positive_probability(model.transform(val)).select(F.col(C.LABEL).alias("y"), "p")
+        auc = metrics.auc(p).first()["auc"]  # one number per run
+        rows.append((r, cfg["use_target_enc"], cfg["use_geo"], cfg["resampling"], cfg["class_weight"],
+                     cfg["max_depth"], cfg["step_size"], len(feats), float(auc)))
+    res = spark.createDataFrame(rows, "run int, use_target_enc boolean, use_geo boolean, resampling string, "
+                                      "class_weight boolean, max_depth int, step_size double, n_features int, val_auc double")
+    best = res.agg(F.max_by("run", F.struct("val_auc", -F.col("run"))).alias("_best"))
+    return res.crossJoin(best).withColumn("best", (F.col("run") == F.col("_best")).cast("int")).drop("_best")
+
+
+def batch_scoring(spark: SparkSession, sf: str, fast: bool = True) -> DataFrame:
+    """Fit on train, persist model, WoE table and threshold,
+    load them back, score the test split and apply R1-R7."""
+    from ..operators import scoring
+    m, feats, woe = training_frame(spark, sf)
+    tr, va, te = (m.where(F.col("split") == s) for s in ("train", "val", "test"))
+    model = ml.fit(tr, feats, learners(fast)["GBT_shallow"])
+    model = ml.save_model(model, ml.state_path(spark, "model"))
+    ml.save_table(woe, ml.state_path(spark, "woe"))
+    vp = ml.positive_probability(model.transform(va)).select(F.col(C.LABEL).alias("y"), "p")
+    best = metrics.optimal_threshold(vp, "f2")
+    cfg = best.select(F.col("threshold").alias("recommended_threshold"), F.col("model").alias("recommended_model"))
+    tpath = ml.state_path(spark, "threshold")
+    scoring.write_threshold(cfg, tpath)
+    t = scoring.load_threshold(spark, tpath)
+    scored = ml.positive_probability(model.transform(te)).drop("features", "rawPrediction", "probability", "prediction")
+    return scoring.score(scored, t, prob="p")
