@@ -24,12 +24,34 @@ from .cleaning import existing
 MAX_BROADCAST_ROWS = 2_000_000
 
 
-def sized_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def sized_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, n_rows: int | None = None) -> DataFrame:
     """Broadcast hint only when the table's row count is within the bound."""
-    n = small.count()
+    n = small.count() if n_rows is None else n_rows
     return F.broadcast(small) if n <= max_rows else small
 
 
+class Fitted:
+    """A fitted encoder table cut from its lineage once (reliable checkpoint),
+    with its per-feature row counts, so lookups neither recompute the fit nor
+    count it again."""
+
+    def __init__(self, table: DataFrame):
+        from ..session import materialize
+        self.table = materialize(table)
+        # one row per fitted feature: bounded by the schema
+        self.rows = {r["feature"]: r["n"] for r in
+                     self.table.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def lookup(self, df: DataFrame, feature: str, value_col: str, out: str, default,
+               source: str | None = None, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+        return lookup(df, self.table, feature, value_col, out, default, source, max_rows,
+                      n_rows=self.rows.get(feature, 0))
+
+
+def fitted(table) -> "Fitted":
+    return table if isinstance(table, Fitted) else Fitted(table)
+
+
 def _long(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     feats = existing(df, features)
     return (df.select(F.col(label).cast("double").alias("_y"),
@@ -80,12 +102,14 @@ def iv_summary(woe: DataFrame) -> DataFrame:
 
 
 def lookup(df: DataFrame, table: DataFrame, feature: str, value_col: str, out: str, default,
-           source: str | None = None, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Left join one feature's encoder rows, unseen -> default."""
+           source: str | None = None, max_rows: int = MAX_BROADCAST_ROWS, n_rows: int | None = None) -> DataFrame:
+    """Left join one feature's encoder rows, unseen -> default.  The
+    encoder side is broadcast only when its row count is within the bound;
+    above it the join shuffles both sides on the value."""
     src = source or feature
     t = table.where(F.col("feature") == feature).select(
         F.col("value").alias("__v"), F.col(value_col).alias(out))
-    t = sized_broadcast(t, max_rows)
+    t = sized_broadcast(t, max_rows, n_rows)
     key = F.coalesce(F.col(src).cast("string"), F.lit(C.MISSING_LEVEL))
     j = df.withColumn("__k", key).join(t, F.col("__k") == F.col("__v"), "left").drop("__k", "__v")
     dflt = default if hasattr(default, "alias") else F.lit(default)
@@ -94,11 +118,11 @@ def lookup(df: DataFrame, table: DataFrame, feature: str, value_col: str, out: s
 
 def woe_apply(df: DataFrame, woe: DataFrame, features: Sequence[str]) -> DataFrame:
     """A2 transform: ``<feature>_woe`` for every fitted feature, unseen -> 0."""
-    fitted = {r["feature"] for r in woe.select("feature").distinct().collect()}  # <= #features rows
+    enc = fitted(woe)
     out = df
     for f in existing(df, features):
-        if f in fitted:
-            out = lookup(out, woe, f, "woe", f"{f}_woe", 0.0)
+        if f in enc.rows:
+            out = enc.lookup(out, f, "woe", f"{f}_woe", 0.0)
     return out
 
 
@@ -115,10 +139,11 @@ def target_fit(df: DataFrame, features: Sequence[str], label: str = C.LABEL,
 
 def target_apply(df: DataFrame, enc: DataFrame, features: Sequence[str]) -> DataFrame:
     """A5 transform: ``<feature>_target_enc``; unseen -> global mean."""
-    g = enc.select("global_mean").limit(1)
+    enc = fitted(enc)
+    g = enc.table.select("global_mean").limit(1)
     out = df.crossJoin(F.broadcast(g.withColumnRenamed("global_mean", "__gm")))
     for f in existing(df, features):
-        out = lookup(out, enc, f, "target_enc", f"{f}_target_enc", F.col("__gm"))
+        out = enc.lookup(out, f, "target_enc", f"{f}_target_enc", F.col("__gm"))
     return out.drop("__gm")
 
 
@@ -132,9 +157,10 @@ def frequency_fit(df: DataFrame, features: Sequence[str], stats: DataFrame | Non
 
 
 def frequency_apply(df: DataFrame, enc: DataFrame, features: Sequence[str]) -> DataFrame:
+    enc = fitted(enc)
     out = df
     for f in existing(df, features):
-        out = lookup(out, enc, f, "freq", f"{f}_freq", 0.0)
+        out = enc.lookup(out, f, "freq", f"{f}_freq", 0.0)
     return out
 
 
@@ -172,12 +198,13 @@ def risk_level(c) -> object:
 def geo_apply(df: DataFrame, geo: DataFrame, res: str = "post_res", perm: str = "post_perm") -> DataFrame:
     """A6-A9 transform: res/perm/city risk (unseen -> global), risk level,
     address stability risk = 0.3 * (1 - match) + 0.7 * res risk."""
-    g = geo.select("global_rate").limit(1).withColumnRenamed("global_rate", "__g")
+    enc = fitted(geo)
+    g = enc.table.select("global_rate").limit(1).withColumnRenamed("global_rate", "__g")
     out = df.crossJoin(F.broadcast(g))
-    out = lookup(out, geo, "res", "risk", "res_risk_score", F.col("__g"), source=res)
+    out = enc.lookup(out, "res", "risk", "res_risk_score", F.col("__g"), source=res)
     out = out.withColumn("__city", F.substring(F.col(res).cast("string"), 1, C.CITY_PREFIX_LEN))
-    out = lookup(out, geo, "perm", "risk", "perm_risk_score", F.col("__g"), source=perm)
-    out = lookup(out, geo, "city", "risk", "city_risk_score", F.col("__g"), source="__city")
+    out = enc.lookup(out, "perm", "risk", "perm_risk_score", F.col("__g"), source=perm)
+    out = enc.lookup(out, "city", "risk", "city_risk_score", F.col("__g"), source="__city")
     out = out.withColumn("res_risk_level", risk_level("res_risk_score"))
     if "address_match" in out.columns:
         out = out.withColumn("address_stability_risk",

@@ -780,7 +780,7 @@ FROM clients"""
 SCREEN = ["annual_income", "loan_amount", "credit_history_months", "total_credit_limit", "on_time_payment_rate",
           "credit_utilization_rate", "savings_to_income_ratio", "debt_to_income_ratio", "monthly_income"]
 ORACLE["feature_variance"] = with_(CLIENTS) + " " + " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, round(var_samp({c}), 6) AS variance, CAST(coalesce(var_samp({c}), 0e0) < 1e-2 AS INTEGER) AS low_variance FROM clients"
+    f"SELECT '{c}' AS feature, round(var_samp({c}), 3) AS variance, CAST(coalesce(var_samp({c}), 0e0) < 1e-2 AS INTEGER) AS low_variance FROM clients"
     for c in SCREEN)
 _PAIRS = [(a, b) for i, a in enumerate(SCREEN) for b in SCREEN[i + 1:]]
 ORACLE["feature_correlation"] = with_(CLIENTS, "fc AS (" + " UNION ALL ".join(

@@ -696,7 +696,7 @@ SCREEN_COLS = ["annual_income", "loan_amount", "credit_history_months", "total_c
 def q_feature_variance(spark, sf):
     """Sample variance and low-variance flag per numeric client feature."""
     var, _ = monitor.feature_screen(fx.clients(spark, sf), SCREEN_COLS)
-    return var.select("feature", rnd("variance", 6).alias("variance"), "low_variance")
+    return var.select("feature", rnd("variance", 3).alias("variance"), "low_variance")
 
 
 @query("feature_correlation")

@@ -12,8 +12,17 @@ from pyspark.sql import functions as F
 from .. import config as C
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a source that has fewer splits than the cluster has cores
+    (a single-row-group file is one task).  Large inputs already arrive in
+    many splits and are left as they are, so this never adds a shuffle at
+    scale."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def _i(x: int):
