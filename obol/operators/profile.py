@@ -153,3 +153,13 @@ def experiment_record(split_df: DataFrame, experiment_id: str, model_name: str,
         m = metrics.agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("metrics"))
         rec = rec.crossJoin(m)  # metrics: a handful of rows
     return rec
+
+
+def enrich(left, right, left_key: str, right_key: str, source: str = "crm"):
+    """Left join of an enrichment source by key, plus the match-rate
+    report ``(source, total, matched, match_rate)`` over the left rows."""
+    r = right.withColumn("__matched", F.lit(1))
+    j = left.join(r, left[left_key] == r[right_key], "left")
+    report = j.agg(F.count(F.lit(1)).alias("total"), F.count("__matched").alias("matched")).select(
+        F.lit(source).alias("source"), "total", "matched", (F.col("matched") / F.col("total")).alias("match_rate"))
+    return j.drop("__matched"), report

@@ -284,4 +284,5 @@ def prediction_summary(scored: DataFrame) -> DataFrame:
           GROUP BY GROUPING SETS ((risk_grade), (risk_action), (risk_action_optimal), (predicted_default),
                                   (predicted_default_optimal), (threshold_difference)))
         SELECT dimension, value, n, n / sum(n) OVER (PARTITION BY dimension) AS share FROM g
+        ORDER BY dimension, n DESC, value
     """)

@@ -888,3 +888,30 @@ _OH = {"residence_status": ["dormitory", "family", "owned", "rented", "spouse"],
 ORACLE["one_hot"] = with_(LOANS) + " SELECT serial_number, " + ", ".join(
     f"CAST(coalesce(CAST({c} AS VARCHAR), 'missing') = '{x}' AS INTEGER) AS \"{c}__{x}\""
     for c, levels in _OH.items() for x in levels[1:]) + " FROM loans"
+
+
+# ======================================================= remaining rows
+ORACLE["crm_enrichment"] = with_(LOANS, CLIENTS) + """
+SELECT l.serial_number, l.id, c.age, c.annual_income, c.job_category FROM loans l LEFT JOIN clients c ON c.customer_id = l.id"""
+ORACLE["crm_match_rate"] = with_(LOANS, CLIENTS) + """
+SELECT 'crm' AS source, count(*) AS total, count(c.customer_id) AS matched, round(count(c.customer_id) / count(*), 12) AS match_rate
+FROM loans l LEFT JOIN clients c ON c.customer_id = l.id"""
+
+_MN = ["month_salary", "job_tenure", "payment_progress_ratio", "job_stable", "address_match", "residence_stable",
+       "dti_ratio", "payment_pressure", "total_overdue_count", "early_overdue_count", "ema_overdue", "loan_term",
+       "paid_installments"]
+_J, _C = _lookup_joins("featm2", "wall", "woe", "woe", "0e0")
+ORACLE["model_matrix"] = with_(LOANS, woe_ctes("labeled", "wall"), f"""
+featm2 AS (SELECT l.*, {ROW_FEATURES}, {OVERDUE_SELECT} FROM labeled l),
+mm AS (SELECT featm2.*, {_C} FROM featm2 {_J})""") + " SELECT serial_number, " + ", ".join(
+    f"round(coalesce(CAST({c} AS DOUBLE), 0e0), 9) AS {c}" for c in _MN + [f"{c}_woe" for c in CATS]) + " FROM mm"
+
+ORACLE["client_model_input"] = with_(CLIENTS) + """
+SELECT customer_id, coalesce(debt_to_income_ratio, CASE WHEN annual_income <> 0 THEN loan_amount / annual_income END)
+       AS debt_to_income_ratio, annual_income, loan_amount FROM clients"""
+
+ORACLE["outlier_capping_zscore"] = with_(CLIENTS, "zs AS (SELECT " + ", ".join(
+    f"avg({c}) AS {c}_m, stddev_samp({c}) AS {c}_s" for c in ["annual_income", "loan_amount", "debt_to_income_ratio"])
+    + " FROM clients)") + " SELECT customer_id, " + ", ".join(
+    f"round(least(greatest({c}, {c}_m - 3e0 * {c}_s), {c}_m + 3e0 * {c}_s), 6) AS {c}"
+    for c in ["annual_income", "loan_amount", "debt_to_income_ratio"]) + " FROM clients, zs"

@@ -917,3 +917,58 @@ def q_ml_batch_scoring(spark, sf):
     s = training.batch_scoring(spark, sf)
     return s.select("serial_number", rnd("p", 9).alias("p"), "default_probability", "risk_score", "risk_grade",
                     "risk_alert", "risk_action", "risk_action_optimal")
+
+
+# --------------------------------------------------------- remaining rows
+@query("crm_enrichment")
+def q_crm_enrichment(spark, sf):
+    """Loans left-joined to the client (CRM) table by client id."""
+    j, _ = profile.enrich(fx.loans(spark, sf), fx.clients(spark, sf), "id", "customer_id")
+    return j.select("serial_number", "id", "age", "annual_income", "job_category")
+
+
+@query("crm_match_rate")
+def q_crm_match_rate(spark, sf):
+    """Match-rate report of the loan -> CRM enrichment."""
+    _, rep = profile.enrich(fx.loans(spark, sf), fx.clients(spark, sf), "id", "customer_id")
+    return rep.select("source", "total", "matched", rnd("match_rate", 12).alias("match_rate"))
+
+
+MATRIX_NUMERIC = ["month_salary", "job_tenure", "payment_progress_ratio", "job_stable", "address_match",
+                  "residence_stable", "dti_ratio", "payment_pressure", "total_overdue_count", "early_overdue_count",
+                  "ema_overdue", "loan_term", "paid_installments"]
+
+
+@query("model_matrix")
+def q_model_matrix(spark, sf):
+    """Numeric features and WoE columns as doubles, null -> 0."""
+    l = featured_loans(spark, sf)
+    a = encoders.woe_apply(l, encoders.woe_fit(l, C.CATEGORICAL_FEATURES), C.CATEGORICAL_FEATURES)
+    cols = [c for c in MATRIX_NUMERIC] + [f"{c}_woe" for c in C.CATEGORICAL_FEATURES]
+    m = ml.model_matrix(a, cols, keep=(C.KEY,))
+    return m.select(C.KEY, *[rnd(c, 9).alias(c) for c in cols])
+
+
+@query("client_model_input")
+def q_client_model_input(spark, sf):
+    """Model input DTI, derived from debt / income where it is missing."""
+    c = cleaning.model_input_dti(fx.clients(spark, sf), debt="loan_amount")
+    return c.select("customer_id", "debt_to_income_ratio", "annual_income", "loan_amount")
+
+
+@query("outlier_capping_zscore")
+def q_outlier_capping_zscore(spark, sf):
+    """D3: z-score capping (mean +- 3 sample std)."""
+    c = monitor.cap_outliers(fx.clients(spark, sf), C.OUTLIER_COLUMNS, method="zscore")
+    return c.select("customer_id", *[rnd(x, 6).alias(x) for x in C.OUTLIER_COLUMNS])
+
+
+@query("ml_linear_attribution")
+def q_ml_linear_attribution(spark, sf):
+    """M18 (linear part): logistic model weights -> mean |w (x - mean x)| per feature on test."""
+    from pyspark.ml.classification import LogisticRegression
+    m, feats, _ = training.training_frame(spark, sf)
+    tr, te = m.where(F.col("split") == "train"), m.where(F.col("split") == "test")
+    lr = ml.fit(tr, feats, LogisticRegression(labelCol=C.LABEL, featuresCol="features", maxIter=200))
+    w = dict(zip(feats, lr.stages[-1].coefficients.toArray().tolist()))  # one weight per feature
+    return ml.linear_attribution(te, w).select("feature", rnd("importance", 9).alias("importance"))
