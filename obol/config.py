@@ -52,6 +52,14 @@ OTHER_LEVEL = "other"
 # FIXED VALUES (must equal the reproduced behaviour)
 # ==========================================================================
 
+# Upload contract: required columns (reject when missing) and optional columns
+# (added with default 0 and a warning), in our column names
+REQUIRED_UPLOAD_COLUMNS = ["loan_term", "paid_installments", "post_res", "education", "main_business",
+                           "job_tenure", "month_salary", "post_perm", "residence_status", "product"]
+OPTIONAL_UPLOAD_COLUMNS = ["o0", "o1", "o2", "o3", "o4", "o5", "o6", "o7",
+                           "debt_to_income_ratio", "payment_to_income_ratio"]
+INTERNAL_RESULT_COLUMNS = ["predicted_default", "predicted_default_optimal", "threshold_difference"]
+
 # Label by bucket list (second labelling rule)
 DEFAULT_BUCKETS = ["M1-1", "M1-2", "M2", "M3", "M4", "M5", "M6"]
 

@@ -147,8 +147,9 @@ def risk_adjusted_score(base, age, employment, education) -> Column:
 
 
 def batch_client_scoring(df: DataFrame, prob_cols: Sequence[str], id_col: str = "customer_id") -> DataFrame:
-    """Per client the mean of model probabilities, score and category;
-    an ineligible client (P26) gets score 0, category ERROR and p = 1 for every model."""
+    """Per client the mean of model probabilities, score, Good/Bad
+    category (R10) and score band (R9); an ineligible client (P26) gets score 0,
+    category ERROR and p = 1 for every model."""
     from .cleaning import validate_clients
     v = validate_clients(df)
     ok = F.col("is_valid") == 1
@@ -156,7 +157,8 @@ def batch_client_scoring(df: DataFrame, prob_cols: Sequence[str], id_col: str =
     risk = ((1 - mean_p) * 100).cast("int")
     cols = [F.col(id_col).alias("client_id"),
             F.when(ok, risk).otherwise(F.lit(0)).alias("risk_score"),
-            F.when(ok, score_band(risk)).otherwise(F.lit("ERROR")).alias("risk_category"),
+            F.when(ok, good_bad(mean_p)).otherwise(F.lit("ERROR")).alias("risk_category"),
+            F.when(ok, score_band(risk)).otherwise(F.lit("ERROR")).alias("score_grade"),
             F.when(ok, mean_p).otherwise(F.lit(1.0)).alias("default_probability")]
     cols += [F.when(ok, F.col(c)).otherwise(F.lit(1.0)).alias(c) for c in prob_cols]
     return v.select(*cols, F.col("is_valid"))
@@ -250,13 +252,14 @@ def convert_currency(c, rate: float = C.USD_PER_NTD) -> Column:
 
 # -------------------------------------------------------------- summaries
 def batch_summary(scored: DataFrame) -> DataFrame:
-    """N, counts by grade letter, avg/max/min probability (one pass)."""
+    """N, counts by grade letter, avg/max/min probability rounded to 2
+    decimals half-even (one pass)."""
     aggs = [F.count(F.lit(1)).alias("n")]
     for g in C.GRADES:
         aggs.append(F.count(F.when(F.col("risk_grade") == g, 1)).alias(f"grade_{g[0]}"))
-    aggs += [F.avg("default_probability").alias("avg_probability"),
-             F.max("default_probability").alias("max_probability"),
-             F.min("default_probability").alias("min_probability")]
+    aggs += [round_half_even(F.avg("default_probability"), 2).alias("avg_probability"),
+             round_half_even(F.max("default_probability"), 2).alias("max_probability"),
+             round_half_even(F.min("default_probability"), 2).alias("min_probability")]
     return scored.agg(*aggs)
 
 

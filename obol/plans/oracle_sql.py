@@ -246,8 +246,8 @@ SELECT serial_number, coalesce(salary, m_sal) AS salary, coalesce(job_tenure, m_
 FROM c0, c_med"""
 
 ORACLE["header_contract"] = with_(LOANS) + """
-SELECT serial_number, month_salary, CAST(0 AS INTEGER) AS credit_score, CAST(0 AS INTEGER) AS default_prob,
-       CAST(0 AS INTEGER) AS loan_amount, CAST(0 AS INTEGER) AS monthly_payment FROM labeled"""
+SELECT serial_number, month_salary, o0, o1, o2, o3, o4, o5, o6, o7, CAST(0 AS INTEGER) AS debt_to_income_ratio,
+       CAST(0 AS INTEGER) AS payment_to_income_ratio FROM labeled"""
 
 ROW_FEATURES = """
   coalesce(CASE WHEN CAST(loan_term AS DOUBLE) = 0 THEN CASE WHEN CAST(paid_installments AS DOUBLE) > 0 THEN 1e0 ELSE 0e0 END
@@ -713,8 +713,9 @@ ORACLE["batch_summary"] = with_(*_SC) + """
 SELECT count(*) AS n, """ + ", ".join(
     f"count(CASE WHEN risk_grade = '{g}' THEN 1 END) AS grade_{g[0]}"
     for g in ["A (Excellent)", "B (Moderate)", "C (Warning)", "D (Poor)", "E (Critical)"]) + """,
-       max(default_probability) AS max_probability, min(default_probability) AS min_probability,
-       round(avg(default_probability), 9) AS avg_probability FROM scored"""
+       round_even(max(default_probability) * 100e0, 0) / 100e0 AS max_probability,
+       round_even(min(default_probability) * 100e0, 0) / 100e0 AS min_probability,
+       round_even(avg(default_probability) * 100e0, 0) / 100e0 AS avg_probability FROM scored"""
 
 _DIMS = ["risk_grade", "risk_action", "risk_action_optimal", "predicted_default", "predicted_default_optimal",
          "threshold_difference"]
@@ -737,8 +738,9 @@ cb AS (SELECT *, ((0e0 + p_job) + p_education) + p_employment AS psum, len({ELIG
 cb2 AS (SELECT *, psum / 3e0 AS mp, CAST(trunc((1 - psum / 3e0) * 100) AS INTEGER) AS rs FROM cb)"""
 ORACLE["client_batch_scoring"] = with_(CLIENTS, CP) + """
 SELECT customer_id AS client_id, CASE WHEN ok THEN rs ELSE 0 END AS risk_score,
+       CASE WHEN NOT ok THEN 'ERROR' WHEN mp >= 5e-1 THEN 'Bad' ELSE 'Good' END AS risk_category,
        CASE WHEN NOT ok THEN 'ERROR' WHEN rs >= 80 AND rs <= 100 THEN 'EXCELLENT' WHEN rs >= 60 AND rs <= 79 THEN 'GOOD'
-            WHEN rs >= 40 AND rs <= 59 THEN 'FAIR' WHEN rs >= 20 AND rs <= 39 THEN 'POOR' ELSE 'BAD' END AS risk_category,
+            WHEN rs >= 40 AND rs <= 59 THEN 'FAIR' WHEN rs >= 20 AND rs <= 39 THEN 'POOR' ELSE 'BAD' END AS score_grade,
        round(CASE WHEN ok THEN mp ELSE 1e0 END, 12) AS default_probability,
        round(CASE WHEN ok THEN p_job ELSE 1e0 END, 12) AS p_job,
        round(CASE WHEN ok THEN p_education ELSE 1e0 END, 12) AS p_education,
@@ -915,3 +917,8 @@ ORACLE["outlier_capping_zscore"] = with_(CLIENTS, "zs AS (SELECT " + ", ".join(
     + " FROM clients)") + " SELECT customer_id, " + ", ".join(
     f"round(least(greatest({c}, {c}_m - 3e0 * {c}_s), {c}_m + 3e0 * {c}_s), 6) AS {c}"
     for c in ["annual_income", "loan_amount", "debt_to_income_ratio"]) + " FROM clients, zs"
+
+
+ORACLE["upload_scoring"] = with_(*_SC) + """
+SELECT serial_number, id, default_probability, risk_score, risk_grade, risk_alert, risk_action, risk_action_optimal,
+       0e0 AS payment_pressure FROM scored"""

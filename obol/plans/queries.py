@@ -110,9 +110,6 @@ def q_risk_scoring(spark, sf):
 from ..operators import history, monitor, profile, split  # noqa: E402
 
 LOAN_NUMERIC_TEXT = ["salary_raw", "loan_term", "paid_installments", "overdue_days"]
-REQUIRED_COLUMNS = ["serial_number", "id", "application_date", "month_salary", "job_tenure", "loan_term",
-                    "paid_installments", "post_res", "post_perm", "residence_status"]
-OPTIONAL_DEFAULTS = ["credit_score", "default_prob", "loan_amount", "monthly_payment"]
 RESIDENCE_CODES = ["owned", "rented", "spouse", "family", "dormitory"]
 
 
@@ -145,18 +142,23 @@ def q_clean_loans(spark, sf):
                                             "main_business", "post_res", "product", "paid_installments")
 
 
+def upload_frame(spark, sf):
+    """An upload as a user sends it: headers with blanks/line breaks, and
+    without the two optional ratio columns."""
+    l = labeled_loans(spark, sf).drop("debt_to_income_ratio", "payment_to_income_ratio")
+    return l.toDF(*[f"\n{c.replace('_', ' ')} " for c in l.columns])
+
+
 @query("header_contract")
 def q_header_contract(spark, sf):
-    """Messy headers normalised, contract checked, optional columns
-    defaulted, internal columns dropped."""
-    l = labeled_loans(spark, sf)
-    messy = l.toDF(*[f"\n{c.replace('_', ' ')} " for c in l.columns])
-    n = cleaning.normalize_headers(messy, snake_case=True)
-    n = cleaning.require_columns(n, REQUIRED_COLUMNS)
-    n, _warn = cleaning.fill_optional_columns(n, OPTIONAL_DEFAULTS, 0)
+    """Headers normalised, required columns checked, missing
+    optional columns defaulted to 0, internal columns dropped."""
+    n = cleaning.normalize_headers(upload_frame(spark, sf), snake_case=True)
+    n = cleaning.require_columns(n, C.REQUIRED_UPLOAD_COLUMNS)
+    n, _warn = cleaning.fill_optional_columns(n, C.OPTIONAL_UPLOAD_COLUMNS, 0)
     n = cleaning.drop_internal(n, ["salary_raw", "score_p"])
     sal_col = cleaning.find_column(n, "salary")
-    return n.select("serial_number", F.col(sal_col).alias("month_salary"), *OPTIONAL_DEFAULTS)
+    return n.select("serial_number", F.col(sal_col).alias("month_salary"), *C.OPTIONAL_UPLOAD_COLUMNS)
 
 
 @query("row_features")
@@ -615,8 +617,7 @@ def q_grade_translation(spark, sf):
 def q_batch_summary(spark, sf):
     """Batch size, grade counts, probability range."""
     s, _ = scored_loans(spark, sf)
-    b = scoring.batch_summary(s)
-    return b.select(*[c for c in b.columns if c != "avg_probability"], rnd("avg_probability", 9).alias("avg_probability"))
+    return scoring.batch_summary(s)
 
 
 @query("prediction_summary")
@@ -654,7 +655,8 @@ def q_client_batch_scoring(spark, sf):
     """Batch scoring with error rows for ineligible clients."""
     c = client_probabilities(spark, sf)
     b = scoring.batch_client_scoring(c, list(CLIENT_MODELS))
-    return b.select("client_id", "risk_score", "risk_category", rnd("default_probability", 12).alias("default_probability"),
+    return b.select("client_id", "risk_score", "risk_category", "score_grade",
+                    rnd("default_probability", 12).alias("default_probability"),
                     *[rnd(m, 12).alias(m) for m in CLIENT_MODELS], "is_valid",
                     scoring.good_bad("default_probability").alias("classification"))
 
@@ -972,3 +974,14 @@ def q_ml_linear_attribution(spark, sf):
     lr = ml.fit(tr, feats, LogisticRegression(labelCol=C.LABEL, featuresCol="features", maxIter=200))
     w = dict(zip(feats, lr.stages[-1].coefficients.toArray().tolist()))  # one weight per feature
     return ml.linear_attribution(te, w).select("feature", rnd("importance", 9).alias("importance"))
+
+
+@query("upload_scoring")
+def q_upload_scoring(spark, sf):
+    """Upload -> header clean-up -> contract -> optional defaults -> row and
+    overdue features -> scores -> internal columns dropped."""
+    from . import upload
+    t = optimal_threshold_table(labeled_loans(spark, sf))
+    out, warned = upload.upload_scoring(upload_frame(spark, sf), t, prob="score_p")
+    return out.select("serial_number", "id", "default_probability", "risk_score", "risk_grade", "risk_alert",
+                      "risk_action", "risk_action_optimal", rnd("payment_pressure", 12).alias("payment_pressure"))
