@@ -922,3 +922,38 @@ ORACLE["outlier_capping_zscore"] = with_(CLIENTS, "zs AS (SELECT " + ", ".join(
 ORACLE["upload_scoring"] = with_(*_SC) + """
 SELECT serial_number, id, default_probability, risk_score, risk_grade, risk_alert, risk_action, risk_action_optimal,
        0e0 AS payment_pressure FROM scored"""
+
+
+# =================================================== nearest neighbours
+_KF = ["job_tenure", "loan_term", "paid_installments", "overdue_days", "debt_to_income_ratio", "payment_to_income_ratio"]
+_KD = " + ".join(f"(CAST(a.{c} AS DOUBLE) - CAST(b.{c} AS DOUBLE)) * (CAST(a.{c} AS DOUBLE) - CAST(b.{c} AS DOUBLE))" for c in _KF)
+ORACLE["knn_impute"] = with_(LOANS, f"""
+kr AS (SELECT * FROM loans WHERE month_salary IS NULL),
+kd AS (SELECT * FROM loans WHERE month_salary IS NOT NULL),
+kp AS (SELECT a.serial_number AS s, b.serial_number AS ds, b.month_salary AS y, sqrt({_KD}) AS dist FROM kr a, kd b),
+kt AS (SELECT s, y FROM kp QUALIFY row_number() OVER (PARTITION BY s ORDER BY dist, ds) <= 5),
+ki AS (SELECT s, avg(y) AS y FROM kt GROUP BY s)""") + """
+SELECT l.serial_number, round(coalesce(l.month_salary, ki.y), 6) AS month_salary
+FROM loans l LEFT JOIN ki ON ki.s = l.serial_number"""
+
+
+def _u(expr: str, salt: str) -> str:
+    return f"(CAST(('0x' || substr(md5(CAST({expr} AS VARCHAR) || '|42|{salt}'), 1, 8)) AS BIGINT) / 4294967296e0)"
+
+
+ORACLE["smote"] = with_(LOANS, f"""
+mino AS (SELECT serial_number, {', '.join(_KF)} FROM labeled WHERE default_flag = 1),
+cnt AS (SELECT count(*) FILTER (WHERE default_flag = 1) AS nmin, count(*) FILTER (WHERE default_flag = 0) AS nmaj FROM labeled),
+mpos AS (SELECT *, row_number() OVER (ORDER BY serial_number) - 1 AS pos FROM mino),
+nnp AS (SELECT a.serial_number AS q, b.serial_number AS nk, sqrt({_KD}) AS dist FROM mino a, mino b
+        WHERE a.serial_number <> b.serial_number),
+nn AS (SELECT q, nk, row_number() OVER (PARTITION BY q ORDER BY dist, nk) AS r FROM nnp QUALIFY r <= 3),
+gen AS (SELECT i, CAST(floor({_u('i', 'row')} * nmin) AS BIGINT) AS pos, CAST(floor({_u('i', 'nn')} * 3) + 1 AS BIGINT) AS r,
+               {_u('i', 'gap')} AS u
+        FROM cnt, range(CAST((SELECT greatest(nmaj - nmin, 0) FROM cnt) AS BIGINT)) t(i)),
+syn AS (SELECT -(g.i + 1) AS serial_number, {', '.join(f'm.{c} + g.u * (b.{c} - m.{c}) AS {c}' for c in _KF)}
+        FROM gen g JOIN mpos m ON m.pos = g.pos JOIN nn ON nn.q = m.serial_number AND nn.r = g.r
+        JOIN mino b ON b.serial_number = nn.nk)""") + f"""
+SELECT serial_number, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _KF)}, 0 AS synthetic, default_flag FROM labeled
+UNION ALL
+SELECT serial_number, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _KF)}, 1, 1 FROM syn"""

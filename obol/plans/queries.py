@@ -985,3 +985,25 @@ def q_upload_scoring(spark, sf):
     out, warned = upload.upload_scoring(upload_frame(spark, sf), t, prob="score_p")
     return out.select("serial_number", "id", "default_probability", "risk_score", "risk_grade", "risk_alert",
                       "risk_action", "risk_action_optimal", rnd("payment_pressure", 12).alias("payment_pressure"))
+
+
+# ------------------------------------------------------ nearest neighbours
+from ..operators import neighbors  # noqa: E402
+
+KNN_FEATURES = ["job_tenure", "loan_term", "paid_installments", "overdue_days", "debt_to_income_ratio",
+                "payment_to_income_ratio"]
+
+
+@query("knn_impute")
+def q_knn_impute(spark, sf):
+    """M3: missing month salary -> mean over the 5 nearest loans that have it (exact kNN)."""
+    l = cleaning.fill_zero(fx.loans(spark, sf))
+    out = neighbors.knn_impute(l, "month_salary", KNN_FEATURES, C.KEY, k=5)
+    return out.select("serial_number", rnd("month_salary", 6).alias("month_salary"))
+
+
+@query("smote")
+def q_smote(spark, sf):
+    """SMOTE (k = 3, balance) over the defaulted loans, exact neighbours."""
+    out = neighbors.smote(labeled_loans(spark, sf), C.LABEL, KNN_FEATURES, C.KEY, k=3)
+    return out.select(C.KEY, *KNN_FEATURES, "synthetic", C.LABEL)
