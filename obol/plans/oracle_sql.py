@@ -674,7 +674,7 @@ apc AS (SELECT model, pos, sum(pos) OVER (PARTITION BY model ORDER BY p DESC ROW
                sum(pos + neg) OVER (PARTITION BY model ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cpp
         FROM dv),
 ap AS (SELECT model, sum(pos * (ctp / cpp)) / sum(pos) AS auc_pr FROM apc GROUP BY model)""") + """
-SELECT model, round(brier, 9) AS brier, round(auc_pr, 9) AS auc_pr FROM br JOIN ap USING (model)"""
+SELECT model, round(brier * (1 + 1e-12), 9) AS brier, round(auc_pr * (1 + 1e-12), 9) AS auc_pr FROM br JOIN ap USING (model)"""
 
 
 # ================================================== batch 3: score outputs

@@ -32,6 +32,14 @@ def rnd(c, digits: int = R):
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 
 
+def rnd_tie(c, digits: int = R):
+    """Rounding for averages of decimal-granular values, whose exact value can
+    sit on a rounding tie: a relative nudge of 1e-12 (far above summation
+    noise, far below the kept digits) moves both engines off the tie alike."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.round(x * F.lit(1 + 1e-12), digits)
+
+
 # ------------------------------------------------------------ shared prep
 def labeled_loans(spark: SparkSession, sf: str) -> DataFrame:
     """F1 loans with the M1+ label."""
@@ -556,7 +564,7 @@ def q_brier_aucpr(spark, sf):
     """Brier score and average precision per scorer."""
     s = scored_models(spark, sf)
     return metrics.brier(s).join(metrics.average_precision(s), "model").select(
-        "model", rnd("brier", 9).alias("brier"), rnd("auc_pr", 9).alias("auc_pr"))
+        "model", rnd_tie("brier", 9).alias("brier"), rnd_tie("auc_pr", 9).alias("auc_pr"))
 
 
 # ------------------------------------------------------- score outputs
