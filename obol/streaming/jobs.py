@@ -78,7 +78,7 @@ def overdue_period_counts(events: DataFrame, event_type: str = "error", watermar
     # event time: the wall-clock ``timestamp_ntz`` read as UTC, independent of the session time zone
     tz = events.sparkSession.conf.get("spark.sql.session.timeZone")
     ev = (events.where(F.col("event_type") == event_type)
-          .withColumn("ts", F.to_utc_timestamp(F.col("ts").cast("timestamp"), tz))
+          .withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), tz))
           .withWatermark("ts", watermark))
     return ev.groupBy("user_id", F.window("ts", f"{PERIOD_HOURS} hours", f"{PERIOD_HOURS} hours",
                                           f"{offset} hours")).agg(F.count(F.lit(1)).alias("n"))

@@ -233,3 +233,18 @@ def test_enrich_match_rate(spark):
     j, rep = profile.enrich(l, c, "id", "customer_id")
     r = rep.first()
     assert (r["total"], r["matched"]) == (3, 2) and j.count() == 3
+
+
+def test_event_time_independent_of_session_time_zone(spark):
+    from obol.plans.queries import QUERIES
+    from tests.oracle_harness import compare, duck_connect
+    con = duck_connect("/root/testdata/sf0.001")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("Asia/Taipei", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            for name in ("stream_overdue_features", "temporal_features", "time_range"):
+                r = compare(spark, con, name, "/root/testdata/sf0.001")
+                assert r["status"] == "ok", (tz, name, r.get("problems"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
