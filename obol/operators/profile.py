@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .cleaning import exact_quantiles, exact_quantiles_multi, existing
+from .cleaning import exact_quantiles, exact_quantiles_multi
 
 
 def label_distribution(df: DataFrame, label: str = C.LABEL, by: str | None = "split") -> DataFrame:
