@@ -289,3 +289,63 @@ def prediction_summary(scored: DataFrame) -> DataFrame:
         SELECT dimension, value, n, n / sum(n) OVER (PARTITION BY dimension) AS share FROM g
         ORDER BY dimension, n DESC, value
     """)
+
+
+# ---------------------------------------------------- S10 / R15 helpers
+COLUMN_NOTES = [  # column, description, calculation ("{t}" = optimal threshold, "{a}" = A-grade cut)
+    ("serial_number", "case number", "input column"),
+    ("application_date", "application date", "input column"),
+    ("id", "client id", "input column"),
+    ("default_probability", "predicted probability of default (0-100%)", "model probability x 100, 2 decimals"),
+    ("risk_score", "risk score (0-100, higher is safer)", "(1 - probability) x 100, truncated"),
+    ("risk_grade", "risk grade A best .. E worst", "A >= {a}, B >= 60, C >= 40, D >= 20, E < 20"),
+    ("risk_action", "management action at the standard threshold 0.5", "by grade and warning flags"),
+    ("risk_action_optimal", "management action at the optimal threshold {t}", "escalated when flagged at {t}"),
+    ("risk_alert", "five-level alert", "same cuts as the grade"),
+    ("predicted_default", "high-risk flag at 0.5", "probability >= 0.5"),
+    ("predicted_default_optimal", "high-risk flag at {t}", "probability >= {t}"),
+    ("threshold_difference", "flags disagree", "predicted_default != predicted_default_optimal"),
+]
+
+
+def column_dictionary(scored: DataFrame, threshold: DataFrame) -> DataFrame:
+    """Description and calculation of every result column present in the
+    scored frame, with the threshold-dependent values filled in (one broadcast
+    threshold row; the dictionary has one row per column)."""
+    spark = scored.sparkSession
+    rows = [(i, c, d, k) for i, (c, d, k) in enumerate(COLUMN_NOTES) if c in scored.columns]
+    dim = spark.createDataFrame(rows, "column_order int, column_name string, description string, calculation string")
+    t = threshold.select(F.format_string("%.3f", F.col("optimal_threshold")).alias("__t"),
+                         ((1 - F.col("optimal_threshold")) * 100).cast("int").cast("string").alias("__a")).limit(1)
+    j = dim.crossJoin(F.broadcast(t))
+
+    def fill(c):
+        return F.replace(F.replace(F.col(c), F.lit("{t}"), F.col("__t")), F.lit("{a}"), F.col("__a"))
+
+    return j.select("column_order", "column_name", fill("description").alias("description"),
+                    fill("calculation").alias("calculation"))
+
+
+SUMMARY_ITEMS = ["education", "month_salary", "job_tenure", "residence_status", "main_business", "product",
+                 "loan_term", "paid_installments", "debt_to_income_ratio", "payment_to_income_ratio",
+                 "post_perm", "post_res"]
+
+
+def input_summary(df: DataFrame, key: str = "serial_number") -> DataFrame:
+    """Per-client input summary as (key, item, value) rows, including the
+    total overdue count; ratios shown with 2 decimals (half-even)."""
+    from .. import config as C
+    items = [c for c in SUMMARY_ITEMS if c in df.columns]
+    types = dict(df.dtypes)
+
+    def text(c):
+        if c in ("debt_to_income_ratio", "payment_to_income_ratio"):
+            return round_half_even(F.col(c).cast("double"), 2).cast("string")
+        if c == "month_salary":
+            return F.col(c).cast("bigint").cast("string")
+        return F.col(c).cast("string") if types[c] != "string" else F.col(c)
+
+    overdue = [c for c in C.OVERDUE_COLS if c in df.columns]
+    total = sum((F.coalesce(F.col(c), F.lit(0)) for c in overdue), F.lit(0)).cast("string")
+    wide = df.select(key, *[text(c).alias(c) for c in items], total.alias("total_overdue_count"))
+    return wide.unpivot([key], items + ["total_overdue_count"], "item", "value")

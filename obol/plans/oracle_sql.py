@@ -957,3 +957,37 @@ syn AS (SELECT -(g.i + 1) AS serial_number, {', '.join(f'm.{c} + g.u * (b.{c} -
 SELECT serial_number, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _KF)}, 0 AS synthetic, default_flag FROM labeled
 UNION ALL
 SELECT serial_number, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _KF)}, 1, 1 FROM syn"""
+
+
+# ================================================ S10 dictionary / R15 summary
+ORACLE["column_dictionary"] = with_(LOANS, GRID, THRESH, """
+cn AS (SELECT * FROM (VALUES
+  (0, 'serial_number', 'case number', 'input column'),
+  (1, 'application_date', 'application date', 'input column'),
+  (2, 'id', 'client id', 'input column'),
+  (3, 'default_probability', 'predicted probability of default (0-100%)', 'model probability x 100, 2 decimals'),
+  (4, 'risk_score', 'risk score (0-100, higher is safer)', '(1 - probability) x 100, truncated'),
+  (5, 'risk_grade', 'risk grade A best .. E worst', 'A >= {a}, B >= 60, C >= 40, D >= 20, E < 20'),
+  (6, 'risk_action', 'management action at the standard threshold 0.5', 'by grade and warning flags'),
+  (7, 'risk_action_optimal', 'management action at the optimal threshold {t}', 'escalated when flagged at {t}'),
+  (8, 'risk_alert', 'five-level alert', 'same cuts as the grade'),
+  (9, 'predicted_default', 'high-risk flag at 0.5', 'probability >= 0.5'),
+  (10, 'predicted_default_optimal', 'high-risk flag at {t}', 'probability >= {t}'),
+  (11, 'threshold_difference', 'flags disagree', 'predicted_default != predicted_default_optimal'))
+  v(column_order, column_name, description, calculation)),
+tt AS (SELECT printf('%.3f', threshold) AS t, CAST(CAST(trunc((1 - threshold) * 100) AS INTEGER) AS VARCHAR) AS a FROM ts_best)""") + """
+SELECT CAST(column_order AS INTEGER) AS column_order, column_name,
+       replace(replace(description, '{t}', t), '{a}', a) AS description,
+       replace(replace(calculation, '{t}', t), '{a}', a) AS calculation
+FROM cn, tt"""
+
+_SUMM = {"education": "education", "month_salary": "CAST(CAST(month_salary AS BIGINT) AS VARCHAR)",
+         "job_tenure": "CAST(job_tenure AS VARCHAR)", "residence_status": "residence_status",
+         "main_business": "main_business", "product": "product", "loan_term": "CAST(loan_term AS VARCHAR)",
+         "paid_installments": "CAST(paid_installments AS VARCHAR)",
+         "debt_to_income_ratio": "CAST(round_even(debt_to_income_ratio * 100e0, 0) / 100e0 AS VARCHAR)",
+         "payment_to_income_ratio": "CAST(round_even(payment_to_income_ratio * 100e0, 0) / 100e0 AS VARCHAR)",
+         "post_perm": "post_perm", "post_res": "post_res",
+         "total_overdue_count": "CAST(o0 + o1 + o2 + o3 + o4 + o5 + o6 + o7 AS VARCHAR)"}
+ORACLE["input_summary"] = with_(LOANS) + " " + " UNION ALL ".join(
+    f"SELECT serial_number, '{k}' AS item, {v} AS value FROM loans" for k, v in _SUMM.items())

@@ -1015,3 +1015,16 @@ def q_smote(spark, sf):
     """SMOTE (k = 3, balance) over the defaulted loans, exact neighbours."""
     out = neighbors.smote(labeled_loans(spark, sf), C.LABEL, KNN_FEATURES, C.KEY, k=3)
     return out.select(C.KEY, *KNN_FEATURES, "synthetic", C.LABEL)
+
+
+@query("column_dictionary")
+def q_column_dictionary(spark, sf):
+    """Column dictionary of the scored output with the fitted threshold filled in."""
+    s, t = scored_loans(spark, sf)
+    return scoring.column_dictionary(scoring.key_columns(s), t)
+
+
+@query("input_summary")
+def q_input_summary(spark, sf):
+    """Per-loan input summary rows incl. the total overdue count."""
+    return scoring.input_summary(fx.loans(spark, sf)).select("serial_number", "item", "value")
