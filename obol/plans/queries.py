@@ -468,12 +468,15 @@ def q_feature_ranking(spark, sf):
 # -------------------------------------------------------------- metrics
 def scored_models(spark, sf) -> DataFrame:
     """Long (model, serial, y, p) frame over three scorers of the same loans:
-    the fixture probability, the overdue-frequency share, and their soft vote (M14)."""
+    the fixture probability, the overdue-frequency share, and their soft vote
+    (M14).  One pass: each loan row is exploded into its three model rows."""
     l = featured_loans(spark, sf)
     v = metrics.soft_vote(l, ["score_p", "overdue_freq_ratio"], out="p_vote")
-    parts = [v.select(F.lit(m).alias("model"), "serial_number", F.col(C.LABEL).alias("y"), F.col(c).alias("p"))
-             for m, c in (("fixture_score", "score_p"), ("overdue_freq", "overdue_freq_ratio"), ("soft_vote", "p_vote"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    pairs = F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).cast("double").alias("p"))
+                      for m, c in (("fixture_score", "score_p"), ("overdue_freq", "overdue_freq_ratio"),
+                                   ("soft_vote", "p_vote"))])
+    return v.select("serial_number", F.col(C.LABEL).alias("y"), F.explode(pairs).alias("_m")).select(
+        F.col("_m.model").alias("model"), "serial_number", "y", F.col("_m.p").alias("p"))
 
 
 def fixture_scores(spark, sf) -> DataFrame:
