@@ -138,8 +138,11 @@ def dataset_info(split_df: DataFrame, label: str = C.LABEL, n_categorical: int =
 
 
 def experiment_record(split_df: DataFrame, experiment_id: str, model_name: str, date_col: str = C.DATE,
-                      metrics: DataFrame | None = None) -> DataFrame:
-    """One row: per-split sample counts and date periods (+ metrics map)."""
+                      metrics: DataFrame | None = None, features_used: Sequence[str] | None = None,
+                      dataset_version: str | None = None) -> DataFrame:
+    """One row: per-split sample counts and date periods, dataset
+    version, features used (array) and metrics (map from a long metrics
+    table: a handful of rows)."""
     d = F.col(date_col).cast("date")
     per = split_df.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min(d).alias("start"), F.max(d).alias("end"))
     splits = ["train", "val", "test"]
@@ -149,8 +152,12 @@ def experiment_record(split_df: DataFrame, experiment_id: str, model_name: str,
         F.lit(experiment_id).alias("experiment_id"), F.lit(model_name).alias("model_name"),
         *[F.coalesce(F.col(f"{s}_samples"), F.lit(0)).cast("bigint").alias(f"{s}_samples") for s in splits],
         *[F.col(f"{s}_period_{e}").alias(f"{s}_period_{e}") for s in splits for e in ("start", "end")])
+    if dataset_version is not None:
+        rec = rec.withColumn("dataset_version", F.lit(dataset_version))
+    if features_used is not None:
+        rec = rec.withColumn("features_used", F.array(*[F.lit(f) for f in features_used]))
     if metrics is not None:
-        m = metrics.agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("metrics"))
+        m = metrics.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
         rec = rec.crossJoin(m)  # metrics: a handful of rows
     return rec
 

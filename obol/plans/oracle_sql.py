@@ -526,8 +526,30 @@ SELECT count(*) AS total_samples, count(CASE WHEN split = 'train' THEN 1 END) AS
        CAST(36 AS INTEGER) AS n_features
 FROM split_x2"""
 
-ORACLE["experiment_record"] = with_(LOANS, SPLIT_W4) + """
-SELECT 'exp-1' AS experiment_id, 'fixture_score' AS model_name,
+ORACLE["experiment_record"] = with_(LOANS, """
+w4l AS (SELECT *, row_number() OVER (ORDER BY application_date, serial_number) AS rn, count(*) OVER () AS n FROM labeled),
+split_w4 AS (SELECT *, CASE WHEN rn <= floor(n * 7e-1) THEN 'train' WHEN rn <= floor(n * 7e-1) + floor(n * 15e-2) THEN 'val'
+                            ELSE 'test' END AS split FROM w4l),
+te AS (SELECT score_p AS p, default_flag AS y FROM split_w4 WHERE split = 'test'),
+tdv AS (SELECT p, sum(y) AS pos, count(*) - sum(y) AS neg FROM te GROUP BY p),
+em AS (SELECT
+  (SELECT sum(a.pos * b.neg * CASE WHEN a.p > b.p THEN 1e0 WHEN a.p = b.p THEN 5e-1 ELSE 0e0 END)
+          / ((SELECT sum(pos) FROM tdv) * (SELECT sum(neg) FROM tdv)) FROM tdv a, tdv b) AS auc,
+  count(CASE WHEN p >= 5e-1 AND y = 1 THEN 1 END) AS tp, count(CASE WHEN p >= 5e-1 AND y <> 1 THEN 1 END) AS fp,
+  count(CASE WHEN p < 5e-1 AND y = 1 THEN 1 END) AS fn, count(CASE WHEN p < 5e-1 AND y <> 1 THEN 1 END) AS tn,
+  -avg(y * ln(least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16))
+       + (1 - y) * ln(1 - least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16))) AS log_loss
+  FROM te),
+emv AS (SELECT auc, log_loss, CASE WHEN tp + fp + fn + tn > 0 THEN (tp + tn) / (tp + fp + fn + tn) ELSE 0e0 END AS accuracy,
+               CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0e0 END AS precision,
+               CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0e0 END AS recall,
+               CASE WHEN (tp + fn) + (tp + fp) > 0 THEN 2e0 * tp / ((tp + fn) + (tp + fp)) ELSE 0e0 END AS f1 FROM em)""") + """
+SELECT 'exp-1' AS experiment_id, 'fixture_score' AS model_name, 'recent_5_years' AS dataset_version,
+       'post_res,main_business,residence_status,education,product' AS features_used,
+       (SELECT 'accuracy=' || printf('%.9f', round(accuracy, 9)) || ';auc=' || printf('%.9f', round(auc, 9))
+               || ';f1=' || printf('%.9f', round(f1, 9)) || ';log_loss=' || printf('%.9f', round(log_loss, 9))
+               || ';precision=' || printf('%.9f', round(precision, 9)) || ';recall=' || printf('%.9f', round(recall, 9))
+        FROM emv) AS metrics,
        count(CASE WHEN split = 'train' THEN 1 END) AS train_samples, count(CASE WHEN split = 'val' THEN 1 END) AS val_samples,
        count(CASE WHEN split = 'test' THEN 1 END) AS test_samples,
        CAST(min(CASE WHEN split = 'train' THEN application_date END) AS VARCHAR) AS train_period_start,

@@ -429,9 +429,15 @@ def q_dataset_info(spark, sf):
 @query("experiment_record")
 def q_experiment_record(spark, sf):
     """Experiment record over the chronological split."""
-    s = split.chronological_split(fx.loans(spark, sf))
-    r = profile.experiment_record(s, "exp-1", "fixture_score")
-    return r.select("experiment_id", "model_name", "train_samples", "val_samples", "test_samples",
+    s = split.chronological_split(labeled_loans(spark, sf))
+    test = s.where(F.col("split") == "test").select(F.col(C.LABEL).alias("y"), F.col("score_p").alias("p"))
+    m = metrics.metrics_long(metrics.model_metrics(test, 0.5)).withColumn("value", rnd("value", 9))
+    r = profile.experiment_record(s, "exp-1", "fixture_score", metrics=m, features_used=C.CATEGORICAL_FEATURES,
+                                  dataset_version=f"recent_{C.RECENT_YEARS}_years")
+    return r.select("experiment_id", "model_name", "dataset_version", F.concat_ws(",", "features_used").alias("features_used"),
+                    F.array_join(F.transform(F.map_entries("metrics"), lambda e: F.concat(
+                        e["key"], F.lit("="), F.format_string("%.9f", e["value"]))), ";").alias("metrics"),
+                    "train_samples", "val_samples", "test_samples",
                     *[F.col(f"{s_}_period_{e}").cast("string").alias(f"{s_}_period_{e}")
                       for s_ in ("train", "val", "test") for e in ("start", "end")])
 
