@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.tables import attach
 from ..functions.columns import flag, parse_number
 from .running import running
 
@@ -101,6 +102,7 @@ def exact_quantiles_multi(df: DataFrame, cols: Sequence[str], probs: Sequence[fl
     n = vc.groupBy(F.col("column").alias("_c")).agg(F.sum("count").alias("_n"))
     spark = df.sparkSession
     probs_df = spark.createDataFrame([(float(q),) for q in probs], "q double")
+    # parameter grid: probabilities x one row per column (both tiny)
     targets = (probs_df.crossJoin(n)
                .withColumn("_pos", F.col("q") * (F.col("_n") - 1))
                .withColumn("_lo", F.floor("_pos"))
@@ -137,7 +139,7 @@ def apply_medians(df: DataFrame, medians: DataFrame) -> DataFrame:
     cols = [c for c in medians.columns if c in df.columns]
     types = dict(df.dtypes)
     m = medians.select(*[F.col(c).alias(f"__med_{c}") for c in cols])
-    out = df.crossJoin(F.broadcast(m))
+    out = attach(df, m)
     out = out.withColumns({c: F.coalesce(parse_number(c) if types[c] == "string" else F.col(c).cast("double"),
                                          F.col(f"__med_{c}")) for c in cols})
     return out.drop(*[f"__med_{c}" for c in cols])
@@ -164,7 +166,7 @@ def apply_modes(df: DataFrame, modes: DataFrame) -> DataFrame:
     """P7 apply: null -> fitted mode."""
     cols = [c for c in modes.columns if c in df.columns]
     m = modes.select(*[F.col(c).alias(f"__mode_{c}") for c in cols])
-    out = df.crossJoin(F.broadcast(m))
+    out = attach(df, m)
     out = out.withColumns({c: F.coalesce(F.col(c).cast("string"), F.col(f"__mode_{c}")) for c in cols})
     return out.drop(*[f"__mode_{c}" for c in cols])
 
@@ -202,7 +204,7 @@ def filter_recent_years(df: DataFrame, date_col: str = C.DATE, years: int = C.RE
     d = F.col(date_col).cast("date") if dict(df.dtypes)[date_col] != "string" else F.try_to_date(F.col(date_col))
     valid = df.withColumn("__d", d).where(F.col("__d").isNotNull())
     mx = valid.agg(F.max("__d").alias("__mx"))
-    out = valid.crossJoin(F.broadcast(mx)).where(F.col("__d") >= F.add_months(F.col("__mx"), -12 * years))
+    out = attach(valid, mx).where(F.col("__d") >= F.add_months(F.col("__mx"), -12 * years))
     return out.drop("__d", "__mx")
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.tables import attach
 from .cleaning import existing
 
 MAX_BROADCAST_ROWS = 2_000_000
@@ -132,7 +133,7 @@ def target_fit(df: DataFrame, features: Sequence[str], label: str = C.LABEL,
     """A5 fit: (sum y + s * mean y) / (n + s); also carries the global mean."""
     s = stats if stats is not None else category_stats(df, features, label)
     g = df.agg(F.avg(F.col(label).cast("double")).alias("global_mean"))
-    j = s.crossJoin(F.broadcast(g))
+    j = attach(s, g)
     enc = (F.col("n") * (F.col("bad") / F.col("n")) + F.lit(smoothing) * F.col("global_mean")) / (F.col("n") + F.lit(smoothing))
     return j.select("feature", "value", "n", enc.alias("target_enc"), "global_mean")
 
@@ -141,7 +142,7 @@ def target_apply(df: DataFrame, enc: DataFrame, features: Sequence[str]) -> Data
     """A5 transform: ``<feature>_target_enc``; unseen -> global mean."""
     enc = fitted(enc)
     g = enc.table.select("global_mean").limit(1)
-    out = df.crossJoin(F.broadcast(g.withColumnRenamed("global_mean", "__gm")))
+    out = attach(df, g.withColumnRenamed("global_mean", "__gm"))
     for f in existing(df, features):
         out = enc.lookup(out, f, "target_enc", f"{f}_target_enc", F.col("__gm"))
     return out.drop("__gm")
@@ -181,7 +182,7 @@ def geo_fit(df: DataFrame, label: str = C.LABEL, res: str = "post_res", perm: st
     s = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("rate"))
     g = df.agg(F.avg(y).alias("global_rate"))
     minimum = F.when(F.col("feature") == "city", F.lit(min_samples * C.GEO_CITY_FACTOR)).otherwise(F.lit(min_samples))
-    return s.crossJoin(F.broadcast(g)).withColumn(
+    return attach(s, g).withColumn(
         "risk", F.when(F.col("n") < minimum, F.col("global_rate")).otherwise(F.col("rate")))
 
 
@@ -200,7 +201,7 @@ def geo_apply(df: DataFrame, geo: DataFrame, res: str = "post_res", perm: str =
     address stability risk = 0.3 * (1 - match) + 0.7 * res risk."""
     enc = fitted(geo)
     g = enc.table.select("global_rate").limit(1).withColumnRenamed("global_rate", "__g")
-    out = df.crossJoin(F.broadcast(g))
+    out = attach(df, g)
     out = enc.lookup(out, "res", "risk", "res_risk_score", F.col("__g"), source=res)
     out = out.withColumn("__city", F.substring(F.col(res).cast("string"), 1, C.CITY_PREFIX_LEN))
     out = enc.lookup(out, "perm", "risk", "perm_risk_score", F.col("__g"), source=perm)

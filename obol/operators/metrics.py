@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.tables import attach
 from .running import running
 
 EPS = 2.220446049250313e-16  # float64 machine epsilon (log-loss clip)
@@ -189,6 +190,7 @@ def threshold_curve(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     totals = b.groupBy("model").agg(F.sum("pos").alias("P"), F.sum("cnt").alias("N"))
     grid = threshold_grid(spark)
     # bounded: (#models x 80) grid rows joined to (#models x 81) bucket rows
+    # parameter grid: 80 thresholds x one row per model (both tiny)
     j = grid.crossJoin(totals).join(b.withColumnRenamed("model", "_m"),
                                     (F.col("_m") == F.col("model")) & (F.col("idx") >= F.col("i")), "left")
     c = j.groupBy("model", "i", "threshold", "P", "N").agg(
@@ -251,7 +253,7 @@ def recommend(optimal: DataFrame, metrics: DataFrame, preferred: str = "Stacking
     """Recommended model/threshold: the preferred (stacking) model if
     present, else the best model by AUC."""
     b = best_model(metrics)
-    j = optimal.crossJoin(b)
+    j = attach(optimal, b)
     pick = F.when(F.col("model") == preferred, 0).when(F.col("model") == F.col("best_model"), 1).otherwise(2)
     w = Window.orderBy(pick, F.col("model"))  # one row per model: bounded
     return j.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.tables import attach
 from ..session import ensure_checkpoint_dir, materialize
 from . import metrics
 from .cleaning import exact_quantiles_multi, existing
@@ -42,7 +43,7 @@ def fit_robust_scaler(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def apply_robust_scaler(df: DataFrame, stats: DataFrame, cols: Sequence[str]) -> DataFrame:
     """M1 apply: (x - median) / IQR, IQR 0 -> 1 (one broadcast stats row)."""
     wide = stats.groupBy().pivot("column", list(cols)).agg(F.first("median").alias("m"), F.first("iqr").alias("s"))
-    out = df.crossJoin(F.broadcast(wide))
+    out = attach(df, wide)
     for c in cols:
         s = F.when(F.col(f"{c}_s") == 0, F.lit(1.0)).otherwise(F.col(f"{c}_s"))
         out = out.withColumn(c, (F.col(c) - F.col(f"{c}_m")) / s)
@@ -273,7 +274,7 @@ def permutation_importance(model, df: DataFrame, feature_cols: Sequence[str], la
         allp = allp.unionByName(p)
     a = metrics.auc(allp)
     b = a.where(F.col("model") == "__base__").select(F.col("auc").alias("base_auc"))
-    return a.where(F.col("model") != "__base__").crossJoin(b).select(
+    return attach(a.where(F.col("model") != "__base__"), b).select(
         F.col("model").alias("feature"), (F.col("base_auc") - F.col("auc")).alias("importance"))
 
 
@@ -281,7 +282,7 @@ def linear_attribution(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     """M18 (linear part): mean |w_j (x_j - mean x_j)| per feature."""
     cols = list(weights)
     means = df.agg(*[F.avg(c).alias(c) for c in cols])
-    j = df.select(*cols).crossJoin(F.broadcast(means.select(*[F.col(c).alias(f"__m_{c}") for c in cols])))
+    j = attach(df.select(*cols), means.select(*[F.col(c).alias(f"__m_{c}") for c in cols]))
     row = j.agg(*[F.avg(F.abs(F.lit(weights[c]) * (F.col(c) - F.col(f"__m_{c}")))).alias(c) for c in cols])
     return row.unpivot([], cols, "feature", "importance")
 

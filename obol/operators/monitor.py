@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.tables import attach
 from .profile import quartiles
 
 
@@ -65,7 +66,7 @@ def cap_outliers(df: DataFrame, cols: Sequence[str], method: str = "iqr",
         for p in parts[1:]:
             b = b.unionByName(p)
     wide = b.groupBy().pivot("column", list(cols)).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-    out = df.crossJoin(F.broadcast(wide))
+    out = attach(df, wide)
     for c in cols:
         out = out.withColumn(c, F.least(F.greatest(F.col(c), F.col(f"{c}_lo")), F.col(f"{c}_hi")))
     return out.drop(*[f"{c}_{s}" for c in cols for s in ("lo", "hi")])
@@ -107,8 +108,8 @@ def psi(expected: DataFrame, actual: DataFrame, p: str, bins: int = 10) -> DataF
 
 def monitoring_alerts(metrics: DataFrame, base_rate: DataFrame, cur_rate: DataFrame, drift: DataFrame) -> DataFrame:
     """Alerts from a one-row metrics table, default-rate deviation and drift."""
-    j = metrics.crossJoin(base_rate.select(F.col("default_rate").alias("base_rate"))).crossJoin(
-        cur_rate.select(F.col("default_rate").alias("cur_rate"))).crossJoin(drift)
+    j = attach(attach(attach(metrics, base_rate.select(F.col("default_rate").alias("base_rate"))),
+                      cur_rate.select(F.col("default_rate").alias("cur_rate"))), drift)
     return j.select(
         (F.col("auc") < C.MONITOR_MIN_AUC).cast("int").alias("alert_auc"),
         (F.col("accuracy") < C.MONITOR_MIN_ACCURACY).cast("int").alias("alert_accuracy"),
@@ -137,7 +138,7 @@ def temporal_features(df: DataFrame, date_col: str = C.DATE, as_of: str | None =
     d = F.col(date_col).cast("date")
     ref = (df.sparkSession.createDataFrame([(as_of,)], "r string").select(F.col("r").cast("date").alias("__ref"))
            if as_of else df.agg(F.max(d).alias("__ref")))
-    out = df.crossJoin(F.broadcast(ref))
+    out = attach(df, ref)
     return out.withColumns({
         "year": F.year(d), "month": F.month(d), "quarter": F.quarter(d), "day_of_year": F.dayofyear(d),
         "days_since_application": F.datediff("__ref", d),

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.tables import attach
 from .cleaning import exact_quantiles, exact_quantiles_multi
 
 
@@ -51,7 +52,7 @@ def outlier_flags(df: DataFrame, cols: Sequence[str] = C.OUTLIER_COLUMNS,
     """``<col>_outlier`` = outside [Q1 - k IQR, Q3 + k IQR] (broadcast of one stats row)."""
     q = quartiles(df, cols)
     wide = q.groupBy().pivot("column", list(cols)).agg(F.first("q1").alias("q1"), F.first("q3").alias("q3"))
-    out = df.crossJoin(F.broadcast(wide))
+    out = attach(df, wide)
     for c in cols:
         q1, q3 = F.col(f"{c}_q1"), F.col(f"{c}_q3")
         iqr = q3 - q1
@@ -67,7 +68,7 @@ def quantile_bins(df: DataFrame, column: str, labels: Sequence[str], out: str) -
     wide = edges.groupBy().pivot("q", [i / k for i in range(k + 1)]).agg(F.first("value"))
     names = wide.columns
     wide = wide.toDF(*[f"__e{i}" for i in range(len(names))])
-    j = df.crossJoin(F.broadcast(wide))
+    j = attach(df, wide)
     x = F.col(column)
     expr = F.lit(None).cast("string")
     for i in reversed(range(k)):
@@ -158,7 +159,7 @@ def experiment_record(split_df: DataFrame, experiment_id: str, model_name: str,
         rec = rec.withColumn("features_used", F.array(*[F.lit(f) for f in features_used]))
     if metrics is not None:
         m = metrics.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
-        rec = rec.crossJoin(m)  # metrics: a handful of rows
+        rec = attach(rec, m)
     return rec
 
 

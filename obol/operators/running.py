@@ -42,7 +42,7 @@ DEFAULT_MAX_GROUP_ROWS = 2_000_000
 def _join_small(big: DataFrame, small: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Left join of a bounded table onto ``big`` by null-safe equality, keeping big's key columns."""
     if not cols:
-        return big.crossJoin(F.broadcast(small))
+        raise ValueError("join columns required")
     renamed = small.select(*[F.col(c).alias(f"__k_{c}") for c in cols],
                            *[c for c in small.columns if c not in cols])
     cond = reduce(lambda a, b: a & b, [big[c].eqNullSafe(renamed[f"__k_{c}"]) for c in cols])

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.tables import attach
 from ..functions.columns import flag, round_half_even
 
 
@@ -92,7 +93,7 @@ def score(df: DataFrame, threshold: DataFrame, prob: str = "probability",
     t = F.col("optimal_threshold")
     warn = F.coalesce(F.col("early_warning_flag"), F.lit(0)) if "early_warning_flag" in df.columns else F.lit(0)
     worse = F.coalesce(F.col("overdue_worsening"), F.lit(0)) if "overdue_worsening" in df.columns else F.lit(0)
-    out = df.crossJoin(F.broadcast(threshold.select("optimal_threshold").limit(1)))
+    out = attach(df, threshold.select("optimal_threshold").limit(1))
     out = out.withColumns({
         "default_probability": round_half_even(p * 100, 2),
         "predicted_default": flag(p >= standard),
@@ -227,7 +228,7 @@ def grade_dimension(spark: SparkSession, threshold: DataFrame) -> DataFrame:
         F.col("grade_order") == 2, F.lit(40)).when(F.col("grade_order") == 3, F.lit(20)).otherwise(F.lit(0))
     hi = F.when(F.col("grade_order") == 0, F.lit(100)).when(F.col("grade_order") == 1, a_cut - 1).when(
         F.col("grade_order") == 2, F.lit(59)).when(F.col("grade_order") == 3, F.lit(39)).otherwise(F.lit(19))
-    return dim.crossJoin(F.broadcast(t)).select("grade_order", "grade_letter", "risk_grade", "risk_alert",
+    return attach(dim, t).select("grade_order", "grade_letter", "risk_grade", "risk_alert",
                                                  "risk_label", lo.alias("score_min"), hi.alias("score_max"))
 
 
@@ -317,7 +318,7 @@ def column_dictionary(scored: DataFrame, threshold: DataFrame) -> DataFrame:
     dim = spark.createDataFrame(rows, "column_order int, column_name string, description string, calculation string")
     t = threshold.select(F.format_string("%.3f", F.col("optimal_threshold")).alias("__t"),
                          ((1 - F.col("optimal_threshold")) * 100).cast("int").cast("string").alias("__a")).limit(1)
-    j = dim.crossJoin(F.broadcast(t))
+    j = attach(dim, t)
 
     def fill(c):
         return F.replace(F.replace(F.col(c), F.lit("{t}"), F.col("__t")), F.lit("{a}"), F.col("__a"))

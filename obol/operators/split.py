@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.tables import attach
 from .running import running
 
 
@@ -30,7 +31,7 @@ def chronological_split(df: DataFrame, date_col: str = C.DATE, key: str = C.KEY,
     int(n*val) validation, rest test."""
     r = running(df, [], [date_col, key])
     n = df.agg(F.count(F.lit(1)).alias("_n"))
-    j = r.crossJoin(F.broadcast(n))
+    j = attach(r, n)
     n_train = F.floor(F.col("_n") * F.lit(train))
     n_val = F.floor(F.col("_n") * F.lit(val))
     split = F.when(F.col("_rn") <= n_train, "train").when(F.col("_rn") <= n_train + n_val, "val").otherwise("test")
@@ -75,7 +76,7 @@ def undersample(df: DataFrame, label: str = C.LABEL, key: str = C.KEY, seed: int
     class in hash order."""
     r = _label_ranks(df, label, key, seed)
     n_min = r.select(F.min("_nc").alias("_nmin"))
-    return r.crossJoin(F.broadcast(n_min)).where(F.col("_rn") <= F.col("_nmin")).drop("_h", "_rn", "_nc", "_nmin")
+    return attach(r, n_min).where(F.col("_rn") <= F.col("_nmin")).drop("_h", "_rn", "_nc", "_nmin")
 
 
 def class_weights(df: DataFrame, label: str = C.LABEL) -> DataFrame:
@@ -84,7 +85,7 @@ def class_weights(df: DataFrame, label: str = C.LABEL) -> DataFrame:
     tot = c.agg(F.sum("n_class").alias("_n"), F.count(F.lit(1)).alias("_k"),
                 F.sum(F.when(F.col(label) == 1, F.col("n_class"))).alias("_pos"),
                 F.sum(F.when(F.col(label) == 0, F.col("n_class"))).alias("_neg"))
-    return c.crossJoin(tot).select(
+    return attach(c, tot).select(
         label, "n_class", (F.col("_n") / (F.col("_k") * F.col("n_class"))).alias("balanced_weight"),
         (F.col("_neg") / F.col("_pos")).alias("scale_pos_weight"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.tables import attach
 from ..operators import cleaning, encoders, features, metrics, scoring
 from ..sources import fixtures as fx
 
@@ -750,7 +751,7 @@ def q_monitoring_alerts(spark, sf):
     m = metrics.model_metrics(ys, 0.5)
     drift = monitor.psi(tr, te, "score_p")
     a = monitor.monitoring_alerts(m, profile.label_distribution(tr, by=None), profile.label_distribution(te, by=None), drift)
-    return a.crossJoin(drift.select(rnd("psi", 9).alias("psi")))
+    return attach(a, drift.select(rnd("psi", 9).alias("psi")))
 
 
 @query("temporal_features")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.tables import attach
 from ..operators import cleaning, encoders, features, history, metrics, ml, split
 from ..session import materialize
 from ..sources import fixtures as fx
@@ -125,7 +126,7 @@ def sweep(spark: SparkSession, sf: str, runs: int = 30, seed: int = 42, fast: bo
     res = spark.createDataFrame(rows, "run int, use_target_enc boolean, use_geo boolean, resampling string, "
                                       "class_weight boolean, max_depth int, step_size double, n_features int, val_auc double")
     best = res.agg(F.max_by("run", F.struct("val_auc", -F.col("run"))).alias("_best"))
-    return res.crossJoin(best).withColumn("best", (F.col("run") == F.col("_best")).cast("int")).drop("_best")
+    return attach(res, best).withColumn("best", (F.col("run") == F.col("_best")).cast("int")).drop("_best")
 
 
 def batch_scoring(spark: SparkSession, sf: str, fast: bool = True) -> DataFrame:
