@@ -190,12 +190,18 @@ def fit_stacking(train: DataFrame, feature_cols: Sequence[str], learners: dict[s
 
 
 # ------------------------------------------------------------------ M15
+# FIXED VALUES: the boosted-tree search space, mapped to GBTClassifier
+# (n_estimators -> maxIter, max_depth -> maxDepth, learning_rate -> stepSize,
+# subsample -> subsamplingRate, colsample_bytree -> featureSubsetStrategy,
+# min_child_weight -> minInstancesPerNode; L1/L2 penalties have no GBT
+# counterpart and are not searched)
 SEARCH_SPACE = {
-    "maxDepth": [3, 4, 5, 6, 8],
-    "stepSize": [0.01, 0.05, 0.1, 0.2],
-    "subsamplingRate": [0.6, 0.8, 1.0],
-    "minInstancesPerNode": [1, 5, 10, 20],
-    "maxIter": [20, 40, 60],
+    "maxIter": [100, 200, 300, 500],
+    "maxDepth": [3, 4, 5, 6, 7],
+    "stepSize": [0.01, 0.05, 0.1, 0.15, 0.2],
+    "subsamplingRate": [0.7, 0.8, 0.9, 1.0],
+    "featureSubsetStrategy": ["0.7", "0.8", "0.9", "1.0"],
+    "minInstancesPerNode": [1, 3, 5, 7],
 }
 
 
@@ -214,21 +220,22 @@ def random_param_maps(est, n_draws: int, seed: int = 42, space: dict | None = No
 
 
 def random_search(train: DataFrame, feature_cols: Sequence[str], n_draws: int = 20, folds: int = C.KFOLDS,
-                  label: str = C.LABEL, seed: int = 42, parallelism: int = 4) -> DataFrame:
-    """Random search with k-fold cross-validated AUC; one row per draw."""
+                  label: str = C.LABEL, seed: int = 42, parallelism: int = 4,
+                  space: dict | None = None) -> DataFrame:
+    """Random search with k-fold cross-validated AUC; one row per draw
+    (the drawn parameters as strings, and the mean AUC)."""
+    space = space or SEARCH_SPACE
     est = GBTClassifier(labelCol=label, featuresCol="features", seed=seed, maxBins=64)
-    maps = random_param_maps(est, n_draws, seed)
+    maps = random_param_maps(est, n_draws, seed, space)
     pipe = Pipeline(stages=[assembler(feature_cols), est])
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, numFolds=folds, seed=seed,
                         parallelism=parallelism)
     cvm = cv.fit(train)
-    rows = [(i, *[pm[est.getParam(k)] for k in SEARCH_SPACE], float(m)) for i, (pm, m) in enumerate(zip(maps, cvm.avgMetrics))]
-    schema = "draw int, " + ", ".join(f"{k} {'double' if isinstance(v[0], float) else 'int'}" for k, v in SEARCH_SPACE.items()) \
-        + ", cv_auc double"
-    spark = train.sparkSession
-    return spark.createDataFrame([(r[0], *[float(x) if isinstance(SEARCH_SPACE[k][0], float) else int(x)
-                                           for k, x in zip(SEARCH_SPACE, r[1:-1])], r[-1]) for r in rows], schema)
+    names = list(space)
+    rows = [(i, *[str(pm[est.getParam(k)]) for k in names], float(m)) for i, (pm, m) in enumerate(zip(maps, cvm.avgMetrics))]
+    schema = "draw int, " + ", ".join(f"{k} string" for k in names) + ", cv_auc double"
+    return train.sparkSession.createDataFrame(rows, schema)
 
 
 # ------------------------------------------------------------------ M17

@@ -911,9 +911,11 @@ def q_ml_stacking(spark, sf):
 
 @query("ml_random_search")
 def q_ml_random_search(spark, sf):
-    """Random parameter search with cross-validated AUC (6 draws, 3 folds)."""
+    """Random parameter search with cross-validated AUC over the fixed
+    search space, run with a test budget: 6 draws, 3 folds, maxIter in {20, 40}."""
     m, feats, _ = training.training_frame(spark, sf)
-    return ml.random_search(m.where(F.col("split") == "train"), feats, n_draws=6, folds=3)
+    space = dict(ml.SEARCH_SPACE, maxIter=[20, 40])
+    return ml.random_search(m.where(F.col("split") == "train"), feats, n_draws=6, folds=3, space=space)
 
 
 @query("ml_sweep")
