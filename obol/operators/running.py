@@ -139,7 +139,11 @@ def running(
         return _ranged(df, keys, order, sums, lasts, buckets, maxes)
 
     # auto: one aggregate decides.  Groups within the per-task row budget use
-    # the plain window; larger ones go through the range path.
+    # the plain window; larger ones go through the range path, with enough
+    # buckets that each holds about one budget of rows.
+    def sized(n_rows: int) -> int:
+        return max(buckets, -(-n_rows // max_group_rows))
+
     if keys:
         counts = df.groupBy(*keys).count()
         st = counts.agg(F.sum("count").alias("t"), F.max("count").alias("m")).first()
@@ -151,13 +155,14 @@ def running(
     if largest <= budget:
         return _plain(df, keys, order, sums, lasts, maxes)
     if not keys:
-        return _ranged(df, keys, order, sums, lasts, buckets, maxes)
+        return _ranged(df, keys, order, sums, lasts, sized(total), maxes)
     # bounded: at most total / budget <= MAX_HEAVY_KEYS rows
-    heavy = materialize(counts.where(F.col("count") > budget).select(*keys).withColumn("_heavy", F.lit(True)))
-    tagged = _join_small(df, heavy, keys)
-    light_rows = tagged.where(F.col("_heavy").isNull()).drop("_heavy")
-    heavy_rows = tagged.where(F.col("_heavy").isNotNull()).drop("_heavy")
-    a = _plain(light_rows, keys, order, sums, lasts, maxes)
-    b = _ranged(heavy_rows, keys, order, sums, lasts, buckets, maxes)
+    heavy = materialize(counts.where(F.col("count") > budget).withColumn("_heavy", F.lit(True)))
+    heavy_rows = int(heavy.agg(F.sum("count")).first()[0] or 0)
+    tagged = _join_small(df, heavy.drop("count"), keys)
+    light_part = tagged.where(F.col("_heavy").isNull()).drop("_heavy")
+    heavy_part = tagged.where(F.col("_heavy").isNotNull()).drop("_heavy")
+    a = _plain(light_part, keys, order, sums, lasts, maxes)
+    b = _ranged(heavy_part, keys, order, sums, lasts, sized(heavy_rows), maxes)
     cols = df.columns + _outputs(sums, lasts, maxes)
     return a.select(*cols).unionByName(b.select(*cols))
