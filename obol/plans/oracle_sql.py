@@ -303,8 +303,8 @@ SELECT customer_id, annual_income / age AS income_per_age, loan_amount / (total_
   CASE WHEN age > 0 AND age <= 25 THEN 'Young' WHEN age > 25 AND age <= 35 THEN 'Young_Adult'
        WHEN age > 35 AND age <= 45 THEN 'Middle_Age' WHEN age > 45 AND age <= 55 THEN 'Mature'
        WHEN age > 55 AND age <= 100 THEN 'Senior' END AS age_group,
-  round(sin(2e0 * pi() * loan_origination_month / 12e0), 9) AS loan_month_sin,
-  round(cos(2e0 * pi() * loan_origination_month / 12e0), 9) AS loan_month_cos
+  round(sin(2e0 * pi() * loan_origination_month / 12e0), 9) + 0e0 AS loan_month_sin,
+  round(cos(2e0 * pi() * loan_origination_month / 12e0), 9) + 0e0 AS loan_month_cos
 FROM clients"""
 
 _OUT = ", ".join(f"quantile_cont({c}, 0.25) AS {c}_q1, quantile_cont({c}, 0.75) AS {c}_q3"
