@@ -88,8 +88,9 @@ def exact_quantiles_multi(df: DataFrame, cols: Sequence[str], probs: Sequence[fl
     Values are unpivoted and counted per (column, distinct value) with
     partial aggregation; the value-count table is checkpointed, cumulated per
     column with the skew-safe running helper, and the two neighbours of each
-    target position ``q * (n - 1)`` are picked.  No task ever holds a whole
-    column.  Output: ``(column, q, value)``.
+    target position ``q * (n - 1)`` are picked.  A column's distinct values
+    share one task only while they fit the per-task row budget; beyond it they
+    are range-split.  Output: ``(column, q, value)``.
     """
     from ..session import materialize
     cols = list(cols)

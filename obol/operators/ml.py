@@ -256,7 +256,7 @@ def permuted(df: DataFrame, column: str, key: str = C.KEY, seed: int = 7, block:
     """A random permutation of one column, built from bounded groups: rows are
     hashed into blocks of about ``block`` rows and, inside a block, each row
     takes the value of the next row in hash order (cyclically).  Marginals are
-    preserved; no task sees more than one block per group."""
+    preserved and every window group is one block."""
     n = df.count()
     nb = max(1, n // block)
     h = F.xxhash64(F.col(key), F.lit(f"{column}|{seed}"))

@@ -3,8 +3,9 @@
 Randomness is an engine-neutral hash, ``md5(key || '|' || seed)``, so a split
 is reproducible, independent of partitioning, and checkable in SQL.  Ranks
 inside a label (two groups: each may hold most rows) and the global date
-order go through the skew-safe ``running`` helper, never through a window
-over one partition.
+order go through the skew-safe ``running`` helper: a group (or the whole
+table) is ordered in one task only while it fits the per-task row budget,
+and range-split across tasks beyond it.
 """
 
 from __future__ import annotations

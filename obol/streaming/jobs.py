@@ -7,8 +7,9 @@ and fixed 3.75-day period with an event-time watermark and tumbling windows;
 the counts feed the overdue-series features (§2.3).
 
 Sinks are ``foreachBatch`` appends into folders under the shared checkpoint
-directory, with a checkpoint location there too, so a restarted query
-resumes where it stopped.  ``availableNow`` drains what is present and stops.
+directory, with the query's checkpoint location there too (offsets and
+state live on shared storage, not on an executor).  Each run uses a fresh
+folder; ``availableNow`` drains what is present and stops.
 """
 
 from __future__ import annotations
