@@ -1,8 +1,8 @@
 """Profiles and grouped aggregations.
 
-Single-pass aggregations; every per-column statistic is computed for all
-columns in one ``agg`` (or one unpivot + ``groupBy``), never one job per
-column.
+Single-pass aggregations: statistics over several columns (missing counts,
+distinct counts, quartiles) are computed for all of them in one ``agg`` or
+one unpivot + ``groupBy``, not one job per column.
 """
 
 from __future__ import annotations
