@@ -104,6 +104,17 @@ def base_learners(seed: int = 42, weight_col: str | None = None, label: str = C.
     }
 
 
+def with_early_stopping(est, indicator: str = "is_validation", tol: float = 0.01):
+    """M4 early stopping: a GBT fitted on train + validation rows stops adding
+    trees when the validation error stops improving (``validationTol``);
+    rows flagged by ``indicator`` are used only for that check."""
+    if isinstance(est, GBTClassifier):
+        est = est.copy()
+        est.setValidationIndicatorCol(indicator)
+        est.set(est.validationTol, tol)
+    return est
+
+
 def assembler(cols: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="keep")
 

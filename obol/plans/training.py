@@ -44,11 +44,26 @@ def learners(fast: bool = True, weight_col: str | None = None) -> dict:
     return ml.base_learners(fast=fast, weight_col=weight_col)
 
 
-def train_eval(spark: SparkSession, sf: str, fast: bool = True):
-    """M4/M5: the three base learners fitted on train and scored on test."""
+def train_eval(spark: SparkSession, sf: str, fast: bool = True, early_stopping: bool = True):
+    """M4/M5: the three base learners fitted on train and scored on test; the
+    boosted trees stop early on the validation split (train + validation rows
+    are passed with an indicator column; the forest ignores validation rows)."""
     m, feats, woe = training_frame(spark, sf)
-    tr, te = m.where(F.col("split") == "train"), m.where(F.col("split") == "test")
-    models, long = ml.train_and_evaluate(tr, te, feats, learners(fast))
+    te = m.where(F.col("split") == "test")
+    fit_rows = m.where(F.col("split") != "test").withColumn("is_validation", F.col("split") == "val")
+    est = learners(fast)
+    if early_stopping:
+        est = {k: ml.with_early_stopping(v) for k, v in est.items()}
+        tr = fit_rows
+        # the forest has no validation option: it trains on the train rows only
+        models, long = {}, None
+        for name, e in est.items():
+            rows = tr if name.startswith("GBT") else tr.where(~F.col("is_validation"))
+            mdl, lg = ml.train_and_evaluate(rows, te, feats, {name: e})
+            models.update(mdl)
+            long = lg if long is None else long.unionByName(lg)
+    else:
+        models, long = ml.train_and_evaluate(fit_rows.where(~F.col("is_validation")), te, feats, est)
     return models, long, feats, m
 
 
