@@ -102,9 +102,7 @@ def exact_quantiles_multi(df: DataFrame, cols: Sequence[str], probs: Sequence[fl
         "_end", F.col("_start") + F.col("count"))
     n = vc.groupBy(F.col("column").alias("_c")).agg(F.sum("count").alias("_n"))
     spark = df.sparkSession
-    probs_df = spark.createDataFrame([(float(q),) for q in probs], "q double")
-    # parameter grid: probabilities x one row per column (both tiny)
-    targets = (probs_df.crossJoin(n)
+    targets = (n.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in probs])))
                .withColumn("_pos", F.col("q") * (F.col("_n") - 1))
                .withColumn("_lo", F.floor("_pos"))
                .withColumn("_hi", F.ceil("_pos")))
@@ -117,7 +115,7 @@ def exact_quantiles_multi(df: DataFrame, cols: Sequence[str], probs: Sequence[fl
     frac = F.col("_pos") - F.col("_lo")
     value = F.when(F.col("_vlo") == F.col("_vhi"), F.col("_vlo")).otherwise(
         F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac)
-    grid = probs_df.crossJoin(spark.createDataFrame([(c,) for c in cols], "column string"))
+    grid = spark.createDataFrame([(c, float(q)) for c in cols for q in probs], "column string, q double")
     return grid.join(picked.select("column", "q", value.alias("value")), ["column", "q"], "left")
 
 

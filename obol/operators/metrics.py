@@ -184,15 +184,15 @@ def threshold_curve(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     cumulative sums over at most 81 buckets give TP / predicted-positive
     counts at all 80 thresholds."""
     d = _with_model(df, None)
-    spark = df.sparkSession
     b = d.groupBy("model", _grid_index(F.col(p)).alias("idx")).agg(
         F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("cnt"))
     totals = b.groupBy("model").agg(F.sum("pos").alias("P"), F.sum("cnt").alias("N"))
-    grid = threshold_grid(spark)
-    # bounded: (#models x 80) grid rows joined to (#models x 81) bucket rows
-    # parameter grid: 80 thresholds x one row per model (both tiny)
-    j = grid.crossJoin(totals).join(b.withColumnRenamed("model", "_m"),
-                                    (F.col("_m") == F.col("model")) & (F.col("idx") >= F.col("i")), "left")
+    # the 80 grid thresholds of every model: one row per model, exploded
+    grid = totals.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(C.THRESHOLD_COUNT - 1)))).withColumn(
+        "threshold", threshold_value(F.col("i")))
+    # bounded: (#models x 80) grid rows against (#models x 81) bucket rows
+    j = grid.join(F.broadcast(b.withColumnRenamed("model", "_m")),
+                  (F.col("_m") == F.col("model")) & (F.col("idx") >= F.col("i")), "left")
     c = j.groupBy("model", "i", "threshold", "P", "N").agg(
         F.coalesce(F.sum("pos"), F.lit(0)).alias("tp"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("pp"))
     c = c.withColumns({"fp": F.col("pp") - F.col("tp"), "fn": F.col("P") - F.col("tp")})
@@ -224,7 +224,8 @@ def soft_vote(df: DataFrame, prob_cols: Sequence[str], weights: Sequence[float]
 def model_metrics(df: DataFrame, threshold: float = 0.5, y: str = "y", p: str = "p") -> DataFrame:
     """One row per model: auc, accuracy, precision, recall, f1, log loss."""
     pm = point_metrics(df, threshold, y, p).select("model", "accuracy", "precision", "recall", "f1")
-    return auc(df, y, p).join(pm, "model").join(log_loss(df, y, p), "model")
+    # one row per model on every side (broadcast: bounded by the model count)
+    return auc(df, y, p).join(F.broadcast(pm), "model").join(F.broadcast(log_loss(df, y, p)), "model")
 
 
 def metrics_long(metrics: DataFrame, split: str = "test") -> DataFrame:
