@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from obol.session import ensure_checkpoint_dir
 
@@ -50,3 +51,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Most rows of a table of single ids that is sent to every executor.
+BROADCAST_IDS = 1 << 21
+
+
+def sized(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A table of ids, marked for broadcast if it is counted to be small; a shuffle join is left to Spark beyond that."""
+    return F.broadcast(ids) if ids.count() <= most else ids

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obol.llm.common import ship, staged
+from obol.llm.common import ship, sized, staged
 from obol.llm.textbytes import SHINGLE, Words, mix64, slices
 
 BUCKETS = 1 << 16
@@ -75,6 +75,7 @@ def gram_counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> n
     receives ``2 * buckets`` numbers whatever the corpus.
     """
     trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("_label_id")).distinct()
+    trusted = sized(trusted)
     flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .join(trusted.withColumn("trusted", F.lit(True)), F.col("doc_id") == F.col("_label_id"), "left") \
         .select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
