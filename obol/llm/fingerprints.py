@@ -11,6 +11,7 @@ for the 2**-8 chance agreement.
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,50 +33,54 @@ def _probes() -> list[list[int]]:
     return [sorted(range(BINS), key=lambda j: hashlib.sha256(b"%d,%d" % (i, j)).digest()) for i in range(BINS)]
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row, however often the lambda names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def shingle_hashes(text: Column) -> Column:
     """Hashes of the 5-word windows of a text, A-Z lower-cased; fewer words give one of them all."""
     plain = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     ")
     words = F.filter(F.split(plain, " "), lambda w: w != "")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    spans = F.arrays_zip(*(F.slice(hashes, k + 1, F.greatest(F.size(hashes) - SHINGLE + 1, F.lit(1))).alias(f"w{k}")
-                           for k in range(SHINGLE)))
-    return F.when(F.size(hashes) == 0, F.array().cast("array<bigint>")).otherwise(
-        F.transform(spans, lambda s: F.xxhash64(*(s[f"w{k}"] for k in range(SHINGLE)))))
+    return _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(
+        F.transform(F.slice(h, 1, F.greatest(F.size(h) - SHINGLE + 1, F.lit(1))),
+                    lambda x, i: F.xxhash64(x, *(F.get(h, i + k) for k in range(1, SHINGLE))))))
 
 
 def fingerprint(hashes: Column) -> Column:
     """Packed bins as hex; a text without words gives the empty string."""
     shift = 64 - BINS_LOG2
-    lowest = F.sort_array(hashes)
-    first = F.filter(lowest, lambda x, i: (i == 0) | (
-        F.shiftright(x, shift) != F.shiftright(F.element_at(lowest, F.greatest(i, F.lit(1))), shift)))
-    by_bin = F.map_from_arrays(F.transform(first, lambda x: (F.shiftright(x, shift) + BINS // 2).cast("int")), first)
-    return F.when(F.size(hashes) == 0, F.lit("")).otherwise(_packed(by_bin))
+    first = _let(F.sort_array(hashes), lambda low: F.filter(low, lambda x, i: (i == 0) | (
+        F.shiftright(x, shift) != F.shiftright(F.get(low, F.greatest(i - 1, F.lit(0))), shift))))
+    return _let(first, lambda one: F.when(F.size(one) == 0, F.lit("")).otherwise(_let(
+        F.transform(one, lambda x: (F.shiftright(x, shift) + BINS // 2).cast("int")), lambda bins: _packed(one, bins))))
 
 
-def _packed(by_bin: Column) -> Column:
-    probes = F.array(*(F.array(*map(F.lit, p)) for p in _probes()))
-    value = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.coalesce(
-        F.try_element_at(by_bin, i),
-        F.try_element_at(by_bin, F.element_at(F.filter(F.element_at(probes, i + 1), lambda j: F.map_contains_key(by_bin, j)), 1))))
-    return F.array_join(F.transform(value, lambda v: F.lpad(F.lower(F.hex(v.bitwiseAND(F.lit((1 << BITS) - 1)))), BITS // 4, "0")), "")
+def _packed(one: Column, bins: Column) -> Column:
+    """Low bits of bin 0, 1, ...: ``one`` holds the smallest hashes of the filled ``bins``."""
+    probes = F.from_json(F.lit(json.dumps(_probes())), "array<array<int>>")
+    at = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.array_position(bins, i))
+    return _let(at, lambda places: F.array_join(F.transform(places, lambda p, i: F.lpad(F.lower(F.hex(F.get(one, (
+        F.when(p > 0, p).otherwise(F.element_at(F.filter(F.transform(F.element_at(probes, i + 1), lambda j: F.get(places, j)),
+                                                         lambda q: q > 0), 1)) - 1).cast("int"))
+        .bitwiseAND(F.lit((1 << BITS) - 1)))), BITS // 4, "0")), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity of two fingerprints, 0 to 1; two empty ones are alike, an empty one and another are not."""
     step = BITS // 4
     at = F.sequence(F.lit(1), F.lit(BINS * step), F.lit(step))
-    equal = F.size(F.filter(at, lambda p: a.substr(p, F.lit(step)) == b.substr(p, F.lit(step)))) / F.lit(float(BINS))
     chance = 2.0 ** -BITS
+    equal = F.size(F.filter(at, lambda p: a.substr(p, F.lit(step)) == b.substr(p, F.lit(step)))) / F.lit(float(BINS))
     return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(
         F.greatest(F.lit(0.0), (equal - chance) / (1 - chance)))
 
 
 def with_next(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
-    """doc_id, text and next_text: the text of the next row by ascending doc_id (after the last: the first).
+    """doc_id, text, k (range), ghost and next_text: the text of the next row by ascending doc_id (after the last: the first).
 
     Rows are dealt into ranges of ids and linked by a window inside each; the
-    first row of a range is also sent to the range before it.  Ties (repeated
+    first row of a range is also sent to the range before it, as its ghost.  Ties (repeated
     ids) follow the text; null ids come first.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -101,9 +106,12 @@ def with_next(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
             F.struct(F.when(F.col("k") == 0, F.lit(last)).otherwise(F.col("k") - 1).alias("k"), F.lit(True).alias("ghost"))))
             .otherwise(F.array(F.struct(F.col("k").alias("k"), F.lit(False).alias("ghost"))))).alias("s")) \
         .select("doc_id", "text", "s.k", "s.ghost")
-    order = Window.partitionBy("k").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "text")
-    return sent.withColumn("next_text", F.lead("text").over(order)).withColumn("next_id", F.lead("doc_id").over(order)) \
-        .where("not ghost").select("doc_id", "text", F.coalesce("next_text", F.lit("")).alias("next_text"))
+    order = _order()
+    return sent.withColumn("next_text", F.coalesce(F.lead("text").over(order), F.lit("")))
+
+
+def _order():
+    return Window.partitionBy("k").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "text")
 
 
 def _position(lows: Column, value: Column, n: int) -> Column:
@@ -129,9 +137,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     gives none; other columns are not read.
     """
     pairs = with_next(docs).withColumn("edit", edited(F.col("text"), F.col("next_text")))
-    hashed = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"),
-                          F.transform(F.array("text", "edit", "next_text"), shingle_hashes).alias("h"))
-    printed = hashed.select("doc_id", "n_chars", "edited_sha256", F.transform("h", fingerprint).alias("f"))
-    return printed.select("doc_id", "n_chars", "edited_sha256", F.col("f")[0].alias("fingerprint"), F.col("f")[1].alias("edited_fingerprint"),
-                          likeness(F.col("f")[0], F.col("f")[1]).alias("near_edited"),
-                          likeness(F.col("f")[0], F.col("f")[2]).alias("near_next"))
+    printed = pairs.select(
+        "k", "ghost", "doc_id", "text", F.length("text").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"),
+        F.transform(F.array("text", "edit"), lambda t: fingerprint(shingle_hashes(t))).alias("f"))
+    linked = printed.withColumn("g", F.lead("f").over(_order())).where("not ghost")
+    prints = F.struct(F.col("f")[0].alias("a"), F.col("f")[1].alias("b"), F.coalesce(F.col("g")[0], F.col("f")[0]).alias("c"))
+    return linked.select(
+        "doc_id", "n_chars", "edited_sha256", F.col("f")[0].alias("fingerprint"), F.col("f")[1].alias("edited_fingerprint"),
+        _let(prints, lambda p: likeness(p["a"], p["b"])).alias("near_edited"), _let(prints, lambda p: likeness(p["a"], p["c"])).alias("near_next"))

@@ -262,14 +262,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for part, texts in slices(batches, limit=SLICE):
             take, pos, hot, around, nl, nr = [], [], [], [], [], []
             for i, t in enumerate(texts):
-                for p in sorted({x if x >= 0 else -1 - x for x in part.column(3)[i].as_py()}):
+                for x in part.column(3)[i].as_py():
+                    p = x if x >= 0 else -1 - x
                     lo, hi = max(0, p - SIDE), min(len(t), p + SPAN)
                     take.append(i)
                     pos.append(p)
+                    hot.append(x < 0)
                     nl.append(p - lo)
                     nr.append(hi - p - GRAM)
                     around.append(b"\0" * (SIDE - (p - lo)) + t[lo:hi] + b"\0" * (SPAN - (hi - p)))
-                hot += [any_hot] * (len(pos) - len(hot)) if (any_hot := any(x < 0 for x in part.column(3)[i].as_py())) or len(pos) > len(hot) else []
             idx = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays([
                 pa.array([int.from_bytes(hashlib.blake2b(w[SIDE:SPAN], digest_size=8).digest(), "big", signed=True) for w in around], pa.int64()),

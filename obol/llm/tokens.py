@@ -13,7 +13,7 @@ import re
 
 import numpy as np
 
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 1_200_000
 #: A full stop or comma between a letter and white space is a token run of its own.
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|$)")
 
