@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from obol.llm.common import documents, staged
 from obol.llm.near_dedup import near_duplicates
 from obol.llm.packing import pack
-from obol.llm.queries import tokenizer_path
+from obol.llm.pii import pseudonymise
+from obol.llm.queries import pii_key, tokenizer_path
 from obol.llm.quality import measure
+from obol.llm.source_mixing import mix
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,12 +27,29 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each near-duplicate component."""
+    """One document (the smallest id) of each near-duplicate component; rows without an id cannot be named and go."""
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
 
 
-STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup)]
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Numbers, dates and addresses replaced by pseudonyms; n_chars follows the new text."""
+    return pseudonymise(docs.select(*COLUMNS), pii_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    copies = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_mix_id"), "copies")
+    return docs.join(copies, F.col("doc_id") == F.col("_mix_id")) \
+        .select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the mixed documents in sequences of 2048 tokens."""
+    return pack(docs, tokenizer_path())
+
+
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("pii", pii), ("mix_sources", mix_sources), ("packing", packing)]
 ORACLE_SQL = None
 
 

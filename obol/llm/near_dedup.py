@@ -133,15 +133,15 @@ def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
         .select("cid", F.coalesce("root", "comp").alias("comp"))
 
 
-def components(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """cid, comp of every class that shares a list: connected by verified links.
+def components(lists: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame:
+    """cid, comp of every class that shares a list: connected by verified links; ``names`` has a class's own comp.
 
     First each open list (with members of several components) offers one
     member, another in each round, and each class tests one offer of another
     component.  Then all pairs of different components that still share a list
     are tested, so no link is lost.
     """
-    labels = staged(lists.select("cid").distinct().withColumn("comp", F.col("cid")), "labels")
+    labels = staged(lists.select("cid").distinct().join(names, "cid"), "labels")
     for turn in range(STAR_ROUNDS + 1):
         tagged = lists.join(labels, "cid")
         mixed = tagged.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
@@ -169,26 +169,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (``doc_id``, ``text``).
 
     Texts without words (null, empty) are linked with nothing and keep their
-    own id; texts of equal sets form a class whose id is its smallest doc_id;
-    repeated rows are linked like copies; null ids count as larger than all
-    others (a group of null ids only has a null component and ``kept`` null).
+    own id; texts of equal sets form a class named by its smallest doc_id;
+    repeated rows are linked like copies, and two texts of one id share its
+    component; null ids count as larger than all others (a class of null ids
+    only is linked with nothing, its component and ``kept`` are null).
     Other columns are not read; an empty table gives none.
     """
     members = shingle_sets(docs)
-    rows = staged(members.select("doc_id", "n_shingles", "d1", "d2"), "sets")
     key = ["d1", "d2", "n_shingles"]
-    ids = staged(rows.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("cid")), "classes")
-    reps = ids.where("cid is not null").select("cid", *key)
-    sketched = members.select("doc_id", *key, F.expr(f"substring(members, 1, {8 * K})").alias("sketch"))
-    # one row of each class: its smallest id (repeated ids agree on the set, or the first is taken)
-    classes = staged(sketched.join(reps.select(F.col("cid"), *key), [*key])
-                     .where("doc_id = cid").dropDuplicates(["cid"]).select("cid", "n_shingles", "sketch"), "sketches")
+    node = F.xxhash64(*key).alias("cid")
+    rows = staged(members.select("doc_id", "n_shingles", node), "sets")
+    ids = staged(rows.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "classes")
+    named = ids.where("low is not null").select("cid", F.col("low").alias("comp"))
+    # the row that stands for its class: its smallest id
+    reps = named.select("cid", F.col("comp").alias("doc_id"))
+    sketched = members.select("doc_id", "n_shingles", node, F.expr(f"substring(members, 1, {8 * K})").alias("sketch"))
+    classes = staged(sketched.join(reps, ["doc_id", "cid"], "left_semi").dropDuplicates(["cid"]).select("cid", "n_shingles", "sketch"), "sketches")
     lists = staged(inverted_lists(classes), "lists")
-    wanted = lists.select("cid").distinct()
-    sets = staged(members.join(wanted.withColumnRenamed("cid", "doc_id"), "doc_id", "left_semi")
-                  .dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("cid"), "members"), "members")
-    comps = components(lists, sets)
-    named = ids.join(comps, "cid", "left").select(*key, F.coalesce("comp", "cid").alias("component"))
-    return rows.join(named, key, "left").select(
+    wanted = reps.join(lists.select("cid").distinct(), "cid")
+    sets = staged(members.select("doc_id", node, "members").join(wanted, ["doc_id", "cid"], "left_semi")
+                  .dropDuplicates(["cid"]).select("cid", "members"), "members")
+    comps = components(lists, sets, named)
+    whole = ids.join(comps, "cid", "left").select("cid", F.coalesce("comp", "low").alias("component"))
+    return rows.join(whole, "cid", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")) \
         .withColumn("kept", F.col("doc_id") == F.col("component_id"))

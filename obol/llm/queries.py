@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from obol.llm.common import documents
@@ -14,18 +16,58 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """Key of the pseudonyms: the setting spark.obol.pii.key, else a fixed one for trials (32 bytes of its SHA-256)."""
+    return hashlib.sha256(spark.conf.get("spark.obol.pii.key", "obol trial key").encode()).digest()
+
+
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and context-mixing score of every document."""
+    from obol.llm.lm_scoring import score
+    return score(documents(spark, sf_dir))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document (five words, Jaccard >= 0.75)."""
     from obol.llm.near_dedup import near_duplicates
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence sentences, rules and licences of every document."""
+    from obol.llm.license_scan import scan
+    return scan(documents(spark, sf_dir))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document and their places in sequences of 2048 tokens."""
     from obol.llm.packing import pack
     return pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with format-preserving pseudonyms, and how many values it had."""
+    from pyspark.sql import functions as F
+
+    from obol.llm.pii import pseudonymise
+    out = pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), pii_key(spark))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
+                      F.aggregate(F.map_values("pii"), F.lit(0).cast("long"), lambda a, x: a + x).alias("n_values"),
+                      F.array_join(F.array_sort(F.map_keys("pii")), ",").alias("kinds"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document so that sources meet weights 5, 2, 1."""
+    from obol.llm.source_mixing import mix
+    return mix(documents(spark, sf_dir))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and their likenesses."""
+    from obol.llm.fingerprints import fingerprints
+    return fingerprints(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count of every whole text, through a digest cache that starts empty."""
     from obol.llm.token_counts import count_tokens
@@ -39,5 +81,35 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op4_packing, op8_token_counts, op9_quality_rules)}
-ORACLE: dict[str, str] = {}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a 100-byte string seen earlier covers."""
+    from obol.llm.substring_dedup import remove_repeats
+    return remove_repeats(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_lm_scoring, op2_near_duplicates, op3_license_scan, op4_packing, op5_pii_pseudonyms, op6_source_mixing,
+    op7_fingerprints, op8_token_counts, op9_quality_rules, op10_substring_dedup)}
+
+
+def _license_sql() -> str:
+    """The licence scan in DuckDB SQL: sentence ids are places in one list, rules are tested on the id string."""
+    from obol.llm.license_scan import BREAK, RULES, SENTENCES
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    norm = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+    known = ", ".join(norm.format(quote(s)) for _, s in SENTENCES)
+    rules = ", ".join(f"CASE WHEN contains(line, ',{','.join(map(str, seq))},') THEN {r} END" for r, _, seq in RULES)
+    names = ", ".join(f"CASE WHEN contains(line, ',{','.join(map(str, seq))},') THEN {quote(lic)} END" for _, lic, seq in RULES)
+    return f"""
+WITH parts AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), E'{BREAK.replace(chr(92), chr(92) * 2)}'),
+                 lambda x: {norm.format('x')}), lambda x: x <> '') AS sentences FROM documents),
+known AS (SELECT [{known}] AS list),
+marked AS (SELECT doc_id, list_transform(sentences, lambda s: coalesce(list_position(list, s), 0)) AS marks FROM parts, known),
+lined AS (SELECT doc_id, list_filter(marks, lambda i: i > 0) AS ids, ',' || array_to_string(marks, ',') || ',' AS line FROM marked)
+SELECT doc_id::BIGINT AS doc_id, len(ids)::BIGINT AS n_known, array_to_string(ids, ',') AS sentence_ids,
+  array_to_string(list_filter([{rules}], lambda r: r IS NOT NULL), ',') AS rules,
+  array_to_string(list_sort(list_distinct(list_filter([{names}], lambda r: r IS NOT NULL))), ',') AS licenses
+FROM lined"""
+
+
+ORACLE: dict[str, str] = {"op3_license_scan": _license_sql()}

@@ -33,13 +33,13 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_rate: int = MAX_RATE) -> DataFrame:
-    """source, source_size, target of the sources of ``sizes`` (source, size).
+    """source, source_size, source_docs, target of the sources of ``sizes`` (source, size, n rows of that size).
 
     Weights repeat in the sources' code point order, null last.  Together the
     targets are the total size; a target stops at ``max_rate`` times its
     source's size and the excess is shared again by weight until none is above.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("n").alias("source_docs"))
+    per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("source_docs"))
     # one row a source: the numbering and the water level are over that table only
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
     cycle = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
