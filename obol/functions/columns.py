@@ -70,8 +70,9 @@ def payment_progress(paid, term) -> Column:
 
 
 def safe_clip(c, lo: float, hi: float) -> Column:
-    """Numeric coercion, bad/null -> 0, then clip."""
-    x = F.coalesce(parse_number(c) if not isinstance(c, Column) else c, F.lit(0.0))
+    """Numeric coercion, bad/null/NaN -> 0, then clip."""
+    x = (parse_number(c) if not isinstance(c, Column) else c).cast("double")
+    x = F.coalesce(F.when(~F.isnan(x), x), F.lit(0.0))
     return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
 
 

@@ -134,13 +134,13 @@ def fit_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def apply_medians(df: DataFrame, medians: DataFrame) -> DataFrame:
-    """P6 apply: numeric coercion, then null -> fitted median (broadcast one row)."""
+    """P6 apply: numeric coercion, then null or NaN -> fitted median (broadcast one row)."""
     cols = [c for c in medians.columns if c in df.columns]
     types = dict(df.dtypes)
     m = medians.select(*[F.col(c).alias(f"__med_{c}") for c in cols])
     out = attach(df, m)
-    out = out.withColumns({c: F.coalesce(parse_number(c) if types[c] == "string" else F.col(c).cast("double"),
-                                         F.col(f"__med_{c}")) for c in cols})
+    value = {c: parse_number(c) if types[c] == "string" else F.col(c).cast("double") for c in cols}
+    out = out.withColumns({c: F.when(v.isNotNull() & ~F.isnan(v), v).otherwise(F.col(f"__med_{c}")) for c, v in value.items()})
     return out.drop(*[f"__med_{c}" for c in cols])
 
 

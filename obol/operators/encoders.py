@@ -141,7 +141,7 @@ def target_fit(df: DataFrame, features: Sequence[str], label: str = C.LABEL,
 def target_apply(df: DataFrame, enc: DataFrame, features: Sequence[str]) -> DataFrame:
     """A5 transform: ``<feature>_target_enc``; unseen -> global mean."""
     enc = fitted(enc)
-    g = enc.table.select("global_mean").limit(1)
+    g = enc.table.agg(F.first("global_mean").alias("global_mean"))  # one row, of null, for an empty fit, too
     out = attach(df, g.withColumnRenamed("global_mean", "__gm"))
     for f in existing(df, features):
         out = enc.lookup(out, f, "target_enc", f"{f}_target_enc", F.col("__gm"))
@@ -200,7 +200,7 @@ def geo_apply(df: DataFrame, geo: DataFrame, res: str = "post_res", perm: str =
     """A6-A9 transform: res/perm/city risk (unseen -> global), risk level,
     address stability risk = 0.3 * (1 - match) + 0.7 * res risk."""
     enc = fitted(geo)
-    g = enc.table.select("global_rate").limit(1).withColumnRenamed("global_rate", "__g")
+    g = enc.table.agg(F.first("global_rate").alias("__g"))  # one row, of null, for an empty fit, too
     out = attach(df, g)
     out = enc.lookup(out, "res", "risk", "res_risk_score", F.col("__g"), source=res)
     out = out.withColumn("__city", F.substring(F.col(res).cast("string"), 1, C.CITY_PREFIX_LEN))

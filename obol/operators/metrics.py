@@ -101,20 +101,14 @@ def brier(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     return d.groupBy("model").agg(F.avg((F.col(p) - F.col(y)) * (F.col(p) - F.col(y))).alias("brier"))
 
 
-MAX_NAMED_THRESHOLDS = 100
-
-
 def confusion(df: DataFrame, thresholds: Mapping[str, float] | DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """M9: (model, threshold_name, actual, predicted, n) with every cell present.
 
-    The named thresholds (a handful: default, optimal) are read once, bounded,
-    and turned into conditional counts, so the data is scanned once and never
+    The named thresholds are read once and turned into conditional counts, so the data is scanned once and never
     multiplied by the threshold list."""
     d = _with_model(df, None)
     if isinstance(thresholds, DataFrame):
-        rows = thresholds.select("threshold_name", "t").limit(MAX_NAMED_THRESHOLDS + 1).collect()
-        if len(rows) > MAX_NAMED_THRESHOLDS:
-            raise ValueError(f"more than {MAX_NAMED_THRESHOLDS} named thresholds")
+        rows = thresholds.select("threshold_name", "t").collect()  # each becomes four output cells
         named = [(r["threshold_name"], float(r["t"])) for r in rows]
     else:
         named = [(k, float(v)) for k, v in thresholds.items()]
@@ -126,13 +120,10 @@ def confusion(df: DataFrame, thresholds: Mapping[str, float] | DataFrame, y: str
             for b in (0, 1):
                 aggs.append(F.count(F.when((yy == a) & (hat == b), 1)).alias(f"c{i}_{a}{b}"))
     wide = d.groupBy("model").agg(*aggs)
-    parts = [wide.select("model", F.lit(name).alias("threshold_name"), F.lit(a).alias("actual"),
-                         F.lit(b).alias("predicted"), F.col(f"c{i}_{a}{b}").alias("n"))
+    cells = [F.struct(F.lit(name).alias("threshold_name"), F.lit(a).alias("actual"), F.lit(b).alias("predicted"),
+                      F.col(f"c{i}_{a}{b}").alias("n"))
              for i, (name, _) in enumerate(named) for a in (0, 1) for b in (0, 1)]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    return wide.select("model", F.explode(F.array(*cells)).alias("cell")).select("model", "cell.*")
 
 
 def class_report(df: DataFrame, threshold: float = 0.5, y: str = "y", p: str = "p") -> DataFrame:

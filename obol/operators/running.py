@@ -39,14 +39,14 @@ MAX_HEAVY_KEYS = 10_000
 DEFAULT_MAX_GROUP_ROWS = 2_000_000
 
 
-def _join_small(big: DataFrame, small: DataFrame, cols: Sequence[str]) -> DataFrame:
+def _join_small(big: DataFrame, small: DataFrame, cols: Sequence[str], send: bool = True) -> DataFrame:
     """Left join of a bounded table onto ``big`` by null-safe equality, keeping big's key columns."""
     if not cols:
         raise ValueError("join columns required")
     renamed = small.select(*[F.col(c).alias(f"__k_{c}") for c in cols],
                            *[c for c in small.columns if c not in cols])
     cond = reduce(lambda a, b: a & b, [big[c].eqNullSafe(renamed[f"__k_{c}"]) for c in cols])
-    out = big.join(F.broadcast(renamed), cond, "left")
+    out = big.join(F.broadcast(renamed) if send else renamed, cond, "left")
     return out.drop(*[f"__k_{c}" for c in cols])
 
 
@@ -151,15 +151,15 @@ def running(
     else:
         counts = None
         total = largest = df.count()
-    budget = max(max_group_rows, -(-total // MAX_HEAVY_KEYS))
+    budget = max_group_rows
     if largest <= budget:
         return _plain(df, keys, order, sums, lasts, maxes)
     if not keys:
         return _ranged(df, keys, order, sums, lasts, sized(total), maxes)
-    # bounded: at most total / budget <= MAX_HEAVY_KEYS rows
+    # at most total / budget rows; up to MAX_HEAVY_KEYS of them are sent to every task, more are joined by shuffle
     heavy = materialize(counts.where(F.col("count") > budget).withColumn("_heavy", F.lit(True)))
     heavy_rows = int(heavy.agg(F.sum("count")).first()[0] or 0)
-    tagged = _join_small(df, heavy.drop("count"), keys)
+    tagged = _join_small(df, heavy.drop("count"), keys, total <= budget * MAX_HEAVY_KEYS)
     light_part = tagged.where(F.col("_heavy").isNull()).drop("_heavy")
     heavy_part = tagged.where(F.col("_heavy").isNotNull()).drop("_heavy")
     a = _plain(light_part, keys, order, sums, lasts, maxes)

@@ -193,10 +193,9 @@ def key_columns(df: DataFrame) -> DataFrame:
 def simplified_output(df: DataFrame) -> DataFrame:
     """Identity columns + nine result columns (+ two flags when present),
     with column descriptions attached as metadata."""
-    out = key_columns(df)
-    extra = [c for c in ("early_warning_flag", "overdue_worsening") if c in df.columns]
-    if extra:
-        out = out.join(df.select("serial_number", *extra), "serial_number") if "serial_number" in out.columns else out
+    keys = key_columns(df).columns
+    extra = [c for c in ("early_warning_flag", "overdue_worsening") if c in df.columns and c not in keys and "serial_number" in keys]
+    out = df.select(*keys, *extra)
     desc = {
         "default_probability": "predicted probability of default, percent",
         "risk_score": "0-100, higher is safer",

@@ -439,12 +439,12 @@ hx AS (SELECT *, CASE WHEN loan_term > 0 THEN CAST(coalesce(paid_installments, 0
 
 W1 = """
 w1 AS (SELECT serial_number, id, default_flag,
-              count(*) OVER (PARTITION BY id ORDER BY application_date, serial_number
+              count(*) OVER (PARTITION BY id, CASE WHEN id IS NULL THEN serial_number END ORDER BY application_date, serial_number
                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_prev,
-              sum(default_flag) OVER (PARTITION BY id ORDER BY application_date, serial_number
+              sum(default_flag) OVER (PARTITION BY id, CASE WHEN id IS NULL THEN serial_number END ORDER BY application_date, serial_number
                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_def,
-              lag(overdue_days) OVER (PARTITION BY id ORDER BY application_date, serial_number) AS last_od,
-              lag(ratio) OVER (PARTITION BY id ORDER BY application_date, serial_number) AS last_ratio
+              lag(overdue_days) OVER (PARTITION BY id, CASE WHEN id IS NULL THEN serial_number END ORDER BY application_date, serial_number) AS last_od,
+              lag(ratio) OVER (PARTITION BY id, CASE WHEN id IS NULL THEN serial_number END ORDER BY application_date, serial_number) AS last_ratio
        FROM hx)"""
 ORACLE["client_history"] = with_(LOANS, HX, W1) + _hist_out("w1")
 
@@ -960,7 +960,7 @@ FROM loans l LEFT JOIN ki ON ki.s = l.serial_number"""
 
 
 def _u(expr: str, salt: str) -> str:
-    return f"(CAST(('0x' || substr(md5(CAST({expr} AS VARCHAR) || '|42|{salt}'), 1, 8)) AS BIGINT) / 4294967296e0)"
+    return f"(CAST(('0x' || substr(md5(CAST({expr} AS VARCHAR) || '|42|{salt}'), 1, 13)) AS BIGINT) / 4503599627370496e0)"
 
 
 ORACLE["smote"] = with_(LOANS, f"""

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators import cleaning, features, scoring
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 
 PERIOD_HOURS = 90          # 3.75 days
 PERIODS = 8
@@ -33,7 +33,7 @@ def _work_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/obol-stream/{name}-{uuid.uuid4().hex}"
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
+def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 256) -> DataFrame:
     """A file stream over one driver table (schema fixed up front)."""
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
     return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
@@ -41,13 +41,14 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> str:
-    """Run a streaming frame to completion through ``foreachBatch`` appends;
+    """Run a streaming frame to completion through ``foreachBatch``, a folder per batch;
     returns the output folder."""
     spark = stream.sparkSession
     out, ckpt = _work_dir(spark, name), _work_dir(spark, f"{name}-ckpt")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+        # a replayed batch overwrites its own folder
+        batch.write.mode("overwrite").parquet(f"{out}/_batch_id={batch_id}")
 
     q = (stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
@@ -61,7 +62,8 @@ def stream_scoring(spark: SparkSession, sf_dir: str, threshold: DataFrame) -> Da
     features -> scores; returns the scored rows read back from the sink."""
     from ..sources import fixtures as fx
     orders = stream_table(spark, sf_dir, "orders")
-    loans = fx.loans_from(orders, fx.order_lines(spark, sf_dir), fx.read_table(spark, sf_dir, "customer"))
+    lines = materialize(fx.order_lines(spark, sf_dir))  # aggregated once, not once a batch
+    loans = fx.loans_from(orders, lines, fx.read_table(spark, sf_dir, "customer"))
     l = cleaning.with_label(loans)
     l = features.overdue_features(cleaning.fill_zero(l))
     scored = scoring.score(l, threshold, prob="score_p")

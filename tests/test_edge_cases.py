@@ -300,3 +300,65 @@ def test_eligibility_limits(spark):
     assert v[2]["errors"] == ["age_below_min"]
     assert v[3]["errors"] == ["age_above_max", "income_below_min", "dti_above_max", "credit_history_too_short"]
     assert v[4]["errors"] == ["age_below_min", "income_below_min", "credit_history_too_short"]
+
+
+# ---------------------------------------------------------------- nulls and small inputs
+def test_loans_without_id_are_each_new(spark):
+    from obol.operators import history
+    rows = [(1, None, "2024-01-01", 1, 5.0, 1, 2), (2, None, "2024-02-01", 0, 0.0, 1, 2), (3, "a", "2024-01-01", 1, 3.0, 2, 2),
+            (4, "a", "2024-03-01", 0, 0.0, 1, 2)]
+    df = spark.createDataFrame(rows, "serial_number long, id string, application_date string, default_flag int, overdue_days double, "
+                                     "paid_installments int, loan_term int").withColumn("application_date", F.to_date("application_date"))
+    for strategy in ("window", "ranged", "auto"):
+        h = {r.serial_number: r for r in history.client_history(df, id_col="id", strategy=strategy).collect()}
+        assert [h[i].is_new_customer for i in (1, 2, 3, 4)] == [1, 1, 1, 0]
+        assert h[4].cumulative_defaults == 1 and h[2].cumulative_defaults == 0
+    for lag in (0, 10):
+        h = {r.serial_number: r for r in history.client_history_asof(df, lag, id_col="id").collect()}
+        assert h[1].is_new_customer == h[2].is_new_customer == 1
+    assert history.repeat_stats(df, "id").first().total_customers == 1
+
+
+def test_knn_impute_ignores_rows_without_features(spark):
+    from obol.operators import neighbors
+    rows = [(1, 1.0, 1.0, None), (2, 1.0, 2.0, 10.0), (3, 2.0, 1.0, 20.0), (4, None, 1.0, 999.0), (5, float("nan"), 1.0, 998.0),
+            (6, None, 2.0, None)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, t double")
+    got = {r.k: r.t for r in neighbors.knn_impute(df, "t", ["a", "b"], "k", k=2).collect()}
+    assert got[1] == 15.0 and got[6] is None
+
+
+def test_smote_with_a_small_minority_is_complete(spark):
+    from obol.operators import neighbors
+    rows = [(i, float(i), 0) for i in range(38)] + [(100, 1.0, 1), (101, 2.0, 1)]
+    df = spark.createDataFrame(rows, "k long, x double, y int")
+    out = neighbors.smote(df, "y", ["x"], "k", k=3)
+    assert out.where("synthetic = 1").count() == 36
+
+
+def test_empty_encoder_keeps_rows(spark):
+    from obol.operators import encoders
+    df = spark.createDataFrame([("a", 1), ("b", 0)], "c string, default_flag int")
+    enc = encoders.target_fit(df.where("false"), ["c"])
+    assert encoders.target_apply(df, enc, ["c"]).count() == 2
+    geo = spark.createDataFrame([("123", "456", 1)], "post_res string, post_perm string, default_flag int")
+    assert encoders.geo_apply(geo, encoders.geo_fit(geo.where("false"))).count() == 1
+
+
+def test_nan_counts_as_missing(spark):
+    from obol.functions import columns
+    from obol.operators import cleaning, ml
+    df = spark.createDataFrame([(1, float("nan")), (2, 1.5)], "k long, x double")
+    assert [r[0] for r in df.select(columns.safe_clip(F.col("x"), 0.0, 2.0)).collect()] == [0.0, 1.5]
+    assert {r.k: r.x for r in cleaning.apply_medians(df, cleaning.fit_medians(df, ["x"])).collect()}[1] == 1.5
+    assert {r.k: r.x for r in ml.model_matrix(df, ["x"], keep=("k",)).collect()}[1] == 0.0
+
+
+def test_many_levels_and_thresholds(spark):
+    from obol.operators import metrics, ml
+    df = spark.createDataFrame([(i, f"v{i:04d}") for i in range(1001)], "k long, c string")
+    levels = ml.fit_one_hot_levels(df, ["c"])
+    assert len(levels["c"]) == 1001
+    d = spark.createDataFrame([(0, 0.2), (1, 0.8)], "y int, p double")
+    t = spark.createDataFrame([(f"t{i}", i / 100) for i in range(101)], "threshold_name string, t double")
+    assert metrics.confusion(d, t).count() == 404
