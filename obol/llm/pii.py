@@ -155,7 +155,8 @@ _DATE_LAYOUTS = ("ymd", "dmy", "mdy")
 
 
 def _date(text: str, key: bytes, inverse: bool) -> str | None:
-    """A real day of 1900-2099; day first where both readings are real, unless only month first is."""
+    """A real day of 1900-2099; day first where both readings are real.  Single
+    digits without a leading zero stay so; a date that mixes both is written with zeros."""
     sep = re.search(r"[-/.]", text)[0]
     p = text.split(sep)
     if len(p) != 3:
@@ -169,11 +170,11 @@ def _date(text: str, key: bytes, inverse: bool) -> str | None:
         if not 0 <= day < DAYS:
             return None
         padded = any(len(part[k]) == 2 and part[k][0] == "0" for k in "md") or len(part["d"]) == len(part["m"]) == 2
-        tag = b"date" + layout.encode()
-        while True:  # walk on until the new text is read back by the same layout
+        tag = b"date" + layout.encode() + b"0" * padded
+        while True:  # walk on until the new text is read back in the same way
             day = permute(day, DAYS, key, tag, inverse)
             new = dt.date.fromordinal(day + FIRST_DAY)
-            if layout != "mdy" or new.day > 12:
+            if (layout != "mdy" or new.day > 12) and (padded or new.day < 10 or new.month < 10):
                 break
         fmt = {"y": f"{new.year:04d}", "m": f"{new.month:02d}" if padded else str(new.month), "d": f"{new.day:02d}" if padded else str(new.day)}
         return sep.join(fmt[k] for k in layout)

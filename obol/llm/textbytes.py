@@ -125,7 +125,7 @@ class Words:
         left = np.repeat(n, n) - at
         for k in range(SHINGLE):
             term = np.zeros(total, U)
-            term[: total - k] = h[k:] * _WEIGHTS[k]
+            term[: max(0, total - k)] = h[k:] * _WEIGHTS[k]
             acc += np.where(left > k, term, U(0))
         whole = (np.repeat(n, n) < SHINGLE) & (at == 0)
         acc += np.where(whole, np.repeat(n, n).astype(U) * _WEIGHTS[SHINGLE], U(0))
