@@ -175,11 +175,6 @@ def fill_constant(df: DataFrame, cols: Sequence[str], value: str = C.OTHER_LEVEL
     return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(value)) for c in existing(df, cols)})
 
 
-def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """String -> double, bad -> null."""
-    return df.withColumns({c: parse_number(c) for c in existing(df, cols)})
-
-
 def categoricals_as_string(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """P10: cast to string with an explicit missing level."""
     return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(C.MISSING_LEVEL))
@@ -240,11 +235,6 @@ def input_rules(allowed: Mapping[str, Sequence[str]] | None = None) -> list[tupl
     return rules
 
 
-def split_valid(df: DataFrame, column: str = "violations") -> tuple[DataFrame, DataFrame]:
-    """Valid rows (no violation) and rejected rows."""
-    return df.where(F.size(column) == 0), df.where(F.size(column) > 0)
-
-
 def eligibility_rules() -> list[tuple[str, object]]:
     """Client eligibility; a missing value counts as 0."""
     z = lambda n: F.coalesce(F.col(n), F.lit(0))

@@ -50,12 +50,6 @@ def apply_robust_scaler(df: DataFrame, stats: DataFrame, cols: Sequence[str]) ->
     return out.drop(*[f"{c}_{x}" for c in cols for x in ("m", "s")])
 
 
-def robust_scaler_stage(input_col: str = "features", output_col: str = "scaled") -> RobustScaler:
-    """M1 as a pipeline stage over an assembled vector.  Spark ML's scaler uses
-    approximate quantiles; ``fit_robust_scaler`` is the exact variant."""
-    return RobustScaler(inputCol=input_col, outputCol=output_col, withCentering=True, withScaling=True)
-
-
 def fit_one_hot_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
     """M2 fit: sorted levels per column (null -> 'missing').  The levels become
     output columns, so they are schema, however many."""
