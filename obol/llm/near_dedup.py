@@ -5,6 +5,9 @@ shingle set.  Values are listed rarest first: two sets with Jaccard >= 0.75
 share at least ``MIN_SHARED`` of 64 sketch values except with a chance below
 one in a million, so they meet in an inverted list of the 64 - MIN_SHARED + 1
 rarest values of each.  Sets that fit the sketch use the exact prefix bound.
+Classes with a shared list are listed once more by their full sets: the exact
+bound there (any alike pair shares one of the rarest quarter of each set's
+values) parts texts that only have a passage in common.
 """
 
 from __future__ import annotations
@@ -25,8 +28,10 @@ MIN_SHARED = 30
 PERCENT = 75
 #: The estimate of a pair must lie within this many standard deviations of the threshold to be checked exactly.
 SLACK = 5.0
-#: Rounds that test each document against one member of its lists before all open pairs are tested.
-STAR_ROUNDS = 6
+#: Rounds of drawn offers before all open pairs are tested; round r draws 2**r offers a list.
+STAR_ROUNDS = 5
+#: Open pairs per row of the open lists that are tested at once.
+FEW_PAIRS = 4
 U = np.uint64
 
 
@@ -59,14 +64,20 @@ def _sketch_values(classes: DataFrame) -> DataFrame:
     return classes.select("cid", "sketch").mapInArrow(explode, "cid long, value long")
 
 
-def inverted_lists(classes: DataFrame) -> DataFrame:
-    """value, cid: the lists of the rarest sketch values of each class that another class holds, too."""
+def inverted_lists(classes: DataFrame, whole: bool = False) -> DataFrame:
+    """value, cid: the lists of the rarest values of each class that another class holds, too.
+
+    ``sketch`` holds the values: the K smallest of the set, or, if ``whole``,
+    all of it; then the bound is exact for every pair of the given classes.
+    """
     values = _sketch_values(classes)
     freq = values.groupBy("value").count().where("count > 1")
     shared = values.join(freq, "value")
     held = Window.partitionBy("cid")
-    n = F.least(F.col("n_shingles"), F.lit(K))
-    need = F.when(F.col("n_shingles") <= K * PERCENT // 100, F.ceil(n * PERCENT / 100)).otherwise(F.lit(MIN_SHARED))
+    n = F.col("n_shingles") if whole else F.least(F.col("n_shingles"), F.lit(K))
+    need = F.ceil(n * PERCENT / 100)
+    if not whole:
+        need = F.when(F.col("n_shingles") <= K * PERCENT // 100, need).otherwise(F.lit(MIN_SHARED))
     ranked = shared.withColumn("r", F.row_number().over(held.orderBy("count", "value"))) \
         .withColumn("n_shared", F.count(F.lit(1)).over(held)) \
         .join(classes.select("cid", "n_shingles"), "cid")
@@ -136,32 +147,42 @@ def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
 def components(lists: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame:
     """cid, comp of every class that shares a list: connected by verified links; ``names`` has a class's own comp.
 
-    First each open list (with members of several components) offers one
-    member, another in each round, and each class tests one offer of another
-    component.  Then all pairs of different components that still share a list
-    are tested, so no link is lost.
+    Each round, every open list (with members of several components) offers
+    some members, others every time, and each class tests one offer of another
+    component for each of the round's draws.  When the pairs of different
+    components that still share a list are no more than a few times the lists'
+    rows, or after ``STAR_ROUNDS`` rounds, all of them are tested, so no link
+    is lost.
     """
     labels = staged(lists.select("cid").distinct().join(names, "cid"), "labels")
     for turn in range(STAR_ROUNDS + 1):
-        tagged = lists.join(labels, "cid")
-        mixed = tagged.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                            F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), F.col("cid").alias("p"),
-                                                           F.col("comp").alias("pc"))).alias("offer")) \
-            .where("lo <> hi")
-        open_ = tagged.join(mixed.select("value", "offer.p", "offer.pc", "offer.h"), "value")
-        if turn < STAR_ROUNDS:
-            pairs = open_.where("comp <> pc").groupBy("cid").agg(F.min(F.struct("h", "p")).alias("m")) \
-                .select(F.least("cid", "m.p").alias("a"), F.greatest("cid", "m.p").alias("b")).distinct()
-        else:
-            left = open_.select("value", F.col("cid").alias("a"), F.col("comp").alias("ca"))
-            right = open_.select("value", F.col("cid").alias("b"), F.col("comp").alias("cb"))
-            pairs = left.join(right, "value").where("a < b and ca <> cb").select("a", "b").distinct()
-        pairs = staged(pairs, "pairs")
-        if pairs.isEmpty():
+        tagged = staged(lists.join(labels, "cid"), "tagged")
+        held = tagged.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("value").agg(
+            F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.count(F.lit(1)).alias("comps"))
+        mixed = held.where("comps > 1")
+        size = mixed.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+                         F.coalesce(F.sum((F.col("rows").cast("double") * F.col("rows") - F.col("squares")) / 2), F.lit(0.0)).alias("pairs")).first()
+        if not size.rows:
             break
+        last = turn == STAR_ROUNDS or size.pairs <= FEW_PAIRS * size.rows
+        open_ = tagged.join(mixed.select("value"), "value")
+        if last:
+            right = open_.select("value", F.col("cid").alias("b"), F.col("comp").alias("cb"))
+            pairs = open_.select("value", F.col("cid").alias("a"), F.col("comp").alias("ca")).join(right, "value") \
+                .where("a < b and ca <> cb").select("a", "b").distinct()
+        else:
+            draws = F.explode(F.sequence(F.lit(0), F.lit((1 << turn) - 1)))
+            drawn = open_.withColumn("draw", draws)
+            h = F.xxhash64("cid", F.lit(turn), F.col("draw"))
+            offers = drawn.groupBy("value", "draw").agg(F.min(F.struct(h.alias("h"), F.col("cid").alias("p"), F.col("comp").alias("pc"))).alias("o"))
+            pairs = drawn.join(offers, ["value", "draw"]).where("comp <> o.pc") \
+                .groupBy("cid", "draw").agg(F.min(F.struct("o.h", "o.p")).alias("m")) \
+                .select(F.least("cid", "m.p").alias("a"), F.greatest("cid", "m.p").alias("b")).distinct()
         links = staged(_checked(pairs, sets), "links")
         if not links.isEmpty():
             labels = staged(merge_components(labels, links), "labels")
+        if last:
+            break
     return labels
 
 
@@ -187,8 +208,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = staged(sketched.join(reps, ["doc_id", "cid"], "left_semi").dropDuplicates(["cid"]).select("cid", "n_shingles", "sketch"), "sketches")
     lists = staged(inverted_lists(classes), "lists")
     wanted = reps.join(lists.select("cid").distinct(), "cid")
-    sets = staged(members.select("doc_id", node, "members").join(wanted, ["doc_id", "cid"], "left_semi")
-                  .dropDuplicates(["cid"]).select("cid", "members"), "members")
+    sets = staged(members.select("doc_id", "n_shingles", node, "members").join(wanted, ["doc_id", "cid"], "left_semi")
+                  .dropDuplicates(["cid"]).select("cid", "n_shingles", "members"), "members")
+    # classes that met through sketches meet again through the rarest quarter of their full sets
+    lists = staged(inverted_lists(sets.withColumnRenamed("members", "sketch"), whole=True), "lists")
     comps = components(lists, sets, named)
     whole = ids.join(comps, "cid", "left").select("cid", F.coalesce("comp", "low").alias("component"))
     return rows.join(whole, "cid", "left").select(
