@@ -29,9 +29,9 @@ PERCENT = 75
 #: The estimate of a pair must lie within this many standard deviations of the threshold to be checked exactly.
 SLACK = 5.0
 #: Rounds of drawn offers before all open pairs are tested; round r draws 2**r offers a list.
-STAR_ROUNDS = 5
+LEAST_ROUNDS, STAR_ROUNDS = 2, 6
 #: Open pairs per row of the open lists that are tested at once.
-FEW_PAIRS = 4
+FEW_PAIRS = 1
 U = np.uint64
 
 
@@ -164,7 +164,7 @@ def components(lists: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame
                          F.coalesce(F.sum((F.col("rows").cast("double") * F.col("rows") - F.col("squares")) / 2), F.lit(0.0)).alias("pairs")).first()
         if not size.rows:
             break
-        last = turn == STAR_ROUNDS or size.pairs <= FEW_PAIRS * size.rows
+        last = turn == STAR_ROUNDS or turn >= LEAST_ROUNDS and size.pairs <= FEW_PAIRS * size.rows
         open_ = tagged.join(mixed.select("value"), "value")
         if last:
             right = open_.select("value", F.col("cid").alias("b"), F.col("comp").alias("cb"))
