@@ -21,7 +21,9 @@ of its own words by a join.
 
 from __future__ import annotations
 
+import functools
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from obol.llm.common import ship, staged
 from obol.llm.textbytes import mix64, slices
@@ -45,6 +48,9 @@ REACH = 8.0
 EPOCHS = 2
 BATCH = 1 << 14
 END = 10
+#: Bytes of text scored at once, and 6-byte strings whose scores a worker keeps.
+SLICE = 3 << 20
+SEEN_GRAMS = 3_000_000
 U = np.uint64
 
 
@@ -314,22 +320,26 @@ def score(docs: DataFrame) -> DataFrame:
                        F.coalesce(F.crc32(number.cast("string").cast("binary")) % 7 == 2, F.lit(False)).alias("held_out"),
                        F.floor(F.monotonically_increasing_id() / BLOCK_DOCS).alias("block"))
     rows = staged(rows, "lm-rows")
-    words = staged(_block_words(rows), "words")
-    counts = staged(words.groupBy("word").agg(F.sum("n").alias("c")), "counts")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    # a word has at most one row a block (and input split): its count in all blocks by one shuffle
+    same = Window.partitionBy("word")
+    words = staged(_block_words(rows).withColumn("c", F.sum("n").over(same))
+                   .withColumn("one", F.row_number().over(same.orderBy("block", "n")) == 1).select("block", "word", "c", "one"), "words")
+    total = words.where("one").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     train_docs = rows.where("not held_out").count()
     n_train, vocabulary = total.n + train_docs, total.v + (train_docs > 0)
     floor = math.log10(n_train + vocabulary + 1)
     end = math.log10(train_docs + 1)
     model = train(rows)
     shared = spark.sparkContext.broadcast((model.slot_bits, model.table, model.weights, model.apm))
+    token = uuid.uuid4().hex
     blank = lambda t: F.lit(None).cast(t)
-    dictionary = words.select("block", "word").join(counts, "word").select(
+    dictionary = words.select(
         "block", F.lit(0).alias("kind"), "word", "c", blank("long").alias("doc_id"), blank("boolean").alias("held_out"), blank("string").alias("text"))
     both = dictionary.unionByName(rows.select(
         "block", F.lit(1).alias("kind"), blank("string").alias("word"), blank("long").alias("c"), "doc_id", "held_out", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _seen(token)
         model = Model(*shared.value)
         block, logs = None, {}
         for batch in batches:
@@ -344,7 +354,7 @@ def score(docs: DataFrame) -> DataFrame:
                 if part.column(1)[0].as_py() == 0:
                     logs.update(zip(part.column(2).cast(pa.binary()).to_pylist(), np.log10(part.column(3).to_numpy() + 1.0).tolist(), strict=True))
                     continue
-                for piece, texts in slices(iter([part])):
+                for piece, texts in slices(iter([part]), limit=SLICE):
                     own = [t.lower().split() for t in texts]
                     values = [np.fromiter(map(logs.__getitem__, w), float, len(w)) for w in own]
                     n = np.array([len(w) + 1 for w in own])
@@ -352,7 +362,7 @@ def score(docs: DataFrame) -> DataFrame:
                     base = np.array([v.sum() for v in values]) + end - n * floor
                     streams = [byte_stream(w) for w in own]
                     size = np.array([len(s) + 1 for s in streams])
-                    points = _scores(model, streams)
+                    points = _scores(model, streams, seen)
                     yield pa.RecordBatch.from_arrays([
                         piece.column(4), piece.column(5), pa.array(n), pa.array(known), pa.array(np.full(len(n), n_train, np.int64)),
                         pa.array(base), pa.array(points), pa.array(size), pa.array(-points / math.log10(2) / size)],
@@ -362,15 +372,46 @@ def score(docs: DataFrame) -> DataFrame:
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double")
 
 
-def _scores(model: Model, streams: list[bytes]) -> np.ndarray:
+class Seen:
+    """Scores of 6-byte strings met before in this worker, in ascending order; emptied when it would hold too many."""
+
+    def __init__(self):
+        self.grams, self.logs = np.zeros(0, U), np.zeros(0)
+
+    def log10(self, model: Model, grams: np.ndarray) -> np.ndarray:
+        if not len(self.grams):
+            self.grams, self.logs = grams, model.log10(grams)
+            return self.logs
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        old = self.grams[at] == grams
+        out = self.logs[at]
+        new = grams[~old]
+        if len(new):
+            out[~old] = model.log10(new)
+            if len(self.grams) + len(new) > SEEN_GRAMS:
+                self.grams, self.logs = grams, out
+            else:
+                place = np.searchsorted(self.grams, new)
+                self.grams, self.logs = np.insert(self.grams, place, new), np.insert(self.logs, place, out[~old])
+        return out
+
+
+@functools.lru_cache(maxsize=1)
+def _seen(token: str) -> Seen:
+    """The scores of one model (named by the token) that this worker has computed so far."""
+    return Seen()
+
+
+def _scores(model: Model, streams: list[bytes], seen: Seen | None = None) -> np.ndarray:
     """Score of each stream; every distinct 6-byte string is predicted once."""
+    seen = seen or Seen()
     out = np.zeros(len(streams))
     for lo in range(0, len(streams), 1 << 16):
         code, row = codes(streams[lo:lo + (1 << 16)])
         key = np.sort((code << U(16)) | row.astype(U))
         gram = key >> U(16)
         start = np.concatenate([[True], gram[1:] != gram[:-1]])
-        log = model.log10(gram[start])
+        log = seen.log10(model, gram[start])
         out[lo:lo + (1 << 16)] = np.bincount((key & U(0xFFFF)).astype(np.int64), weights=log[np.cumsum(start) - 1],
                                              minlength=min(len(streams) - lo, 1 << 16))
     return out
