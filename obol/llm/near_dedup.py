@@ -28,8 +28,9 @@ MIN_SHARED = 30
 PERCENT = 75
 #: The estimate of a pair must lie within this many standard deviations of the threshold to be checked exactly.
 SLACK = 5.0
-#: Rounds of drawn offers before all open pairs are tested; round r draws 2**r offers a list.
-LEAST_ROUNDS, STAR_ROUNDS = 2, 6
+#: Offers that each open list draws in each round before all open pairs are tested; rounds that are always held.
+DRAWS = (1, 4, 8, 16)
+LEAST_ROUNDS = 2
 #: Open pairs per row of the open lists that are tested at once.
 FEW_PAIRS = 1
 U = np.uint64
@@ -151,11 +152,11 @@ def components(lists: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame
     some members, others every time, and each class tests one offer of another
     component for each of the round's draws.  When the pairs of different
     components that still share a list are no more than a few times the lists'
-    rows, or after ``STAR_ROUNDS`` rounds, all of them are tested, so no link
+    rows, or after the last round, all of them are tested, so no link
     is lost.
     """
     labels = staged(lists.select("cid").distinct().join(names, "cid"), "labels")
-    for turn in range(STAR_ROUNDS + 1):
+    for turn in range(len(DRAWS) + 1):
         tagged = staged(lists.join(labels, "cid"), "tagged")
         held = tagged.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("value").agg(
             F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.count(F.lit(1)).alias("comps"))
@@ -164,20 +165,21 @@ def components(lists: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame
                          F.coalesce(F.sum((F.col("rows").cast("double") * F.col("rows") - F.col("squares")) / 2), F.lit(0.0)).alias("pairs")).first()
         if not size.rows:
             break
-        last = turn == STAR_ROUNDS or turn >= LEAST_ROUNDS and size.pairs <= FEW_PAIRS * size.rows
+        last = turn == len(DRAWS) or turn >= LEAST_ROUNDS and size.pairs <= FEW_PAIRS * size.rows
         open_ = tagged.join(mixed.select("value"), "value")
         if last:
             right = open_.select("value", F.col("cid").alias("b"), F.col("comp").alias("cb"))
             pairs = open_.select("value", F.col("cid").alias("a"), F.col("comp").alias("ca")).join(right, "value") \
                 .where("a < b and ca <> cb").select("a", "b").distinct()
         else:
-            draws = F.explode(F.sequence(F.lit(0), F.lit((1 << turn) - 1)))
-            drawn = open_.withColumn("draw", draws)
-            h = F.xxhash64("cid", F.lit(turn), F.col("draw"))
-            offers = drawn.groupBy("value", "draw").agg(F.min(F.struct(h.alias("h"), F.col("cid").alias("p"), F.col("comp").alias("pc"))).alias("o"))
-            pairs = drawn.join(offers, ["value", "draw"]).where("comp <> o.pc") \
-                .groupBy("cid", "draw").agg(F.min(F.struct("o.h", "o.p")).alias("m")) \
-                .select(F.least("cid", "m.p").alias("a"), F.greatest("cid", "m.p").alias("b")).distinct()
+            draws = range(DRAWS[turn])
+            offers = open_.groupBy("value").agg(*(
+                F.min(F.struct(F.xxhash64("cid", F.lit(turn), F.lit(i)).alias("h"), F.col("cid").alias("p"), F.col("comp").alias("pc"))).alias(f"o{i}")
+                for i in draws))
+            best = open_.join(offers, "value").groupBy("cid").agg(*(
+                F.min(F.when(F.col("comp") != F.col(f"o{i}.pc"), F.struct(f"o{i}.h", f"o{i}.p"))).alias(f"m{i}") for i in draws))
+            pairs = best.select("cid", F.explode(F.array(*(F.col(f"m{i}.p") for i in draws))).alias("p")).where("p is not null") \
+                .select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b")).distinct()
         links = staged(_checked(pairs, sets), "links")
         if not links.isEmpty():
             labels = staged(merge_components(labels, links), "labels")
