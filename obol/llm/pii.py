@@ -122,22 +122,30 @@ def _ssn(text: str, key: bytes, inverse: bool) -> str | None:
 
 
 def _phone(text: str, key: bytes, inverse: bool) -> str | None:
-    """North American number: area code and the seven digits after it, leading digits 2-9; a 555 exchange stays."""
+    """Area code and the seven digits after it; a 555 exchange stays.
+
+    Numbers whose area code and exchange start with 2-9 are permuted among
+    themselves, all others among themselves (own tags), so that each stays of
+    its sort and can be inverted.
+    """
     d = re.sub(r"\D", "", text)
     lead, d = d[:-10], d[-10:]
-    if len(d) != 10 or lead not in ("", "1") or d[0] in "01" or d[3] in "01":
+    if len(d) != 10 or lead not in ("", "1"):
         return None
-    fixed = d[3:6] == "555"
-    if fixed:
-        v = permute((int(d[:3]) - 200) * 10_000 + int(d[6:]), 800 * 10_000, key, b"phone555", inverse)
-        new = f"{v // 10_000 + 200}555{v % 10_000:04d}"
-    else:
-        v = int(d[:3]) - 200
-        w = permute((v * 800 + int(d[3:6]) - 200) * 10_000 + int(d[6:]), 800 * 800 * 10_000, key, b"phone", inverse)
-        w, line = divmod(w, 10_000)
-        area, exchange = divmod(w, 800)
-        new = f"{area + 200}{exchange + 200}{line:04d}"
-    return _layout(text, lead + new)
+    area, exchange, line = int(d[:3]), int(d[3:6]), int(d[6:])
+    regular = area >= 200 and exchange >= 200
+    if exchange == 555:
+        low, areas, tag = (200, 800, b"phone555") if regular else (0, 200, b"phone555low")
+        v = permute((area - low) * 10_000 + line, areas * 10_000, key, tag, inverse)
+        area, line = v // 10_000 + low, v % 10_000
+        return _layout(text, f"{lead}{area:03d}555{line:04d}")
+    low, codes, tag = (200, 800, b"phone") if regular else (0, 1000, b"phonelow")
+    while True:  # walk on until the number is of the same sort, and not a 555 one
+        v = permute(((area - low) * codes + exchange - low) * 10_000 + line, codes * codes * 10_000, key, tag, inverse)
+        v, line = divmod(v, 10_000)
+        area, exchange = v // codes + low, v % codes + low
+        if exchange != 555 and (area >= 200 and exchange >= 200) == regular:
+            return _layout(text, f"{lead}{area:03d}{exchange:03d}{line:04d}")
 
 
 def _ip(text: str, key: bytes, inverse: bool) -> str | None:

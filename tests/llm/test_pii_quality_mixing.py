@@ -31,6 +31,25 @@ def test_pseudonyms_keep_format_link_and_invert():
         assert pii.replace(f"x {v} y", KEY)[0] == f"x {v} y", v
 
 
+def test_every_matched_phone_is_replaced_and_inverts():
+    phones = ["+1 (017) 555-7713", "+1 (132) 555-1352", "(099) 212-0000", "212-067-5309", "1.100.100.0000", "000-000-0000", "199 555 9999"]
+    phones += [f"{a:03d}-{e:03d}-{(a * 7919 + e) % 10_000:04d}" for a in range(0, 1000, 37) for e in (*range(0, 1000, 41), 555)]
+    out = set()
+    for v in phones:
+        new, n = pii.replace(f"call {v} now", KEY)
+        assert n == {"phone": 1} and v not in new, v
+        assert re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", f"call {v} now")
+        assert pii.replace(new, KEY, inverse=True)[0] == f"call {v} now", v
+        old, d = re.sub(r"\D", "", v)[-10:], re.sub(r"\D", "", new)[-10:]
+        assert (d[0] in "01" or d[3] in "01") == (old[0] in "01" or old[3] in "01") and (d[3:6] == "555") == (old[3:6] == "555")
+        out.add(new)
+    assert len(out) == len(set(phones))
+    # a number outside 555 whose first step lands on the 555 exchange is walked on
+    for line in range(4000):
+        v = f"212-867-{line:04d}"
+        assert pii.replace(pii.replace(v, KEY)[0], KEY, inverse=True)[0] == v
+
+
 def test_permutation_is_one_to_one():
     for size in (1, 2, 7, 10, 97, 1000):
         out = [pii.permute(i, size, KEY, b"t") for i in range(size)]
