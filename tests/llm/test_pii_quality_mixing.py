@@ -135,6 +135,64 @@ def test_license_scan_rules(spark):
     assert out == [(1, "5,6,7", "Apache-2.0"), (2, "14,4", "CC-BY-NC-4.0,MIT"), (2, "2", "MIT"), (3, "", ""), (4, "", ""), (5, "", ""), (6, "6", "")]
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR"""
+BSD = """Copyright (c) 2020, A Holder
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice"""
+
+
+def test_license_scan_reads_wrapped_headers(spark):
+    want = [("5,6,7", "Apache-2.0"), ("10,11,12", "GPL-3.0-or-later"), ("8,9", "MIT"), ("13", "BSD")]
+    forms = [lambda t, p=p: "\n".join(p + x for x in t.split("\n")) for p in ("", "# ", " * ", "// ", "REM ", "dnl ", ";; ", "   ")]
+    forms += [lambda t: "/*\n" + t.replace("\n", "\r\n") + "\r\n*/", lambda t: "x = 1\n\n" + "\n".join("    " + w for w in t.split("\n")) + "\n\ny = 2"]
+    rows = [(10 * k + i, f(t)) for k, f in enumerate(forms) for i, t in enumerate((APACHE, GPL, MIT, BSD))]
+    # a sentence end, other words on the line or a missing word are no wrap; two headers follow one another
+    rows += [(900, "Released under. the MIT License."), (901, "It is released under\nthe MIT License."), (902, "Released under the\nLicense."),
+             (903, "Released under\nthe MIT License\n# not so\nLicensed under CC BY-NC 4.0."), (904, APACHE + "\n\n" + BSD), (905, "a#b\x01$0\\\nReleased under the MIT License")]
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i] for i in got if i < 900} == {10 * k + i: w for k in range(len(forms)) for i, w in enumerate(want)}
+    assert [got[i] for i in range(900, 906)] == [("", ""), ("", ""), ("", ""), ("2,4", "CC-BY-NC-4.0,MIT"), ("5,6,7,13", "Apache-2.0,BSD"), ("2", "MIT")]
+
+
+def test_license_scan_takes_tables(spark):
+    sentences = spark.createDataFrame([(1, "Mine; all of it."), (2, "Mine"), (3, "Yours (really)"), (4, " ")], "id int, sentence string")
+    rules = spark.createDataFrame([(1, "own", [1]), (2, "both", [2, 3])], "rule int, license string, ids array<int>")
+    docs = spark.createDataFrame([(1, "mine; all\nof it"), (2, "// MINE.\n// Yours\n// really"), (3, "mine\nand\nyours really")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.sentence_ids, r.rules, r.licenses) for r in scan(docs, sentences, rules).collect()) == [
+        (1, "1", "1", "own"), (2, "2,3", "2", "both"), (3, "2,3", "", "")]
+    assert [r.n_known for r in scan(docs, sentences.where("false"), rules.where("false")).collect()] == [0, 0, 0]
+
+
 def test_fingerprints(spark):
     from obol.llm.fingerprints import fingerprints
     base = " ".join(f"w{i * i % 1009}" for i in range(600))
