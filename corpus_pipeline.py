@@ -26,10 +26,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return measure(docs.select(*COLUMNS), labels).where("kept").select(*COLUMNS)
 
 
+def row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a digest of id and text that stands for the row: never null, equal for copies of a row only."""
+    number = F.col("doc_id").cast("long")
+    # the flags tell a null from what hashes like one
+    return docs.withColumn("_row", F.xxhash64(number.isNull(), number, F.col("text").isNull(), "text"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each near-duplicate component; rows without an id cannot be named and go."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each near-duplicate component: the smallest id, null last.
+
+    Rows are told apart by ``row_key``: rows without an id are documents like
+    others, and texts that share an id are linked only if they are alike.
+    Rows equal in id and text are one document.
+    """
+    keyed = row_key(docs.select(*COLUMNS))
+    parts = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).groupBy(F.col("doc_id").alias("_row")).agg(F.min("component_id").alias("part"))
+    ids = keyed.groupBy("_row").agg(F.min("doc_id").alias("doc_id"))
+    kept = parts.join(ids, "_row").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")).select("first._row")
+    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +53,11 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_mix_id"), "copies")
-    return docs.join(copies, F.col("doc_id") == F.col("_mix_id")) \
+    """Each document as often as the mix takes it; rows equal in id, text and source are all taken as often."""
+    keyed = row_key(docs.select(*COLUMNS)).withColumn("_row", F.xxhash64("_row", F.col("source").isNull(), "source"))
+    # one row a key: equal rows share a draw
+    copies = mix(keyed.select(F.col("_row").alias("doc_id"), "text", "source")).groupBy(F.col("doc_id").alias("_row")).agg(F.max("copies").alias("copies"))
+    return keyed.join(copies.where("copies > 0"), "_row") \
         .select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(*COLUMNS)
 
 
