@@ -2,34 +2,33 @@
 
 A text is the byte string of its words, A-Z lower-cased, single spaces between
 them and one end byte.  Each byte is coded as eight binary decisions.  For
-each decision, the last 1 to 5 bytes with the bits so far are hashed to a slot
-of that order, which holds how often the training corpus continued with 0 and
-with 1.  The slots' log odds are combined by logistic mixing; the weight set is
-gated by the longest context with evidence and its amount.  Weights are learned
-online: mini-batches of training decisions, each predicted from the counts
-without itself, then used for a gradient step; parallel streams average their
-weights after every epoch.  An adaptive probability map per gate refines the
-result.  The base-10 log probabilities of a text's decisions add up to its score.
-
-At scale: the corpus is reduced to counted 6-byte strings (a pre-aggregated
-shuffle); slots are added up in one grouped sum.  The model that every task
-reads has at most the sum of ``2**MOST_SLOT_BITS`` 16-bit entries; the number of
-slots follows the number of distinct strings up to that bound.  Vocabulary
-counts never pass through the driver: each block of documents gets the counts
-of its own words by a join.
+each decision, the last 1 to 5 bytes with the bits so far are the slot of that
+order, which holds how often the training corpus continued with 0 and with 1.
+The slots' log odds are combined by logistic mixing; the weight set is gated by
+the longest context with evidence and its amount.  Weights are learned online:
+mini-batches of training decisions, each predicted from the counts without
+itself, then used for a gradient step; parallel streams average their weights
+after every epoch.  An adaptive probability map per gate refines the result.
+The base-10 log probabilities of a text's decisions add up to its score.
+
+At scale: the corpus is reduced to its distinct 6-byte strings with counts, a
+table that grows with the input.  The strings of each order are that table
+summed over their last bytes; a context's slots come from its at most 256 next
+bytes, exactly and without hashing, and are joined along the orders.  Each
+distinct string is scored once; its score goes to the blocks of documents that
+hold it, as vocabulary counts go to the blocks that hold the word.  Only the
+mixing weights and the adaptive map (fixed size) are broadcast.
 """
 
 from __future__ import annotations
 
-import functools
 import math
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,8 +36,6 @@ from obol.llm.common import ship, staged
 from obol.llm.textbytes import mix64, slices
 
 ORDERS = 5
-#: Most slots of each order (a power of two); fewer while the corpus is small.
-MOST_SLOT_BITS = (16, 20, 22, 23, 23)
 BLOCK_DOCS = 1 << 13
 EXACT = 24
 LEVELS = 64
@@ -48,9 +45,12 @@ REACH = 8.0
 EPOCHS = 2
 BATCH = 1 << 14
 END = 10
-#: Bytes of text scored at once, and 6-byte strings whose scores a worker keeps.
+#: Bytes of text scored at once, and strings that wait before they are merged or dealt out.
 SLICE = 3 << 20
-SEEN_GRAMS = 3_000_000
+WAITING = 1 << 20
+#: Parts that strings are dealt into; more by the root of the number of blocks over BLOCKS_BASE.
+PARTS = 256
+BLOCKS_BASE = 64
 U = np.uint64
 
 
@@ -99,46 +99,74 @@ def codes(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out[keep], np.repeat(np.arange(len(streams)), lengths)
 
 
+def bits_of(grams: np.ndarray) -> np.ndarray:
+    """Bits (8 x n) of each gram's last byte."""
+    return ((grams & U(255)).astype(np.int64) >> (7 - np.arange(8)[:, None])) & 1
+
+
 def decisions(grams: np.ndarray, slot_bits: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots (ORDERS x 8 x n) and bits (8 x n) of the decisions of each gram's last byte."""
+    """Hashed slots (ORDERS x 8 x n) in tables of fixed size, and bits (8 x n), of the decisions of each gram's last byte."""
     byte = (grams & U(255)).astype(np.int64)
     step = np.arange(8)[:, None]
     node = (1 << step) | (byte >> (8 - step))
-    bit = (byte >> (7 - step)) & 1
     spread = node.astype(U) * U(0x9E3779B97F4A7C15)
     slots = np.empty((ORDERS, 8, len(grams)), np.int64)
     for k in range(1, ORDERS + 1):
         ctx = mix64(((grams >> U(8)) & U((1 << 8 * k) - 1)) ^ U(k << 56))
         slots[k - 1] = (mix64(ctx ^ spread) >> U(64 - slot_bits[k - 1])).astype(np.int64)
-    return slots, bit
+    return slots, bits_of(grams)
+
+
+def slot_codes(grams: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Slot codes (n x 8) of the decisions of each gram's last byte after its context.
+
+    ``grams`` ascend and hold all next bytes of each of their contexts.
+    """
+    if not len(grams):
+        return np.zeros((0, 8), "<u2")
+    sums = []
+    for bits in range(9):
+        key = grams >> U(8 - bits)
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sums.append(np.repeat(np.add.reduceat(n, start), np.diff(np.append(start, len(key)))))
+    own = np.stack(sums[1:])
+    other = quantised(np.stack(sums[:-1]) - own)
+    own = quantised(own)
+    return np.where(bits_of(grams) == 1, other * LEVELS + own, own * LEVELS + other).T.astype("<u2")
+
+
+def features(code: np.ndarray, bit: np.ndarray, without: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretched predictions (ORDERS x m), gate (m) and bit (m) of decisions with these codes; ``without`` takes one own occurrence off."""
+    if without:
+        own = np.where(bit == 1, code % LEVELS, code // LEVELS)
+        code = code - np.where((own > 0) & (own <= EXACT), np.where(bit == 1, 1, LEVELS), 0)
+    gate = np.zeros(len(bit), np.int64)
+    for k in range(ORDERS):
+        e = EVIDENCE[code[k]]
+        gate = np.where(e > 0, 3 * k + e, gate)
+    return ODDS[code], gate, bit
+
+
+def unpacked(grams: np.ndarray, codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (ORDERS x 8n) and bits (8n) of strings with these packed codes (order by order, step by step)."""
+    code = np.frombuffer(b"".join(codes), "<u2").reshape(len(grams), ORDERS * 8).astype(np.int64).T.reshape(ORDERS, -1)
+    return code, bits_of(grams).reshape(-1)
 
 
 class Model:
-    """Slot codes, mixing weights and adaptive probability map, with what scoring needs of them."""
+    """Mixing weights and adaptive probability map; with tables of hashed slots it scores any string by itself."""
 
-    def __init__(self, slot_bits: tuple[int, ...], table: list[np.ndarray], weights: np.ndarray | None = None, apm: np.ndarray | None = None):
+    def __init__(self, slot_bits: tuple[int, ...] = (), table: list[np.ndarray] = (), weights: np.ndarray | None = None, apm: np.ndarray | None = None):
         self.slot_bits, self.table = slot_bits, table
         self.weights = np.full((GATES, ORDERS + 1), 0.35) if weights is None else weights
         if weights is None:
             self.weights[:, ORDERS] = 0.0
         self.apm = apm
 
-    def inputs(self, grams: np.ndarray, without: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Stretched predictions (ORDERS x m), gate (m) and bit (m) of all decisions; ``without`` takes one own occurrence off."""
+    def inputs(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes (ORDERS x m) and bits (m) of all decisions, from the tables."""
         slots, bit = decisions(grams, self.slot_bits)
-        m = bit.size
-        bit = bit.reshape(m)
-        code = np.empty((ORDERS, m), np.int64)
-        for k in range(ORDERS):
-            code[k] = self.table[k][slots[k].reshape(m)]
-        if without:
-            own = np.where(bit == 1, code % LEVELS, code // LEVELS)
-            code -= np.where((own > 0) & (own <= EXACT), np.where(bit == 1, 1, LEVELS), 0)
-        gate = np.zeros(m, np.int64)
-        for k in range(ORDERS):
-            e = EVIDENCE[code[k]]
-            gate = np.where(e > 0, 3 * k + e, gate)
-        return ODDS[code], gate, bit
+        return np.stack([self.table[k][slots[k].reshape(-1)] for k in range(ORDERS)]).astype(np.int64), bit.reshape(-1)
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         w = self.weights
@@ -158,78 +186,151 @@ class Model:
         q = self.apm[gate, lo] * (1 - f) + self.apm[gate, lo + 1] * f
         return np.clip((p + q) / 2, 1e-6, 1 - 1e-6)
 
-    def log10(self, grams: np.ndarray) -> np.ndarray:
+    def logs(self, code: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """Base-10 log probability of each byte whose eight decisions these are."""
+        x, gate, bit = features(code, bit)
+        p = self.refined(self.mixed(x, gate), gate)
+        return np.log10(np.where(bit == 1, p, 1 - p)).reshape(8, -1).sum(axis=0)
+
+    def log10(self, grams: np.ndarray, codes: list[bytes] | None = None) -> np.ndarray:
         """Base-10 log probability of the last byte of each gram after its context."""
         out = np.empty(len(grams))
         for lo in range(0, len(grams), BATCH):
             part = grams[lo:lo + BATCH]
-            x, gate, bit = self.inputs(part)
-            p = self.refined(self.mixed(x, gate), gate)
-            out[lo:lo + BATCH] = np.log10(np.where(bit == 1, p, 1 - p)).reshape(8, len(part)).sum(axis=0)
+            out[lo:lo + BATCH] = self.logs(*(self.inputs(part) if codes is None else unpacked(part, codes[lo:lo + BATCH])))
         return out
 
 
-def _gram_counts(rows: DataFrame) -> DataFrame:
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in slices(batches):
-            code, _ = codes([byte_stream(t.lower().split()) for t in texts])
-            u, n = np.unique(code, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
-    return rows.where("not held_out").select("text").mapInArrow(grams, "gram long, n long") \
-        .groupBy("gram").agg(F.sum("n").alias("n"))
+def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct grams with their summed counts."""
+    g, n = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+    order = np.argsort(g, kind="stable")
+    g = g[order]
+    start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))[:len(g)]
+    return g[start], np.add.reduceat(n[order], start) if len(g) else n
+
+
+def pieces(grams: np.ndarray, values: np.ndarray, parts: int) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    """Part, strings and values of each piece that these strings are dealt into."""
+    part = (mix64(grams) % U(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0]))[:len(part)]
+    ends = np.append(at[1:], len(part))
+    g, v = grams[order].astype("<u8"), values[order]
+    return part[order[at]], [g[i:j].tobytes() for i, j in zip(at, ends, strict=False)], [v[i:j].tobytes() for i, j in zip(at, ends, strict=False)]
+
 
+def _block_strings(rows: DataFrame, parts: int) -> DataFrame:
+    """part, block, grams, n: the distinct 6-byte strings of each block with their counts in its training texts, packed by part."""
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, size, most = None, [], 0, WAITING
+
+        def flush():
+            if held:
+                part, g, n = pieces(*merged(held), parts)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), block, np.int64)), pa.array(g, pa.binary()), pa.array(n, pa.binary())],
+                                                 names=["part", "block", "grams", "n"])
+
+        for part, texts in slices(batches, limit=SLICE):
+            at = part.column(0).to_numpy()
+            test = part.column(1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if hi == lo:
+                    continue
+                if at[lo] != block:
+                    yield from flush()
+                    block, held, size, most = at[lo], [], 0, WAITING
+                for learned in (True, False):
+                    own = [texts[i] for i in range(lo, hi) if test[i] != learned]
+                    if own:
+                        u, n = np.unique(codes([byte_stream(t.lower().split()) for t in own])[0], return_counts=True)
+                        held.append((u, n.astype("<i8") * learned))
+                        size += len(u)
+                if size > most:
+                    held = [merged(held)]
+                    size = len(held[0][0])
+                    most = max(WAITING, 2 * size)
+        yield from flush()
+    return rows.select("block", "held_out", "text").mapInArrow(strings, "part long, block long, grams binary, n binary")
 
-def _slot_table(grams: DataFrame, slot_bits: tuple[int, ...]) -> list[np.ndarray]:
-    first = np.concatenate([[0], np.cumsum([1 << b for b in slot_bits])])
 
-    def slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _string_counts(strings: DataFrame) -> DataFrame:
+    """gram, n: each distinct string once, with its count in all training texts (0 if only held-out texts have it)."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, size, most = None, [], 0, WAITING
+
+        def flush():
+            if held:
+                g, n = merged(held)
+                yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+
         for b in batches:
-            if not b.num_rows:
-                continue
-            g, n = b.column(0).to_numpy().view(U), b.column(1).to_numpy()
-            slots, bit = decisions(g, slot_bits)
-            n, bit = np.tile(n, 8), bit.reshape(-1)
-            for k in range(ORDERS):
-                key = (slots[k].reshape(-1) << 1) | bit
-                order = np.argsort(key)
-                key = key[order]
-                start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                total = np.add.reduceat(n[order], start)
-                key = key[start]
-                one = (key & 1).astype(bool)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(((key >> 1) + first[k]).astype(np.int32)), pa.array(np.where(one, 0, total)), pa.array(np.where(one, total, 0))],
-                    names=["slot", "n0", "n1"])
-
-    def level(c):
-        big = EXACT + 1 + F.floor(4 * F.log2(F.greatest(F.col(c), F.lit(EXACT + 1)) / (EXACT + 1)))
-        return F.least(F.when(F.col(c) <= EXACT, F.col(c)).otherwise(big), F.lit(LEVELS - 1))
-
-    coded = grams.repartition(F.shiftright("gram", 8).bitwiseAND(0xFFFF)).mapInArrow(slot_counts, "slot int, n0 long, n1 long") \
-        .groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")) \
-        .select("slot", (level("n0") * LEVELS + level("n1")).cast("short").alias("code")).toArrow()
-    table = np.zeros(first[-1], np.uint16)
-    table[coded["slot"].to_numpy()] = coded["code"].to_numpy()
-    return [table[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-
-
-def _learn(grams: DataFrame, model: Model) -> Model:
+            for p, g, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if p != part:
+                    yield from flush()
+                    part, held, size, most = p, [], 0, WAITING
+                held.append((np.frombuffer(g, "<u8"), np.frombuffer(n, "<i8")))
+                size += len(held[-1][0])
+                if size > most:
+                    held = [merged(held)]
+                    size = len(held[0][0])
+                    most = max(WAITING, 2 * size)
+        yield from flush()
+    return strings.select("part", "grams", "n").repartition("part").sortWithinPartitions("part").mapInArrow(count, "gram long, n long")
+
+
+def _coded(counted: DataFrame) -> DataFrame:
+    """gram, n, codes (eight packed slot codes) of the strings of one order; a context has 256 rows at most."""
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, n = np.zeros(0, U), np.zeros(0, np.int64)
+
+        def rows(g, n):
+            return pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(n), pa.array([x.tobytes() for x in slot_codes(g, n)], pa.binary())],
+                                              names=["gram", "n", "codes"])
+
+        for b in batches:
+            if b.num_rows:
+                g, n = np.concatenate([g, b.column(0).to_numpy().astype(U)]), np.concatenate([n, b.column(1).to_numpy()])
+                cut = np.searchsorted(g >> U(8), g[-1] >> U(8))  # the last context may go on in the next batch
+                yield rows(g[:cut], n[:cut])
+                g, n = g[cut:], n[cut:]
+        yield rows(g, n)
+    return counted.repartition(F.shiftright("gram", 8)).sortWithinPartitions("gram").mapInArrow(code, "gram long, n long, codes binary")
+
+
+def coded_strings(strings: DataFrame) -> DataFrame:
+    """gram, n, codes: each distinct string (``gram``, ``n``) with the packed slot codes of all its orders."""
+    counted = {ORDERS: strings}
+    for k in range(ORDERS - 1, 0, -1):
+        counted[k] = staged(counted[k + 1].groupBy(F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n")), "strings")
+    out = _coded(counted[1])
+    for k in range(2, ORDERS + 1):
+        # the string of the order below: one row a key, under at most 256 rows
+        low = out.select(F.col("gram").alias("low"), F.col("codes").alias("before"))
+        out = _coded(counted[k]).withColumn("low", F.col("gram").bitwiseAND((1 << 8 * k) - 1)).join(low, "low") \
+            .select("gram", "n", F.concat("before", "codes").alias("codes"))
+    # in a random order, in which the weights are learned
+    return staged(out.repartition(F.xxhash64("gram")).sortWithinPartitions(F.xxhash64("gram", F.lit(1))), "coded")
+
+
+def _learn(coded: DataFrame, model: Model) -> Model:
     """Online epochs in parallel streams; after each the streams' weights are averaged by their decisions."""
-    sc = grams.sparkSession.sparkContext
-    ordered = staged(grams.repartition(F.xxhash64("gram")).sortWithinPartitions(F.xxhash64("gram", F.lit(1))), "stream")
+    sc = coded.sparkSession.sparkContext
+    ordered = coded.where("n > 0")
     for epoch in range(EPOCHS + 1):
         last = epoch == EPOCHS
-        shared = sc.broadcast((model.slot_bits, model.table, model.weights))
+        shared = sc.broadcast(model.weights)
         rate = 0.02 / (1 + epoch)
 
         def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = Model(*shared.value[:2], weights=shared.value[2].copy())  # noqa: B023
+            own = Model(weights=shared.value.copy())  # noqa: B023
             seen = np.zeros(GATES)
             hits = np.zeros((2, GATES * CELLS))
             for b in batches:
-                g, n = b.column(0).to_numpy().view(U), b.column(1).to_numpy().astype(float)
+                g, n, packed = b.column(0).to_numpy().view(U), b.column(1).to_numpy().astype(float), b.column(2).to_pylist()
                 for lo in range(0, len(g), BATCH // 8):
-                    x, gate, bit = own.inputs(g[lo:lo + BATCH // 8], without=True)
+                    x, gate, bit = features(*unpacked(g[lo:lo + BATCH // 8], packed[lo:lo + BATCH // 8]), without=True)
                     w = np.tile(n[lo:lo + BATCH // 8], 8)
                     z = own.mixed(x, gate)
                     total = np.bincount(gate, weights=w, minlength=GATES)
@@ -273,13 +374,57 @@ def _sum_arrays(parts: DataFrame) -> dict[str, np.ndarray]:
     return {c: flat[flat.c == c].sort_values("i").v.to_numpy() for c in parts.columns}
 
 
-def train(rows: DataFrame) -> Model:
-    """Model of the rows (``text``, ``held_out``) that are not held out."""
-    grams = staged(_gram_counts(rows), "grams")
-    distinct = grams.count()
-    room = math.ceil(math.log2(max(2, distinct))) + 3
-    slot_bits = tuple(min(most, max(12, room)) for most in MOST_SLOT_BITS)
-    return _learn(grams, Model(slot_bits, _slot_table(grams, slot_bits)))
+def _string_scores(coded: DataFrame, strings: DataFrame, model: Model, parts: int) -> DataFrame:
+    """block, grams, logs: the packed strings of each block with their log probabilities."""
+    shared = coded.sparkSession.sparkContext.broadcast((model.weights, model.apm))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(weights=shared.value[0], apm=shared.value[1])
+        held, size = [], 0
+
+        def flush():
+            if held:
+                part, g, logs = pieces(*(np.concatenate([x[i] for x in held]) for i in (0, 1)), parts)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(g, pa.binary()), pa.array(logs, pa.binary())], names=["part", "grams", "logs"])
+
+        for b in batches:
+            g = b.column(0).to_numpy().astype(U)
+            held.append((g, model.log10(g, b.column(1).to_pylist()).astype("<f8")))
+            size += len(g)
+            if size > WAITING:
+                yield from flush()
+                held, size = [], 0
+        yield from flush()
+
+    scored = coded.select("gram", "codes").mapInArrow(own, "part long, grams binary, logs binary")
+    both = scored.select("part", F.lit(-1).cast("long").alias("block"), "grams", "logs") \
+        .unionByName(strings.select("part", "block", "grams", F.lit(b"").alias("logs")))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, table = None, [], None
+        for b in batches:
+            blocks, grams, logs = [], [], []
+            for p, block, g, v in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if p != part:
+                    part, held, table = p, [], None
+                g = np.frombuffer(g, "<u8")
+                if block < 0:
+                    held.append((g, np.frombuffer(v, "<f8")))
+                    continue
+                table = table or ascending(held)
+                blocks.append(block)
+                grams.append(g.tobytes())
+                logs.append(table[1][np.searchsorted(table[0], g)].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(grams, pa.binary()), pa.array(logs, pa.binary())], names=["block", "grams", "logs"])
+
+    return both.repartition("part").sortWithinPartitions("part", "block").mapInArrow(look_up, "block long, grams binary, logs binary")
+
+
+def ascending(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Strings of all pieces in ascending order, with their values."""
+    g, v = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+    order = np.argsort(g, kind="stable")
+    return g[order], v[order]
 
 
 def _block_words(rows: DataFrame) -> DataFrame:
@@ -325,35 +470,43 @@ def score(docs: DataFrame) -> DataFrame:
     words = staged(_block_words(rows).withColumn("c", F.sum("n").over(same))
                    .withColumn("one", F.row_number().over(same.orderBy("block", "n")) == 1).select("block", "word", "c", "one"), "words")
     total = words.where("one").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
-    train_docs = rows.where("not held_out").count()
+    held = rows.agg(F.count(F.when(~F.col("held_out"), 1)).alias("train"), F.countDistinct("block").alias("blocks")).first()
+    train_docs = held.train
     n_train, vocabulary = total.n + train_docs, total.v + (train_docs > 0)
     floor = math.log10(n_train + vocabulary + 1)
     end = math.log10(train_docs + 1)
-    model = train(rows)
-    shared = spark.sparkContext.broadcast((model.slot_bits, model.table, model.weights, model.apm))
-    token = uuid.uuid4().hex
-    blank = lambda t: F.lit(None).cast(t)
-    dictionary = words.select(
-        "block", F.lit(0).alias("kind"), "word", "c", blank("long").alias("doc_id"), blank("boolean").alias("held_out"), blank("string").alias("text"))
-    both = dictionary.unionByName(rows.select(
-        "block", F.lit(1).alias("kind"), blank("string").alias("word"), blank("long").alias("c"), "doc_id", "held_out", "text"))
+    parts = PARTS * math.ceil(math.sqrt(max(1, held.blocks) / BLOCKS_BASE))
+    strings = staged(_block_strings(rows, parts), "block-strings")
+    coded = coded_strings(staged(_string_counts(strings), "strings"))
+    points_of = _string_scores(coded, strings, _learn(coded, Model()), parts)
+    def laid(df: DataFrame, kind: Column, number: Column, text: Column, packed: Column) -> DataFrame:
+        # few columns: words and texts are most of what is shuffled
+        return df.select("block", kind.alias("kind"), number.cast("long").alias("number"), text.cast("string").alias("text"), packed.cast("binary").alias("packed"))
+
+    none = F.lit(None)
+    both = laid(words, F.lit(0), F.col("c"), F.col("word"), none).union(laid(points_of, F.lit(1), none, none, F.concat("grams", "logs"))) \
+        .union(laid(rows, F.when(F.col("held_out"), 3).otherwise(2), F.col("doc_id"), F.col("text"), none))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _seen(token)
-        model = Model(*shared.value)
-        block, logs = None, {}
+        block, logs, held, table = None, {}, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy()
+            at = batch.column(0).to_numpy() * 4 + batch.column(1).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 part = batch.slice(lo, hi - lo)
                 if part.column(0)[0].as_py() != block:
-                    block, logs = part.column(0)[0].as_py(), {}
+                    block, logs, held, table = part.column(0)[0].as_py(), {}, [], None
                 if part.column(1)[0].as_py() == 0:
-                    logs.update(zip(part.column(2).cast(pa.binary()).to_pylist(), np.log10(part.column(3).to_numpy() + 1.0).tolist(), strict=True))
+                    logs.update(zip(part.column(3).cast(pa.binary()).to_pylist(), np.log10(part.column(2).to_numpy() + 1.0).tolist(), strict=True))
                     continue
+                if part.column(1)[0].as_py() == 1:
+                    # half of each piece are strings, half their logs
+                    held += [(np.frombuffer(x[:len(x) // 2], "<u8"), np.frombuffer(x[len(x) // 2:], "<f8")) for x in part.column(4).to_pylist()]
+                    continue
+                if table is None:
+                    table, held = ascending(held), []
                 for piece, texts in slices(iter([part]), limit=SLICE):
                     own = [t.lower().split() for t in texts]
                     values = [np.fromiter(map(logs.__getitem__, w), float, len(w)) for w in own]
@@ -362,9 +515,9 @@ def score(docs: DataFrame) -> DataFrame:
                     base = np.array([v.sum() for v in values]) + end - n * floor
                     streams = [byte_stream(w) for w in own]
                     size = np.array([len(s) + 1 for s in streams])
-                    points = _scores(model, streams, seen)
+                    points = _scores(*table, streams)
                     yield pa.RecordBatch.from_arrays([
-                        piece.column(4), piece.column(5), pa.array(n), pa.array(known), pa.array(np.full(len(n), n_train, np.int64)),
+                        piece.column(2), pa.array(piece.column(1).to_numpy() == 3), pa.array(n), pa.array(known), pa.array(np.full(len(n), n_train, np.int64)),
                         pa.array(base), pa.array(points), pa.array(size), pa.array(-points / math.log10(2) / size)],
                         names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])
 
@@ -372,46 +525,15 @@ def score(docs: DataFrame) -> DataFrame:
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double")
 
 
-class Seen:
-    """Scores of 6-byte strings met before in this worker, in ascending order; emptied when it would hold too many."""
-
-    def __init__(self):
-        self.grams, self.logs = np.zeros(0, U), np.zeros(0)
-
-    def log10(self, model: Model, grams: np.ndarray) -> np.ndarray:
-        if not len(self.grams):
-            self.grams, self.logs = grams, model.log10(grams)
-            return self.logs
-        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
-        old = self.grams[at] == grams
-        out = self.logs[at]
-        new = grams[~old]
-        if len(new):
-            out[~old] = model.log10(new)
-            if len(self.grams) + len(new) > SEEN_GRAMS:
-                self.grams, self.logs = grams, out
-            else:
-                place = np.searchsorted(self.grams, new)
-                self.grams, self.logs = np.insert(self.grams, place, new), np.insert(self.logs, place, out[~old])
-        return out
-
-
-@functools.lru_cache(maxsize=1)
-def _seen(token: str) -> Seen:
-    """The scores of one model (named by the token) that this worker has computed so far."""
-    return Seen()
-
-
-def _scores(model: Model, streams: list[bytes], seen: Seen | None = None) -> np.ndarray:
-    """Score of each stream; every distinct 6-byte string is predicted once."""
-    seen = seen or Seen()
+def _scores(grams: np.ndarray, logs: np.ndarray, streams: list[bytes]) -> np.ndarray:
+    """Score of each stream from the log probabilities of its strings; each distinct one is looked up once."""
     out = np.zeros(len(streams))
     for lo in range(0, len(streams), 1 << 16):
         code, row = codes(streams[lo:lo + (1 << 16)])
         key = np.sort((code << U(16)) | row.astype(U))
         gram = key >> U(16)
         start = np.concatenate([[True], gram[1:] != gram[:-1]])
-        log = seen.log10(model, gram[start])
+        log = logs[np.searchsorted(grams, gram[start])]
         out[lo:lo + (1 << 16)] = np.bincount((key & U(0xFFFF)).astype(np.int64), weights=log[np.cumsum(start) - 1],
                                              minlength=min(len(streams) - lo, 1 << 16))
     return out
