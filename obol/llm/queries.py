@@ -87,9 +87,28 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and digest of the repaired turns of every damaged conversation."""
+    from obol.llm.conversation_repair import damaged_and_repaired
+    return damaged_and_repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from the documents that are not held out."""
+    from obol.llm.language_id import identify
+    return identify(documents(spark, sf_dir))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight of every document towards the benchmark texts, and the tenth drawn."""
+    from obol.llm.importance_resampling import resample
+    return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lm_scoring, op2_near_duplicates, op3_license_scan, op4_packing, op5_pii_pseudonyms, op6_source_mixing,
-    op7_fingerprints, op8_token_counts, op9_quality_rules, op10_substring_dedup)}
+    op7_fingerprints, op8_token_counts, op9_quality_rules, op10_substring_dedup, op11_conversation_repair, op12_language_id,
+    op13_importance_resampling)}
 
 
 def _license_sql() -> str:
@@ -112,4 +131,34 @@ SELECT doc_id::BIGINT AS doc_id, len(ids)::BIGINT AS n_known, array_to_string(id
 FROM lined"""
 
 
-ORACLE: dict[str, str] = {"op3_license_scan": _license_sql()}
+def _resampling_sql() -> str:
+    """Importance resampling in DuckDB SQL over whole texts, without lines; CRC-32 by its table of 256 entries."""
+    from obol.llm.importance_resampling import BUCKETS, LOWER, MIN_WORDS, PERCENT, SEED, UPPER
+    word = r"[0-9a-z\x{80}-\x{10FFFF}]+"
+    return f"""
+WITH entry AS (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda c, x: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256))::BIGINT AS i)),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM entry),
+docs AS (SELECT doc_id::BIGINT AS doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{word}') AS ws FROM documents),
+bench AS (SELECT regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{word}') AS ws FROM benchmark),
+uses AS (SELECT doc_id, unnest(ws) AS w FROM docs),
+per_doc AS (SELECT doc_id, w, count(*) AS n FROM uses GROUP BY ALL),
+raw AS (SELECT w, sum(n) AS s FROM per_doc GROUP BY w),
+aim AS (SELECT w, count(*) AS t FROM (SELECT unnest(ws) AS w FROM bench) GROUP BY w),
+vocabulary AS (SELECT w, encode(w) AS b FROM (SELECT w FROM raw UNION SELECT w FROM aim)),
+hashed AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(b)), lambda i: ('0x' || substr(hex(b), 2 * i + 1, 2))::BIGINT)),
+    lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % {BUCKETS} AS bucket FROM vocabulary, crc),
+counts AS (SELECT bucket, sum(coalesce(s, 0)) AS s, sum(coalesce(t, 0)) AS t FROM hashed LEFT JOIN raw USING (w) LEFT JOIN aim USING (w) GROUP BY bucket),
+sums AS (SELECT coalesce(sum(s), 0) AS ss, coalesce(sum(t), 0) AS tt FROM counts),
+gain AS (SELECT w, floor(1000 * ln((t + 1)::DOUBLE * (ss + {BUCKETS})::DOUBLE / ((s + 1)::DOUBLE * (tt + {BUCKETS})::DOUBLE)))::BIGINT AS g
+    FROM hashed JOIN counts USING (bucket), sums),
+weight AS (SELECT doc_id, sum(n * g)::BIGINT AS weight FROM per_doc JOIN gain USING (w) GROUP BY doc_id),
+scored AS (SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, len(ws)::BIGINT AS n_words,
+    ('0x' || substr(sha256('{SEED}:' || doc_id), 1, 8))::BIGINT AS h FROM docs LEFT JOIN weight USING (doc_id)),
+final AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM scored),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS able FROM final WHERE n_words >= {MIN_WORDS})
+SELECT f.doc_id, n_features, weight, score, CASE WHEN rank <= {PERCENT} * able // 100 THEN rank END::BIGINT AS rank, n_words
+FROM final f LEFT JOIN ranked r ON f.doc_id = r.doc_id"""
+
+
+ORACLE: dict[str, str] = {"op3_license_scan": _license_sql(), "op13_importance_resampling": _resampling_sql()}
