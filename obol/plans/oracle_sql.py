@@ -959,6 +959,26 @@ SELECT l.serial_number, round(coalesce(l.month_salary, ki.y), 6) AS month_salary
 FROM loans l LEFT JOIN ki ON ki.s = l.serial_number"""
 
 
+_IC = ["month_salary", "job_tenure", "loan_term", "paid_installments", "overdue_days", "debt_to_income_ratio",
+       "payment_to_income_ratio", *[f"o{i}" for i in range(8)]]
+_ISQ = " + ".join(f"coalesce((a.{c} - b.{c}) * (a.{c} - b.{c}), 0e0)" for c in _IC)
+_IN = " + ".join(f"CAST(a.{c} IS NOT NULL AND b.{c} IS NOT NULL AS INTEGER)" for c in _IC)
+_IGAPS = ["month_salary", "loan_term", "debt_to_income_ratio", "payment_to_income_ratio"]  # the others have no gaps here
+ORACLE["knn_impute_columns"] = with_(LOANS, f"""
+ia AS MATERIALIZED (SELECT serial_number, month_salary, job_tenure, CASE WHEN loan_term > 0 THEN loan_term * 1e0 END AS loan_term,
+       paid_installments * 1e0 AS paid_installments, overdue_days,
+       CASE WHEN month_salary IS NOT NULL THEN debt_to_income_ratio END AS debt_to_income_ratio,
+       CASE WHEN month_salary IS NOT NULL THEN payment_to_income_ratio END AS payment_to_income_ratio,
+       {', '.join(f'o{i} * 1e0 AS o{i}' for i in range(8))} FROM loans),
+ip AS MATERIALIZED (SELECT a.serial_number AS s, b.serial_number AS ds, sqrt({len(_IC)}e0 / ({_IN}) * ({_ISQ})) AS dist,
+       {', '.join(f'CASE WHEN a.{c} IS NULL THEN b.{c} END AS {c}' for c in _IGAPS)}
+       FROM ia a, ia b WHERE {' OR '.join(f'a.{c} IS NULL AND b.{c} IS NOT NULL' for c in _IGAPS)}),
+{', '.join(f"""i_{c} AS (SELECT s, avg(v) AS v FROM (SELECT s, {c} AS v FROM ip WHERE {c} IS NOT NULL
+       QUALIFY row_number() OVER (PARTITION BY s ORDER BY dist, ds) <= 5) GROUP BY s)""" for c in _IGAPS)}""") + f"""
+SELECT ia.serial_number, {', '.join(f'round(coalesce(ia.{c}, i_{c}.v), 6) AS {c}' if c in _IGAPS else f'round(ia.{c}, 6) AS {c}' for c in _IC)}
+FROM ia {' '.join(f'LEFT JOIN i_{c} ON i_{c}.s = ia.serial_number' for c in _IGAPS)}"""
+
+
 def _u(expr: str, salt: str) -> str:
     return f"(CAST(('0x' || substr(md5(CAST({expr} AS VARCHAR) || '|42|{salt}'), 1, 13)) AS BIGINT) / 4503599627370496e0)"
 

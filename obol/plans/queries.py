@@ -1016,12 +1016,28 @@ KNN_FEATURES = ["job_tenure", "loan_term", "paid_installments", "overdue_days",
 
 @query("knn_impute")
 def q_knn_impute(spark, sf):
-    """M3: missing month salary -> mean over the 5 nearest loans that have it (exact kNN)."""
+    """M3: missing month salary -> mean over the 5 nearest loans that have it, by six features (exact kNN)."""
     l = cleaning.fill_zero(fx.loans(spark, sf))
     out = neighbors.knn_impute(l, "month_salary", KNN_FEATURES, C.KEY, k=5)
     return out.select("serial_number", rnd("month_salary", 6).alias("month_salary"))
 
 
+IMPUTE_COLUMNS = ["month_salary", "job_tenure", "loan_term", "paid_installments", "overdue_days", "debt_to_income_ratio",
+                  "payment_to_income_ratio", *C.OVERDUE_COLS]
+
+
+@query("knn_impute_columns")
+def q_knn_impute_columns(spark, sf):
+    """M3: nan-Euclidean imputation over all numeric loan columns.  A term of 0 is
+    a missing term, and ratios to a missing salary are missing with it."""
+    l = fx.loans(spark, sf)
+    lost = F.col("month_salary").isNull()
+    l = l.withColumns({"loan_term": F.when(F.col("loan_term") > 0, F.col("loan_term")),
+                       **{c: F.when(~lost, F.col(c)) for c in ("debt_to_income_ratio", "payment_to_income_ratio")}})
+    out = neighbors.knn_impute_columns(l, IMPUTE_COLUMNS, IMPUTE_COLUMNS, C.KEY, k=5)
+    return out.select(C.KEY, *[rnd(c, 6).alias(c) for c in IMPUTE_COLUMNS])
+
+
 @query("smote")
 def q_smote(spark, sf):
     """SMOTE (k = 3, balance) over the defaulted loans, exact neighbours."""
