@@ -141,6 +141,42 @@ OUTLIER_IQR_MULTIPLIER = 1.5
 OUTLIER_COLUMNS = ["annual_income", "loan_amount", "debt_to_income_ratio"]
 ZSCORE_THRESHOLD = 3.0
 
+# Tuned parameters of the three base learners (boosted trees with 200 and 300
+# trees, the third model as a forest), and what stands for them in Spark ML:
+# minimum child weight or samples -> minInstancesPerNode, column share ->
+# featureSubsetStrategy, border count -> maxBins.  L1/L2 penalties, gamma and
+# the number of leaves have no counterpart.  BALANCED learners weigh classes.
+MODEL_PARAMS = {
+    "GBT_shallow": dict(maxIter=200, maxDepth=4, stepSize=0.013981453819938056, subsamplingRate=0.6250003507025707,
+                        featureSubsetStrategy="0.9027543096864294", minInstancesPerNode=7),
+    "GBT_deep": dict(maxIter=300, maxDepth=7, stepSize=0.0365147451907443, subsamplingRate=0.8421943199124751,
+                     featureSubsetStrategy="0.6562728325260756", minInstancesPerNode=20),
+    "RandomForest": dict(numTrees=100, maxDepth=8, maxBins=254),
+}
+BALANCED = ["GBT_deep", "RandomForest"]
+
+# Randomised search: draws, and one space a learner
+SEARCH_DRAWS = 20
+SEARCH_SPACES = {
+    "GBT_shallow": {"maxIter": [100, 200, 300], "maxDepth": [3, 4, 5, 6], "stepSize": [0.01, 0.1, 0.2],
+                    "subsamplingRate": [0.8, 0.9, 1.0], "featureSubsetStrategy": ["0.8", "0.9", "1.0"], "minInstancesPerNode": [1, 3, 5]},
+    "GBT_deep": {"maxIter": [100, 200, 300], "maxDepth": [3, 4, 5, 6], "stepSize": [0.01, 0.1, 0.2],
+                 "subsamplingRate": [0.8, 0.9, 1.0], "featureSubsetStrategy": ["0.8", "0.9", "1.0"], "minInstancesPerNode": [10, 20, 30]},
+    "RandomForest": {"numTrees": [100, 200, 300], "maxDepth": [3, 4, 5, 6], "maxBins": [32, 64, 128]},
+}
+
+# Joint sweep: runs, SMOTE ratio, and the drawn settings (pairs are ranges,
+# (low, high, "log") ranges on a logarithmic scale, lists are choices)
+SWEEP_RUNS = 30
+SWEEP_SMOTE_RATIO = 0.3
+SWEEP_SPACE = {
+    "shallow_trees": [100, 200, 300, 500], "shallow_depth": [3, 4, 5, 6, 7], "shallow_step": (0.01, 0.3, "log"),
+    "shallow_rows": (0.6, 1.0), "shallow_columns": (0.6, 1.0), "shallow_min_rows": [1, 3, 5, 7],
+    "deep_trees": [100, 200, 300, 500], "deep_depth": [3, 4, 5, 6, 7], "deep_step": (0.01, 0.3, "log"), "deep_min_rows": [10, 20, 30, 50],
+    "use_target_enc": [True, False], "use_geo": [True, False], "use_smote": [True, False], "scale_pos_weight": (2.0, 6.0),
+}
+SWEEP_ROW_SHARE = SWEEP_COLUMN_SHARE = 0.8  # of the deep learner
+
 # Split ratios
 TEST_FRACTION = 0.2
 VAL_FRACTION = 0.1

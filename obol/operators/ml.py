@@ -10,16 +10,13 @@ number per feature) ever reaches the driver.
 
 from __future__ import annotations
 
-import random
 import uuid
 from typing import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,22 +70,22 @@ def apply_one_hot(df: DataFrame, levels: dict[str, list[str]], drop_first: bool
 
 
 # ------------------------------------------------------------- M4 / M5
-def base_learners(seed: int = 42, weight_col: str | None = None, label: str = C.LABEL,
-                  fast: bool = False) -> dict[str, object]:
-    """M4: three base learners (label column, features, optional weight column)."""
-    it = 20 if fast else 60
-    common = dict(labelCol=label, featuresCol="features", seed=seed)
-    if weight_col:
-        common["weightCol"] = weight_col
-    return {
-        "GBT_deep": GBTClassifier(maxIter=it, maxDepth=5, stepSize=0.1, subsamplingRate=0.8,
-                                  minInstancesPerNode=5, maxBins=64, **common),
-        "GBT_shallow": GBTClassifier(maxIter=it, maxDepth=3, stepSize=0.2, subsamplingRate=0.9,
-                                     minInstancesPerNode=10, maxBins=64, **common),
-        "RandomForest": RandomForestClassifier(numTrees=(30 if fast else 100), maxDepth=8, subsamplingRate=0.8,
-                                               minInstancesPerNode=5, maxBins=64, featureSubsetStrategy="sqrt",
-                                               **common),
-    }
+def base_learners(seed: int = 42, weight_col: str | None = None, label: str = C.LABEL, trees: int | None = None) -> dict[str, object]:
+    """M4: the three base learners with their tuned parameters.
+
+    ``weight_col`` goes to the learners that balance classes.  ``trees`` (trial
+    runs and tests) replaces the number of trees of all three.
+    """
+    out = {}
+    for name, params in C.MODEL_PARAMS.items():
+        common = dict(labelCol=label, featuresCol="features", seed=seed)
+        if weight_col and name in C.BALANCED:
+            common["weightCol"] = weight_col
+        if name == "RandomForest":
+            out[name] = RandomForestClassifier(**common, **(params | ({"numTrees": trees} if trees else {})))
+        else:
+            out[name] = GBTClassifier(**common, **({"maxBins": 64} | params | ({"maxIter": trees} if trees else {})))
+    return out
 
 
 def with_early_stopping(est, indicator: str = "is_validation", tol: float = 0.01):
@@ -145,8 +142,8 @@ class StackingModel:
     """Base pipelines refit on all training rows + a logistic meta learner
     over their out-of-fold probabilities."""
 
-    def __init__(self, bases: dict[str, PipelineModel], meta: PipelineModel):
-        self.bases, self.meta = bases, meta
+    def __init__(self, bases: dict[str, PipelineModel], meta: PipelineModel | None = None, oof: DataFrame | None = None):
+        self.bases, self.meta, self.oof = bases, meta, oof
 
     def base_probabilities(self, df: DataFrame) -> DataFrame:
         out = df
@@ -161,80 +158,30 @@ class StackingModel:
 
 
 def fit_stacking(train: DataFrame, feature_cols: Sequence[str], learners: dict[str, object], k: int = C.KFOLDS,
-                 label: str = C.LABEL, seed: int = 42) -> StackingModel:
+                 label: str = C.LABEL, seed: int = 42, bases: dict[str, PipelineModel] | None = None, parallelism: int = 4) -> StackingModel:
     """K stratified folds (X3); every base is fit on k-1 folds and scores
-    the held-out fold; the union of out-of-fold probabilities trains a
-    ``LogisticRegression(maxIter=1000)``; bases are then refit on all rows."""
+    the held-out fold; the out-of-fold probabilities train a
+    ``LogisticRegression(maxIter=1000)``; bases are then refit on all rows
+    unless they are given.  A fold's rows pass through the fold's models one
+    after the other in one scan: no join by key, no row scored twice."""
+    from .search import in_parallel
     from .split import stratified_folds
+    spark = train.sparkSession
     folded = materialize(stratified_folds(train, k, label=label, seed=seed))
-    oof_parts = []
+    jobs = [(n, f) for f in range(k) for n in learners]
+    if bases is None:
+        jobs += [(n, None) for n in learners]
+    fits = [lambda n=n, f=f: fit(folded if f is None else folded.where(F.col("fold") != f), feature_cols, learners[n]) for n, f in jobs]
+    done = dict(zip(jobs, in_parallel(spark, fits, parallelism), strict=True))
+    oof = None
     for f in range(k):
-        tr, ho = folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)
-        cols = [C.KEY, F.col(label)]
-        scored = ho.select(C.KEY, label)
-        for name, est in learners.items():
-            m = fit(tr, feature_cols, est)
-            p = positive_probability(m.transform(ho), f"p_{name}").select(C.KEY, f"p_{name}")
-            scored = scored.join(p, C.KEY)
-        oof_parts.append(scored)
-    oof = oof_parts[0]
-    for p in oof_parts[1:]:
-        oof = oof.unionByName(p)
-    oof = materialize(oof)
+        part = StackingModel({n: done[n, f] for n in learners}).base_probabilities(folded.where(F.col("fold") == f))
+        oof = part if oof is None else oof.unionByName(part)
     pcols = [f"p_{n}" for n in learners]
+    oof = materialize(oof.select(C.KEY, label, "fold", *pcols))
     meta = Pipeline(stages=[assembler(pcols), LogisticRegression(labelCol=label, featuresCol="features",
                                                                   maxIter=1000)]).fit(oof)
-    bases = {n: fit(train, feature_cols, est) for n, est in learners.items()}
-    return StackingModel(bases, meta)
-
-
-# ------------------------------------------------------------------ M15
-# FIXED VALUES: the boosted-tree search space, mapped to GBTClassifier
-# (n_estimators -> maxIter, max_depth -> maxDepth, learning_rate -> stepSize,
-# subsample -> subsamplingRate, colsample_bytree -> featureSubsetStrategy,
-# min_child_weight -> minInstancesPerNode; L1/L2 penalties have no GBT
-# counterpart and are not searched)
-SEARCH_SPACE = {
-    "maxIter": [100, 200, 300, 500],
-    "maxDepth": [3, 4, 5, 6, 7],
-    "stepSize": [0.01, 0.05, 0.1, 0.15, 0.2],
-    "subsamplingRate": [0.7, 0.8, 0.9, 1.0],
-    "featureSubsetStrategy": ["0.7", "0.8", "0.9", "1.0"],
-    "minInstancesPerNode": [1, 3, 5, 7],
-}
-
-
-def random_param_maps(est, n_draws: int, seed: int = 42, space: dict | None = None) -> list:
-    """``n_draws`` random parameter maps from the search space (driver-side config)."""
-    rng = random.Random(seed)
-    space = space or SEARCH_SPACE
-    grid = ParamGridBuilder().build()
-    maps = []
-    for _ in range(n_draws):
-        pm = {}
-        for name, values in space.items():
-            pm[est.getParam(name)] = rng.choice(values)
-        maps.append(pm)
-    return maps or grid
-
-
-def random_search(train: DataFrame, feature_cols: Sequence[str], n_draws: int = 20, folds: int = C.KFOLDS,
-                  label: str = C.LABEL, seed: int = 42, parallelism: int = 4,
-                  space: dict | None = None) -> DataFrame:
-    """Random search with k-fold cross-validated AUC; one row per draw
-    (the drawn parameters as strings, and the mean AUC)."""
-    space = space or SEARCH_SPACE
-    est = GBTClassifier(labelCol=label, featuresCol="features", seed=seed, maxBins=64)
-    maps = random_param_maps(est, n_draws, seed, space)
-    pipe = Pipeline(stages=[assembler(feature_cols), est])
-    ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, numFolds=folds, seed=seed,
-                        parallelism=parallelism)
-    cvm = cv.fit(train)
-    names = list(space)
-    rows = [(i, *[str(pm[est.getParam(k)]) for k in names], float(m)) for i, (pm, m) in enumerate(zip(maps, cvm.avgMetrics))]
-    schema = "draw int, " + ", ".join(f"{k} string" for k in names) + ", cv_auc double"
-    return train.sparkSession.createDataFrame(rows, schema)
+    return StackingModel(bases or {n: done[n, None] for n in learners}, meta, oof)
 
 
 # ------------------------------------------------------------------ M17

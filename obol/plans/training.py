@@ -4,12 +4,18 @@ state.  Every step is a library operator; this module only wires them."""
 
 from __future__ import annotations
 
+import json
+import math
+import random
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.tables import attach
-from ..operators import cleaning, encoders, features, history, metrics, ml, split
+from ..operators import cleaning, encoders, features, history, metrics, ml, neighbors, search, split
 from ..session import materialize
 from ..sources import fixtures as fx
 
@@ -40,52 +46,53 @@ def training_frame(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str],
     return materialize(m), feats, woe
 
 
-def learners(fast: bool = True, weight_col: str | None = None) -> dict:
-    return ml.base_learners(fast=fast, weight_col=weight_col)
-
-
-def train_eval(spark: SparkSession, sf: str, fast: bool = True, early_stopping: bool = True):
-    """M4/M5: the three base learners fitted on train and scored on test; the
-    boosted trees stop early on the validation split (train + validation rows
-    are passed with an indicator column; the forest ignores validation rows)."""
-    m, feats, woe = training_frame(spark, sf)
-    te = m.where(F.col("split") == "test")
-    fit_rows = m.where(F.col("split") != "test").withColumn("is_validation", F.col("split") == "val")
-    est = learners(fast)
-    if early_stopping:
-        est = {k: ml.with_early_stopping(v) for k, v in est.items()}
-        tr = fit_rows
-        # the forest has no validation option: it trains on the train rows only
-        models, long = {}, None
-        for name, e in est.items():
-            rows = tr if name.startswith("GBT") else tr.where(~F.col("is_validation"))
-            mdl, lg = ml.train_and_evaluate(rows, te, feats, {name: e})
-            models.update(mdl)
-            long = lg if long is None else long.unionByName(lg)
-    else:
-        models, long = ml.train_and_evaluate(fit_rows.where(~F.col("is_validation")), te, feats, est)
-    return models, long, feats, m
-
-
-def stacking_eval(spark: SparkSession, sf: str, fast: bool = True, k: int = C.KFOLDS) -> DataFrame:
+_TRAINED: dict[tuple, tuple] = {}
+
+
+def trained(spark: SparkSession, sf: str, trees: int | None = None):
+    """M4/M5: the three base learners with their tuned parameters, fitted at once on the train split.
+
+    Returns (models, matrix with ``split`` and class ``weight``, feature
+    columns, WoE table).  The fits of an application are kept by input folder,
+    as several queries report on the same models.
+    """
+    at = (spark.sparkContext.applicationId, sf, trees)
+    if at not in _TRAINED:
+        m, feats, woe = training_frame(spark, sf)
+        weights = split.class_weights(m.where(F.col("split") == "train")).select(C.LABEL, F.col("balanced_weight").alias("weight"))
+        m = materialize(m.join(F.broadcast(weights), C.LABEL, "left"))  # one row a class
+        rows = m.where(F.col("split") == "train")
+        est = ml.base_learners(weight_col="weight", trees=trees)
+        models = search.in_parallel(spark, [lambda e=e: ml.fit(rows, feats, e) for e in est.values()], len(est))
+        _TRAINED[at] = dict(zip(est, models, strict=True)), m, feats, woe
+    return _TRAINED[at]
+
+
+def long_predictions(models: dict, rows: DataFrame) -> DataFrame:
+    """(model, key, y, p) of every model, all models applied in one scan."""
+    wide = ml.StackingModel(models).base_probabilities(rows)
+    return wide.select(C.KEY, F.col(C.LABEL).alias("y"), *[F.col(f"p_{n}").alias(n) for n in models]).unpivot([C.KEY, "y"], list(models), "model", "p")
+
+
+def train_eval(spark: SparkSession, sf: str, trees: int | None = None):
+    """M4/M5: models, their long predictions on the test split, feature columns and matrix."""
+    models, m, feats, _ = trained(spark, sf, trees)
+    return models, long_predictions(models, m.where(F.col("split") == "test")), feats, m
+
+
+def stacking_eval(spark: SparkSession, sf: str, trees: int | None = None, k: int = C.KFOLDS) -> DataFrame:
     """M13 + M11/M12: stacking fitted on train (out-of-fold meta features),
     threshold tuned on validation, metrics reported on test next to the bases."""
-    m, feats, _ = training_frame(spark, sf)
+    models, m, feats, _ = trained(spark, sf, trees)
     tr, va, te = (m.where(F.col("split") == s) for s in ("train", "val", "test"))
-    st = ml.fit_stacking(tr, feats, learners(fast), k=k)
+    st = ml.fit_stacking(tr, feats, ml.base_learners(weight_col="weight", trees=trees), k=k, bases=models, parallelism=8)
 
     def long(df):
-        b = st.base_probabilities(df)
-        p = st.transform(df).select(C.KEY, F.col("p").alias("p_Stacking"))
-        j = b.join(p, C.KEY)
-        names = list(st.bases) + ["Stacking"]
-        parts = [j.select(F.lit(n).alias("model"), F.col(C.LABEL).alias("y"), F.col(f"p_{n}").alias("p")) for n in names]
-        out = parts[0]
-        for x in parts[1:]:
-            out = out.unionByName(x)
-        return out
-
-    val_long, test_long = long(va), long(te)
+        p = st.transform(df).withColumnRenamed("p", "p_Stacking")
+        names = [*st.bases, "Stacking"]
+        return p.select(C.KEY, F.col(C.LABEL).alias("y"), *[F.col(f"p_{n}").alias(n) for n in names]).unpivot([C.KEY, "y"], names, "model", "p")
+
+    val_long, test_long = long(va), materialize(long(te))
     opt = metrics.optimal_threshold(val_long, "f2").select("model", F.col("threshold").alias("val_threshold"))
     at = test_long.join(F.broadcast(opt), "model")
     counts = at.groupBy("model", "val_threshold").agg(
@@ -97,12 +104,36 @@ def stacking_eval(spark: SparkSession, sf: str, fast: bool = True, k: int = C.KF
     return metrics.auc(test_long).join(pm, "model")
 
 
-def sweep(spark: SparkSession, sf: str, runs: int = 30, seed: int = 42, fast: bool = True) -> DataFrame:
-    """Joint sweep over feature-set toggles (target encoding, geographic
-    risk), resampling, class weights and two tree parameters; every run is a
-    Spark pipeline scored by validation AUC; the best run is flagged.
-    Encoders are fitted on the train split only."""
-    import random
+def sweep_settings(runs: int, seed: int = 42) -> list[dict]:
+    """The drawn settings of every run; equal seeds draw equal runs, and more runs keep the earlier ones."""
+    out = []
+    for r in range(runs):
+        rng = random.Random(f"{seed}|{r}")
+        cfg = {}
+        for name, space in C.SWEEP_SPACE.items():
+            if isinstance(space, list):
+                cfg[name] = rng.choice(space)
+            elif len(space) == 3:
+                cfg[name] = math.exp(rng.uniform(math.log(space[0]), math.log(space[1])))
+            else:
+                cfg[name] = rng.uniform(*space)
+        out.append(cfg)
+    return out
+
+
+SWEEP_RESULT = "settings string, n_features int, n_train long, shallow_auc double, deep_auc double, val_auc double"
+
+
+def sweep(spark: SparkSession, sf: str, runs: int = C.SWEEP_RUNS, seed: int = 42, trees: int | None = None, parallelism: int = 4,
+          path: str | None = None) -> DataFrame:
+    """Joint sweep over feature sets (target encoding, geographic risk), SMOTE, class weights and tree parameters.
+
+    Every run fits two boosted learners and is scored by the validation AUC of
+    their soft vote; the best run is flagged (ties: the earlier).  Encoders are
+    fitted on the train split only.  Each run's row goes to the run table at
+    ``path``, from which a broken sweep continues.  ``trees`` caps the trees of
+    a trial run; by default the drawn numbers hold.
+    """
     base = materialize(split.stratified_three_way(feature_frame(spark, sf)))
     tr = base.where(F.col("split") == "train")
     woe = materialize(encoders.woe_fit(tr, C.CATEGORICAL_FEATURES))
@@ -115,43 +146,52 @@ def sweep(spark: SparkSession, sf: str, runs: int = 30, seed: int = 42, fast: bo
     woe_cols = [f"{c}_woe" for c in cats if f"{c}_woe" in full.columns]
     te_cols = [f"{c}_target_enc" for c in cats]
     geo_cols = ["res_risk_score", "perm_risk_score", "city_risk_score", "address_stability_risk"]
-    allf = nums + woe_cols + te_cols + geo_cols
-    mat = materialize(ml.model_matrix(full, allf, keep=(C.KEY, C.LABEL, "split")))
+    mat = materialize(ml.model_matrix(full, nums + woe_cols + te_cols + geo_cols, keep=(C.KEY, C.LABEL, "split")))
     train, val = mat.where(F.col("split") == "train"), mat.where(F.col("split") == "val")
-    rng = random.Random(seed)
-    rows = []
-    for r in range(runs):
-        cfg = dict(use_target_enc=rng.random() < 0.5, use_geo=rng.random() < 0.5,
-                   resampling=rng.choice(["none", "undersample"]), class_weight=rng.random() < 0.5,
-                   max_depth=rng.choice([3, 4, 5, 6]), step_size=rng.choice([0.05, 0.1, 0.2]))
-        feats = nums + woe_cols + (te_cols if cfg["use_target_enc"] else []) + (geo_cols if cfg["use_geo"] else [])
-        t = split.undersample(train) if cfg["resampling"] == "undersample" else train
-        wcol = None
-        if cfg["class_weight"]:
-            t, wcol = split.with_weights(t), "weight"
-        from pyspark.ml.classification import GBTClassifier
-        est = GBTClassifier(labelCol=C.LABEL, featuresCol="features", seed=seed, maxIter=20 if fast else 60,
-                            maxDepth=cfg["max_depth"], stepSize=cfg["step_size"], maxBins=64,
-                            **({"weightCol": wcol} if wcol else {}))
-        model = ml.fit(t, feats, est)
-        p = ml.positive_probability(model.transform(val)).select(F.col(C.LABEL).alias("y"), "p")
-        auc = metrics.auc(p).first()["auc"]  # one number per run
-        rows.append((r, cfg["use_target_enc"], cfg["use_geo"], cfg["resampling"], cfg["class_weight"],
-                     cfg["max_depth"], cfg["step_size"], len(feats), float(auc)))
-    res = spark.createDataFrame(rows, "run int, use_target_enc boolean, use_geo boolean, resampling string, "
-                                      "class_weight boolean, max_depth int, step_size double, n_features int, val_auc double")
-    best = res.agg(F.max_by("run", F.struct("val_auc", -F.col("run"))).alias("_best"))
+    table = search.RunTable(spark, path or ml.state_path(spark, "sweep"), SWEEP_RESULT)
+
+    def job(name: str, cfg: dict):
+        def run() -> None:
+            feats = nums + woe_cols + (te_cols if cfg["use_target_enc"] else []) + (geo_cols if cfg["use_geo"] else [])
+            t = train.select(C.KEY, C.LABEL, *feats)
+            if cfg["use_smote"]:
+                t = neighbors.smote(t, C.LABEL, feats, C.KEY, k=5, ratio=C.SWEEP_SMOTE_RATIO, seed=seed)
+            t = split.with_weights(t).withColumn("positive", F.when(F.col(C.LABEL) == 1, cfg["scale_pos_weight"]).otherwise(1.0))
+            rows = search.assembled(t, feats, C.LABEL, "weight", "positive")
+            held = search.assembled(val, feats, C.KEY, C.LABEL)
+            most = lambda n: min(n, trees) if trees else n
+            common = dict(labelCol=C.LABEL, featuresCol="features", seed=seed, maxBins=64)
+            shallow = GBTClassifier(maxIter=most(cfg["shallow_trees"]), maxDepth=cfg["shallow_depth"], stepSize=cfg["shallow_step"],
+                                    subsamplingRate=cfg["shallow_rows"], featureSubsetStrategy=str(cfg["shallow_columns"]),
+                                    minInstancesPerNode=cfg["shallow_min_rows"], weightCol="positive", **common)
+            deep = GBTClassifier(maxIter=most(cfg["deep_trees"]), maxDepth=cfg["deep_depth"], stepSize=cfg["deep_step"],
+                                 subsamplingRate=C.SWEEP_ROW_SHARE, featureSubsetStrategy=str(C.SWEEP_COLUMN_SHARE),
+                                 minInstancesPerNode=cfg["deep_min_rows"], weightCol="weight", **common)
+            n_train = rows.count()
+            models = {n: PipelineModel([e.fit(rows)]) for n, e in (("shallow", shallow), ("deep", deep))}
+            scored = held.select(C.KEY, F.col(C.LABEL).alias("y"), "features")
+            for n, m in models.items():
+                scored = ml.positive_probability(m.transform(scored), n).drop("rawPrediction", "probability", "prediction")
+            voted = metrics.soft_vote(scored.drop("features"), list(models), out="vote")
+            auc = {r["model"]: r["auc"] for r in metrics.auc(voted.unpivot([C.KEY, "y"], ["shallow", "deep", "vote"], "model", "p")).collect()}  # three numbers
+            table.add(name, (json.dumps(cfg, sort_keys=True), len(feats), n_train, float(auc["shallow"]), float(auc["deep"]), float(auc["vote"])))
+        return run
+
+    settings = {f"{r:03d}": cfg for r, cfg in enumerate(sweep_settings(runs, seed))}
+    done = table.done()
+    search.in_parallel(spark, [job(n, cfg) for n, cfg in settings.items() if n not in done], parallelism)
+    res = table.rows().withColumn("run", F.col("run").cast("int")).where(F.col("run") < runs)
+    best = res.agg(F.min_by("run", F.struct(-F.col("val_auc"), "run")).alias("_best"))
     return attach(res, best).withColumn("best", (F.col("run") == F.col("_best")).cast("int")).drop("_best")
 
 
-def batch_scoring(spark: SparkSession, sf: str, fast: bool = True) -> DataFrame:
-    """Fit on train, persist model, WoE table and threshold,
+def batch_scoring(spark: SparkSession, sf: str, trees: int | None = None) -> DataFrame:
+    """Persist the fitted model, WoE table and threshold,
     load them back, score the test split and apply R1-R7."""
     from ..operators import scoring
-    m, feats, woe = training_frame(spark, sf)
-    tr, va, te = (m.where(F.col("split") == s) for s in ("train", "val", "test"))
-    model = ml.fit(tr, feats, learners(fast)["GBT_shallow"])
-    model = ml.save_model(model, ml.state_path(spark, "model"))
+    models, m, feats, woe = trained(spark, sf, trees)
+    va, te = (m.where(F.col("split") == s) for s in ("val", "test"))
+    model = ml.save_model(models["GBT_shallow"], ml.state_path(spark, "model"))
     ml.save_table(woe, ml.state_path(spark, "woe"))
     vp = ml.positive_probability(model.transform(va)).select(F.col(C.LABEL).alias("y"), "p")
     best = metrics.optimal_threshold(vp, "f2")

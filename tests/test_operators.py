@@ -41,7 +41,7 @@ def test_model_save_load_same_predictions(spark):
     rng = random.Random(1)
     rows = [(i, int(x + rng.random() > 1.0), x, rng.random()) for i, x in ((i, rng.random()) for i in range(300))]
     df = spark.createDataFrame(rows, "serial_number long, default_flag int, a double, b double")
-    m = ml.fit(df, ["a", "b"], ml.base_learners(fast=True)["GBT_shallow"])
+    m = ml.fit(df, ["a", "b"], ml.base_learners(trees=20)["GBT_shallow"])
     m2 = ml.save_model(m, ml.state_path(spark, "m"))
     p1 = ml.positive_probability(m.transform(df)).select("serial_number", "p").orderBy("serial_number").collect()
     p2 = ml.positive_probability(m2.transform(df)).select("serial_number", "p").orderBy("serial_number").collect()
