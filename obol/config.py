@@ -187,6 +187,7 @@ RECENT_YEARS = 5
 # Declared (config-only) rules
 VARIANCE_MIN = 0.01
 CORRELATION_MAX = 0.95
+MAX_FEATURES = 50
 MAX_MISSING_DROP = 0.5
 MISSING_ALERT = 0.1
 MIN_ROWS = 1000
@@ -199,6 +200,9 @@ MONITOR_RATE_DEVIATION = 0.05
 MONITOR_DRIFT = 0.1
 AUTO_REJECT_DTI = 0.6
 AUTO_REJECT_CONSECUTIVE_LATE = 6
+AUTO_REJECT_BANKRUPTCY_YEARS = 2
+AUTO_REJECT_FORECLOSURE_YEARS = 3
+COND_STABLE_EMPLOYMENT_MONTHS = 24
 COND_HIGH_INCOME = 100000
 COND_PAYMENT_RATE = 0.95
 COND_LOW_UTILIZATION = 0.3

@@ -104,26 +104,30 @@ def brier(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 def confusion(df: DataFrame, thresholds: Mapping[str, float] | DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """M9: (model, threshold_name, actual, predicted, n) with every cell present.
 
-    The named thresholds are read once and turned into conditional counts, so the data is scanned once and never
-    multiplied by the threshold list."""
+    The counts of each distinct probability and the thresholds are put in one
+    order; what lies before a threshold is predicted 0.  One pass for any
+    number of thresholds, none of which reaches the driver."""
     d = _with_model(df, None)
-    if isinstance(thresholds, DataFrame):
-        rows = thresholds.select("threshold_name", "t").collect()  # each becomes four output cells
-        named = [(r["threshold_name"], float(r["t"])) for r in rows]
-    else:
-        named = [(k, float(v)) for k, v in thresholds.items()]
+    if not isinstance(thresholds, DataFrame):
+        thresholds = df.sparkSession.createDataFrame([(k, float(v)) for k, v in thresholds.items()], "threshold_name string, t double")
     yy = F.col(y).cast("int")
-    aggs = []
-    for i, (_, t) in enumerate(named):
-        hat = (F.col(p) >= F.lit(t)).cast("int")
-        for a in (0, 1):
-            for b in (0, 1):
-                aggs.append(F.count(F.when((yy == a) & (hat == b), 1)).alias(f"c{i}_{a}{b}"))
-    wide = d.groupBy("model").agg(*aggs)
-    cells = [F.struct(F.lit(name).alias("threshold_name"), F.lit(a).alias("actual"), F.lit(b).alias("predicted"),
-                      F.col(f"c{i}_{a}{b}").alias("n"))
-             for i, (name, _) in enumerate(named) for a in (0, 1) for b in (0, 1)]
-    return wide.select("model", F.explode(F.array(*cells)).alias("cell")).select("model", "cell.*")
+    counts = d.where(F.col(p).isNotNull()).groupBy("model", F.col(p).cast("double").alias("_p")).agg(
+        F.count(F.when(yy == 1, 1)).alias("_one"), F.count(F.when(yy == 0, 1)).alias("_zero"))
+    totals = d.where(F.col(p).isNotNull()).groupBy("model").agg(F.count(F.when(yy == 1, 1)).alias("_ones"), F.count(F.when(yy == 0, 1)).alias("_zeros"))
+    named = thresholds.select("threshold_name", F.col("t").cast("double").alias("_p"))
+    # one probe a model and threshold; a probe stands before equal probabilities
+    probes = named.crossJoin(F.broadcast(d.select("model").distinct()))  # one row a model
+    none = F.lit(0).cast("long")
+    both = counts.select("model", "_p", F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("threshold_name"), "_one", "_zero") \
+        .unionByName(probes.select("model", "_p", F.lit(0).alias("_kind"), "threshold_name", none.alias("_one"), none.alias("_zero")))
+    before = running(both, ["model"], ["_p", "_kind", "threshold_name"], sums=["_one", "_zero"]).where("_kind = 0") \
+        .select("model", "threshold_name", F.coalesce("_cum__one", none).alias("_fn"), F.coalesce("_cum__zero", none).alias("_tn"))
+    wide = before.join(totals, "model", "left")
+    cell = lambda a, b, n: F.struct(F.lit(a).alias("actual"), F.lit(b).alias("predicted"), n.alias("n"))
+    fn, tn = F.col("_fn"), F.col("_tn")
+    ones, zeros = F.coalesce("_ones", none), F.coalesce("_zeros", none)
+    return wide.select("model", "threshold_name", F.explode(F.array(cell(0, 0, tn), cell(0, 1, zeros - tn), cell(1, 0, fn), cell(1, 1, ones - fn)))
+                       .alias("cell")).select("model", "threshold_name", "cell.*")
 
 
 def class_report(df: DataFrame, threshold: float = 0.5, y: str = "y", p: str = "p") -> DataFrame:

@@ -15,8 +15,8 @@ from typing import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +25,7 @@ from ..functions.tables import attach
 from ..session import ensure_checkpoint_dir, materialize
 from . import metrics
 from .cleaning import exact_quantiles_multi, existing
+from .running import running
 
 
 # ------------------------------------------------------------ M1 / M2
@@ -69,6 +70,48 @@ def apply_one_hot(df: DataFrame, levels: dict[str, list[str]], drop_first: bool
     return out
 
 
+def fit_one_hot(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """M2 fit without a level limit: the table (column, value, idx, n_levels), null as 'missing'.
+
+    ``idx`` counts down from the first sorted level, so that the level to drop
+    is the last one, as Spark's encoder has it.  The table stays a table: no
+    level reaches the driver."""
+    long = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("missing")).alias(c) for c in cols]).unpivot(
+        [], list(cols), "column", "value").distinct()
+    ranked = running(materialize(long), ["column"], ["value"])
+    n = ranked.groupBy("column").agg(F.count(F.lit(1)).alias("n_levels"))  # one row a column
+    return materialize(ranked.join(F.broadcast(n), "column").select("column", "value", (F.col("n_levels") - F.col("_rn")).alias("idx"), "n_levels"))
+
+
+def one_hot_vectors(df: DataFrame, levels: DataFrame, cols: Sequence[str], out: str = "one_hot") -> DataFrame:
+    """M2 apply: one sparse vector with a slot for every level but each column's first sorted one; unknown levels -> all zero.
+
+    Level numbers come from a join with the level table, one a column, which
+    Spark broadcasts only where it is small; vectors are put together in the JVM."""
+    sizes = {r["column"]: r["n_levels"] for r in levels.groupBy("column").agg(F.max("n_levels").alias("n_levels")).collect()}  # one row a column
+    known = [c for c in cols if sizes.get(c, 0) > 1]
+    d = df
+    for i, c in enumerate(known):
+        own = levels.where(F.col("column") == c).select(F.col("value").alias(f"_v{i}"), F.col("idx").cast("double").alias(f"_i{i}"))
+        d = d.join(own, F.coalesce(F.col(c).cast("string"), F.lit("missing")) == F.col(f"_v{i}"), "left").drop(f"_v{i}") \
+            .withColumn(f"_i{i}", F.coalesce(f"_i{i}", F.lit(float(sizes[c] - 1))))
+    if not known:
+        return df.withColumn(out, array_to_vector(F.array().cast("array<double>")))
+    # the encoder learns its sizes from one row that has every column's last number
+    top = df.sparkSession.createDataFrame([tuple(float(sizes[c] - 1) for c in known)], [f"_i{i}" for i in range(len(known))])
+    enc = OneHotEncoder(inputCols=[f"_i{i}" for i in range(len(known))], outputCols=[f"_o{i}" for i in range(len(known))], dropLast=True).fit(top)
+    joined = VectorAssembler(inputCols=[f"_o{i}" for i in range(len(known))], outputCol=out).transform(enc.transform(d))
+    return joined.drop(*[f"_{x}{i}" for i in range(len(known)) for x in "io"])
+
+
+def vector_entries(df: DataFrame, column: str, keep: Sequence[str]) -> DataFrame:
+    """(keep..., position, value) of every non-zero entry of a sparse or dense vector column, without filling it up."""
+    parts = F.from_json(F.to_json(F.struct(F.col(column).alias("v"))), "v struct<type:int,size:int,indices:array<int>,values:array<double>>")["v"]
+    at = F.when(parts["type"] == 0, parts["indices"]).otherwise(F.sequence(F.lit(0), F.size(parts["values"]) - 1))
+    return df.select(*keep, F.explode(F.arrays_zip(at.alias("position"), parts["values"].alias("value"))).alias("e")) \
+        .select(*keep, "e.position", "e.value").where("value <> 0")
+
+
 # ------------------------------------------------------------- M4 / M5
 def base_learners(seed: int = 42, weight_col: str | None = None, label: str = C.LABEL, trees: int | None = None) -> dict[str, object]:
     """M4: the three base learners with their tuned parameters.
@@ -213,22 +256,41 @@ def permuted(df: DataFrame, column: str, key: str = C.KEY, seed: int = 7, block:
     return d.withColumn(column, nxt).drop("_blk", "_h")
 
 
-def permutation_importance(model, df: DataFrame, feature_cols: Sequence[str], label: str = C.LABEL,
-                           transform=None) -> DataFrame:
-    """AUC drop when one feature is permuted, for every feature; all
-    permuted copies are scored in one transform and one grouped AUC."""
-    score = transform or (lambda d: positive_probability(model.transform(d)))
-    base = score(df).select(F.lit("__base__").alias("model"), F.col(label).alias("y"), "p")
-    parts = [base]
-    for c in feature_cols:
-        parts.append(score(permuted(df, c)).select(F.lit(c).alias("model"), F.col(label).alias("y"), "p"))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    a = metrics.auc(allp)
-    b = a.where(F.col("model") == "__base__").select(F.col("auc").alias("base_auc"))
-    return attach(a.where(F.col("model") != "__base__"), b).select(
-        F.col("model").alias("feature"), (F.col("base_auc") - F.col("auc")).alias("importance"))
+def with_permuted(df: DataFrame, columns: Sequence[str], key: str = C.KEY, seed: int = 7, block: int = 1024) -> DataFrame:
+    """``df`` with ``_next_<c>`` for every column: its value in the next row of a random order inside blocks of about
+    ``block`` rows (cyclic).  One window over one block id serves all columns."""
+    nb = max(1, df.count() // block)
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    d = df.withColumns({"_blk": F.pmod(h, F.lit(nb)), "_h": h})
+    w = Window.partitionBy("_blk").orderBy("_h", key)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    row = F.struct(*columns)
+    d = d.withColumn("_n", F.coalesce(F.lead(row).over(w), F.first(row).over(whole)))
+    return d.select(*df.columns, *[F.col(f"_n.{c}").alias(f"_next_{c}") for c in columns])
+
+
+def permutation_importance(models: dict[str, PipelineModel], df: DataFrame, feature_cols: Sequence[str], label: str = C.LABEL,
+                           key: str = C.KEY) -> DataFrame:
+    """AUC drop of every model when one feature is permuted: (model, feature, importance, rank), and model ``mean``.
+
+    Every row is scored as it is and once for each feature, the copies being
+    made lazily inside the scoring pass, in which all models follow one
+    another; ranks go by falling importance (ties: name)."""
+    cols = list(feature_cols)
+    d = with_permuted(df.select(key, label, *cols), cols, key).withColumn("_f", F.explode(F.sequence(F.lit(-1), F.lit(len(cols) - 1))))
+    d = d.select(key, label, "_f", *[F.when(F.col("_f") == i, F.col(f"_next_{c}")).otherwise(F.col(c)).alias(c) for i, c in enumerate(cols)])
+    scored = StackingModel(models).base_probabilities(d)
+    long = scored.select(F.col(label).alias("y"), "_f", *[F.col(f"p_{n}").alias(n) for n in models]).unpivot(["y", "_f"], list(models), "name", "p")
+    a = metrics.auc(long.select(F.concat_ws("|", "_f", "name").alias("model"), "y", "p"))
+    cut = F.split("model", r"\|", 2)
+    a = materialize(a.select(cut[0].cast("int").alias("_f"), cut[1].alias("model"), "auc"))  # one row a model and feature
+    base = a.where(F.col("_f") == -1).select("model", F.col("auc").alias("_base"))
+    names = F.array(*[F.lit(c) for c in cols])
+    each = a.where(F.col("_f") >= 0).join(F.broadcast(base), "model").select("model", F.get(names, F.col("_f")).alias("feature"),
+                                                                         (F.col("_base") - F.col("auc")).alias("importance"))
+    both = each.unionByName(each.groupBy("feature").agg(F.avg("importance").alias("importance")).select(F.lit("mean").alias("model"), "feature", "importance"))
+    w = Window.partitionBy("model").orderBy(F.col("importance").desc(), "feature")  # one row a feature
+    return both.withColumn("rank", F.row_number().over(w))
 
 
 def linear_attribution(df: DataFrame, weights: dict[str, float]) -> DataFrame:

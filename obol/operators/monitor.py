@@ -3,9 +3,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +54,56 @@ def feature_screen(df: DataFrame, cols: Sequence[str], var_min: float = C.VARIAN
     return var, cor
 
 
+def correlations(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    """Correlation matrix from one Gram matrix: each task sums the outer products of its rows, only sums are shuffled.
+
+    Columns are shifted by their means first, which keeps the sums exact
+    enough; a null or NaN counts as the column's mean.  The result is one
+    number per pair of columns; a constant column has no correlation (0)."""
+    num = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in cols]
+    d = df.select(*num)
+    m = d.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in cols]).first()  # one row
+    centred = d.select(F.array(*[F.coalesce(F.col(c) - F.lit(m[c]), F.lit(0.0)) for c in cols]).alias("x"))
+    width = len(cols)
+
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(width), width), pa.int32()),
+                                          pa.array(np.tile(np.arange(width), width), pa.int32()), pa.array(total.reshape(-1))], names=["i", "j", "s"])
+
+    out = np.zeros((width, width))
+    for r in centred.mapInArrow(gram, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():  # one row a pair
+        out[r["i"], r["j"]] = r["s"]
+    size = np.sqrt(np.diag(out))
+    return np.divide(out, np.outer(size, size), out=np.zeros_like(out), where=np.outer(size, size) > 0)
+
+
+def feature_selection(df: DataFrame, cols: Sequence[str], var_min: float = C.VARIANCE_MIN, corr_max: float = C.CORRELATION_MAX,
+                      most: int = C.MAX_FEATURES) -> DataFrame:
+    """Which features stay: (position, feature, variance, kept, reason, partner).
+
+    Features are tried in the order given (put the better ones first).  One is
+    dropped for ``variance`` (below ``var_min``), for ``correlation`` (beyond
+    ``corr_max`` with a feature kept before; the first such is ``partner``) or
+    for the ``limit`` once ``most`` are kept; so the kept ones are the greedy
+    independent set of the correlation graph in that order."""
+    row = df.agg(*[F.var_samp(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))).alias(c) for c in cols]).first()
+    corr = correlations(df, cols)
+    kept: list[int] = []
+    out = []
+    for i, c in enumerate(cols):
+        v = 0.0 if row[c] is None else float(row[c])
+        near = [j for j in kept if abs(corr[i, j]) > corr_max]
+        reason = "variance" if v < var_min else "correlation" if near else "limit" if len(kept) >= most else None
+        if reason is None:
+            kept.append(i)
+        out.append((i + 1, c, v, int(reason is None), reason, cols[near[0]] if reason == "correlation" else None))
+    return df.sparkSession.createDataFrame(out, "position int, feature string, variance double, kept int, reason string, partner string")
+
+
 def cap_outliers(df: DataFrame, cols: Sequence[str], method: str = "iqr",
                  k: float = C.OUTLIER_IQR_MULTIPLIER, z: float = C.ZSCORE_THRESHOLD) -> DataFrame:
     """D3: cap to [Q1 - k IQR, Q3 + k IQR] (``iqr``) or mean +- z std (``zscore``)."""
@@ -120,13 +173,22 @@ def monitoring_alerts(metrics: DataFrame, base_rate: DataFrame, cur_rate: DataFr
 
 def auto_decision(df: DataFrame) -> DataFrame:
     """Auto-reject (DTI above 0.6, six or more late payments, no credit
-    history) and conditional approval (high income, excellent payment rate,
-    low utilisation) over the client schema."""
+    history, a bankruptcy within 2 or a foreclosure within 3 years) and
+    conditional approval (high income, excellent payment rate, low
+    utilisation, two years in the job) over the client schema.
+
+    ``years_since_bankruptcy``, ``years_since_foreclosure`` (null: none) and
+    ``employment_months`` are used where the table has them."""
     c = F.col
     reject = (c("debt_to_income_ratio") > C.AUTO_REJECT_DTI) | (c("late_payments_count") >= C.AUTO_REJECT_CONSECUTIVE_LATE) \
         | (F.coalesce(c("credit_history_months"), F.lit(0)) == 0)
+    for name, years in (("years_since_bankruptcy", C.AUTO_REJECT_BANKRUPTCY_YEARS), ("years_since_foreclosure", C.AUTO_REJECT_FORECLOSURE_YEARS)):
+        if name in df.columns:
+            reject = reject | F.coalesce(c(name) <= years, F.lit(False))
     cond_ok = (c("annual_income") >= C.COND_HIGH_INCOME) | (c("on_time_payment_rate") >= C.COND_PAYMENT_RATE) \
         | (c("credit_utilization_rate") < C.COND_LOW_UTILIZATION)
+    if "employment_months" in df.columns:
+        cond_ok = cond_ok | F.coalesce(c("employment_months") >= C.COND_STABLE_EMPLOYMENT_MONTHS, F.lit(False))
     base_fail = (c("late_payments_count") > C.MAX_LATE_PAYMENTS) | (c("missed_payments_count") > C.MAX_MISSED_PAYMENTS)
     decision = F.when(reject, "reject").when(base_fail & cond_ok, "conditional").when(base_fail, "review").otherwise("approve")
     return df.withColumn("decision", decision)

@@ -560,7 +560,7 @@ SELECT 'exp-1' AS experiment_id, 'fixture_score' AS model_name, 'recent_5_years'
        CAST(max(CASE WHEN split = 'test' THEN application_date END) AS VARCHAR) AS test_period_end
 FROM split_w4"""
 
-IMP_NUMS = ["job_tenure", "payment_progress_ratio", "job_stable", "address_match", "residence_stable", "dti_ratio",
+IMP_NUMS = ["month_salary", "job_tenure", "payment_progress_ratio", "job_stable", "address_match", "residence_stable", "dti_ratio",
             "payment_pressure", "total_overdue_count", "has_overdue", "early_overdue_count", "late_overdue_count",
             "overdue_worsening", "max_overdue_in_month", "overdue_std", "overdue_consistency", "overdue_frequency",
             "overdue_freq_ratio", "recent_overdue_severity", "max_consecutive_overdue", "overdue_acceleration",
@@ -800,6 +800,18 @@ SELECT customer_id, CASE
 FROM clients"""
 
 
+ORACLE["auto_decision_history"] = with_(CLIENTS, """
+adh AS (SELECT *, CASE WHEN customer_id % 11 = 0 THEN customer_id % 7 END AS bankrupt, CASE WHEN customer_id % 13 = 0 THEN customer_id % 8 END AS foreclosed,
+               CASE WHEN customer_id % 5 <> 0 THEN (customer_id * 19) % 60 END AS employed FROM clients)""") + """
+SELECT customer_id, CASE
+  WHEN debt_to_income_ratio > 6e-1 OR late_payments_count >= 6 OR coalesce(credit_history_months, 0) = 0
+       OR coalesce(bankrupt, 99) <= 2 OR coalesce(foreclosed, 99) <= 3 THEN 'reject'
+  WHEN (late_payments_count > 3 OR missed_payments_count > 1)
+       AND (annual_income >= 100000 OR on_time_payment_rate >= 95e-2 OR credit_utilization_rate < 3e-1 OR coalesce(employed, 0) >= 24) THEN 'conditional'
+  WHEN late_payments_count > 3 OR missed_payments_count > 1 THEN 'review' ELSE 'approve' END AS decision
+FROM adh"""
+
+
 # ======================================================== batch 3: monitor
 SCREEN = ["annual_income", "loan_amount", "credit_history_months", "total_credit_limit", "on_time_payment_rate",
           "credit_utilization_rate", "savings_to_income_ratio", "debt_to_income_ratio", "monthly_income"]
@@ -811,11 +823,34 @@ ORACLE["feature_correlation"] = with_(CLIENTS, "fc AS (" + " UNION ALL ".join(
     f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr({a}, {b}) AS corr FROM clients" for a, b in _PAIRS) + ")") + """
 SELECT feature_a, feature_b, round(corr, 6) AS corr FROM fc WHERE abs(corr) > 95e-2"""
 
+_FS = ["debt_to_income_ratio", "late_payments_count", "missed_payments_count", "on_time_payment_rate", "savings_to_income_ratio",
+       "credit_utilization_rate", "is_default", "annual_income", "monthly_income", "loan_amount", "loan_term_months",
+       "credit_history_months", "total_credit_limit", "previous_loans_count", "avg_monthly_balance", "age", "half_income", "tiny"]
+ORACLE["feature_selection"] = "WITH RECURSIVE " + CLIENTS.strip() + """,
+fsc AS (SELECT *, annual_income / 2 + age AS half_income, credit_utilization_rate / 10 AS tiny FROM clients),
+fsv AS (""" + " UNION ALL ".join(f"SELECT {i + 1} AS i, '{c}' AS f, coalesce(var_samp({c}), 0e0) AS v FROM fsc" for i, c in enumerate(_FS)) + """),
+fsr AS (""" + " UNION ALL ".join(f"SELECT {i + 1} AS i, {j + 1} AS j, corr({a}, {b}) AS c FROM fsc"
+                                 for i, a in enumerate(_FS) for j, b in enumerate(_FS) if j < i) + """),
+near AS (SELECT i, list(j ORDER BY j) AS js FROM fsr WHERE abs(c) > 95e-2 GROUP BY i),
+walk AS (
+  SELECT 0 AS i, CAST([] AS INTEGER[]) AS kept, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS INTEGER) AS partner
+  UNION ALL
+  SELECT n.i, CASE WHEN n.reason IS NULL THEN list_append(n.kept, n.i) ELSE n.kept END, n.reason, n.partner FROM (
+    SELECT v.i, w.kept, CASE WHEN v.v < 1e-2 THEN 'variance'
+                             WHEN len(list_intersect(coalesce(x.js, CAST([] AS INTEGER[])), w.kept)) > 0 THEN 'correlation'
+                             WHEN len(w.kept) >= 12 THEN 'limit' END AS reason,
+           CASE WHEN v.v >= 1e-2 THEN list_min(list_intersect(coalesce(x.js, CAST([] AS INTEGER[])), w.kept)) END AS partner
+    FROM walk w JOIN fsv v ON v.i = w.i + 1 LEFT JOIN near x ON x.i = v.i) n)
+SELECT w.i AS position, v.f AS feature, CAST(reason IS NULL AS INTEGER) AS kept, reason, p.f AS partner
+FROM walk w JOIN fsv v ON v.i = w.i LEFT JOIN fsv p ON p.i = w.partner"""
+
 ORACLE["outlier_capping"] = with_(CLIENTS, f"qq AS (SELECT {_OUT} FROM clients)") + " SELECT customer_id, " + ", ".join(
     f"round(least(greatest({c}, {c}_q1 - 15e-1 * ({c}_q3 - {c}_q1)), {c}_q3 + 15e-1 * ({c}_q3 - {c}_q1)), 9) AS {c}"
     for c in ["annual_income", "loan_amount", "debt_to_income_ratio"]) + " FROM clients, qq"
 
-_DQC = ["education", "main_business", "month_salary", "post_res"]
+_DQC = ["serial_number", "id", "application_date", "overdue_status", "overdue_days", "education", "main_business", "residence_status",
+        "product", "salary_raw", "month_salary", "job_tenure", "post_perm", "post_res", "loan_term", "paid_installments",
+        "debt_to_income_ratio", "payment_to_income_ratio", *[f"o{i}" for i in range(8)], "default_flag"]
 ORACLE["data_quality"] = with_(LOANS, "dq AS (SELECT count(*) AS n, avg(default_flag) AS pos FROM labeled)") + " " + " UNION ALL ".join(
     [f"SELECT 'drop_column_missing_gt_50pct' AS check, '{c}' AS subject, round((count(*) - count({c})) / count(*), 9) AS value, "
      f"CAST((count(*) - count({c})) / count(*) <= 5e-1 AS INTEGER) AS passed FROM labeled" for c in _DQC]
@@ -913,6 +948,18 @@ ORACLE["one_hot"] = with_(LOANS) + " SELECT serial_number, " + ", ".join(
     f"CAST(coalesce(CAST({c} AS VARCHAR), 'missing') = '{x}' AS INTEGER) AS \"{c}__{x}\""
     for c, levels in _OH.items() for x in levels[1:]) + " FROM loans"
 
+_SP = ["residence_status", "product", "education", "id"]
+ORACLE["one_hot_sparse"] = with_(LOANS, *[
+    f"sl{i} AS (SELECT v, row_number() OVER (ORDER BY v) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT coalesce(CAST({c} AS VARCHAR), 'missing') AS v FROM loans))"
+    for i, c in enumerate(_SP)], "so AS (SELECT " + ", ".join(f"(SELECT max(n) FROM sl{i}) AS n{i}" for i in range(4)) + ")") + " " + " UNION ALL ".join(
+    f"SELECT l.serial_number, CAST(n - r + {' + '.join(['0'] + [f'so.n{j} - 1' for j in range(i)])} AS BIGINT) AS position "
+    f"FROM loans l JOIN sl{i} ON v = coalesce(CAST({c} AS VARCHAR), 'missing'), so WHERE r > 1" for i, c in enumerate(_SP))
+
+ORACLE["linear_attribution"] = with_(CLIENTS) + " " + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(avg(abs({w} * ({c} - (SELECT avg({c}) FROM clients)))), 9) AS importance FROM clients"
+    for c, w in {"annual_income": "2e-5", "loan_amount": "-5e-5", "debt_to_income_ratio": "3e0", "late_payments_count": "75e-2",
+                 "credit_utilization_rate": "-125e-2"}.items())
+
 
 # ======================================================= remaining rows
 ORACLE["crm_enrichment"] = with_(LOANS, CLIENTS) + """
@@ -921,12 +968,12 @@ ORACLE["crm_match_rate"] = with_(LOANS, CLIENTS) + """
 SELECT 'crm' AS source, count(*) AS total, count(c.customer_id) AS matched, round(count(c.customer_id) / count(*), 12) AS match_rate
 FROM loans l LEFT JOIN clients c ON c.customer_id = l.id"""
 
-_MN = ["month_salary", "job_tenure", "payment_progress_ratio", "job_stable", "address_match", "residence_stable",
-       "dti_ratio", "payment_pressure", "total_overdue_count", "early_overdue_count", "ema_overdue", "loan_term",
-       "paid_installments"]
+_MN = [*IMP_NUMS, "is_new_customer", "historical_default", "prev_overdue_days", "prev_payment_ratio",
+       "cumulative_loans", "cumulative_defaults", "customer_default_rate"]
 _J, _C = _lookup_joins("featm2", "wall", "woe", "woe", "0e0")
-ORACLE["model_matrix"] = with_(LOANS, woe_ctes("labeled", "wall"), f"""
-featm2 AS (SELECT l.*, {ROW_FEATURES}, {OVERDUE_SELECT} FROM labeled l),
+ORACLE["model_matrix"] = with_(LOANS, woe_ctes("labeled", "wall"), HX, W1, f"""
+whist AS ({_hist_out("w1")}),
+featm2 AS (SELECT l.*, {ROW_FEATURES}, {OVERDUE_SELECT}, h.* EXCLUDE (serial_number) FROM labeled l JOIN whist h USING (serial_number)),
 mm AS (SELECT featm2.*, {_C} FROM featm2 {_J})""") + " SELECT serial_number, " + ", ".join(
     f"round(coalesce(CAST({c} AS DOUBLE), 0e0), 9) AS {c}" for c in _MN + [f"{c}_woe" for c in CATS]) + " FROM mm"
 

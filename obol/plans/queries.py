@@ -449,7 +449,7 @@ def univariate_importance(spark, sf):
     l = featured_loans(spark, sf)
     iv = encoders.iv_summary(encoders.woe_fit(l, C.CATEGORICAL_FEATURES)).select(
         F.concat(F.col("feature"), F.lit("_woe")).alias("feature"), F.col("iv").alias("importance"))
-    nums = [c for c in C.NUMERIC_FEATURES if c in l.columns and c not in ("month_salary",)]
+    nums = [c for c in C.NUMERIC_FEATURES if c in l.columns]
     row = l.agg(*[F.corr(F.col(c).cast("double"), F.col(C.LABEL).cast("double")).alias(c) for c in nums])
     cor = row.unpivot([], nums, "feature", "importance").select(
         "feature", F.coalesce(F.abs("importance"), F.lit(0.0)).alias("importance"))
@@ -707,6 +707,16 @@ def q_auto_decision(spark, sf):
     return monitor.auto_decision(fx.clients(spark, sf)).select("customer_id", "decision")
 
 
+@query("auto_decision_history")
+def q_auto_decision_history(spark, sf):
+    """D6 with bankruptcies, foreclosures and employment, which stand-ins derive from the client id."""
+    k = F.col("customer_id")
+    c = fx.clients(spark, sf).withColumns({
+        "years_since_bankruptcy": F.when(k % 11 == 0, k % 7), "years_since_foreclosure": F.when(k % 13 == 0, k % 8),
+        "employment_months": F.when(k % 5 != 0, (k * 19) % 60)})
+    return monitor.auto_decision(c).select("customer_id", "decision")
+
+
 # ------------------------------------------------------------- monitor
 SCREEN_COLS = ["annual_income", "loan_amount", "credit_history_months", "total_credit_limit", "on_time_payment_rate",
                "credit_utilization_rate", "savings_to_income_ratio", "debt_to_income_ratio", "monthly_income"]
@@ -726,6 +736,18 @@ def q_feature_correlation(spark, sf):
     return cor.select("feature_a", "feature_b", rnd("corr", 6).alias("corr"))
 
 
+SELECT_COLS = ["debt_to_income_ratio", "late_payments_count", "missed_payments_count", "on_time_payment_rate", "savings_to_income_ratio",
+               "credit_utilization_rate", "is_default", "annual_income", "monthly_income", "loan_amount", "loan_term_months",
+               "credit_history_months", "total_credit_limit", "previous_loans_count", "avg_monthly_balance", "age", "half_income", "tiny"]
+
+
+@query("feature_selection")
+def q_feature_selection(spark, sf):
+    """Client features kept and dropped (variance, correlation with a kept one, at most 12), with the reasons."""
+    c = fx.clients(spark, sf).withColumns({"half_income": F.col("annual_income") / 2 + F.col("age"), "tiny": F.col("credit_utilization_rate") / 10})
+    return monitor.feature_selection(c, SELECT_COLS, most=12).drop("variance")
+
+
 @query("outlier_capping")
 def q_outlier_capping(spark, sf):
     """D3: IQR capping of income, loan amount and DTI."""
@@ -737,7 +759,7 @@ def q_outlier_capping(spark, sf):
 def q_data_quality(spark, sf):
     """Missing-rate, size, positive-share and per-year checks."""
     l = labeled_loans(spark, sf)
-    q = monitor.data_quality(l, C.LABEL, C.DATE, ["education", "main_business", "month_salary", "post_res"])
+    q = monitor.data_quality(l, C.LABEL, C.DATE, [c for c in l.columns if c != "score_p"])
     return q.select("check", "subject", rnd("value", 9).alias("value"), "passed")
 
 
@@ -883,6 +905,17 @@ def q_one_hot(spark, sf):
     return o.select("serial_number", *cols)
 
 
+SPARSE_COLS = ["residence_status", "product", "education", "id"]
+
+
+@query("one_hot_sparse")
+def q_one_hot_sparse(spark, sf):
+    """M2: entries of the sparse one-hot vectors, client ids among the columns (one level a client)."""
+    l = fx.loans(spark, sf)
+    v = ml.one_hot_vectors(l, ml.fit_one_hot(l, SPARSE_COLS), SPARSE_COLS)
+    return ml.vector_entries(v, "one_hot", ["serial_number"]).select("serial_number", F.col("position").cast("bigint").alias("position"))
+
+
 @query("ml_train_eval")
 def q_ml_train_eval(spark, sf):
     """M4/M5: three base learners (two GBT configurations, random forest)
@@ -932,11 +965,20 @@ def q_ml_sweep(spark, sf):
 
 @query("ml_permutation_importance")
 def q_ml_permutation_importance(spark, sf):
-    """Permutation importance (AUC drop) of every feature on the test split."""
+    """Permutation importance (AUC drop) of every feature on the test split, for all three models and their mean."""
     models, _, feats, m = training.train_eval(spark, sf)
-    te = m.where(F.col("split") == "test")
-    pi = ml.permutation_importance(models["GBT_shallow"], te, feats)
-    return pi.select("feature", rnd("importance", 9).alias("importance"))
+    pi = ml.permutation_importance(models, m.where(F.col("split") == "test"), feats)
+    return pi.select("model", "feature", rnd("importance", 9).alias("importance"), "rank")
+
+
+LINEAR_WEIGHTS = {"annual_income": 0.00002, "loan_amount": -0.00005, "debt_to_income_ratio": 3.0, "late_payments_count": 0.75,
+                  "credit_utilization_rate": -1.25}
+
+
+@query("linear_attribution")
+def q_linear_attribution(spark, sf):
+    """M18 (linear part): mean |w (x - mean x)| per client feature for fixed weights."""
+    return ml.linear_attribution(fx.clients(spark, sf), LINEAR_WEIGHTS).select("feature", rnd("importance", 9).alias("importance"))
 
 
 @query("ml_batch_scoring")
@@ -962,17 +1004,12 @@ def q_crm_match_rate(spark, sf):
     return rep.select("source", "total", "matched", rnd("match_rate", 12).alias("match_rate"))
 
 
-MATRIX_NUMERIC = ["month_salary", "job_tenure", "payment_progress_ratio", "job_stable", "address_match",
-                  "residence_stable", "dti_ratio", "payment_pressure", "total_overdue_count", "early_overdue_count",
-                  "ema_overdue", "loan_term", "paid_installments"]
-
-
 @query("model_matrix")
 def q_model_matrix(spark, sf):
-    """Numeric features and WoE columns as doubles, null -> 0."""
-    l = featured_loans(spark, sf)
+    """All numeric features (client history too) and WoE columns as doubles, null -> 0."""
+    l = history.client_history(featured_loans(spark, sf))
     a = encoders.woe_apply(l, encoders.woe_fit(l, C.CATEGORICAL_FEATURES), C.CATEGORICAL_FEATURES)
-    cols = [c for c in MATRIX_NUMERIC] + [f"{c}_woe" for c in C.CATEGORICAL_FEATURES]
+    cols = [*C.NUMERIC_FEATURES, *[f"{c}_woe" for c in C.CATEGORICAL_FEATURES]]
     m = ml.model_matrix(a, cols, keep=(C.KEY,))
     return m.select(C.KEY, *[rnd(c, 9).alias(c) for c in cols])
 
