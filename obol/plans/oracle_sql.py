@@ -462,10 +462,16 @@ asof_h AS (SELECT x.serial_number, coalesce(a.n_prev, 0) AS n_prev, coalesce(a.n
 
 
 ORACLE["client_history_asof"] = with_(LOANS, HX, _asof_pairs("hx", "hx", 30)) + _hist_out("asof_h")
-ORACLE["history_new_applications"] = with_(
-    LOANS, HX, "past AS (SELECT * FROM hx WHERE application_date < DATE '1997-01-01')",
-    "newapp AS (SELECT * FROM hx WHERE application_date >= DATE '1997-01-01')",
-    _asof_pairs("past", "newapp", 0)) + _hist_out("asof_h")
+_W3 = "PARTITION BY id, CASE WHEN id IS NULL THEN serial_number END ORDER BY application_date, serial_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+ORACLE["history_new_applications"] = with_(LOANS, HX, f"""
+both3 AS (SELECT *, application_date < DATE '1997-01-01' AS known FROM hx),
+w3 AS (SELECT serial_number, known, count(*) OVER ({_W3}) AS n_prev, count(CASE WHEN known THEN 1 END) OVER ({_W3}) AS n_known,
+              coalesce(sum(CASE WHEN known THEN default_flag END) OVER ({_W3}), 0) AS n_def,
+              last_value(CASE WHEN known THEN overdue_days END IGNORE NULLS) OVER ({_W3}) AS last_od,
+              last_value(CASE WHEN known THEN ratio END IGNORE NULLS) OVER ({_W3}) AS last_ratio FROM both3),
+h3 AS ({_hist_out("w3")} WHERE NOT known),
+r3 AS (SELECT serial_number, round(CASE WHEN n_known > 0 THEN n_def / n_known ELSE 0e0 END, 12) AS rate FROM w3)""") + """
+SELECT h3.* EXCLUDE (customer_default_rate), rate AS customer_default_rate FROM h3 JOIN r3 USING (serial_number)"""
 
 ORACLE["client_repeat_stats"] = with_(LOANS, "rp AS (SELECT id, count(*) AS n FROM loans GROUP BY id)") + """
 SELECT count(*) AS total_customers, count(CASE WHEN n > 1 THEN 1 END) AS repeat_customers,
@@ -919,6 +925,10 @@ SELECT user_id, o0, o1, o2, o3, o4, o5, o6, o7, """ + f"""{_ALL} AS total_overdu
        round({_EMA}, 9) AS ema_overdue
 FROM w"""
 
+ORACLE["stream_overdue_counts"] = """
+SELECT CAST(user_id AS BIGINT) AS user_id, CAST(floor(epoch(ts - TIMESTAMP '2024-01-01 00:00:00') / (90 * 3600)) AS INTEGER) AS period,
+       CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type = 'error' GROUP BY ALL"""
+
 
 # ======================================================== sources / sinks
 ORACLE["csv_roundtrip"] = ORACLE["score_export"]

@@ -322,7 +322,7 @@ def q_client_history_asof(spark, sf):
 
 @query("history_new_applications")
 def q_history_new_applications(spark, sf):
-    """History of applications from 1997 on, from loans before 1997."""
+    """History of applications from 1997 on, whose outcomes are unknown, with the loans before 1997."""
     l = labeled_loans(spark, sf)
     cut = F.lit("1997-01-01").cast("date")
     past, new = l.where(F.col("application_date") < cut), l.where(F.col("application_date") >= cut)
@@ -817,6 +817,16 @@ def q_stream_overdue_features(spark, sf):
                     "early_warning_flag", "overdue_worsening", rnd("ema_overdue", 9).alias("ema_overdue"))
 
 
+@query("stream_overdue_counts")
+def q_stream_overdue_counts(spark, sf):
+    """ST2 with a late side output: error events per user and period as the
+    batches came, in time and late ones put together."""
+    work = stream_jobs._work_dir(spark, "overdue-late")
+    counts, late = stream_jobs.overdue_counts_with_late(stream_jobs.stream_table(spark, sf, "events"), work)
+    both = counts.unionByName(late.groupBy(F.col("user_id").cast("long").alias("user_id"), "period").agg(F.count(F.lit(1)).alias("n")))
+    return both.groupBy("user_id", "period").agg(F.sum("n").alias("n"))
+
+
 # ---------------------------------------------------------- sources/sinks
 from ..operators import ml  # noqa: E402
 from ..sources import io as sio  # noqa: E402
@@ -937,8 +947,9 @@ def q_ml_feature_importance(spark, sf):
 
 @query("ml_stacking")
 def q_ml_stacking(spark, sf):
-    """5-fold stacking vs bases; threshold tuned on validation, metrics on test."""
-    s = training.stacking_eval(spark, sf)
+    """5-fold stacking vs bases; threshold tuned on validation, metrics on test.  A trial budget of 20 trees
+    a learner; the library fits the tuned learners."""
+    s = training.stacking_eval(spark, sf, trees=20)
     return s.select("model", *[rnd(c, 6).alias(c) for c in ("auc", "precision", "recall", "f1", "f2")])
 
 

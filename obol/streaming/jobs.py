@@ -40,11 +40,14 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int = 2
             .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> str:
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", work: str | None = None) -> str:
     """Run a streaming frame to completion through ``foreachBatch``, a folder per batch;
-    returns the output folder."""
+    returns the output folder.  With a ``work`` folder of an earlier run the
+    query goes on from that run's checkpoint.  A stream without any batch
+    leaves an empty table."""
     spark = stream.sparkSession
-    out, ckpt = _work_dir(spark, name), _work_dir(spark, f"{name}-ckpt")
+    out, ckpt = (f"{work}/out", f"{work}/checkpoint") if work else (_work_dir(spark, name), _work_dir(spark, f"{name}-ckpt"))
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{out}/_batch_id=-1")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         # a replayed batch overwrites its own folder
@@ -87,15 +90,61 @@ def overdue_period_counts(events: DataFrame, event_type: str = "error", watermar
                                           f"{offset} hours")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def event_windows(events: DataFrame, event_type: str) -> DataFrame:
+    """Events of one type with their event time in UTC and the start of their 90-hour window from the series start."""
+    start = int(datetime.datetime.fromisoformat(SERIES_START).replace(tzinfo=datetime.timezone.utc).timestamp())
+    tz = events.sparkSession.conf.get("spark.sql.session.timeZone")
+    e = events.where(F.col("event_type") == event_type).withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), tz))
+    period = F.floor((F.unix_timestamp("ts") - F.lit(start)) / (PERIOD_HOURS * 3600))
+    return e.withColumn("period", period.cast("int")).withColumn("_end", F.lit(start) + (F.col("period") + 1) * (PERIOD_HOURS * 3600))
+
+
+def overdue_counts_with_late(events: DataFrame, work: str, event_type: str = "error", delay_hours: int = 96) -> tuple[DataFrame, DataFrame]:
+    """ST2 with a side output: (user_id, period, n) of events in time, and the late events that no count holds.
+
+    State is a table: every batch writes its own folder with its counts per
+    (user, period), its late events and its latest event time.  As in Spark's
+    windowed aggregation, an event is late if its window ended at or before the
+    watermark, the latest time of earlier batches less the delay.  A batch that
+    is replayed reads the same earlier batches and overwrites its own folders;
+    a run that broke off goes on from the checkpoint in ``work``.  The counts
+    of all batches are added when they are read.
+    """
+    spark = events.sparkSession
+    ready = event_windows(events, event_type)
+    plain = ready.drop("_end").schema
+    spark.createDataFrame([], "user_id long, period int, n long").write.mode("ignore").parquet(f"{work}/counts/_batch_id=-1")
+    spark.createDataFrame([], plain).write.mode("ignore").parquet(f"{work}/late/_batch_id=-1")
+    spark.createDataFrame([], "latest double").write.mode("ignore").parquet(f"{work}/times/_batch_id=-1")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        times = spark.read.schema("latest double, _batch_id long").parquet(f"{work}/times").where(F.col("_batch_id") < batch_id)
+        latest = times.agg(F.max("latest")).first()[0]  # one number
+        line = float("-inf") if latest is None else latest - delay_hours * 3600.0
+        late = F.col("_end") <= F.lit(line)
+        batch.where(~late).groupBy(F.col("user_id").cast("long").alias("user_id"), "period").agg(F.count(F.lit(1)).alias("n")) \
+            .write.mode("overwrite").parquet(f"{work}/counts/_batch_id={batch_id}")
+        batch.where(late).drop("_end").write.mode("overwrite").parquet(f"{work}/late/_batch_id={batch_id}")
+        batch.agg(F.max(F.col("ts").cast("double")).alias("latest")).write.mode("overwrite").parquet(f"{work}/times/_batch_id={batch_id}")
+
+    q = ready.writeStream.foreachBatch(sink).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    counts = spark.read.parquet(f"{work}/counts").groupBy("user_id", "period").agg(F.sum("n").alias("n"))
+    return counts, spark.read.schema(plain).parquet(f"{work}/late")
+
+
+def overdue_series(counts: DataFrame) -> DataFrame:
+    """(user_id, period, n) -> o0..o7 wide row per user."""
+    wide = counts.where((F.col("period") >= 0) & (F.col("period") < PERIODS)).groupBy("user_id").pivot("period", list(range(PERIODS))).agg(F.sum("n"))
+    return wide.select("user_id", *[F.coalesce(F.col(str(i)), F.lit(0)).cast("bigint").alias(f"o{i}") for i in range(PERIODS)])
+
+
 def overdue_series_from_counts(counts: DataFrame) -> DataFrame:
     """Latest count per (user, window) -> period index -> o0..o7 wide row."""
     latest = counts.groupBy("user_id", "window").agg(F.max("n").alias("n"))  # counts only grow in update mode
     start = datetime.datetime.fromisoformat(SERIES_START).replace(tzinfo=datetime.timezone.utc).timestamp()
     period = F.floor((F.unix_timestamp(F.col("window.start")) - F.lit(int(start))) / (PERIOD_HOURS * 3600)).cast("int")
-    p = latest.withColumn("period", period).where((F.col("period") >= 0) & (F.col("period") < PERIODS))
-    wide = p.groupBy("user_id").pivot("period", list(range(PERIODS))).agg(F.sum("n"))
-    return wide.select("user_id", *[F.coalesce(F.col(str(i)), F.lit(0)).cast("bigint").alias(f"o{i}")
-                                    for i in range(PERIODS)])
+    return overdue_series(latest.withColumn("period", period))
 
 
 def stream_overdue_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,6 +128,23 @@ def test_history_for_new_clients(spark):
     assert got[3]["is_new_customer"] == 1 and got[3]["cumulative_loans"] == 0
 
 
+def test_new_applications_see_each_other_but_no_outcome(spark):
+    past = spark.createDataFrame([(1, 10, dt.date(2020, 1, 1), 1, 30.0, 3, 6), (2, 10, dt.date(2020, 6, 1), 0, 5.0, 6, 6),
+                                  (9, 10, dt.date(2022, 1, 1), 1, 99.0, 1, 6)],
+                                 "serial_number long, id long, application_date date, default_flag int, "
+                                 "overdue_days double, paid_installments long, loan_term long")
+    new = spark.createDataFrame([(3, 10, dt.date(2021, 1, 1)), (4, 10, dt.date(2021, 2, 1)), (5, 77, dt.date(2021, 1, 1)),
+                                 (6, 77, dt.date(2021, 1, 1)), (7, None, dt.date(2021, 1, 1)), (8, None, dt.date(2021, 1, 2))],
+                                "serial_number long, id long, application_date date")
+    for strategy in ("window", "ranged"):
+        got = {r["serial_number"]: r for r in history.history_for_new(past, new, strategy=strategy).collect()}
+        assert set(got) == {3, 4, 5, 6, 7, 8}
+        assert [got[i]["cumulative_loans"] for i in (3, 4, 5, 6, 7, 8)] == [2, 3, 0, 1, 0, 0]
+        assert got[4]["customer_default_rate"] == 0.5 and got[4]["cumulative_defaults"] == 1
+        assert got[4]["prev_overdue_days"] == 5.0 and got[4]["prev_payment_ratio"] == 1.0  # of the last loan with an outcome
+        assert got[6]["is_new_customer"] == 0 and got[6]["historical_default"] == 0 and got[6]["customer_default_rate"] == 0.0
+
+
 def test_average_precision_and_log_loss(spark):
     rng = random.Random(6)
     rows = [(rng.randint(0, 1), round(rng.random(), 2)) for _ in range(200)] + [(1, 1.0), (0, 0.0)]
