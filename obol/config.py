@@ -85,6 +85,44 @@ LATE_PERSIST_MIN = 2
 # residence codes counted as stable (one configured code set)
 STABLE_RESIDENCE = ["owned", "spouse", "family"]
 
+# Code tables of uploads: what a user may write in English, and the value the
+# models know; one table for all four columns
+CODE_COLUMNS = ["education", "residence_status", "main_business", "product"]
+CODES = {
+    # education
+    "Grad+": "研究所以上", "Master": "碩士", "College/Univ": "專科/大學", "University": "大學", "College": "專科",
+    "HS/Voc": "高中/職", "High School": "高中", "Elementary": "小學", "Other": "其他",
+    # residence status
+    "Owned": "自有", "Rented": "租屋", "Spouse": "配偶", "Family": "親屬", "Dormitory": "宿舍",
+    # main business
+    "Manufacturing": "製造業", "Services": "服務業", "Commerce": "商業", "Tech": "科技業", "Finance": "金融業",
+    "Insurance": "保險業", "Securities": "證券及期貨業", "Gov/Education": "公教人員", "Military": "軍人", "F&B": "餐飲業",
+    "Transport": "運輸業", "Construction": "營造業", "Real Estate": "不動產業", "Warehousing": "倉儲業", "Telecom": "通信業",
+    "Utilities": "水電燃氣業", "Agriculture": "農牧林漁", "Fishery": "漁業", "Mining": "礦業及土石採取業",
+    "Professional": "專業人士", "Freelance": "自由業", "E-commerce": "網拍業", "Student": "學生", "Homemaker": "家管",
+    "Social/Personal": "社會團體即個人服務",
+    # product
+    "Beauty": "瘦身美容", "3C/Appliance": "3C家電", "Personal": "個人用品",
+}
+# Codes each column accepts, as the models know them
+ALLOWED_CODES = {
+    "education": ["研究所以上", "碩士", "專科/大學", "大學", "專科", "高中/職", "高中", "小學", "其他"],
+    "residence_status": ["自有", "租屋", "配偶", "親屬", "宿舍"],
+    "main_business": ["製造業", "服務業", "商業", "科技業", "金融業", "保險業", "證券及期貨業", "公教人員", "軍人", "餐飲業", "運輸業",
+                      "營造業", "不動產業", "倉儲業", "通信業", "水電燃氣業", "農牧林漁", "漁業", "礦業及土石採取業", "專業人士",
+                      "自由業", "網拍業", "學生", "家管", "社會團體即個人服務", "其他"],
+    "product": ["瘦身美容", "3C家電", "個人用品", "其他"],
+}
+# Output tables: grades and actions in the users' second language
+GRADE_CODES = {"A (Excellent)": "A (優良)", "B (Moderate)": "B (中等)", "C (Warning)": "C (警戒)", "D (Poor)": "D (不良)",
+               "E (Critical)": "E (危險)"}
+ACTION_CODES = {
+    "Normal Monitoring": "正常監控", "Watch List": "關注名單", "Early Warning": "早期預警", "Enhanced Monitoring": "加強監控",
+    "Deterioration Alert": "惡化警示", "Immediate Intervention": "立即介入", "Forced Collection": "強制催收",
+    "Enhanced Monitoring + Early Warning": "加強監控+早期預警", "Enhanced Monitoring / Collection Prep": "加強監控/催收準備",
+    "Immediate Collection": "立即催收", "Immediate Intervention / Collection Prep": "立即介入/催收準備",
+}
+
 # clip bounds of ratio features
 DTI_CLIP = (0.0, 2.0)
 PTI_CLIP = (0.0, 1.0)

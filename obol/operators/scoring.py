@@ -244,6 +244,34 @@ def translate(df: DataFrame, column: str, dim: DataFrame, out: str | None = None
     return j.withColumn(out or column, F.coalesce(F.col("__label"), F.col(column))).drop("__code", "__label")
 
 
+def translate_columns(df: DataFrame, tables: Mapping[str, DataFrame | Mapping[str, str]], reverse: bool = False, suffix: str = "") -> DataFrame:
+    """P23 for many columns at once: ``tables`` names each column's code table.
+
+    All tables travel as one broadcast row of maps, so any number of columns
+    costs one map-side lookup each: no shuffle and no row is multiplied.  Codes
+    are looked up without surrounding blanks; unmapped and null values stay as
+    they are, and columns the frame lacks are skipped.  ``reverse`` goes from
+    labels to codes (the first code of a label).  A table given as a frame has
+    the columns (code, label) and must be a dimension: one row a code."""
+    spark = df.sparkSession
+    row = None
+    for i, (c, table) in enumerate(tables.items()):
+        if c not in df.columns:
+            continue
+        t = code_dimension(spark, table) if isinstance(table, Mapping) else table
+        key, value = t.columns[:2][::-1] if reverse else t.columns[:2]
+        pairs = t.groupBy(F.col(key).alias("k")).agg(F.min(value).alias("v"))
+        one = pairs.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias(f"_codes{i}"))  # one map of a dimension
+        row = one if row is None else row.crossJoin(F.broadcast(one))
+    if row is None:
+        return df
+    out = attach(df, row)
+    for i, c in enumerate(tables):
+        if c in df.columns:
+            out = out.withColumn(c + suffix, F.coalesce(F.try_element_at(F.col(f"_codes{i}"), F.trim(F.col(c).cast("string"))), F.col(c).cast("string")))
+    return out.drop(*row.columns)
+
+
 def convert_currency(c, rate: float = C.USD_PER_NTD) -> Column:
     """Amount / rate rounded half-even to an integer."""
     x = F.col(c) if isinstance(c, str) else c

@@ -1003,6 +1003,39 @@ SELECT serial_number, id, default_probability, risk_score, risk_grade, risk_aler
        0e0 AS payment_pressure FROM scored"""
 
 
+_UP = {
+    "education": [("Grad+", "研究所以上"), ("Master", "碩士"), ("College/Univ", "專科/大學"), ("University", "大學"), ("College", "專科"),
+                  ("HS/Voc", "高中/職"), ("High School", "高中"), ("Elementary", "小學"), ("Other", "其他"), (" HS/Voc ", "高中/職"), ("PhD", None)],
+    "residence_status": [("Owned", "自有"), ("Rented", "租屋"), ("Spouse", "配偶"), ("Family", "親屬"), ("Dormitory", "宿舍"), (" Owned", "自有"),
+                         ("Tent", None)],
+    "main_business": [("Manufacturing", "製造業"), ("Services", "服務業"), ("Commerce", "商業"), ("Tech", "科技業"), ("Finance", "金融業"),
+                      ("Insurance", "保險業"), ("Securities", "證券及期貨業"), ("Gov/Education", "公教人員"), ("Military", "軍人"), ("F&B", "餐飲業"),
+                      ("Transport", "運輸業"), ("Construction", "營造業"), ("Real Estate", "不動產業"), ("Warehousing", "倉儲業"), ("Telecom", "通信業"),
+                      ("Utilities", "水電燃氣業"), ("Agriculture", "農牧林漁"), ("Fishery", "漁業"), ("Mining", "礦業及土石採取業"),
+                      ("Professional", "專業人士"), ("Freelance", "自由業"), ("E-commerce", "網拍業"), ("Student", "學生"), ("Homemaker", "家管"),
+                      ("Social/Personal", "社會團體即個人服務"), ("Other", "其他"), ("Circus", None)],
+    "product": [("Beauty", "瘦身美容"), ("3C/Appliance", "3C家電"), ("Personal", "個人用品"), ("Other", "其他"), ("Yacht", None)],
+}
+_UPK = {c: f"CASE WHEN serial_number % 97 <> 0 THEN ([{', '.join(repr(z or e) for e, z in v)}])[serial_number % {len(v)} + 1] END" for c, v in _UP.items()}
+_UPB = {c: f"CASE WHEN serial_number % 97 <> 0 THEN ([{', '.join(repr(e.strip()) for e, _ in v)}])[serial_number % {len(v)} + 1] END" for c, v in _UP.items()}
+_UPBAD = {c: f"(serial_number % 97 = 0 OR serial_number % {len(v)} = {len(v) - 1})" for c, v in _UP.items()}
+_UPV = "list_filter([" + ", ".join(
+    [f"CASE WHEN {b} THEN '{k}' END" for k, b in _RULES if "residence" not in k and k != "month_salary_negative"]
+    + [f"CASE WHEN {b} THEN '{c}_unknown_code' END" for c, b in _UPBAD.items()]) + "], lambda x: x IS NOT NULL)"
+ORACLE["upload_translation"] = with_(LOANS) + f"""
+SELECT serial_number, CAST(round_even(month_salary * 31e-3 / 31e-3, 0) AS BIGINT) AS month_salary, array_to_string({_UPV}, ',') AS violations,
+  {', '.join(f'{x} AS {c}_known' for c, x in _UPK.items())}, {', '.join(f'{x} AS {c}' for c, x in _UPB.items())} FROM loans"""
+
+_ZH_GRADE = [("A (Excellent)", "A (優良)"), ("B (Moderate)", "B (中等)"), ("C (Warning)", "C (警戒)"), ("D (Poor)", "D (不良)"), ("E (Critical)", "E (危險)")]
+_ZH_ACT = [("Normal Monitoring", "正常監控"), ("Watch List", "關注名單"), ("Early Warning", "早期預警"), ("Enhanced Monitoring", "加強監控"),
+           ("Deterioration Alert", "惡化警示"), ("Immediate Intervention", "立即介入"), ("Forced Collection", "強制催收"),
+           ("Enhanced Monitoring + Early Warning", "加強監控+早期預警"), ("Enhanced Monitoring / Collection Prep", "加強監控/催收準備"),
+           ("Immediate Collection", "立即催收"), ("Immediate Intervention / Collection Prep", "立即介入/催收準備")]
+_zh = lambda c, t: f"CASE {c} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in t) + f" ELSE {c} END AS {c}"
+ORACLE["upload_scoring_zh"] = with_(*_SC) + f"""
+SELECT serial_number, {_zh('risk_grade', _ZH_GRADE)}, {_zh('risk_action', _ZH_ACT)}, {_zh('risk_action_optimal', _ZH_ACT)}, 'kept' AS my_remark FROM scored"""
+
+
 # =================================================== nearest neighbours
 _KF = ["job_tenure", "loan_term", "paid_installments", "overdue_days", "debt_to_income_ratio", "payment_to_income_ratio"]
 _KD = " + ".join(f"(CAST(a.{c} AS DOUBLE) - CAST(b.{c} AS DOUBLE)) * (CAST(a.{c} AS DOUBLE) - CAST(b.{c} AS DOUBLE))" for c in _KF)

@@ -1061,6 +1061,46 @@ def q_upload_scoring(spark, sf):
                       "risk_action", "risk_action_optimal", rnd("payment_pressure", 12).alias("payment_pressure"))
 
 
+# what English users write: every code, one with blanks, one that no table has
+UPLOAD_CODES = {
+    "education": ["Grad+", "Master", "College/Univ", "University", "College", "HS/Voc", "High School", "Elementary", "Other", " HS/Voc ", "PhD"],
+    "residence_status": ["Owned", "Rented", "Spouse", "Family", "Dormitory", " Owned", "Tent"],
+    "main_business": ["Manufacturing", "Services", "Commerce", "Tech", "Finance", "Insurance", "Securities", "Gov/Education", "Military", "F&B",
+                      "Transport", "Construction", "Real Estate", "Warehousing", "Telecom", "Utilities", "Agriculture", "Fishery", "Mining",
+                      "Professional", "Freelance", "E-commerce", "Student", "Homemaker", "Social/Personal", "Other", "Circus"],
+    "product": ["Beauty", "3C/Appliance", "Personal", "Other", "Yacht"],
+}
+
+
+def english_upload(spark, sf):
+    """The upload in English codes, given by the serial number, with salaries in dollars."""
+    l = fx.loans(spark, sf)
+    pick = lambda codes: F.element_at(F.array(*[F.lit(x) for x in codes]), (F.col("serial_number") % len(codes) + 1).cast("int"))
+    return l.withColumns({c: F.when(F.col("serial_number") % 97 != 0, pick(codes)) for c, codes in UPLOAD_CODES.items()}) \
+        .withColumn("month_salary", F.col("month_salary") * 0.031)
+
+
+@query("upload_translation")
+def q_upload_translation(spark, sf):
+    """English codes and dollars to the models' values, the rule
+    violations there, and the codes back in English."""
+    from . import upload
+    v = upload.checked(upload.incoming(english_upload(spark, sf), "en"))
+    kept = v.select("serial_number", "month_salary", F.concat_ws(",", "violations").alias("violations"),
+                    *[F.col(c).alias(f"{c}_known") for c in C.CODE_COLUMNS], *C.CODE_COLUMNS)
+    return upload.outgoing(kept, "en")
+
+
+@query("upload_scoring_zh")
+def q_upload_scoring_zh(spark, sf):
+    """E3 for the second language: grades and actions translated, a column of the user's own kept."""
+    from . import upload
+    t = optimal_threshold_table(labeled_loans(spark, sf))
+    up = upload_frame(spark, sf).withColumn("My Remark", F.lit("kept"))
+    out, _ = upload.upload_scoring(up, t, prob="score_p", lang="zh")
+    return out.select("serial_number", "risk_grade", "risk_action", "risk_action_optimal", "my_remark")
+
+
 # ------------------------------------------------------ nearest neighbours
 from ..operators import neighbors  # noqa: E402
 
