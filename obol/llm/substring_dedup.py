@@ -312,14 +312,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def hot_spans(seen: DataFrame) -> DataFrame:
-    """Spans at anchors of very many occurrences: every 100-byte string's earliest place by a grouped minimum."""
-    strings = seen.select("doc_id", "sha", "pos", "nl", "nr", "around", F.explode(F.sequence(F.lit(0), F.lit(SIDE))).alias("a")) \
+    """Spans at anchors of very many occurrences.
+
+    Places with equal surroundings share all their strings, so all but the
+    earliest of them are covered as far as the surroundings reach.  Only the
+    earliest place of each different surroundings offers its 100-byte strings,
+    of which every place but the earliest is covered; a string travels as 128
+    bits of its SHA-256, and the minima are taken before the shuffle.
+    """
+    place = F.struct("doc_id", "sha", "pos")
+    rows = seen.select("doc_id", F.unhex("sha").alias("sha"), "pos", "nl", "nr", "around")
+    same = ["around", "nl", "nr"]
+    one = rows.groupBy(*same).agg(F.min(place).alias("f"))
+    whole = rows.where(F.col("nl") + F.col("nr") >= SIDE).join(one, same).where(~place.eqNullSafe(F.col("f"))) \
+        .select("doc_id", "sha", (F.col("pos") - F.col("nl")).alias("lo"), (F.col("pos") + (GRAM + F.col("nr"))).alias("hi"))
+    strings = one.select("f.*", *same, F.explode(F.sequence(F.lit(0), F.lit(SIDE))).alias("a")) \
         .where((F.col("nl") >= F.col("a")) & (F.col("nr") >= SIDE - F.col("a"))) \
         .select("doc_id", "sha", (F.col("pos") - F.col("a")).alias("lo"),
-                F.expr(f"substring(around, {SIDE} - a + 1, {SPAN})").alias("string"))
-    first = strings.groupBy("string").agg(F.min(F.struct("doc_id", "sha", "lo")).alias("f"))
-    return strings.join(first, "string").where(~F.struct("doc_id", "sha", "lo").eqNullSafe(F.col("f"))) \
-        .select("doc_id", "sha", "lo", (F.col("lo") + SPAN).alias("hi"))
+                F.unhex(F.substring(F.sha2(F.expr(f"substring(around, {SIDE} - a + 1, {SPAN})"), 256), 1, 32)).alias("string"))
+    start = F.struct("doc_id", "sha", "lo")
+    first = strings.groupBy("string").agg(F.min(start).alias("f"))
+    later = strings.join(first, "string").where(~start.eqNullSafe(F.col("f"))).select("doc_id", "sha", "lo", (F.col("lo") + SPAN).alias("hi"))
+    return whole.unionByName(later).withColumn("sha", F.lower(F.hex("sha")))
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
