@@ -19,7 +19,7 @@ HEADLINE = [
     "risk_scoring", "clean_loans", "overdue_pattern", "woe_apply", "geo_risk", "target_encoding",
     "client_history", "client_history_asof", "split_chronological", "split_stratified", "threshold_search",
     "auc", "model_comparison", "prediction_summary", "client_quantile_bins", "stream_overdue_features",
-    "stream_scoring", "ml_train_eval",
+    "stream_scoring", "knn_impute", "knn_impute_columns", "smote",
 ]
 
 
