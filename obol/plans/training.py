@@ -21,11 +21,13 @@ from ..sources import fixtures as fx
 
 
 def feature_frame(spark: SparkSession, sf: str) -> DataFrame:
-    """Cleaned, labelled loans with row, overdue and client-history features."""
-    l = cleaning.with_label(fx.loans(spark, sf))
+    """Cleaned, labelled loans with ``split`` (stratified three ways), row, overdue and client-history features.
+
+    The split comes first: the medians that fill gaps are those of the train rows."""
+    l = materialize(split.stratified_three_way(cleaning.with_label(fx.loans(spark, sf))))
     l = cleaning.fill_zero(l)
     l = l.withColumn("month_salary", cleaning.parse_number("salary_raw"))
-    med = cleaning.fit_medians(l, ["month_salary", "job_tenure"])
+    med = cleaning.fit_medians(l.where(F.col("split") == "train"), ["month_salary", "job_tenure"])
     l = cleaning.apply_medians(l, med)
     l = cleaning.fill_constant(l, ["main_business", "education"])
     l = features.repayment_features(l)
@@ -36,7 +38,7 @@ def feature_frame(spark: SparkSession, sf: str) -> DataFrame:
 def training_frame(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str], DataFrame]:
     """Three-way stratified split, WoE fitted on train only, model matrix.
     Returns (matrix with ``split``, feature columns, WoE table)."""
-    f = split.stratified_three_way(feature_frame(spark, sf))
+    f = materialize(feature_frame(spark, sf))
     woe = encoders.woe_fit(f.where(F.col("split") == "train"), C.CATEGORICAL_FEATURES)
     woe = materialize(woe)
     f = encoders.woe_apply(f, woe, C.CATEGORICAL_FEATURES)
@@ -134,7 +136,7 @@ def sweep(spark: SparkSession, sf: str, runs: int = C.SWEEP_RUNS, seed: int = 42
     ``path``, from which a broken sweep continues.  ``trees`` caps the trees of
     a trial run; by default the drawn numbers hold.
     """
-    base = materialize(split.stratified_three_way(feature_frame(spark, sf)))
+    base = materialize(feature_frame(spark, sf))
     tr = base.where(F.col("split") == "train")
     woe = materialize(encoders.woe_fit(tr, C.CATEGORICAL_FEATURES))
     te_enc = materialize(encoders.target_fit(tr, C.CATEGORICAL_FEATURES))

@@ -112,6 +112,15 @@ def test_trained_models_and_their_metrics(spark):
     assert len(feats) == len(set(feats))
 
 
+def test_medians_come_from_the_train_rows(spark):
+    f = training.feature_frame(spark, "/root/testdata/sf0.001")
+    from obol.sources import fixtures as fx
+    raw = fx.loans(spark, "/root/testdata/sf0.001").select(C.KEY, F.col("month_salary").alias("raw")).join(f.select(C.KEY, "split", "month_salary"), C.KEY)
+    filled = {r[0] for r in raw.where("raw is null").select("month_salary").distinct().collect()}
+    train = np.median([r[0] for r in raw.where("split = 'train' and raw is not null").select("raw").collect()])
+    assert filled == {train}
+
+
 def test_sweep_resumes_and_flags_the_best(spark, tmp_path):
     assert training.sweep_settings(3) == training.sweep_settings(5)[:3]
     path = str(tmp_path / "sweep")
