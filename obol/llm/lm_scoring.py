@@ -23,6 +23,7 @@ mixing weights and the adaptive map (fixed size) are broadcast.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,9 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from obol.llm.common import ship, staged
+from obol.llm.common import release, ship, staged
 from obol.llm.textbytes import mix64, slices
 
 ORDERS = 5
@@ -311,7 +311,9 @@ def coded_strings(strings: DataFrame) -> DataFrame:
         out = _coded(counted[k]).withColumn("low", F.col("gram").bitwiseAND((1 << 8 * k) - 1)).join(low, "low") \
             .select("gram", "n", F.concat("before", "codes").alias("codes"))
     # in a random order, in which the weights are learned
-    return staged(out.repartition(F.xxhash64("gram")).sortWithinPartitions(F.xxhash64("gram", F.lit(1))), "coded")
+    done = staged(out.repartition(F.xxhash64("gram")).sortWithinPartitions(F.xxhash64("gram", F.lit(1))), "coded")
+    release(*(counted[k] for k in range(1, ORDERS)))
+    return done
 
 
 def _learn(coded: DataFrame, model: Model) -> Model:
@@ -427,16 +429,24 @@ def ascending(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
     return g[order], v[order]
 
 
-def _block_words(rows: DataFrame) -> DataFrame:
-    """block, word, n: every word of each block with its count in the block's training texts."""
+def _block_words(rows: DataFrame, parts: int) -> DataFrame:
+    """part, block, words, n: the words of each block with their counts in its training texts, packed by part."""
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, known, counts = None, set(), Counter()
 
         def flush():
             counts.update(dict.fromkeys(known - counts.keys(), 0))
             if counts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), block)), pa.array(list(counts), pa.binary()).cast(pa.string()),
-                                                  pa.array(list(counts.values()), pa.int64())], names=["block", "word", "n"])
+                own = sorted(counts)
+                part = np.fromiter(map(zlib.crc32, own), np.int64, len(own)) % parts
+                order = np.argsort(part, kind="stable")
+                cuts = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist(), len(own)]
+                n = np.fromiter((counts[own[i]] for i in order), "<i8", len(own))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(part[order][cuts[:-1]]), pa.array(np.full(len(cuts) - 1, block, np.int64)),
+                    pa.array([b" ".join(own[i] for i in order[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False)], pa.binary()),
+                    pa.array([n[lo:hi].tobytes() for lo, hi in zip(cuts, cuts[1:], strict=False)], pa.binary())],
+                    names=["part", "block", "words", "n"])
 
         for part, texts in slices(batches):
             for b, held, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True):
@@ -447,7 +457,40 @@ def _block_words(rows: DataFrame) -> DataFrame:
                 (known if held else counts).update(own)
         yield from flush()
 
-    return rows.select("block", "held_out", "text").mapInArrow(words, "block long, word string, n long")
+    return rows.select("block", "held_out", "text").mapInArrow(words, "part long, block long, words binary, n binary")
+
+
+def _word_counts(pieces: DataFrame) -> DataFrame:
+    """block, words, counts (in all training texts), total and known (tokens and words of the training texts, once a part).
+
+    A task holds the pieces of one part at a time; as the parts grow with the
+    root of the number of blocks, so does a part.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, counts = None, [], Counter()
+
+        def flush():
+            total, known = sum(counts.values()), sum(c > 0 for c in counts.values())
+            for lo in range(0, len(held), 64):
+                some = [(block, w, np.fromiter(map(counts.__getitem__, w.split(b" ")), "<i8").tobytes()) for block, w in held[lo:lo + 64]]
+                once = [int(lo + i == 0) for i in range(len(some))]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.binary()), pa.array([x[2] for x in some], pa.binary()),
+                    pa.array([total * x for x in once], pa.int64()), pa.array([known * x for x in once], pa.int64())],
+                    names=["block", "words", "counts", "total", "known"])
+
+        for b in batches:
+            for p, block, w, n in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if p != part:
+                    yield from flush()
+                    part, held, counts = p, [], Counter()
+                held.append((block, w))
+                for word, c in zip(w.split(b" "), np.frombuffer(n, "<i8").tolist(), strict=True):
+                    counts[word] += c
+        yield from flush()
+
+    return pieces.repartition("part").sortWithinPartitions("part").mapInArrow(
+        count, "block long, words binary, counts binary, total long, known long")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -465,26 +508,26 @@ def score(docs: DataFrame) -> DataFrame:
                        F.coalesce(F.crc32(number.cast("string").cast("binary")) % 7 == 2, F.lit(False)).alias("held_out"),
                        F.floor(F.monotonically_increasing_id() / BLOCK_DOCS).alias("block"))
     rows = staged(rows, "lm-rows")
-    # a word has at most one row a block (and input split): its count in all blocks by one shuffle
-    same = Window.partitionBy("word")
-    words = staged(_block_words(rows).withColumn("c", F.sum("n").over(same))
-                   .withColumn("one", F.row_number().over(same.orderBy("block", "n")) == 1).select("block", "word", "c", "one"), "words")
-    total = words.where("one").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     held = rows.agg(F.count(F.when(~F.col("held_out"), 1)).alias("train"), F.countDistinct("block").alias("blocks")).first()
     train_docs = held.train
+    parts = PARTS * math.ceil(math.sqrt(max(1, held.blocks) / BLOCKS_BASE))
+    words = staged(_word_counts(_block_words(rows, parts)), "words")
+    total = words.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("known"), F.lit(0)).alias("v")).first()
     n_train, vocabulary = total.n + train_docs, total.v + (train_docs > 0)
     floor = math.log10(n_train + vocabulary + 1)
     end = math.log10(train_docs + 1)
-    parts = PARTS * math.ceil(math.sqrt(max(1, held.blocks) / BLOCKS_BASE))
     strings = staged(_block_strings(rows, parts), "block-strings")
-    coded = coded_strings(staged(_string_counts(strings), "strings"))
-    points_of = _string_scores(coded, strings, _learn(coded, Model()), parts)
+    counted = staged(_string_counts(strings), "strings")
+    coded = coded_strings(counted)
+    points_of = staged(_string_scores(coded, strings, _learn(coded, Model()), parts), "points")
+    release(counted, strings)
+
     def laid(df: DataFrame, kind: Column, number: Column, text: Column, packed: Column) -> DataFrame:
         # few columns: words and texts are most of what is shuffled
         return df.select("block", kind.alias("kind"), number.cast("long").alias("number"), text.cast("string").alias("text"), packed.cast("binary").alias("packed"))
 
     none = F.lit(None)
-    both = laid(words, F.lit(0), F.col("c"), F.col("word"), none).union(laid(points_of, F.lit(1), none, none, F.concat("grams", "logs"))) \
+    both = laid(words, F.lit(0), none, F.col("words"), F.col("counts")).union(laid(points_of, F.lit(1), none, none, F.concat("grams", "logs"))) \
         .union(laid(rows, F.when(F.col("held_out"), 3).otherwise(2), F.col("doc_id"), F.col("text"), none))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -499,7 +542,8 @@ def score(docs: DataFrame) -> DataFrame:
                 if part.column(0)[0].as_py() != block:
                     block, logs, held, table = part.column(0)[0].as_py(), {}, [], None
                 if part.column(1)[0].as_py() == 0:
-                    logs.update(zip(part.column(3).cast(pa.binary()).to_pylist(), np.log10(part.column(2).to_numpy() + 1.0).tolist(), strict=True))
+                    for w, n in zip(part.column(3).cast(pa.binary()).to_pylist(), part.column(4).to_pylist(), strict=True):
+                        logs.update(zip(w.split(b" "), np.log10(np.frombuffer(n, "<i8") + 1.0).tolist(), strict=True))
                     continue
                 if part.column(1)[0].as_py() == 1:
                     # half of each piece are strings, half their logs
