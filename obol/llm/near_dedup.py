@@ -7,7 +7,8 @@ one in a million, so they meet in an inverted list of the 64 - MIN_SHARED + 1
 rarest values of each.  Sets that fit the sketch use the exact prefix bound.
 Classes with a shared list are listed once more by their full sets: the exact
 bound there (any alike pair shares one of the rarest quarter of each set's
-values) parts texts that only have a passage in common.
+values) parts texts that only have a passage in common, and the places of a
+common value in both sets rule out pairs before they are made.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -66,10 +67,11 @@ def _sketch_values(classes: DataFrame) -> DataFrame:
 
 
 def inverted_lists(classes: DataFrame, whole: bool = False) -> DataFrame:
-    """value, cid: the lists of the rarest values of each class that another class holds, too.
+    """value, cid, n, pos: the lists of the rarest values of each class that another class holds, too.
 
     ``sketch`` holds the values: the K smallest of the set, or, if ``whole``,
     all of it; then the bound is exact for every pair of the given classes.
+    ``pos`` is the value's place among the class's ``n`` values, rarest first.
     """
     values = _sketch_values(classes)
     freq = values.groupBy("value").count().where("count > 1")
@@ -82,7 +84,19 @@ def inverted_lists(classes: DataFrame, whole: bool = False) -> DataFrame:
     ranked = shared.withColumn("r", F.row_number().over(held.orderBy("count", "value"))) \
         .withColumn("n_shared", F.count(F.lit(1)).over(held)) \
         .join(classes.select("cid", "n_shingles"), "cid")
-    return ranked.where((n - F.col("n_shared") + F.col("r")) <= n - need + 1).select("value", "cid")
+    return ranked.withColumn("pos", n - F.col("n_shared") + F.col("r")).where(F.col("pos") <= n - need + 1) \
+        .select("value", "cid", n.cast("long").alias("n"), F.col("pos").cast("long").alias("pos"))
+
+
+def may_be_alike(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
+    """Whether sets whose first common value, rarest first, stands at these places can reach the threshold.
+
+    Before that place neither set has a common value, so at most
+    1 + min(n - pos) values are common; Jaccard t needs t / (1 + t) of both
+    sizes together.  An alike pair passes in the list of its first common value.
+    """
+    most = 1 + F.least(n_a - pos_a, n_b - pos_b)
+    return (100 + PERCENT) * most >= PERCENT * (n_a + n_b)
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -168,16 +182,19 @@ def components(lists: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame
         last = turn == len(DRAWS) or turn >= LEAST_ROUNDS and size.pairs <= FEW_PAIRS * size.rows
         open_ = tagged.join(mixed.select("value"), "value")
         if last:
-            right = open_.select("value", F.col("cid").alias("b"), F.col("comp").alias("cb"))
-            pairs = open_.select("value", F.col("cid").alias("a"), F.col("comp").alias("ca")).join(right, "value") \
-                .where("a < b and ca <> cb").select("a", "b").distinct()
+            def side(c):
+                return open_.select("value", F.col("cid").alias(c), *(F.col(x).alias(x + c) for x in ("comp", "n", "pos")))
+            pairs = side("a").join(side("b"), "value").where("a < b and compa <> compb") \
+                .where(may_be_alike(*(F.col(x) for x in ("na", "posa", "nb", "posb")))).select("a", "b").distinct()
         else:
             draws = range(DRAWS[turn])
             offers = open_.groupBy("value").agg(*(
-                F.min(F.struct(F.xxhash64("cid", F.lit(turn), F.lit(i)).alias("h"), F.col("cid").alias("p"), F.col("comp").alias("pc"))).alias(f"o{i}")
+                F.min(F.struct(F.xxhash64("cid", F.lit(turn), F.lit(i)).alias("h"), F.col("cid").alias("p"), F.col("comp").alias("pc"),
+                               F.col("n").alias("pn"), F.col("pos").alias("pp"))).alias(f"o{i}")
                 for i in draws))
             best = open_.join(offers, "value").groupBy("cid").agg(*(
-                F.min(F.when(F.col("comp") != F.col(f"o{i}.pc"), F.struct(f"o{i}.h", f"o{i}.p"))).alias(f"m{i}") for i in draws))
+                F.min(F.when((F.col("comp") != F.col(f"o{i}.pc")) & may_be_alike(F.col("n"), F.col("pos"), F.col(f"o{i}.pn"), F.col(f"o{i}.pp")),
+                             F.struct(f"o{i}.h", f"o{i}.p"))).alias(f"m{i}") for i in draws))
             pairs = best.select("cid", F.explode(F.array(*(F.col(f"m{i}.p") for i in draws))).alias("p")).where("p is not null") \
                 .select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b")).distinct()
         links = staged(_checked(pairs, sets), "links")
