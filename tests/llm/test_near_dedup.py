@@ -3,7 +3,7 @@
 import random
 import re
 
-from obol.llm.near_dedup import near_duplicates
+from obol.llm.near_dedup import may_be_alike, near_duplicates
 
 rnd = random.Random(8)
 
@@ -68,3 +68,18 @@ def test_null_ids_and_empty_table(spark):
     out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in out) == [("1", "1"), ("None", "1"), ("None", "None"), ("None", "None")]
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_places_of_the_first_common_value_never_rule_out_an_alike_pair(spark):
+    rows = []
+    for _ in range(400):
+        base = rnd.sample(range(60), rnd.randint(4, 30))
+        a, b = (sorted({*base[rnd.randint(0, 4):], *rnd.sample(range(60), rnd.randint(0, 4))}) for _ in range(2))
+        common = sorted({*a} & {*b})
+        if common:
+            alike = 100 * len(common) >= 75 * len({*a} | {*b})
+            rows.append((len(a), a.index(common[0]) + 1, len(b), b.index(common[0]) + 1, alike))
+    df = spark.createDataFrame(rows, "na long, pa long, nb long, pb long, alike boolean")
+    out = df.withColumn("passes", may_be_alike(*(df[c] for c in ("na", "pa", "nb", "pb")))).collect()
+    assert any(r.alike for r in out) and any(not r.passes for r in out)
+    assert all(r.passes for r in out if r.alike)
