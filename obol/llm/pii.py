@@ -3,9 +3,9 @@
 A value's digits (or letters) are permuted by an unbalanced-alternating Feistel
 network over its own domain, keyed and bound to the kind of value, so an equal
 value gets an equal pseudonym in every document and the key owner can invert it.
-Cycle walking keeps the pseudonym valid: a card number keeps its first six
-digits' issuer range start, its length and a right check digit; a date stays a
-date of its layout; an address keeps four octets.
+Cycle walking keeps the pseudonym valid: a card number keeps its first digit,
+its length and a right check digit; a date stays a date of its layout; an
+address keeps four octets.
 """
 
 from __future__ import annotations
@@ -211,7 +211,8 @@ def _email(text: str, key: bytes, inverse: bool) -> str:
 
 #: kind, pattern, pseudonym function; at one place the first kind that validates wins.
 KINDS: list[tuple[str, str, Callable[[str, bytes, bool], str | None]]] = [
-    ("email", r"(?<![\w.+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", _email),
+    # from the head of a run of local characters, so that each run is tried once
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", _email),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
     ("ip", r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)", _ip),
     ("date", r"(?<![\d./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\d/-]|\.\d)", _date),
@@ -237,17 +238,23 @@ def replace(text: str, key: bytes, inverse: bool = False) -> tuple[str, dict[str
     for k, (name, pattern, _) in enumerate(_COMPILED):
         if k == 0 and "@" not in text:
             continue
+        fresh, at = [], 0
         for m in pattern.finditer(text):
-            if any(m.start() < e and s < m.end() for s, e, _ in found):
+            # both run through the text in order: skip what ends before this match
+            while at < len(found) and found[at][1] <= m.start():
+                at += 1
+            if at < len(found) and found[at][0] < m.end():
                 continue
             new = pseudonym(k, m[0], key, inverse)
             if new is not None:
-                found.append((m.start(), m.end(), new))
-                counts[name] = counts.get(name, 0) + 1
+                fresh.append((m.start(), m.end(), new))
+        if fresh:
+            counts[name] = len(fresh)
+            found = sorted(found + fresh)
     if not found:
         return text, counts
     out, at = [], 0
-    for s, e, new in sorted(found):
+    for s, e, new in found:
         out += [text[at:s], new]
         at = e
     return "".join([*out, text[at:]]), counts

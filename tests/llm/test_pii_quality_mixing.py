@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -50,6 +51,21 @@ def test_every_matched_phone_is_replaced_and_inverts():
         assert pii.replace(pii.replace(v, KEY)[0], KEY, inverse=True)[0] == v
 
 
+def test_many_values_and_runs_of_signs_in_one_text():
+    start = time.process_time()
+    assert pii.replace("%" * 80_000 + "@", KEY) == ("%" * 80_000 + "@", {})
+    text = " ".join(f"({200 + i % 700}) {300 + i % 200}-{i % 10_000:04d}, 10.0.{i % 250}.{i // 250}" for i in range(8_000))
+    new, n = pii.replace(text, KEY)
+    assert n == {"ip": 8_000, "phone": 8_000} and pii.replace(new, KEY, inverse=True)[0] == text
+    assert time.process_time() - start < 6  # 15 s and 24 s when each grew with the square
+
+
+def test_address_after_a_letter_beyond_ascii_is_replaced():
+    new, n = pii.replace("jos\u00e9.x7@mail.example", KEY)
+    assert n == {"email": 1} and new.startswith("jos\u00e9.") and new.endswith("@mail.example") and "x7" not in new
+    assert pii.replace(new, KEY, inverse=True)[0] == "jos\u00e9.x7@mail.example"
+
+
 def test_permutation_is_one_to_one():
     for size in (1, 2, 7, 10, 97, 1000):
         out = [pii.permute(i, size, KEY, b"t") for i in range(size)]
