@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from obol.llm.common import ship, staged
-from obol.llm.textbytes import Words, mix64, slices, sorted_sets
+from obol.llm.textbytes import Words, give_back, mix64, slices, sorted_sets
 
 K = 64
 MIN_SHARED = 30
@@ -111,6 +111,7 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 p, q = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
                 keep.append(min(len(p), len(q)) * 100 >= PERCENT * max(len(p), len(q)) and _estimate(p, q) and _exact(p, q))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb").mapInArrow(check, "a long, b long")
 

@@ -8,6 +8,7 @@ word hashes, finished with an avalanche mix.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,6 +139,14 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps Python workers for later stages, with all that they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 << 20,
            rows: int = 1 << 15) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut Arrow batches into runs of rows whose texts hold about ``limit`` bytes (at least one row)."""
@@ -155,6 +164,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4
             part = batch.slice(lo, hi - lo)
             yield part, texts_of(part.column(part.schema.get_field_index(text)))
             lo = hi
+    give_back()
 
 
 def sorted_sets(values: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:

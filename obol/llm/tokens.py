@@ -2,8 +2,10 @@
 
 The word tokenizer drops white space and never joins characters across it, so
 the ids of a text are the ids of its white-space separated chunks in order.
-Each chunk is encoded by the library once per worker and reused; the cache is
-emptied when it holds ``CACHE_CHUNKS`` chunks (memory bound, results unchanged).
+Each chunk is encoded by the library once per worker and reused.  The cache has
+two halves of at most ``CACHE_BYTES`` each: a full half becomes the old one and
+the old one goes, but for the chunks that are used again (memory bound, results
+unchanged).
 """
 
 from __future__ import annotations
@@ -13,7 +15,9 @@ import re
 
 import numpy as np
 
-CACHE_CHUNKS = 1_200_000
+#: Bytes of one half of a worker's cache, and those an entry takes besides its chunk and ids.
+CACHE_BYTES = 48 << 20
+ENTRY_BYTES = 170
 #: A full stop or comma between a letter and white space is a token run of its own.
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|$)")
 
@@ -25,6 +29,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.held = 0
         vocab = self.tok.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -48,13 +54,20 @@ class ChunkEncoder:
         raw, at = ids.tobytes(), [0, *(4 * cut).tolist()]
         self.cache.update((k, raw[a:b]) for k, a, b in zip(keys, at, at[1:], strict=False))
 
+    def _keep(self, chunks: set[bytes]) -> None:
+        """Bring chunks that the young half lacks into it, from the old half or the library."""
+        if self.held > CACHE_BYTES:
+            self.old, self.cache, self.held = self.cache, {}, 0
+        missing = chunks.difference(self.cache)
+        again = missing.intersection(self.old)
+        self.cache.update((c, self.old[c]) for c in again)
+        if len(again) < len(missing):
+            self._learn(sorted(missing - again))
+        self.held += sum(len(c) + len(self.cache[c]) + ENTRY_BYTES for c in missing)
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache = {}
         words = [t.split() if b"<|" in t else _STOP.sub(rb" \1 ", t.lower()).split() for t in texts]
-        new = set().union(*words).difference(self.cache)
-        if new:
-            self._learn(sorted(new))
+        self._keep(set().union(*words))
         get = self.cache.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 

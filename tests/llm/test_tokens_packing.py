@@ -27,6 +27,17 @@ def test_chunk_encoder_equals_tokenizer():
         assert np.frombuffer(code, "<u4").tolist() == enc.tok.encode(t or "", add_special_tokens=False).ids
 
 
+def test_small_cache_changes_no_id(monkeypatch):
+    from obol.llm import tokens
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 2000)
+    enc, plain = ChunkEncoder(tokenizer_path()), ChunkEncoder(tokenizer_path()).tok
+    texts = [f"common word{i % 7} rare{i} item{i // 3}" for i in range(300)]
+    for i in range(0, len(texts), 10):
+        for t, code in zip(texts[i:i + 10], enc.encode([t.encode() for t in texts[i:i + 10]]), strict=True):
+            assert np.frombuffer(code, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+        assert len(enc.cache) + len(enc.old) < 60
+
+
 def test_token_counts_and_cache(spark, tmp_path):
     path = str(tmp_path / "cache")
     enc = ChunkEncoder(tokenizer_path())
