@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from obol.llm.common import ship, staged
+from obol.llm.common import release, ship, staged
 from obol.llm.textbytes import Words, give_back, mix64, slices, sorted_sets
 
 K = 64
@@ -153,9 +153,11 @@ def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
                      .select("node", F.least("next", F.coalesce("far", "next")).alias("root"),
                              (F.least("next", F.coalesce("far", "next")) != F.col("root")).alias("changed")), "roots")
         done = new.where("changed").isEmpty()
+        release(roots)
         roots = new.select("node", "root")
         if done:
             break
+    release(edges)
     return labels.join(roots.withColumnRenamed("node", "comp"), "comp", "left") \
         .select("cid", F.coalesce("root", "comp").alias("comp"))
 
@@ -179,6 +181,7 @@ def components(lists: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame
         size = mixed.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
                          F.coalesce(F.sum((F.col("rows").cast("double") * F.col("rows") - F.col("squares")) / 2), F.lit(0.0)).alias("pairs")).first()
         if not size.rows:
+            release(tagged)
             break
         last = turn == len(DRAWS) or turn >= LEAST_ROUNDS and size.pairs <= FEW_PAIRS * size.rows
         open_ = tagged.join(mixed.select("value"), "value")
@@ -199,8 +202,11 @@ def components(lists: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame
             pairs = best.select("cid", F.explode(F.array(*(F.col(f"m{i}.p") for i in draws))).alias("p")).where("p is not null") \
                 .select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b")).distinct()
         links = staged(_checked(pairs, sets), "links")
+        release(tagged)
         if not links.isEmpty():
-            labels = staged(merge_components(labels, links), "labels")
+            old, labels = labels, staged(merge_components(labels, links), "labels")
+            release(old)
+        release(links)
         if last:
             break
     return labels
@@ -226,13 +232,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = named.select("cid", F.col("comp").alias("doc_id"))
     sketched = members.select("doc_id", "n_shingles", node, F.expr(f"substring(members, 1, {8 * K})").alias("sketch"))
     classes = staged(sketched.join(reps, ["doc_id", "cid"], "left_semi").dropDuplicates(["cid"]).select("cid", "n_shingles", "sketch"), "sketches")
-    lists = staged(inverted_lists(classes), "lists")
-    wanted = reps.join(lists.select("cid").distinct(), "cid")
+    met = staged(inverted_lists(classes).select("cid").distinct(), "met")
+    release(classes)
+    wanted = reps.join(met, "cid")
     sets = staged(members.select("doc_id", "n_shingles", node, "members").join(wanted, ["doc_id", "cid"], "left_semi")
                   .dropDuplicates(["cid"]).select("cid", "n_shingles", "members"), "members")
     # classes that met through sketches meet again through the rarest quarter of their full sets
     lists = staged(inverted_lists(sets.withColumnRenamed("members", "sketch"), whole=True), "lists")
+    release(met)
     comps = components(lists, sets, named)
+    release(lists, sets)
     whole = ids.join(comps, "cid", "left").select("cid", F.coalesce("comp", "low").alias("component"))
     return rows.join(whole, "cid", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")) \
