@@ -378,6 +378,12 @@ te_stats AS (SELECT feature, value, count(*) AS n, sum(y) AS bad FROM te_long GR
 te_g AS (SELECT avg(default_flag) AS gm FROM labeled),
 te AS (SELECT feature, value, n, (n * (bad / n) + 1e0 * gm) / (n + 1e0) AS enc, n / (SELECT count(*) FROM labeled) AS freq
        FROM te_stats, te_g)"""
+_PARTS = [_lookup_joins("split_x1", *x) for x in (("wtr", "woe", "woe", "0e0"), ("te", "enc", "target_enc", "(SELECT gm FROM te_g)"), ("te", "freq", "freq", "0e0"))]
+ORACLE["encoder_pipeline"] = with_(LOANS, SPLIT_X1, woe_ctes("train_x1", "wtr"), TE.replace("FROM labeled", "FROM train_x1")) + f"""
+SELECT a.serial_number, a.split, {', '.join(f'round({c}_{x}, 9) AS {c}_{x}' for x in ('woe', 'target_enc', 'freq') for c in CATS)}
+FROM (SELECT split_x1.serial_number, split_x1.split, {_PARTS[0][1]} FROM split_x1 {_PARTS[0][0]}) a
+JOIN (SELECT split_x1.serial_number, {_PARTS[1][1]} FROM split_x1 {_PARTS[1][0]}) b USING (serial_number)
+JOIN (SELECT split_x1.serial_number, {_PARTS[2][1]} FROM split_x1 {_PARTS[2][0]}) c USING (serial_number)"""
 _J, _C = _lookup_joins("labeled", "te", "enc", "target_enc", "(SELECT gm FROM te_g)")
 ORACLE["target_encoding"] = with_(LOANS, TE) + f"""
 SELECT serial_number, {', '.join(f'round({c}_target_enc, 9) AS {c}_target_enc' for c in CATS)} FROM (

@@ -8,6 +8,7 @@ summation orders are rounded in both engines (``R`` digits).
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.tables import attach
-from ..operators import cleaning, encoders, features, metrics, scoring
+from ..operators import cleaning, encoders, features, metrics, scoring, stages
+from ..session import ensure_checkpoint_dir, materialize
 from ..sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -253,6 +255,17 @@ def q_woe_apply(spark, sf):
     return a.select("serial_number", "split", *[rnd(f"{f}_woe", 9).alias(f"{f}_woe") for f in C.CATEGORICAL_FEATURES])
 
 
+@query("encoder_pipeline")
+def q_encoder_pipeline(spark, sf):
+    """SURVEY 2.14: WoE, target and frequency stages fitted on the train split, saved, loaded and applied to all loans."""
+    from pyspark.ml import Pipeline
+    l = materialize(split.stratified_split(labeled_loans(spark, sf)))
+    model = Pipeline(stages=[stages.WoeEncoder(), stages.TargetEncoder(), stages.FrequencyEncoder()]).fit(l.where(F.col("split") == "train"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/encoder-pipeline-{uuid.uuid4().hex}"
+    a = stages.saved_round_trip(model, path, spark).transform(l)
+    return a.select("serial_number", "split", *[rnd(f"{f}_{x}", 9).alias(f"{f}_{x}") for x in ("woe", "target_enc", "freq") for f in C.CATEGORICAL_FEATURES])
+
+
 @query("target_encoding")
 def q_target_encoding(spark, sf):
     """A5: smoothed target encoding of the categoricals."""
