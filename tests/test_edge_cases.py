@@ -362,3 +362,21 @@ def test_many_levels_and_thresholds(spark):
     d = spark.createDataFrame([(0, 0.2), (1, 0.8)], "y int, p double")
     t = spark.createDataFrame([(f"t{i}", i / 100) for i in range(101)], "threshold_name string, t double")
     assert metrics.confusion(d, t).count() == 404
+
+
+def test_stratified_split_of_repeated_and_missing_keys_ranks_only_ties(spark, monkeypatch):
+    from obol.operators import split
+    rows = [(i % 40, i % 3 and 1) for i in range(400)] + [(None, 1)] * 50 + [(None, 0)] * 3 + [(7, None)] * 5
+    df = spark.createDataFrame(rows, "serial_number long, default_flag int")
+    sizes = {(0, "test"): 27, (1, "test"): 63}  # 137 and 316 rows
+    for got in (split.stratified_split(df), split.stratified_three_way(df)):
+        c = {(r[0], r[1]): r[2] for r in got.groupBy("default_flag", "split").count().collect()}
+        assert {k: c[k] for k in sizes} == sizes
+        assert sum(c.values()) == 453 and got.columns == ["default_flag", "serial_number", "split"]
+    assert c[0, "val"] == 14 and c[1, "val"] == 32
+    ranked = []
+    monkeypatch.setattr(split, "running", lambda d, *a: ranked.append(d.count()) or pytest.fail("all rows ranked"))
+    single = spark.range(5000).selectExpr("id as serial_number", "cast(id % 4 = 0 as int) as default_flag")
+    got = split.stratified_three_way(single).groupBy("default_flag", "split").count().collect()
+    assert {(r[0], r[1]): r[2] for r in got} == {(0, "test"): 750, (0, "val"): 375, (0, "train"): 2625, (1, "test"): 250, (1, "val"): 125, (1, "train"): 875}
+    assert not ranked
