@@ -380,3 +380,14 @@ def test_stratified_split_of_repeated_and_missing_keys_ranks_only_ties(spark, mo
     got = split.stratified_three_way(single).groupBy("default_flag", "split").count().collect()
     assert {(r[0], r[1]): r[2] for r in got} == {(0, "test"): 750, (0, "val"): 375, (0, "train"): 2625, (1, "test"): 250, (1, "val"): 125, (1, "train"): 875}
     assert not ranked
+
+
+def test_overdue_long_partitions_grow_with_the_rows(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id as serial_number", *[f"cast((id + {i}) % 3 as bigint) as o{i}" for i in range(8)])
+    want = {r["serial_number"]: r for r in features.overdue_long_features(features.overdue_long(df)).collect()}
+    monkeypatch.setattr(features, "LONG_ROWS", 1000)
+    long = features.overdue_long(df)
+    assert long.rdd.getNumPartitions() == 24
+    assert max(long.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 2000
+    got = {r["serial_number"]: r for r in features.overdue_long_features(long).collect()}
+    assert got == want
