@@ -311,7 +311,7 @@ def coded_strings(strings: DataFrame) -> DataFrame:
         out = _coded(counted[k]).withColumn("low", F.col("gram").bitwiseAND((1 << 8 * k) - 1)).join(low, "low") \
             .select("gram", "n", F.concat("before", "codes").alias("codes"))
     # in a random order, in which the weights are learned
-    done = staged(out.repartition(F.xxhash64("gram")).sortWithinPartitions(F.xxhash64("gram", F.lit(1))), "coded")
+    done = staged(out.repartition(F.xxhash64("gram")).sortWithinPartitions(F.xxhash64("gram", F.lit(1))), "coded", "zstd")
     release(*(counted[k] for k in range(1, ORDERS)))
     return done
 
@@ -507,7 +507,7 @@ def score(docs: DataFrame) -> DataFrame:
     rows = docs.select(number.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                        F.coalesce(F.crc32(number.cast("string").cast("binary")) % 7 == 2, F.lit(False)).alias("held_out"),
                        F.floor(F.monotonically_increasing_id() / BLOCK_DOCS).alias("block"))
-    rows = staged(rows, "lm-rows")
+    rows = staged(rows, "lm-rows", "zstd")
     held = rows.agg(F.count(F.when(~F.col("held_out"), 1)).alias("train"), F.countDistinct("block").alias("blocks")).first()
     train_docs = held.train
     parts = PARTS * math.ceil(math.sqrt(max(1, held.blocks) / BLOCKS_BASE))

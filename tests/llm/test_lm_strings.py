@@ -46,3 +46,12 @@ def test_strings_are_counted_once_and_scores_add_up(spark, monkeypatch):
     log = dict(zip(grams.tolist(), models[0].log10(grams, [bytes(r.codes) for r in rows]).tolist(), strict=True))
     for i, s in enumerate(streams):
         assert abs(out[i].score - sum(log[int(g)] for g in L.codes([s])[0])) < 1e-9
+
+
+def test_staged_rows_and_codes_are_packed_tightly(spark, monkeypatch):
+    made = {}
+    staged = L.staged
+    monkeypatch.setattr(L, "staged", lambda df, name, *a: made.update({name: staged(df, name, *a)}) or made[name])
+    L.score(spark.createDataFrame([(i, f"some words {i}") for i in range(40)], "doc_id long, text string")).collect()
+    for name in ("lm-rows", "coded"):
+        assert all(f.endswith(".zstd.parquet") for f in made[name].inputFiles())
