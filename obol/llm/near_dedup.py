@@ -34,6 +34,8 @@ DRAWS = (1, 4, 8, 16)
 LEAST_ROUNDS = 2
 #: Open pairs per row of the open lists that are tested at once.
 FEW_PAIRS = 1
+#: Bytes of text whose sets a task makes at once.
+SLICE = 2 << 20
 U = np.uint64
 
 
@@ -42,7 +44,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, limit=SLICE):
             words = Words(texts)
             values, at = sorted_sets(*words.shingles(), words.n_rows)
             sums = [np.concatenate([np.zeros(1, U), np.cumsum(mix64(values ^ U(c)))]) for c in (0x51ED270B, 0xB492B66F)]

@@ -60,7 +60,7 @@ def document_pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, step = encoder(tokenizer), np.array([END_ID], "<u4").tobytes(), 4 * sequence
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, keep=True):
             coded = [c + end for c in enc.encode(texts)]
             yield pa.RecordBatch.from_arrays([
                 part.column(0).cast(pa.int64()),

@@ -9,7 +9,7 @@ word hashes, finished with an avalanche mix.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -147,9 +147,18 @@ def give_back() -> None:
         trim(0)
 
 
+#: What empties the caches that a worker holds from one task to the next.
+EMPTY: list[Callable[[], None]] = []
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 << 20,
-           rows: int = 1 << 15) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Cut Arrow batches into runs of rows whose texts hold about ``limit`` bytes (at least one row)."""
+           rows: int = 1 << 15, keep: bool = False) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Cut Arrow batches into runs of rows whose texts hold about ``limit`` bytes (at least one row).
+
+    Caches of a worker's earlier tasks are emptied first, unless they are to be used (``keep``)."""
+    if not keep:
+        for empty in EMPTY:
+            empty()
     for batch in batches:
         if not batch.num_rows:
             continue

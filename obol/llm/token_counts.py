@@ -61,7 +61,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str | None = None,
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, keep=True):
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(c) // 4 for c in enc.encode(texts)], pa.int64())],
                 names=["content_digest", "n_tokens"])

@@ -15,6 +15,8 @@ import re
 
 import numpy as np
 
+from obol.llm.textbytes import EMPTY
+
 #: Bytes of one half of a worker's cache, and those an entry takes besides its chunk and ids.
 CACHE_BYTES = 48 << 20
 ENTRY_BYTES = 170
@@ -75,3 +77,6 @@ class ChunkEncoder:
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
+
+
+EMPTY.append(encoder.cache_clear)

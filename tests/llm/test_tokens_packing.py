@@ -88,3 +88,14 @@ def test_first_fit_decreasing_matches_a_scan():
             want[i] = k
         assert bins.tolist() == want.tolist() and used == len(room)
     assert TournamentTree(1, 10).place(4) == (0, 10)
+
+
+def test_other_tasks_empty_the_word_cache():
+    import pyarrow as pa
+
+    from obol.llm.textbytes import slices
+    from obol.llm.tokens import encoder
+    batch = pa.RecordBatch.from_pydict({"text": ["a b", None]})
+    kept = encoder(tokenizer_path())
+    assert [t for _, t in slices(iter([batch]), keep=True)] == [[b"a b", b""]] and encoder(tokenizer_path()) is kept
+    assert [t for _, t in slices(iter([batch]))] == [[b"a b", b""]] and encoder.cache_info().currsize == 0
