@@ -220,6 +220,16 @@ def pieces(grams: np.ndarray, values: np.ndarray, parts: int) -> tuple[np.ndarra
     return part[order[at]], [g[i:j].tobytes() for i, j in zip(at, ends, strict=False)], [v[i:j].tobytes() for i, j in zip(at, ends, strict=False)]
 
 
+def planes(values: np.ndarray) -> bytes:
+    """The first bytes of all 8-byte values, then their second bytes and so on: like bytes lie together and compress."""
+    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(packed: bytes, kind: str) -> np.ndarray:
+    """The values that ``planes`` laid out."""
+    return np.frombuffer(packed, np.uint8).reshape(8, -1).T.copy().view(kind).reshape(-1)
+
+
 def _block_strings(rows: DataFrame, parts: int) -> DataFrame:
     """part, block, grams, n: the distinct 6-byte strings of each block with their counts in its training texts, packed by part."""
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,7 +387,7 @@ def _sum_arrays(parts: DataFrame) -> dict[str, np.ndarray]:
 
 
 def _string_scores(coded: DataFrame, strings: DataFrame, model: Model, parts: int) -> DataFrame:
-    """block, grams, logs: the packed strings of each block with their log probabilities."""
+    """block, grams, logs: the strings of each block with their log probabilities, packed in byte planes."""
     shared = coded.sparkSession.sparkContext.broadcast((model.weights, model.apm))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,8 +425,8 @@ def _string_scores(coded: DataFrame, strings: DataFrame, model: Model, parts: in
                     continue
                 table = table or ascending(held)
                 blocks.append(block)
-                grams.append(g.tobytes())
-                logs.append(table[1][np.searchsorted(table[0], g)].tobytes())
+                grams.append(planes(g))
+                logs.append(planes(table[1][np.searchsorted(table[0], g)]))
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(grams, pa.binary()), pa.array(logs, pa.binary())], names=["block", "grams", "logs"])
 
     return both.repartition("part").sortWithinPartitions("part", "block").mapInArrow(look_up, "block long, grams binary, logs binary")
@@ -547,7 +557,7 @@ def score(docs: DataFrame) -> DataFrame:
                     continue
                 if part.column(1)[0].as_py() == 1:
                     # half of each piece are strings, half their logs
-                    held += [(np.frombuffer(x[:len(x) // 2], "<u8"), np.frombuffer(x[len(x) // 2:], "<f8")) for x in part.column(4).to_pylist()]
+                    held += [(from_planes(x[:len(x) // 2], "<u8"), from_planes(x[len(x) // 2:], "<f8")) for x in part.column(4).to_pylist()]
                     continue
                 if table is None:
                     table, held = ascending(held), []

@@ -1,5 +1,6 @@
 """LM scoring: exact slots of every context, whatever their number, and scores that follow from them."""
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -55,3 +56,11 @@ def test_staged_rows_and_codes_are_packed_tightly(spark, monkeypatch):
     L.score(spark.createDataFrame([(i, f"some words {i}") for i in range(40)], "doc_id long, text string")).collect()
     for name in ("lm-rows", "coded"):
         assert all(f.endswith(".zstd.parquet") for f in made[name].inputFiles())
+
+
+def test_byte_planes_give_the_values_back_and_compress():
+    grams = np.sort(np.random.default_rng(5).integers(0, 1 << 48, 5000, np.uint64))
+    logs = -np.random.default_rng(6).random(5000)
+    for values, kind in ((grams, "<u8"), (logs, "<f8"), (grams[:0], "<u8")):
+        assert L.from_planes(L.planes(values), kind).tolist() == values.tolist()
+    assert len(zlib.compress(L.planes(grams), 1)) < 0.9 * len(zlib.compress(grams.tobytes(), 1))
