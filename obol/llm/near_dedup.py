@@ -233,12 +233,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # the row that stands for its class: its smallest id
     reps = named.select("cid", F.col("comp").alias("doc_id"))
     sketched = members.select("doc_id", "n_shingles", node, F.expr(f"substring(members, 1, {8 * K})").alias("sketch"))
-    classes = staged(sketched.join(reps, ["doc_id", "cid"], "left_semi").dropDuplicates(["cid"]).select("cid", "n_shingles", "sketch"), "sketches")
+    # one id a class: repeated rows are dropped by the join's keys, so that sets are shuffled once
+    classes = staged(sketched.join(reps, ["doc_id", "cid"], "left_semi").dropDuplicates(["doc_id", "cid"]).select("cid", "n_shingles", "sketch"), "sketches")
     met = staged(inverted_lists(classes).select("cid").distinct(), "met")
     release(classes)
     wanted = reps.join(met, "cid")
     sets = staged(members.select("doc_id", "n_shingles", node, "members").join(wanted, ["doc_id", "cid"], "left_semi")
-                  .dropDuplicates(["cid"]).select("cid", "n_shingles", "members"), "members")
+                  .dropDuplicates(["doc_id", "cid"]).select("cid", "n_shingles", "members"), "members")
     # classes that met through sketches meet again through the rarest quarter of their full sets
     lists = staged(inverted_lists(sets.withColumnRenamed("members", "sketch"), whole=True), "lists")
     release(met)

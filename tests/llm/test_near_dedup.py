@@ -83,3 +83,25 @@ def test_places_of_the_first_common_value_never_rule_out_an_alike_pair(spark):
     out = df.withColumn("passes", may_be_alike(*(df[c] for c in ("na", "pa", "nb", "pb")))).collect()
     assert any(r.alike for r in out) and any(not r.passes for r in out)
     assert all(r.passes for r in out if r.alike)
+
+
+def test_sets_are_shuffled_once_by_the_join(spark, monkeypatch):
+    from obol.llm import near_dedup
+    plans, staged = {}, near_dedup.staged
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return staged(df, name)
+
+    monkeypatch.setattr(near_dedup, "staged", noted)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        text = " ".join(f"w{i}" for i in range(40))
+        rows = [(1, text), (1, text), (2, text + " more"), (3, "other words"), (None, text)]
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted((r.doc_id or 9, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 3), (9, 1)]
+    for name in ("sketches", "members"):
+        assert "SortMergeJoin" in plans[name] and "Exchange" not in plans[name].split("SortMergeJoin")[0]
